@@ -14,7 +14,7 @@ import regex
 from tallyframe.llm.pretokens import boundaries
 
 #: Entries that a cache holds before it is emptied; bounds a worker's memory, never the result.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 500_000
 
 
 def byte_letters() -> list[str]:
