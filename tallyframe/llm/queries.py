@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import bpe, packing, simhash, suffixes, token_index
+from tallyframe.llm import bpe, fingerprints, language, maxent, packing, quality, simhash, suffixes, token_index, warc
 from tallyframe.llm.common import table
 
 #: Where the public vocabularies are; a caller may point elsewhere.
@@ -13,6 +13,10 @@ JSON_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANK_VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(table(spark, sf_dir, "pages"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
 
@@ -21,6 +25,14 @@ def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), JSON_VOCABULARY).drop("source")
 
 
+def op4_maxent_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"))
+
+
+def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.held_out_languages(table(spark, sf_dir, "documents"))
+
+
 def op6_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index.token_index(table(spark, sf_dir, "documents"), JSON_VOCABULARY, end_id=0).drop("shard")
 
@@ -29,9 +41,17 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), RANK_VOCABULARY)
 
 
 QUERIES = {f.__name__: f for n, f in list(globals().items()) if n.startswith("op") and n[2].isdigit()}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_warc_derivatives": warc.oracle()}
