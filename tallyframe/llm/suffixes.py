@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 from tallyframe.llm.common import stored
 
 SIZE = 400
-#: Bytes that decide a cut, and mean bytes from one cut to the next.
-GRAM, SPACING = 16, 40
+#: Bytes that decide a cut; a window has about so many cuts.
+GRAM, PER_WINDOW = 16, 10
 
 _BYTE = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
-def cuts(raw: bytes) -> np.ndarray:
+def cuts(raw: bytes, size: int) -> np.ndarray:
     """Positions whose GRAM bytes have a small hash: they depend on those bytes alone."""
     if len(raw) < GRAM:
         return np.zeros(0, np.int64)
@@ -48,22 +48,22 @@ def cuts(raw: bytes) -> np.ndarray:
             h = h[:-step] * m + h[step:]
             m, step = m * m, 2 * step
         h ^= h >> np.uint32(15)
-        return np.flatnonzero(h * np.uint32(0x85EBCA6B) < np.uint32((1 << 32) // SPACING))
+        return np.flatnonzero(h * np.uint32(0x85EBCA6B) < np.uint32((1 << 32) // max(2, size // PER_WINDOW)))
 
 
 def _signed(values) -> np.ndarray:
     return np.fromiter(values, np.uint64, len(values)).view(np.int64)
 
 
-def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Texts as bytes with a 96-bit content id: d (64 bits) and c (the other 32)."""
+def _keyed(docs: DataFrame, key: str, text: str, columns: list[str] = ()) -> DataFrame:
+    """k, raw (the text as bytes), its 96-bit content id d (64 bits) and c (the other 32), and ``columns``."""
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    digest = F.md5(raw)
     return docs.select(
+        *[F.col(f"`{c}`") for c in columns],
         F.col(key).cast("long").alias("k"),
         raw.alias("raw"),
         F.xxhash64(raw).alias("d"),
-        F.conv(F.substring(digest, 1, 8), 16, 10).cast("long").alias("c"),
+        F.coalesce(F.conv(F.substring(F.md5(raw), 1, 8), 16, 10).cast("long"), F.lit(0).cast("long")).alias("c"),
     )
 
 
@@ -83,7 +83,7 @@ def phrases(keyed: DataFrame, size: int) -> DataFrame:
                 if (d, c) in seen:
                     continue
                 seen.add((d, c))
-                at = cuts(raw)
+                at = cuts(raw, size)
                 if len(at) < 2:
                     continue
                 hs += [xxhash.xxh64_intdigest(raw[i : j + GRAM]) for i, j in zip(at.tolist(), at[1:].tolist())]
@@ -93,7 +93,7 @@ def phrases(keyed: DataFrame, size: int) -> DataFrame:
             if hs:
                 yield pd.DataFrame({"h": _signed(hs), "d": np.concatenate(ds), "e": np.concatenate(es), "n": np.concatenate(ns)})
 
-    return keyed.filter(F.length("raw") >= size).select("raw", "d", "c").mapInPandas(run, "h long, d long, e long, n long")
+    return keyed.select("raw", "d", "c").mapInPandas(run, "h long, d long, e long, n long")
 
 
 def repeated(rows: DataFrame, ranks: list[str]) -> DataFrame:
@@ -234,7 +234,7 @@ def windows(texts: DataFrame, size: int) -> DataFrame:
             r1, r2, ds, es = [], [], [], []
             for raw, d, c, seen, settled in zip(pdf["raw"], pdf["d"].tolist(), pdf["c"].tolist(), pdf["seen"], pdf["settled"], strict=True):
                 last = len(raw) - size
-                at = cuts(raw)
+                at = cuts(raw, size)
                 out = np.zeros(last + 2, np.int32)
 
                 def drop(low: np.ndarray, high: np.ndarray, out=out, last=last) -> None:
@@ -272,14 +272,14 @@ def _at(e: Column) -> Column:
     return e.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int")
 
 
-def spans(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text: str = "text") -> DataFrame:
+def spans(keyed: DataFrame, size: int) -> DataFrame:
     """By content (d, c): copies, and the repeated windows as ``starts`` and ``ends`` of runs of window positions.
 
     Starts of windows that were ranked one by one, and for settled phrases the first and last
     window; one row per different text that has any, or has copies.
     """
-    keyed = _keyed(docs, key, text)
-    seen = stored(repeated(phrases(keyed, size), ["h"]), "phrases")
+    long = keyed.filter(F.length("raw") >= size)
+    seen = stored(repeated(phrases(long, size), ["h"]), "phrases")
     settled = stored(repeated(runs(seen, size), ["r1", "r2"]), "runs")
     done = settled.select("d", "e").join(partners(seen, settled, size), ["d", "e"], "left_anti")
     marks = seen.select("d", "e", F.lit(False).alias("settled")).union(done.select("d", "e", F.lit(True)))
@@ -287,17 +287,17 @@ def spans(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text: str = "t
         F.collect_list(F.when(~F.col("settled"), _at(F.col("e")))).alias("seen"), F.collect_list(F.when(F.col("settled"), _at(F.col("e")))).alias("settled")
     )
     # one row of each text does the work of its copies; texts without a cut or a repeated phrase may still hold a repeat
-    copies = keyed.filter(F.length("raw") >= size).groupBy("d", "c").agg(F.min(F.coalesce("k", F.lit(-(1 << 63)))).alias("one"), F.count(F.lit(1)).alias("copies"))
-    flags = stored(copies.join(places, ["d", "c"], "left"), "flags")
+    name = F.coalesce("k", F.lit(-(1 << 63)))
+    copies = long.groupBy("d", "c").agg(F.min(name).alias("one"), F.count(F.lit(1)).alias("copies"))
     empty = F.array().cast("array<int>")
-    chosen = keyed.filter(F.length("raw") >= size).join(flags, ["d", "c"]).filter(F.coalesce("k", F.lit(-(1 << 63))) == F.col("one"))
-    ranked = repeated(windows(chosen.select("raw", "d", "c", F.coalesce("seen", empty).alias("seen"), F.coalesce("settled", empty).alias("settled")), size), ["r1", "r2"])
+    flags = stored(copies.join(places, ["d", "c"], "left").select("d", "c", "one", "copies", F.coalesce("seen", empty).alias("seen"), F.coalesce("settled", empty).alias("settled")), "flags")
+    chosen = keyed.join(flags, ["d", "c"]).filter(name <= F.col("one")).select("raw", "d", "c", "seen", "settled")
+    ranked = repeated(windows(chosen, size), ["r1", "r2"])
     single = ranked.select("d", _c(F.col("e")).alias("c"), _at(F.col("e")).alias("first"), _at(F.col("e")).alias("last"))
     whole = settled.select("d", _c(F.col("e")).alias("c"), _at(F.col("e")).alias("first"), (_at(F.col("e")) + F.col("n").cast("int") - 1).alias("last"))
     lists = single.union(whole).groupBy("d", "c").agg(F.collect_list(F.struct("first", "last")).alias("at"))
     several = flags.filter("copies > 1").select("d", "c", "copies")
-    joined = lists.join(several, ["d", "c"], "full").select("d", "c", F.coalesce("copies", F.lit(1)).alias("copies"), F.col("at.first").alias("starts"), F.col("at.last").alias("ends"))
-    return stored(joined, "spans")
+    return lists.join(several, ["d", "c"], "full").select("d", "c", F.coalesce("copies", F.lit(1)).alias("copies"), F.col("at.first").alias("starts"), F.col("at.last").alias("ends"))
 
 
 def _removed(n: int, copies, starts, ends, size: int) -> list[tuple[int, int]]:
@@ -323,14 +323,13 @@ def deduplicate(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text: st
     columns of clashing names are replaced by the results, an empty table gives no rows.
     ``kept`` may end inside a UTF-8 character where a passage does.
     """
-    found = spans(docs, size, key, text)
     results = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"} | ({"kept": "binary"} if keep else {})
     rest = [f for f in docs.schema.fields if keep and f.name not in {*results, key}]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for raw, copies, starts, ends in zip(pdf["_raw"], pdf["_copies"].fillna(0).tolist(), pdf["_starts"], pdf["_ends"], strict=True):
+            for raw, copies, starts, ends in zip(pdf["raw"], pdf["copies"].fillna(0).tolist(), pdf["starts"], pdf["ends"], strict=True):
                 cut = _removed(len(raw), copies, starts, ends, size)
                 kept, at = [], 0
                 for i, j in cut:
@@ -340,11 +339,13 @@ def deduplicate(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text: st
                 rest_ = b"".join(kept)
                 rows.append((len(raw), len(raw) - len(rest_), len(cut), hashlib.sha256(rest_).hexdigest(), *([rest_] if keep else [])))
             out = pd.DataFrame(rows, columns=list(results))
-            yield pd.concat([pdf[[key, *[f.name for f in rest]]].reset_index(drop=True), out], axis=1)
-
-    raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    every = docs.select(F.col(key).cast("long").alias(key), *[F.col(f"`{f.name}`") for f in rest], raw.alias("_raw"), F.xxhash64(raw).alias("_d"), F.conv(F.substring(F.md5(raw), 1, 8), 16, 10).cast("long").alias("_c"))
-    named = found.select(F.col("d").alias("_fd"), F.col("c").alias("_fc"), F.col("copies").alias("_copies"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends"))
-    joined = every.join(named, (F.col("_d") == F.col("_fd")) & (F.col("_c") == F.col("_fc")), "left").drop("_d", "_c", "_fd", "_fc")
-    schema = ", ".join([f"`{key}` long", *[f"`{f.name}` {f.dataType.simpleString()}" for f in rest], *[f"{c} {t}" for c, t in results.items()]])
-    return joined.mapInPandas(run, schema)
+            names = [f"_{i}" for i in range(len(rest))]
+            yield pd.concat([pdf[["k", *names]].reset_index(drop=True), out], axis=1)
+
+    # the same rows, dealt by content, serve the search for windows and this join: one shuffle of the texts
+    every = docs.select(*[F.col(f"`{f.name}`").alias(f"_{i}") for i, f in enumerate(rest)], F.col(key).alias("_key"), F.col(text).alias("_text"))
+    keyed = _keyed(every, "_key", "_text", [f"_{i}" for i in range(len(rest))])
+    joined = keyed.join(spans(keyed, size), ["d", "c"], "left").drop("d", "c")
+    internal = ", ".join(["k long", *[f"_{i} {f.dataType.simpleString()}" for i, f in enumerate(rest)], *[f"{c} {t}" for c, t in results.items()]])
+    out = joined.mapInPandas(run, internal)
+    return out.select(F.col("k").alias(key), *[F.col(f"_{i}").alias(f.name) for i, f in enumerate(rest)], *results)
