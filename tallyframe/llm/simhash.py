@@ -25,6 +25,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyframe.llm.common import stored
 from tallyframe.llm.components import connected
@@ -33,6 +34,8 @@ SEED = 42
 SEGMENTS = 32
 #: Points of a cell that one task compares with each other.
 SLICE = 8192
+#: 64-bit lanes of the wide fingerprints that tell similarities like 0.8 from 0.7.
+LANES = 4
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -53,24 +56,35 @@ def shingle_hashes(words: list[bytes], k: int) -> list[int]:
     return [digest(joined[i:j], SEED) for i, j in zip(starts, ends[k - 1 :])]
 
 
-def votes(hashes: list[list[int]]) -> np.ndarray:
-    """Fingerprints: a bit is set if it is set in over half of a document's hashes; none: zero."""
-    out = np.zeros(len(hashes), np.uint64)
+def _lane(h: np.ndarray, lane: int) -> np.ndarray:
+    """Further 64 bits of a hash; lane 0 is the hash itself."""
+    if not lane:
+        return h
+    with np.errstate(over="ignore"):
+        x = h + np.uint64(0x9E3779B97F4A7C15) * np.uint64(lane)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def votes(hashes: list[list[int]], lanes: int = 1) -> np.ndarray:
+    """Fingerprints, a column for each lane: a bit is set if it is set in over half of a document's hashes; none: zero."""
+    out = np.zeros((len(hashes), lanes), np.uint64)
     sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
     some = np.flatnonzero(sizes)
     if not len(some):
         return out
     flat = np.fromiter((h for hs in hashes for h in hs), np.uint64, int(sizes.sum()))
-    bits = np.unpackbits(flat.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     starts = (np.cumsum(sizes[some]) - sizes[some]).astype(np.int64)
-    counts = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-    set_ = counts * 2 > sizes[some][:, None]
-    out[some] = np.packbits(set_, axis=1, bitorder="little").view("<u8").ravel()
+    for lane in range(lanes):
+        bits = np.unpackbits(_lane(flat, lane).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+        out[some, lane] = np.packbits(counts * 2 > sizes[some][:, None], axis=1, bitorder="little").view("<u8").ravel()
     return out
 
 
-def fingerprints(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and ``fp`` (the fingerprint as a signed long) of every document; null texts count as empty."""
+def fingerprints(docs: DataFrame, words: int, lanes: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``k`` (the key) and ``fp0``, ``fp1``, ... (the fingerprint's lanes as signed longs) of every document; null texts count as empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -79,12 +93,13 @@ def fingerprints(docs: DataFrame, words: int, key: str = "doc_id", text: str = "
                 group.append(shingle_hashes(words_of(t), words))
                 held += len(group[-1])
                 if held > 200_000:
-                    out.append(votes(group))
+                    out.append(votes(group, lanes))
                     held, group = 0, []
-            out.append(votes(group))
-            yield pd.DataFrame({"k": pdf["k"].astype("Int64"), "fp": np.concatenate(out).view(np.int64)})
+            out.append(votes(group, lanes))
+            fp = np.concatenate(out).view(np.int64)
+            yield pd.DataFrame({"k": pdf["k"].astype("Int64")} | {f"fp{i}": fp[:, i] for i in range(lanes)})
 
-    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(run, "k long, fp long")
+    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(run, "k long, " + ", ".join(f"fp{i} long" for i in range(lanes)))
 
 
 def thermometer(fp):
@@ -118,23 +133,42 @@ def tables(points: int, radius: int) -> list[int]:
     return [x - (1 << 64) if x >> 63 else x for x in masks]
 
 
+def wide_tables(lanes: int) -> list[tuple[int, int]]:
+    """(lane, mask) of tables whose axes are eight of a lane's segments each: twelve tables a lane, three cuts of it into four.
+
+    For radii too wide for blocks to promise a common cell. Fingerprints of sets with Jaccard
+    similarity 0.8 share a given cell with probability about 0.08, and one of 48 cells with 0.98.
+    """
+    eight = [[list(range(8 * i, 8 * i + 8)) for i in range(4)], [list(range(i, 32, 4)) for i in range(4)], [[(5 * j + 8 * i + j // 4) % 32 for j in range(8)] for i in range(4)]]
+    masks = [sum(3 << 2 * s for s in set(segments)) for cut in eight for segments in cut]
+    return [(lane, x - (1 << 64) if x >> 63 else x) for lane in range(lanes) for x in masks]
+
+
 def cell_links(cell: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
-    """Rows (a, b) of a spanning forest of the links within each cell; ``cell`` ascends."""
+    """Rows (a, b) of a spanning forest of the links within each cell; ``cell`` ascends; fp: rows of lanes."""
     n = len(cell)
-    emb = embedding(fp)
+    lanes = [np.ascontiguousarray(fp[:, i]) for i in range(fp.shape[1])]
+    embedded = [embedding(x) for x in lanes]
     starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
     ends = np.append(starts[1:], n)
     left = np.repeat(ends, ends - starts) - np.arange(n)  # rows from here to the cell's end
     label = np.arange(n)
     links = []
+
+    def near(i: np.ndarray, d: int, words: list[np.ndarray]) -> np.ndarray:
+        total = np.zeros(len(i), np.int32)
+        for x in words:
+            total += np.bitwise_count(x[i] ^ x[i + d])
+            i, total = i[total <= radius], total[total <= radius]
+        return i
+
     at, d = np.arange(n), 1
     while True:
         at = at[left[at] > d]
         if not len(at):
             break
-        i = at[label[at] != label[at + d]]
-        i = i[np.bitwise_count(emb[i] ^ emb[i + d]) <= radius]  # Manhattan distance
-        i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= radius]
+        i = near(at[label[at] != label[at + d]], d, embedded)  # Manhattan distance
+        i = near(i, d, lanes)
         if len(i):
             for x, y in zip(i.tolist(), (i + d).tolist()):
                 a, b = x, y
@@ -154,26 +188,26 @@ def cell_links(cell: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
     return np.array(links, np.int64).reshape(-1, 2)
 
 
-def links(points: DataFrame, radius: int) -> DataFrame:
-    """Links that span the same components as all pairs of ``points.fp`` within ``radius`` bits: a, b."""
-    masks = tables(points.count(), radius)
-    emb = thermometer(F.col("fp"))
-    cells = points.select("fp", F.posexplode(F.array(*[emb.bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("table", "cell"))
+def links(points: DataFrame, radius: int, grid: list[tuple[int, int]]) -> DataFrame:
+    """Links that span the same components as all pairs of ``points`` (node, fp0, ...) that share a cell and lie within ``radius`` bits: a, b."""
+    lanes = [c for c in points.columns if c.startswith("fp")]
+    embedded = [thermometer(F.col(c)) for c in lanes]
+    cells = points.select("node", *lanes, F.posexplode(F.array(*[embedded[i].bitwiseAND(F.lit(m).cast("long")) for i, m in grid])).alias("table", "cell"))
     # cells of more than SLICE points: at most points * tables / SLICE of them
     large = cells.groupBy(F.col("table").alias("l_table"), F.col("cell").alias("l_cell")).count().filter(F.col("count") > SLICE)
     joined = cells.join(large, (F.col("table") == F.col("l_table")) & (F.col("cell") == F.col("l_cell")), "left")
     slices = F.coalesce(F.ceil(F.col("count") / SLICE), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), slices).cast("int")
+    own = F.pmod(F.xxhash64("node"), slices).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), slices - 1), lambda x: F.least(x, own) * slices + F.greatest(x, own))
-    dealt = joined.select("fp", "table", "cell", F.explode(pairs).alias("pair"))
+    dealt = joined.select("node", *lanes, "table", "cell", F.explode(pairs).alias("pair"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def found(group: pd.DataFrame) -> pd.DataFrame:
             change = np.zeros(len(group), np.int64)
             change[1:] = (np.diff(group["table"]) != 0) | (np.diff(group["cell"]) != 0) | (np.diff(group["pair"]) != 0)
-            fp = group["fp"].to_numpy()
-            pairs = cell_links(np.cumsum(change), fp.view(np.uint64), radius)
-            return pd.DataFrame({"a": fp[pairs[:, 0]], "b": fp[pairs[:, 1]]}).drop_duplicates()
+            node = group["node"].to_numpy()
+            pairs = cell_links(np.cumsum(change), group[lanes].to_numpy().view(np.uint64), radius)
+            return pd.DataFrame({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]}).drop_duplicates()
 
         held: list[pd.DataFrame] = []
         for pdf in batches:
@@ -189,10 +223,21 @@ def links(points: DataFrame, radius: int) -> DataFrame:
         if held:
             yield found(pd.concat(held, ignore_index=True))
 
-    together = dealt.repartition("table", "cell", "pair").sortWithinPartitions("table", "cell", "pair", "fp")
+    together = dealt.repartition("table", "cell", "pair").sortWithinPartitions("table", "cell", "pair", "node")
     return together.mapInPandas(run, "a long, b long")
 
 
+def components(fps: DataFrame, radius: int, wide: bool) -> DataFrame:
+    """node (of a distinct fingerprint) and component_id (least key of its component) for stored fingerprints with a ``node`` column."""
+    lanes = [c for c in fps.columns if c.startswith("fp")]
+    points = stored(fps.groupBy("node", *lanes).agg(F.min("k").alias("first")), "points")
+    grid = wide_tables(len(lanes)) if wide else [(0, m) for m in tables(points.count(), radius)]
+    roots = connected(links(points.drop("first"), radius, grid))
+    rooted = points.join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return stored(rooted.join(least, "root").select(F.col("node").alias("p_node"), "component_id"), "components")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ``fingerprint`` (16 hex digits) and ``component_id`` (smallest key reachable by links) of every row.
 
@@ -201,10 +246,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, key: str =
     are kept, rows with a null key belong to their component without naming it (a component of
     null keys only has a null id), other columns are ignored and an empty table gives no rows.
     """
-    fps = stored(fingerprints(docs, words, key, text), "fingerprints")
-    points = stored(fps.groupBy("fp").agg(F.min("k").alias("first")), "points")
-    roots = connected(links(points, radius))
-    rooted = points.join(roots, points["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = stored(rooted.join(least, "root").select(F.col("fp").alias("p_fp"), "component_id"), "components")
-    return fps.join(named, F.col("fp") == F.col("p_fp")).select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fps = stored(fingerprints(docs, words, 1, key, text).withColumn("node", F.col("fp0")), "fingerprints")
+    named = components(fps, radius, wide=False)
+    return fps.join(named, F.col("node") == F.col("p_node")).select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of ``docs`` with all columns, one of each group of near-duplicates: the one with the least key.
+
+    For similarities that 64 bits and a few tables cannot tell: fingerprints have LANES * 64
+    bits, and link within the number of bits at which shingle sets of that Jaccard similarity
+    (of equal sizes) are expected. Rows with null keys count as one key before all others; of
+    rows with equal keys one is kept, whichever text it has. Null texts are empty and
+    near-duplicates of each other.
+    """
+    radius = round(64 * LANES * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    own = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
+    lanes = [f"fp{i}" for i in range(LANES)]
+    fps = stored(fingerprints(docs.select(own.alias("_k"), F.col(text).alias("_t")), words, LANES, "_k", "_t").withColumn("node", F.xxhash64(*lanes)), "fingerprints")
+    chosen = components(fps, radius, wide=True).select(F.col("component_id").alias("_one")).distinct()
+    kept = docs.withColumn("_own", own).join(chosen, F.col("_own") == F.col("_one"))
+    return kept.withColumn("_nth", F.row_number().over(Window.partitionBy("_own").orderBy(F.lit(0)))).filter("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

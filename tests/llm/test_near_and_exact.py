@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tests.conftest import SF
 
 from tallyframe.llm import queries, simhash, suffixes
@@ -56,11 +57,12 @@ def test_links_of_dense_points(spark, monkeypatch, size):
                 x ^= 1 << rng.randrange(64)
             fps[len(fps)] = x
     want = groups(fps, 4)
-    points = spark.createDataFrame([(i, int(np.uint64(f).view(np.int64)) if False else f - (1 << 64) if f >> 63 else f) for i, f in fps.items()], "i long, fp long")
-    roots = {r.node: r.root for r in connected(simhash.links(points.select("fp").distinct(), 4)).collect()}
+    points = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in fps.items()], "i long, fp0 long").withColumn("node", F.col("fp0"))
+    grid = [(0, m) for m in simhash.tables(len(fps), 4)]
+    roots = {r.node: r.root for r in connected(simhash.links(points.select("node", "fp0").distinct(), 4, grid)).collect()}
     got = defaultdict(set)
     for r in points.collect():
-        got[roots.get(r.fp, r.fp)].add(r.i)
+        got[roots.get(r.node, r.node)].add(r.i)
     expect = defaultdict(set)
     for i, c in want.items():
         expect[c].add(i)
@@ -81,6 +83,26 @@ def test_every_choice_of_tables_is_complete(points):
         assert any(x & m == y & m for m in masks)
 
 
+def test_wide_fingerprints_find_close_texts(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows, close, far = [], [], []
+    for i in range(60):
+        text = [word() for _ in range(300)]
+        near, other = list(text), list(text)
+        for j in rng.sample(range(300), 4):  # about 20 of 296 shingles differ
+            near[j] = word()
+        for j in rng.sample(range(300), 60):
+            other[j] = word()
+        rows += [(10 * i, " ".join(text)), (10 * i + 1, " ".join(near)), (10 * i + 2, " ".join(other))]
+        close.append(10 * i + 1)
+        far += [10 * i, 10 * i + 2]
+    rows.append((0, rows[0][1]))
+    kept = [r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(kept) == len(set(kept)) and set(far) <= set(kept)
+    assert len(set(close) & set(kept)) <= 2
+
+
 def test_near_edges(spark, odd_docs, no_docs):
     rows = simhash.near_duplicates(odd_docs).collect()
     assert len(rows) == 10
@@ -88,6 +110,9 @@ def test_near_edges(spark, odd_docs, no_docs):
     assert all(r.fingerprint == "0" * 16 and r.component_id == 2 for r in zero)
     assert {r.component_id for r in rows if r.doc_id in (1, 4)} == {1}
     assert simhash.near_duplicates(no_docs).count() == 0
+    left = simhash.deduplicate(odd_docs).collect()
+    assert {r.doc_id for r in left} == {None, 1, 2, 5, 6, 8} and left[0].asDict().keys() == set(odd_docs.columns)
+    assert simhash.deduplicate(no_docs).count() == 0
 
 
 def brute(texts, size):
