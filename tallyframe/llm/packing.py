@@ -31,6 +31,8 @@ from tallyframe.llm.common import stored
 from tallyframe.llm.encoders import library_encoder
 
 WINDOW = 2048
+#: Rows (source and input partition) of queue positions that are sent to all tasks; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 @dataclass
@@ -152,6 +154,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
         .withColumn("queue", F.coalesce("queue", F.lit(len(heads))))
         .select(F.col("source").alias("b_source"), F.col("part").alias("b_part"), "queue", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
     )
+    if parts.count() <= BROADCAST_ROWS:
+        bases = F.broadcast(bases)
     placed = table.join(bases, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("part") == F.col("b_part"))).select(
         "doc_id", "source", "queue", (F.col("base") + F.col("local")).alias("position"), "n", "ids"
     )
