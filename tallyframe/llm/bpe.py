@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.llm.common import in_small_batches
 from tallyframe.llm.encoders import rank_encoder
 
 #: Characters that are scanned as one array.
@@ -48,7 +49,7 @@ def encode(docs: DataFrame, ranks: str, text: str = "text", ids: str = "ids", of
 
     kept = [f for f in docs.schema.fields if f.name not in (ids, offsets)]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{ids}` array<int>"] + ([f"`{offsets}` array<bigint>"] if offsets else []))
-    return docs.select(*[f"`{f.name}`" for f in kept]).mapInPandas(run, schema)
+    return in_small_batches(docs).select(*[f"`{f.name}`" for f in kept]).mapInPandas(run, schema)
 
 
 def decode(encoded: DataFrame, ranks: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -78,5 +79,5 @@ def digests(docs: DataFrame, ranks: str) -> DataFrame:
                 "decoded_sha256": [hashlib.sha256(encoder.decode(np.frombuffer(x, "<u4").tolist())).hexdigest() for x in packed],
             })
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    chosen = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return chosen.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.llm.common import in_small_batches
+
 BUCKETS = 1 << 15
 #: Languages that training may find, which bounds what the driver gathers and tasks receive.
 MAX_LANGUAGES = 512
@@ -62,7 +64,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
             at = np.flatnonzero(c)
             yield pd.DataFrame({"l": name, "bucket": at, "n": c[at]})
 
-    labelled = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
+    labelled = in_small_batches(docs).filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
     summed = labelled.mapInPandas(count, "l string, bucket long, n long").groupBy("l", "bucket").agg(F.sum("n").alias("n"))
     rows = summed.limit(MAX_LANGUAGES * BUCKETS + 1).toPandas()
     names = sorted(rows["l"].unique().tolist())
@@ -133,7 +135,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
 
     rest = [f for f in docs.schema.fields if f.name not in new]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"{c} {t}" for c, t in new.items()])
-    return docs.select(*[F.col(f"`{f.name}`") for f in rest], F.col(text).alias("_t")).mapInPandas(run, schema)
+    return in_small_batches(docs).select(*[F.col(f"`{f.name}`") for f in rest], F.col(text).alias("_t")).mapInPandas(run, schema)
 
 
 def held_out_languages(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyframe.llm.common import stored
+from tallyframe.llm.common import in_small_batches, stored
 from tallyframe.llm.encoders import library_encoder
 
 WINDOW = 2048
@@ -117,7 +117,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             small = [a.astype("<u2").tobytes() if not len(a) or int(a.max()) < 1 << 16 else x for x, a in ((x, np.frombuffer(x, "<u4")) for x in ids)]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "source": sources, "part": part, "local": local, "n": n, "ids": small})
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("source").cast("string").alias("source"))
+    chosen = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("source").cast("string").alias("source"))
     return chosen.mapInPandas(encode, "doc_id long, source string, part int, local long, n long, ids binary")
 
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import stored
+from tallyframe.llm.common import in_small_batches, stored
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 MIN_WORDS = 50
@@ -86,7 +86,7 @@ def described(docs: DataFrame, key: str, text: str, host: str, columns: list[str
             yield out
 
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    chosen = docs.select(
+    chosen = in_small_batches(docs).select(
         *[F.col(f"`{c}`") for c in columns], F.col(key).cast("long").alias("_key"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"),
         F.coalesce(F.col(text), F.lit("")).alias("_text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_content"),
     )

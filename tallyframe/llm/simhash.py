@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyframe.llm.common import stored
+from tallyframe.llm.common import in_small_batches, stored
 from tallyframe.llm.components import connected
 
 SEED = 42
@@ -99,7 +99,7 @@ def fingerprints(docs: DataFrame, words: int, lanes: int = 1, key: str = "doc_id
             fp = np.concatenate(out).view(np.int64)
             yield pd.DataFrame({"k": pdf["k"].astype("Int64")} | {f"fp{i}": fp[:, i] for i in range(lanes)})
 
-    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(run, "k long, " + ", ".join(f"fp{i} long" for i in range(lanes)))
+    return in_small_batches(docs).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(run, "k long, " + ", ".join(f"fp{i} long" for i in range(lanes)))
 
 
 def thermometer(fp):

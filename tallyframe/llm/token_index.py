@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyframe.llm.common import scratch, stored
+from tallyframe.llm.common import in_small_batches, scratch, stored
 from tallyframe.llm.encoders import library_encoder
 
 MAGIC = b"TFIDS\x01\x00\x00"
@@ -170,7 +170,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, ke
         if keys:
             yield closed()
 
-    ordered = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).repartitionByRange("k").sortWithinPartitions("k", "t")
+    ordered = in_small_batches(docs).select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).repartitionByRange("k").sortWithinPartitions("k", "t")
     # a text sink writes the bytes of a string column as they are, and one newline after each row
     ordered.mapInPandas(shards, "shard string, raw binary").select("shard", F.col("raw").cast("string").alias("value")).write.partitionBy("shard").text(path)
 
