@@ -88,5 +88,5 @@ def fit_columns(values: Column, columns: int) -> Column:
     """An array of exactly ``columns`` values: too many keep the last, too few are filled with nulls at the end."""
     n = F.size(values)
     return F.when(n >= columns, F.slice(values, F.greatest(n - columns + 1, F.lit(1)), columns)).otherwise(
-        F.concat(values, F.array_repeat(F.element_at(F.slice(values, 1, 0), 1), F.greatest(F.lit(columns) - n, F.lit(0))))
+        F.concat(values, F.array_repeat(F.try_element_at(F.slice(values, 1, 0), F.lit(1)), F.greatest(F.lit(columns) - n, F.lit(0))))
     )
