@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tallyframe.plans import fact_queries, text_queries  # noqa: F401  registering is their effect
+from tallyframe.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
