@@ -16,19 +16,19 @@ ROLES = [
     ("cash", "change", r"(?i)^(?:increase|decrease)"),
     ("cash", "end", r"(?i)ending cash and cash equivalents"),
     ("cash", "cf_net", r"(?i)^net income"),
-    ("cash", "operating", r"(?i)net cash provided by operating"),
-    ("cash", "investing", r"(?i)net cash .*investing activities"),
-    ("cash", "financing", r"(?i)net cash .*financing activities"),
-    ("cash", "exchange", r"(?i)foreign exchange"),
+    ("cash", "operating", r"(?i)^net cash .*operating activities"),
+    ("cash", "investing", r"(?i)^net cash .*investing activities"),
+    ("cash", "financing", r"(?i)^net cash .*financing activities"),
+    ("cash", "exchange", r"(?i)effect of .*exchange"),
     ("income", "is_net", r"(?i)^net income"),
-    ("income", "revenue", r"(?i)^(?:total )?net revenue"),
-    ("income", "cost", r"(?i)^cost of revenue"),
-    ("income", "gross", r"(?i)^gross profit"),
-    ("income", "opex", r"(?i)^total operating expenses"),
-    ("income", "opinc", r"(?i)^operating income"),
-    ("income", "other", r"(?i)^interest and other income"),
-    ("income", "pretax", r"(?i)^income before"),
-    ("income", "tax", r"(?i)^provision for income taxes"),
+    ("income", "revenue", r"(?i)^net revenue|^revenue|^sales$"),
+    ("income", "cost", r"(?i)^cost of revenue|^cost of sales$"),
+    ("income", "gross", r"(?i)^gross profit$"),
+    ("income", "opex", r"(?i)^total operating expenses$"),
+    ("income", "opinc", r"(?i)^operating income$"),
+    ("income", "other", r"(?i)other income"),
+    ("income", "pretax", r"(?i)income before"),
+    ("income", "tax", r"(?i)^provision.*income taxes"),
 ]
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,34 +44,40 @@ def row_machine(lines: DataFrame, by: list[str], order: str, tokens: str, column
 
     A line with label and numbers is a row. A label alone waits for numbers; numbers alone fill
     the waiting row, or wait for the next label. Two labels in a row: the first is a heading with
-    no values. The state runs through a statement's lines, so each statement (never more than
-    one document's part) is one group.
+    no values. Lines are dealt by statement and streamed in order, so a task holds one
+    statement's state and open row, however many statements or lines it gets.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = [pdf[c].iloc[0] for c in by]
-        rows: list[list] = []
-        waiting: list | None = None
-        pending: list[str] | None = None
-        for toks in pdf.sort_values(order)[tokens]:
-            toks = list(toks)
-            numbers = [t for t in toks if NUMERIC.match(t)]
-            label = " ".join(t for t in toks if not NUMERIC.match(t))
-            if label and numbers:
-                rows.append([label, numbers])
-                waiting = None
-            elif label:
-                row = [label, pending or []]
-                rows.append(row)
-                waiting, pending = (row if not pending else None), None
-            elif numbers:
-                if waiting is not None:
-                    waiting[1], waiting = numbers, None
-                else:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [*by, "order_index", "label", "cells"]
+        now: tuple | None = None
+        nth, waiting, pending = 0, None, None
+        for pdf in batches:
+            rows: list[list] = []
+            for *key, toks in zip(*[pdf[c].tolist() for c in by], pdf[tokens].tolist(), strict=True):
+                if now != (key := tuple(None if pd.isna(k) else k for k in key)):
+                    rows += [waiting] if waiting else []
+                    now, nth, waiting, pending = key, 0, None, None
+                numbers = [t for t in toks if NUMERIC.match(t)]
+                label = " ".join(t for t in toks if not NUMERIC.match(t))
+                if label:
+                    rows += [waiting] if waiting else []
+                    nth += 1
+                    row = [*key, nth, label, numbers or pending or []]
+                    waiting = row if not numbers and not pending else None
+                    pending = pending if numbers else None
+                    rows += [] if waiting else [row]
+                elif numbers and waiting:
+                    waiting[-1] = numbers
+                    rows.append(waiting)
+                    waiting = None
+                elif numbers:
                     pending = numbers
-        return pd.DataFrame([[*key, i + 1, label, nums] for i, (label, nums) in enumerate(rows)], columns=[*by, "order_index", "label", "cells"])
+            yield pd.DataFrame(rows, columns=names)
+        if waiting:
+            yield pd.DataFrame([waiting], columns=names)
 
     schema = ", ".join([f"`{c}` {lines.schema[c].dataType.simpleString()}" for c in by] + ["order_index int", "label string", "cells array<string>"])
-    found = lines.groupBy(*by).applyInPandas(run, schema)
+    found = lines.select(*by, order, tokens).repartition(*by).sortWithinPartitions(*by, order).select(*by, tokens).mapInPandas(run, schema)
     values = F.transform("cells", lambda c: N.parse_number(F.regexp_replace(F.translate(c, "–—", "--"), r"[^0-9(),.-]", "")))
     return found.select(*by, "order_index", "label", N.fit_columns(values, columns).alias("values"))

@@ -400,7 +400,7 @@ def q56_row_machine(spark: SparkSession, d: str) -> DataFrame:
     number, label = F.format_number("l_quantity", 0), F.concat(F.lit("part "), F.lower("l_returnflag"))
     k = F.col("l_partkey") % 3
     tokens = F.when(k == 0, F.array(label, number)).when(k == 1, F.array(label)).otherwise(F.array(number))
-    lines = l.select("l_orderkey", (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("at"), tokens.alias("tokens"))
+    lines = l.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_quantity", "l_returnflag").alias("at"), tokens.alias("tokens"))
     return M.row_machine(lines, ["l_orderkey"], "at", "tokens", 2).select("l_orderkey", "order_index", "label", F.array_join(F.transform("values", lambda x: F.coalesce(x.cast("string"), F.lit("-"))), "|").alias("cells"))
 
 
