@@ -34,6 +34,8 @@ from tallyframe.llm.common import stored
 SIZE = 400
 #: Bytes that decide a cut; a window has about so many cuts.
 GRAM, PER_WINDOW = 16, 10
+#: Bits of a length below its salt.
+SALT = 40
 
 _BYTE = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -72,6 +74,18 @@ def _place(c: int, at: np.ndarray) -> np.ndarray:
     return (np.uint64(c) << np.uint64(32) | at.astype(np.uint64)).view(np.int64)
 
 
+def _spread(pdf: pd.DataFrame, ranks: list[str]) -> pd.DataFrame:
+    """Rows of a rank that a frame holds more than twice are dealt by place from the third on: bits 40 and up of ``n``.
+
+    The first two, at different places, go where the rank is judged and make it repeated there.
+    """
+    nth = pdf.groupby(ranks, sort=False).cumcount().to_numpy()
+    with np.errstate(over="ignore"):
+        place = (pdf["d"].to_numpy().view(np.uint64) ^ pdf["e"].to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    far = (place >> np.uint64(44)).astype(np.int64) + 1
+    return pdf.assign(n=pdf["n"].to_numpy() | np.where(nth < 2, 0, far) << SALT)
+
+
 def phrases(keyed: DataFrame, size: int) -> DataFrame:
     """h (rank), d, e (content id and position), n (bytes to the next cut) of every phrase of every different text."""
 
@@ -91,16 +105,29 @@ def phrases(keyed: DataFrame, size: int) -> DataFrame:
                 es.append(_place(c, at[:-1]))
                 ns.append(np.diff(at))
             if hs:
-                yield pd.DataFrame({"h": _signed(hs), "d": np.concatenate(ds), "e": np.concatenate(es), "n": np.concatenate(ns)})
+                yield _spread(pd.DataFrame({"h": _signed(hs), "d": np.concatenate(ds), "e": np.concatenate(es), "n": np.concatenate(ns)}), ["h"])
 
     return keyed.select("raw", "d", "c").mapInPandas(run, "h long, d long, e long, n long")
 
 
 def repeated(rows: DataFrame, ranks: list[str]) -> DataFrame:
-    """Rows whose rank stands at more than one place (d, e): sort by rank and place, stream, drop the unique."""
-    names = rows.columns
+    """Rows whose rank stands at more than one place (d, e): sort by rank and place, stream, drop the unique.
+
+    A rank that holds many of the rows is split by place where ``n`` has a salt (see ``_spread``);
+    salted rows are known to be repeated. A place may then come twice, salted and not.
+    """
+    names, salted = rows.columns, "n" in rows.columns
+    given = ranks
+    ranks = [*ranks, "_salt"] if salted else ranks
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not salted:
+            yield from judged(batches)
+            return
+        for out in judged(pdf.assign(_salt=pdf["n"].to_numpy() >> SALT) for pdf in batches):
+            yield out.assign(n=out["n"].to_numpy() & (1 << SALT) - 1).drop(columns=["_salt"])
+
+    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def pick(pdf: pd.DataFrame, last: tuple | None, more: bool) -> pd.DataFrame:
             """Repeated rows of a stretch; ``last``: the place before it of its first rank; more: the first rank is known to be repeated."""
             rank = pdf[ranks].to_numpy()
@@ -112,6 +139,8 @@ def repeated(rows: DataFrame, ranks: list[str]) -> DataFrame:
             group = np.cumsum(new) - 1
             several = np.zeros(group[-1] + 1, bool)
             several[group[other]] = True
+            if salted:
+                several[group[rank[:, -1] > 0]] = True
             if last is not None and (more or tuple(place[0]) != last):
                 several[0] = True
             # equal rows (copies of one text) once
@@ -144,7 +173,8 @@ def repeated(rows: DataFrame, ranks: list[str]) -> DataFrame:
                 known, held = True, None
             rank_now, place_now = end, tuple(pdf[["d", "e"]].iloc[-1])
 
-    together = rows.repartition(*ranks).sortWithinPartitions(*ranks, "d", "e")
+    order = [*given, F.shiftright("n", SALT)] if salted else given
+    together = rows.repartition(*order).sortWithinPartitions(*order, "d", "e")
     return together.mapInPandas(run, rows.schema).select(*names)
 
 
@@ -160,6 +190,7 @@ def runs(repeated_phrases: DataFrame, size: int) -> DataFrame:
     mult = np.uint64(0x9E3779B97F4A7C15)
 
     def names(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[~pdf.duplicated(["d", "e"])]
         h, e, n = pdf["h"].to_numpy().view(np.uint64), pdf["e"].to_numpy(), pdf["n"].to_numpy()
         follow = _chains(e, n) & (pdf["d"].to_numpy() == np.roll(pdf["d"].to_numpy(), 1))
         total = len(e)
@@ -188,7 +219,8 @@ def runs(repeated_phrases: DataFrame, size: int) -> DataFrame:
         more = ok & (m > 1)
         hn, nn = np.zeros(total, np.uint64), np.full(total, 1 << 40)
         hn[more], nn[more] = h[np.flatnonzero(more) + 1], n[np.flatnonzero(more) + 1]
-        return pd.DataFrame({"r1": r1.view(np.int64), "r2": r2.view(np.int64), "d": pdf["d"], "e": e, "n": n, "hn": hn.view(np.int64), "nn": nn})[ok]
+        named = pd.DataFrame({"r1": r1.view(np.int64), "r2": r2.view(np.int64), "d": pdf["d"].to_numpy(), "e": e, "n": n, "hn": hn.view(np.int64), "nn": nn})
+        return _spread(named[ok], ["r1", "r2"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
