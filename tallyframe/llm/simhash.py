@@ -12,6 +12,9 @@ blocks. Within a cell pairs are compared by Manhattan distance, then verified ex
 
 Equal fingerprints are one point. A cell gives the links of a spanning forest, not its pairs; a
 cell of many points is dealt to several tasks as pairs of slices.
+
+``deduplicate`` goes by the similarity of shingle sets instead: cells of least hashes and sketches
+of one bit of each propose pairs, and the sets themselves decide.
 """
 
 from __future__ import annotations
@@ -34,8 +37,12 @@ SEED = 42
 SEGMENTS = 32
 #: Points of a cell that one task compares with each other.
 SLICE = 8192
-#: 64-bit lanes of the wide fingerprints that tell similarities like 0.8 from 0.7.
-LANES = 4
+#: Least hashes of a shingle set in a sketch; bands of so many of them make its cells.
+LEAST, BAND = 256, 6
+#: Differing bits of two sketches of 64-bit lanes above which no pair of similarity 0.8 is expected (mean 26, deviation 5).
+SKETCH_RADIUS = 56
+#: Pairs that one copy of a shingle set is compared in.
+PAIRS = 64
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -133,17 +140,6 @@ def tables(points: int, radius: int) -> list[int]:
     return [x - (1 << 64) if x >> 63 else x for x in masks]
 
 
-def wide_tables(lanes: int) -> list[tuple[int, int]]:
-    """(lane, mask) of tables whose axes are eight of a lane's segments each: twelve tables a lane, three cuts of it into four.
-
-    For radii too wide for blocks to promise a common cell. Fingerprints of sets with Jaccard
-    similarity 0.8 share a given cell with probability about 0.08, and one of 48 cells with 0.98.
-    """
-    eight = [[list(range(8 * i, 8 * i + 8)) for i in range(4)], [list(range(i, 32, 4)) for i in range(4)], [[(5 * j + 8 * i + j // 4) % 32 for j in range(8)] for i in range(4)]]
-    masks = [sum(3 << 2 * s for s in set(segments)) for cut in eight for segments in cut]
-    return [(lane, x - (1 << 64) if x >> 63 else x) for lane in range(lanes) for x in masks]
-
-
 def cell_links(cell: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
     """Rows (a, b) of a spanning forest of the links within each cell; ``cell`` ascends; fp: rows of lanes."""
     n = len(cell)
@@ -227,11 +223,11 @@ def links(points: DataFrame, radius: int, grid: list[tuple[int, int]]) -> DataFr
     return together.mapInPandas(run, "a long, b long")
 
 
-def components(fps: DataFrame, radius: int, wide: bool) -> DataFrame:
+def components(fps: DataFrame, radius: int) -> DataFrame:
     """node (of a distinct fingerprint) and component_id (least key of its component) for stored fingerprints with a ``node`` column."""
     lanes = [c for c in fps.columns if c.startswith("fp")]
     points = stored(fps.groupBy("node", *lanes).agg(F.min("k").alias("first")), "points")
-    grid = wide_tables(len(lanes)) if wide else [(0, m) for m in tables(points.count(), radius)]
+    grid = [(0, m) for m in tables(points.count(), radius)]
     roots = connected(links(points.drop("first"), radius, grid))
     rooted = points.join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -247,23 +243,142 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, key: str =
     null keys only has a null id), other columns are ignored and an empty table gives no rows.
     """
     fps = stored(fingerprints(docs, words, 1, key, text).withColumn("node", F.col("fp0")), "fingerprints")
-    named = components(fps, radius, wide=False)
+    named = components(fps, radius)
     return fps.join(named, F.col("node") == F.col("p_node")).select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+_MULTIPLIERS = np.random.default_rng(11).integers(0, 1 << 31, LEAST, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Different shingle hashes of a text, ascending."""
+    return np.unique(np.array(shingle_hashes(words_of(text), words), np.uint64))
+
+
+def least_hashes(shingles: np.ndarray) -> np.ndarray:
+    """The least value of the set under each of LEAST hashes: two sets agree on each with the probability of their Jaccard similarity."""
+    x, out = (shingles >> np.uint64(32)).astype(np.uint32), np.full(LEAST, 0xFFFFFFFF, np.uint32)
+    with np.errstate(over="ignore"):
+        for i in range(0, len(x), 1024):
+            np.minimum(out, (_MULTIPLIERS[:, None] * x[None, i : i + 1024]).min(axis=1), out=out)
+    return out
+
+
+def cells_of(least: np.ndarray) -> np.ndarray:
+    """A cell for each band of BAND least hashes: sets of similarity 0.8 share none of the 42 with a probability of 3 in a million."""
+    bands = least[:, : LEAST // BAND * BAND].reshape(len(least), -1, BAND).astype(np.uint64)
+    cell = np.arange(bands.shape[1], dtype=np.uint64)[None, :].repeat(len(least), 0)
+    with np.errstate(over="ignore"):
+        for i in range(BAND):
+            cell = (cell ^ bands[:, :, i]) * np.uint64(0x9E3779B97F4A7C15)
+            cell ^= cell >> np.uint64(29)
+    return cell.view(np.int64)
+
+
+def sketches(keyed: DataFrame, words: int) -> DataFrame:
+    """k, h (the row's identity), node (of its shingle set), cells and the sketch fp0, ..., one bit of each least hash; no cells without shingles."""
+    lanes = [f"fp{i}" for i in range(LEAST // 64)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = [shingle_set(t, words) for t in pdf["t"].tolist()]
+            least = np.stack([least_hashes(x) for x in sets])
+            with np.errstate(over="ignore"):
+                bits = (least * np.uint32(0x85EBCA6B)) >> np.uint32(31)
+            fp = np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view("<i8")
+            node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+            cells = [c if len(x) else c[:0] for c, x in zip(cells_of(least), sets)]
+            yield pd.DataFrame({"k": pdf["k"], "h": pdf["h"], "node": node, "cells": cells} | {c: fp[:, i] for i, c in enumerate(lanes)})
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return run(pdf for pdf in batches if len(pdf))
+
+    return in_small_batches(keyed).mapInPandas(whole, "k long, h long, node long, cells array<long>, " + ", ".join(f"{c} long" for c in lanes))
+
+
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """node, s (its different shingle hashes) of the rows (node, t)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"node": pdf["node"], "s": [shingle_set(t, words).view(np.int64) for t in pdf["t"].tolist()]})
+
+    return in_small_batches(texts).mapInPandas(run, "node long, s array<long>").dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least that Jaccard similarity; sets in many pairs are dealt as copies to several tasks."""
+    copies = pairs.groupBy(F.col("a").alias("c_node")).agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias("copies"))
+    left = sets.join(copies, F.col("node") == F.col("c_node")).select(F.col("node").alias("l_node"), F.col("s").alias("x"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    right = sets.select(F.col("node").alias("r_node"), F.col("s").alias("y"))
+    dealt = pairs.select("a", "b").join(copies, F.col("a") == F.col("c_node")).join(right, F.col("b") == F.col("r_node")).withColumn("own", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int"))
+    both = dealt.join(left, (F.col("a") == F.col("l_node")) & (F.col("own") == F.col("copy"))).withColumn("common", F.size(F.array_intersect("x", "y")))
+    return both.filter(F.col("common") / (F.size("x") + F.size("y") - F.col("common")) >= similarity).select("a", "b")
+
+
+def similar_components(points: DataFrame, sets: DataFrame, shared: DataFrame, similarity: float) -> DataFrame:
+    """node, root of every node that has a link, where ``shared`` nodes of one cell link if their sets have the similarity.
+
+    Three rounds, each over the pairs that the ones before left in different components: a node with
+    the nearest of the first nodes of its cells; of each two components the nearest pair; all pairs.
+    Pairs whose sketches differ by more than SKETCH_RADIUS bits are left out.
+    """
+    lanes = [c for c in points.columns if c.startswith("fp")]
+
+    def distance(other: list[str]):
+        return sum((F.bit_count(F.col(c).bitwiseXOR(F.col(o))) for c, o in zip(lanes, other)), F.lit(0))
+
+    hubs = points.select(F.col("node").alias("h_node"), *[F.col(c).alias(f"h_{c}") for c in lanes])
+    near = shared.filter("hub <> node").join(hubs, F.col("hub") == F.col("h_node")).withColumn("d", distance([f"h_{c}" for c in lanes])).filter(F.col("d") <= SKETCH_RADIUS)
+    first = stored(near.groupBy("node").agg(F.min(F.struct("d", "hub")).alias("one")).select(F.col("one.hub").alias("a"), F.col("node").alias("b")), "pairs")
+    found = stored(verified(first, sets, similarity), "similar")
+    roots = connected(found)
+
+    def rooted(df: DataFrame, node: str, name: str, roots: DataFrame) -> DataFrame:
+        named = roots.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+        return df.join(named, F.col(node) == F.col("_n"), "left").withColumn(name, F.coalesce("_r", node)).drop("_n", "_r")
+
+    cell = Window.partitionBy("cell")
+    mixed = rooted(shared, "node", "root", roots).withColumn("low", F.min("root").over(cell)).withColumn("high", F.max("root").over(cell)).withColumn("rows", F.count(F.lit(1)).over(cell)).filter("low <> high")
+    slices = F.ceil(F.col("rows") / SLICE).cast("int")
+    own = F.pmod(F.xxhash64("node"), slices).cast("int")
+    slots = F.transform(F.sequence(F.lit(0), slices - 1), lambda x: F.least(x, own) * slices + F.greatest(x, own))
+    dealt = stored(mixed.select("cell", "node", "root", *lanes, F.explode(slots).alias("slot")), "mixed")
+    others = dealt.select(*[F.col(c).alias(f"o_{c}") for c in dealt.columns])
+    met = dealt.join(others, (F.col("cell") == F.col("o_cell")) & (F.col("slot") == F.col("o_slot")) & (F.col("node") < F.col("o_node")) & (F.col("root") != F.col("o_root")))
+    far = distance([f"o_{c}" for c in lanes])
+    crossing = met.select(F.col("node").alias("a"), F.col("o_node").alias("b"), F.least("root", "o_root").alias("ra"), F.greatest("root", "o_root").alias("rb"), far.alias("d"))
+    crossing = stored(crossing.filter(F.col("d") <= SKETCH_RADIUS).distinct(), "crossing")
+    nearest = stored(crossing.groupBy("ra", "rb").agg(F.min(F.struct("d", "a", "b")).alias("one")).select("one.a", "one.b"), "pairs")
+    found = stored(found.union(verified(nearest, sets, similarity)), "similar")
+    roots = connected(found)
+    rest = rooted(rooted(crossing.select("a", "b").join(nearest, ["a", "b"], "left_anti"), "a", "ra", roots), "b", "rb", roots).filter("ra <> rb").select("a", "b")
+    return connected(found.union(verified(stored(rest, "pairs"), sets, similarity)))
+
+
 def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``docs`` with all columns, one of each group of near-duplicates: the one with the least key.
 
-    For similarities that 64 bits and a few tables cannot tell: fingerprints have LANES * 64
-    bits, and link within the number of bits at which shingle sets of that Jaccard similarity
-    (of equal sizes) are expected. Rows with null keys count as one key before all others; of
-    rows with equal keys one is kept, whichever text it has. Null texts are empty and
-    near-duplicates of each other.
+    Documents link if the Jaccard similarity of their sets of different shingles is at least
+    ``similarity``, which has to be 0.8 or more for the cells and sketches that propose pairs.
+    A group is what links connect. Null keys come before all others; a row is known by its key and
+    its text, so rows of equal keys are kept or dropped each by its own group. Null texts are empty
+    and near-duplicates of each other.
     """
-    radius = round(64 * LANES * math.acos(2 * similarity / (1 + similarity)) / math.pi)
     own = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
-    lanes = [f"fp{i}" for i in range(LANES)]
-    fps = stored(fingerprints(docs.select(own.alias("_k"), F.col(text).alias("_t")), words, LANES, "_k", "_t").withColumn("node", F.xxhash64(*lanes)), "fingerprints")
-    chosen = components(fps, radius, wide=True).select(F.col("component_id").alias("_one")).distinct()
-    kept = docs.withColumn("_own", own).join(chosen, F.col("_own") == F.col("_one"))
-    return kept.withColumn("_nth", F.row_number().over(Window.partitionBy("_own").orderBy(F.lit(0)))).filter("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    content = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    keyed = docs.select(own.alias("k"), content.alias("h"), F.col(text).alias("t"))
+    rows = stored(sketches(keyed, words), "sketches")
+    lanes = [c for c in rows.columns if c.startswith("fp")]
+    points = stored(rows.groupBy("node").agg(F.min(F.struct("k", "h")).alias("least"), *[F.first(c).alias(c) for c in ("cells", *lanes)]), "points")
+    cell = Window.partitionBy("cell")
+    placed = points.select("node", F.explode("cells").alias("cell")).withColumn("hub", F.min("node").over(cell)).withColumn("last", F.max("node").over(cell)).filter("hub <> last").drop("last")
+    shared = stored(placed.join(points.select("node", *lanes), "node"), "shared")
+    wanted = shared.select("node").distinct().join(points.select("node", "least"), "node").select("node", F.col("least.k").alias("w_k"), F.col("least.h").alias("w_h"))
+    texts = keyed.join(wanted, (F.col("k") == F.col("w_k")) & (F.col("h") == F.col("w_h"))).select("node", "t")
+    sets = stored(shingle_sets(texts, words), "sets")
+    roots = similar_components(points, sets, shared, similarity).select(F.col("node").alias("r_node"), "root")
+    grouped = points.join(roots, F.col("node") == F.col("r_node"), "left").groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("one"))
+    chosen = stored(grouped.select(F.col("one.k").alias("_k"), F.col("one.h").alias("_h")), "chosen")
+    kept = docs.withColumn("_own", own).withColumn("_content", content).join(chosen, (F.col("_own") == F.col("_k")) & (F.col("_content") == F.col("_h")))
+    return kept.withColumn("_nth", F.row_number().over(Window.partitionBy("_own", "_content").orderBy(F.lit(0)))).filter("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

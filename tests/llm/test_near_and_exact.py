@@ -166,3 +166,36 @@ def test_passage_edges(spark, odd_docs, no_docs):
     rows = suffixes.deduplicate(odd_docs, keep=True).collect()
     assert len(rows) == 10 and {"kept", "lang", "part"} <= set(rows[0].asDict())
     assert suffixes.deduplicate(no_docs).count() == 0
+
+
+def jaccard_groups(rows, k=5, similarity=0.8):
+    """Sets of row numbers connected by links of that Jaccard similarity over all pairs."""
+    sets = [set(simhash.shingle_hashes(simhash.words_of(t), k)) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (not sets[i] and not sets[j]) or (len(both := sets[i] & sets[j]) and len(both) / len(sets[i] | sets[j]) >= similarity):
+                label = [label[j] if x == label[i] else x for x in label]
+    return [{i for i, x in enumerate(label) if x == c} for c in set(label)]
+
+
+def test_similarity_of_shingle_sets_decides(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for size in [12, 60, 300] * 12:
+        text = [word() for _ in range(size)]
+        rows.append((len(rows), " ".join(text)))
+        for share in (0.015, 0.02, 0.025, 0.03):  # similarities around 0.8
+            near = list(text)
+            for j in rng.sample(range(size), max(1, round(share * size))):
+                near[j] = word()
+            rows.append((len(rows), " ".join(near)))
+        rows.append((len(rows), " ".join([*text, *[word() for _ in range(size // 5)]])))  # one set in the other
+    for _ in range(8):  # a repeated line rules both of two unrelated texts
+        line = " ".join(word() for _ in range(7)) + "\n"
+        rows += [(len(rows) + i, line * 14 + " ".join(word() for _ in range(102))) for i in range(2)]
+    want = {min(g) for g in jaccard_groups(rows)}
+    assert 40 < len(want) < len(rows) - 40
+    got = [r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted(want)
