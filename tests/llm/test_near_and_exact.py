@@ -199,3 +199,11 @@ def test_similarity_of_shingle_sets_decides(spark):
     assert 40 < len(want) < len(rows) - 40
     got = [r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_rows_of_null_and_equal_keys(spark):
+    rng = random.Random(4)
+    a, b, c, d = (" ".join(str(rng.random()) for _ in range(60)) for _ in range(4))
+    rows = [(None, a), (5, a), (None, b), (7, b), (9, c), (9, d), (9, d), (10, c)]
+    got = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(0, a), (0, b), (9, c), (9, d)])
