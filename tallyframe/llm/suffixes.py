@@ -16,11 +16,15 @@ its halves, and drops positions whose prefix is unique. Three rounds of that are
 
 Texts with equal content are one text with several copies. Each round sorts rows of hashes and
 places, and streams through the sorted rows; nothing is gathered by key.
+
+``deduplicate_words`` does the same with words in place of bytes: of every window of words the
+gram with the least hash is ranked first, and only windows whose gram is repeated are ranked whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +33,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import stored
+from tallyframe.llm.common import in_small_batches, stored
 
 SIZE = 400
 #: Bytes that decide a cut; a window has about so many cuts.
 GRAM, PER_WINDOW = 16, 10
+#: Words of the grams that stand for windows of words.
+WORD_GRAM = 8
+#: A character of a script without spaces between words is a word of its own.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(f"[{UNSPACED}]|[^\\s{UNSPACED}]+")
 #: Bits of a length below its salt.
 SALT = 40
 
@@ -381,3 +390,97 @@ def deduplicate(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text: st
     internal = ", ".join(["k long", *[f"_{i} {f.dataType.simpleString()}" for i, f in enumerate(rest)], *[f"{c} {t}" for c, t in results.items()]])
     out = joined.mapInPandas(run, internal)
     return out.select(F.col("k").alias(key), *[F.col(f"_{i}").alias(f.name) for i, f in enumerate(rest)], *results)
+
+
+def _word_ranks(text: str, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Of every window of ``words`` words: its gram's place, and two ranks that name it; and all grams' ranks."""
+    found = WORD.findall(text)
+    if len(found) < words:
+        return None
+    level = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in found), np.uint64, len(found))
+    width, gram, n = 1, level, len(found) - words + 1
+    with np.errstate(over="ignore"):
+        while 2 * width <= words:  # the rank of 2, 4, ... words is that of its halves
+            x = (level[:-width] ^ (level[:-width] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + level[width:]
+            level, width = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9), 2 * width
+            if width == WORD_GRAM:
+                gram = level
+    span = words - (WORD_GRAM if words >= WORD_GRAM else 1) + 1
+    least = np.arange(n) + np.lib.stride_tricks.sliding_window_view(gram, span).argmin(axis=1)
+    return least, np.stack([level[:n], level[words - width :][:n]]), gram
+
+
+def word_windows(keyed: DataFrame, words: int) -> DataFrame:
+    """d, c, ``copies`` and ``at`` (first words of the windows that stand elsewhere too) of the texts that have any."""
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            hs, ds, es = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for t, d, c in zip(pdf["t"], pdf["d"].tolist(), pdf["c"].tolist(), strict=True):
+                if (ranks := _word_ranks(t, words)) is not None:
+                    at = np.unique(ranks[0])
+                    hs.append(ranks[2][at].view(np.int64))
+                    ds.append(np.full(len(at), d, np.int64))
+                    es.append(_place(c, at))
+            yield _spread(pd.DataFrame({"h": np.concatenate(hs), "d": np.concatenate(ds), "e": np.concatenate(es), "n": np.int64(1)}), ["h"])
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            parts, held = [], 0
+            for t, d, c, seen in zip(pdf["t"], pdf["d"].tolist(), pdf["c"].tolist(), pdf["seen"], strict=True):
+                least, (r1, r2), _ = _word_ranks(t, words)
+                at = np.flatnonzero(np.isin(least, seen))
+                parts.append(pd.DataFrame({"r1": r1[at].view(np.int64), "r2": r2[at].view(np.int64), "d": np.int64(d), "e": _place(c, at), "n": np.int64(1)}))
+                held += len(at)
+                if held > 200_000:
+                    yield _spread(pd.concat(parts, ignore_index=True), ["r1", "r2"])
+                    parts, held = [], 0
+            if parts:
+                yield _spread(pd.concat(parts, ignore_index=True), ["r1", "r2"])
+
+    texts = in_small_batches(keyed).select("t", "d", "c")
+    first = stored(repeated(texts.mapInPandas(grams, "h long, d long, e long, n long"), ["h"]), "grams")
+    seen = stored(first.groupBy("d", _c(F.col("e")).alias("c")).agg(F.collect_set(_at(F.col("e"))).alias("seen")), "seen")
+    ranked = texts.join(seen, ["d", "c"]).mapInPandas(whole, "r1 long, r2 long, d long, e long, n long")
+    lists = repeated(ranked, ["r1", "r2"]).groupBy("d", _c(F.col("e")).alias("c")).agg(F.collect_set(_at(F.col("e"))).alias("at"))
+    several = keyed.groupBy("d", "c").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    return stored(lists.join(several, ["d", "c"], "full").select("d", "c", F.coalesce("copies", F.lit(1)).alias("copies"), "at"), "windows")
+
+
+def without(text: str, copies: int, at, words: int) -> str:
+    """The text without the words of its repeated windows and what stands between them; ``at``: first words of windows."""
+    places = [m.span() for m in WORD.finditer(text)]
+    last = len(places) - words
+    if last < 0 or (copies < 2 and at is None):
+        return text
+    starts = range(last + 1) if copies > 1 else sorted(at)
+    kept, done = [], 0
+    for i in starts:
+        low, high = places[i][0], places[i + words - 1][1]
+        if low > done:
+            kept.append(text[done:low])
+        done = max(done, high)
+    return "".join([*kept, text[done:]])
+
+
+def deduplicate_words(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with all columns, ``text`` without passages of at least ``words`` words that also stand anywhere else.
+
+    Words are what white space parts and, where no spaces part words, characters; passages are
+    equal if their words are, whatever white space is between. Repeats may be in the same text or another, also
+    overlapping; a repeated row is another text, so all copies lose what they share. Shorter repeats
+    stay, null texts stay null, null keys are kept and an empty table gives no rows.
+    """
+    keyed = _keyed(docs, key, text).select("d", "c", F.col("raw").cast("string").alias("t"))
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index(text)
+    every = _keyed(docs.toDF(*names), names[docs.columns.index(key)], names[at], names).drop("k", "raw")
+    joined = every.join(word_windows(keyed, words), ["d", "c"], "left").drop("d", "c")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            cut = [t if t is None else without(t, n, x, words) for t, n, x in zip(pdf[names[at]], pdf["copies"].fillna(0).tolist(), pdf["at"], strict=True)]
+            yield pdf[names].assign(**{names[at]: cut})
+
+    out = in_small_batches(joined).mapInPandas(run, ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields)))
+    return out.toDF(*docs.columns)

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
@@ -207,3 +208,36 @@ def test_rows_of_null_and_equal_keys(spark):
     rows = [(None, a), (5, a), (None, b), (7, b), (9, c), (9, d), (9, d), (10, c)]
     got = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(0, a), (0, b), (9, c), (9, d)])
+
+
+def test_passages_of_over_fifty_words(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    own = lambda: " ".join(word(12) for _ in range(70))
+    short, long, less = (" ".join(word(n) for _ in range(m)) for n, m in ((2, 51), (6, 200), (9, 50)))
+    texts = [None, "", "x", own(), " ".join(["ab"] * 60), "中文" + "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(80)), own() * 1]
+    texts += [f"{own()} {p} {own()}" for p in (short, long, less) for _ in range(3)]
+    texts += [f"{own()}\n{long[200:900]}", short, long.replace(" ", "\n"), texts[3], f"{own()} {texts[5]} {own()}"]
+    found = [suffixes.WORD.findall(t or "") for t in texts]
+    places = defaultdict(int)
+    for w in found:
+        for i in range(len(w) - 50):
+            places[tuple(w[i : i + 51])] += 1
+    want = []
+    for w in found:
+        inside = {i + j for i in range(len(w) - 50) if places[tuple(w[i : i + 51])] > 1 for j in range(51)}
+        want.append([x for i, x in enumerate(w) if i not in inside])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in suffixes.deduplicate_words(docs, 51).collect()}
+    assert got[0] is None and [suffixes.WORD.findall(got[i] or "") for i in range(len(texts))] == want
+    assert not any(want[i] for i in (3, 4, 5)) and all(less in got[i] for i in (13, 14, 15)) and all(len(want[i]) == 140 for i in (7, 8, 9))
+
+
+def test_pipeline_removes_short_words_passages(spark):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage, shorter = " ".join(word(3) for _ in range(51)), " ".join(word(9) for _ in range(50))
+    rows = [(i, " ".join(word(8) for _ in range(60)) + " " + p, "en", "a", 1) for i, p in enumerate([passage, passage, shorter, shorter])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: len(r.text.split()) for r in corpus_pipeline.remove_passages(spark, docs, SF).collect()}
+    assert got == {0: 60, 1: 60, 2: 110, 3: 110}
