@@ -49,6 +49,19 @@ def test_warc_records(spark):
     assert warc.derive(pages.filter("false")).count() == 0
 
 
+def test_warc_decodes_every_reference(spark):
+    import html
+
+    names = [f"&{n}" for n in html.entities.html5 if n not in ("nbsp;", "nbsp", "NonBreakingSpace;")]
+    numbers = ["&#233;", "&#x27;", "&#X1F600;", "&#xe9", "&#65", "&#0;", "&#128;", "&#xD800;", "&#x110000;", "&amp;lt;", "&amp;#233;", "&none;", "& b", "&", "&&amp;", "&notit;"]
+    pages = spark.createDataFrame(list(enumerate(f"<p>x{r}y</p>" for r in names + numbers)), "page_id long, html string").selectExpr("page_id", "'' url", "html")
+    got = {r.page_id: r.block for r in warc.derive(pages).filter("warc_type = 'conversion'").collect()}
+    tidy = lambda t: re.sub(r" ?\n[ \n]*", "\n", re.sub(r"[ \t\r\f\x0B]+", " ", t)).strip(" \n")
+    assert [got[i] for i in range(len(got))] == [tidy(html.unescape(f"x{r}y")) for r in names + numbers]
+    spaces = spark.createDataFrame([(1, "", "a&nbsp;&#160;&nbsp b\xa0c &copy; 1 &middot; 2")], "page_id long, url string, html string")
+    assert warc.derive(spaces).filter("warc_type = 'conversion'").first().block == "a b\xa0c © 1 · 2"
+
+
 def test_language_model(spark, docs):
     got = {r.doc_id: r for r in queries.op4_maxent_scoring(spark, SF).collect()}
     seen = Counter()
