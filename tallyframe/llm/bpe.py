@@ -6,11 +6,10 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import in_small_batches
+from tallyframe.llm.common import extended
 from tallyframe.llm.encoders import rank_encoder
 
 #: Characters that are scanned as one array.
@@ -34,50 +33,45 @@ def encode(docs: DataFrame, ranks: str, text: str = "text", ids: str = "ids", of
     """All columns, and ``ids`` (array of int) of each text; ``offsets``: a column for the byte offset of each id.
 
     A null text counts as empty and an empty text has no ids.  Every row is encoded by itself,
-    so repeated rows and empty tables need no care; a column named like an output is replaced.
+    so repeated rows, null keys and empty tables need no care; a column named like an output is replaced.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(columns: list[list]) -> dict[str, list]:
         encoder = rank_encoder(ranks)
-        for pdf in batches:
-            packed = [x for g in _groups(pdf[text].fillna("").tolist()) for x in encoder.encode(g)]
-            rows = [np.frombuffer(x, "<u4").astype(np.int32) for x in packed]
-            pdf = pdf.assign(**{ids: rows})
-            if offsets:
-                pdf[offsets] = [np.cumsum([0, *(len(encoder.pieces[i]) for i in r.tolist())][:-1], dtype=np.int64)[: len(r)] for r in rows]
-            yield pdf
+        packed = [x for g in _groups([t or "" for t in columns[0]]) for x in encoder.encode(g)]
+        rows = [np.frombuffer(x, "<u4").astype(np.int32) for x in packed]
+        out = {ids: rows}
+        if offsets:
+            out[offsets] = [np.cumsum([0, *(len(encoder.pieces[i]) for i in r.tolist())][:-1], dtype=np.int64)[: len(r)] for r in rows]
+        return out
 
-    kept = [f for f in docs.schema.fields if f.name not in (ids, offsets)]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{ids}` array<int>"] + ([f"`{offsets}` array<bigint>"] if offsets else []))
-    return in_small_batches(docs).select(*[f"`{f.name}`" for f in kept]).mapInPandas(run, schema)
+    return extended(docs, {ids: "array<int>"} | ({offsets: "array<bigint>"} if offsets else {}), run, [text])
 
 
 def decode(encoded: DataFrame, ranks: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """All columns, and ``out``: the bytes that the ids stand for; null ids give null."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(columns: list[list]) -> dict[str, list]:
         encoder = rank_encoder(ranks)
-        for pdf in batches:
-            yield pdf.assign(**{out: [None if x is None else encoder.decode(np.asarray(x).tolist()) for x in pdf[ids]]})
+        return {out: [None if x is None else encoder.decode(x) for x in columns[0]]}
 
-    kept = [f for f in encoded.schema.fields if f.name != out]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{out}` binary"])
-    return encoded.select(*[f"`{f.name}`" for f in kept]).mapInPandas(run, schema)
+    return extended(encoded, {out: "binary"}, run, [ids])
 
 
 def digests(docs: DataFrame, ranks: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text: encoded and decoded in one pass over each batch."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text: encoded and decoded in one pass over each batch.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Null texts count as empty, null and repeated ids are kept row by row, other columns are not read.
+    """
+
+    def run(columns: list[list]) -> dict[str, list]:
         encoder = rank_encoder(ranks)
-        for pdf in batches:
-            packed = [x for g in _groups(pdf["text"].tolist()) for x in encoder.encode(g)]
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"].astype("Int64"),
-                "n_tokens": [len(x) // 4 for x in packed],
-                "ids_sha256": [hashlib.sha256(x).hexdigest() for x in packed],
-                "decoded_sha256": [hashlib.sha256(encoder.decode(np.frombuffer(x, "<u4").tolist())).hexdigest() for x in packed],
-            })
-
-    chosen = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return chosen.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        packed = [x for g in _groups([t or "" for t in columns[0]]) for x in encoder.encode(g)]
+        return {
+            "n_tokens": [len(x) // 4 for x in packed],
+            "ids_sha256": [hashlib.sha256(x).hexdigest() for x in packed],
+            "decoded_sha256": [hashlib.sha256(encoder.decode(np.frombuffer(x, "<u4").tolist())).hexdigest() for x in packed],
+        }
+
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return extended(chosen, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}, run, ["text"], drop=["text"])

@@ -1,43 +1,115 @@
-"""Shared helpers: folders that every executor sees, and cutting lineage with written tables."""
+"""Shared helpers: folders that every executor sees, cutting lineage with written tables, and Python over batches."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of a batch that a Python worker turns into objects at once; one row may have more.
+BATCH_BYTES = 8 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share.
+    """A fresh path in the folder that driver and executors share, ``spark.checkpoint.dir``.
 
-    The folder is ``spark.checkpoint.dir``; where that is unset (tests in local mode) a
-    temporary folder takes its place.
+    Where that is unset, a temporary folder takes its place in local mode; on a cluster it is an error.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tallyframe.scratch.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tallyframe-")
         spark.conf.set("tallyframe.scratch.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def written(spark: SparkSession, writer: DataFrameWriter, kind: str, path: str) -> None:
+    """Write to ``path`` in a format; shuffle files that the write needed go when it ends."""
+    with _setting(spark, _CLEANUP, "true"):
+        writer.format(kind).save(path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    path, spark = scratch(df.sparkSession, name), df.sparkSession
+    written(spark, df.write, "parquet", path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that nothing will read again."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    n = batch.num_rows
+    if n > 1 and batch.nbytes > BATCH_BYTES:
+        yield from _sliced(batch.slice(0, n // 2))
+        yield from _sliced(batch.slice(n // 2))
+    elif n:
+        yield batch
 
 
-#: Rows that a Python worker gets at once; texts are long, so fewer than Spark's default.
-BATCH_ROWS = 1000
+def frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str | StructType) -> DataFrame:
+    """``df`` through ``run``, as ``mapInPandas``, but over batches of bounded bytes and with exact integers.
+
+    A column of integers with nulls keeps them as integers and None, where pandas would take floating-point numbers.
+    """
+    types = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = to_arrow_schema(types)
+        for pdf in run(part.to_pandas(integer_object_nulls=True) for b in batches for part in _sliced(b)):
+            yield pa.RecordBatch.from_pandas(pdf, schema=made, preserve_index=False)
+
+    return df.mapInArrow(go, types)
+
+
+def extended(df: DataFrame, new: dict[str, str], run: Callable[[list[list]], dict[str, list]], inputs: list[str], drop: list[str] = ()) -> DataFrame:
+    """``df`` with columns ``new`` (name: type) that ``run`` makes of the values of ``inputs``, batch by batch, for each row.
+
+    Other columns pass through Arrow untouched, whatever their type; columns named like a new
+    one are replaced and columns of ``drop`` left out.
+    """
+    rest = [f for f in df.schema.fields if f.name not in {*new, *drop}]
+    added = StructType.fromDDL(", ".join(f"`{c}` {t}" for c, t in new.items()))
+    names = list(dict.fromkeys([*[f.name for f in rest], *inputs]))
+    chosen = df.select(*[f"`{c}`" for c in names])
 
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = to_arrow_schema(added)
+        for b in batches:
+            for part in _sliced(b):
+                got = run([part.column(names.index(c)).to_pylist() for c in inputs])
+                fields = [part.schema.field(names.index(f.name)) for f in rest]
+                columns = [part.column(names.index(f.name)) for f in rest] + [pa.array(got[f.name], f.type) for f in types]
+                yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([*fields, *types]))
 
-def in_small_batches(df: DataFrame) -> DataFrame:
-    """``df``, in a session that hands rows to Python workers in batches of at most BATCH_ROWS, whatever their texts' length."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(name, "10000")) <= BATCH_ROWS:
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
-    return df
+    return chosen.mapInArrow(go, StructType([*rest, *added.fields]))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

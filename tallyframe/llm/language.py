@@ -13,30 +13,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import in_small_batches
+from tallyframe.llm.common import extended, frames
 
 BUCKETS = 1 << 15
-#: Languages that training may find, which bounds what the driver gathers and tasks receive.
-MAX_LANGUAGES = 512
+#: Numbers of the model: languages times buckets. More languages share a table of fewer buckets, so the model is bounded for any number of labels.
+MODEL = 1 << 24
 #: Languages that a document may have.
 MAX_SET = 4
 ROUNDS = 15
 #: A language more must gain so many times half the logarithm of the trigrams; neighbouring trigrams share two bytes.
 PENALTY = 6.0
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _NOT_TEXT = re.compile(rb"[\x00-\x20\d!-/:-@\[-`{-~]+")
 
 
-def grams(text: str) -> np.ndarray:
+def grams(text: str, buckets: int = BUCKETS) -> np.ndarray:
     """Bucket of every byte trigram of the lower-cased text, runs of what are not letters made one space."""
     raw = np.frombuffer(b" " + _NOT_TEXT.sub(b" ", text.lower().encode("utf-8", "surrogatepass")) + b" ", np.uint8).astype(np.uint32)
     with np.errstate(over="ignore"):
         h = (raw[:-2] * np.uint32(0x9E3779B1) ^ raw[1:-1] * np.uint32(0x85EBCA77) ^ raw[2:] * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F)
-    return h >> np.uint32(17)
+    return h >> np.uint32(33 - buckets.bit_length())
 
 
 def remainder(key: Column, modulus: int) -> Column:
@@ -47,33 +48,46 @@ def remainder(key: Column, modulus: int) -> Column:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages in ascending order, and the smoothed probability of every bucket (rows) in each (columns).
 
-    Every labelled row counts. Tasks hold one array of BUCKETS counts for each language, and the
-    driver gathers their sums: at most MAX_LANGUAGES * BUCKETS numbers.
+    Every labelled row counts. A task holds one array of counts for each language it meets, a
+    language's counts travel as one array, Spark adds them up, and the driver gathers the sums:
+    MODEL numbers at most, whatever the corpus; with more than MODEL / 64 labels it is an error.
     """
+    labelled = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
+    distinct = labelled.agg(F.approx_count_distinct("l", 0.05)).first()[0] or 0
+    buckets = BUCKETS
+    while buckets * distinct * 2 > MODEL and buckets > 64:
+        buckets //= 2
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
+
+        def given() -> Iterator[pd.DataFrame]:
+            for name, c in sums.items():
+                at = np.flatnonzero(c)
+                yield pd.DataFrame({"l": name, "bucket": at, "n": c[at]})
+            sums.clear()
+
         for pdf in batches:
             for t, name in zip(pdf["t"].tolist(), pdf["l"].tolist(), strict=True):
-                got = np.bincount(grams(t), minlength=BUCKETS)
+                got = np.bincount(grams(t, buckets), minlength=buckets)
                 if name in sums:
                     sums[name] += got
                 else:
                     sums[name] = got
-        for name, c in sums.items():
-            at = np.flatnonzero(c)
-            yield pd.DataFrame({"l": name, "bucket": at, "n": c[at]})
-
-    labelled = in_small_batches(docs).filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
-    summed = labelled.mapInPandas(count, "l string, bucket long, n long").groupBy("l", "bucket").agg(F.sum("n").alias("n"))
-    rows = summed.limit(MAX_LANGUAGES * BUCKETS + 1).toPandas()
-    names = sorted(rows["l"].unique().tolist())
-    if len(rows) > MAX_LANGUAGES * BUCKETS or len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    counts = np.zeros((BUCKETS, len(names)))
-    counts[rows["bucket"], rows["l"].map({n: i for i, n in enumerate(names)}).astype(int)] = rows["n"]
+            if len(sums) * buckets > MODEL:
+                yield from given()
+        yield from given()
+
+    summed = frames(labelled, count, "l string, bucket long, n long").groupBy("l", "bucket").agg(F.sum("n").alias("n"))
+    by_language = summed.groupBy("l").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("c")).select("l", F.col("c.bucket").alias("bucket"), F.col("c.n").alias("n"))
+    rows = by_language.orderBy("l").collect()
+    if len(rows) * buckets > 2 * MODEL:
+        raise ValueError(f"{len(rows)} languages are more than {2 * MODEL // 64}")
+    counts = np.zeros((buckets, len(rows)))
+    for i, r in enumerate(rows):
+        counts[r["bucket"], i] = r["n"]
     smooth = counts + 0.5
-    return names, smooth / smooth.sum(axis=0, keepdims=True)
+    return [r["l"] for r in rows], smooth / smooth.sum(axis=0, keepdims=True)
 
 
 def mixture(counts: np.ndarray, probs: np.ndarray) -> tuple[np.ndarray, float]:
@@ -93,7 +107,7 @@ def identify(text: str | None, names: list[str], table: np.ndarray) -> tuple[str
     """Prediction, its proportion, all chosen languages with proportions, and whether the text is like any of them."""
     if not names or text is None or _LETTER.search(text) is None:
         return UNKNOWN, 0.0, "", False
-    c = np.bincount(grams(text), minlength=BUCKETS)
+    c = np.bincount(grams(text, len(table)), minlength=len(table))
     at = np.flatnonzero(c)
     counts, probs = c[at].astype(float), table[at]
     n = counts.sum()
@@ -112,35 +126,30 @@ def identify(text: str | None, names: list[str], table: np.ndarray) -> tuple[str
         best_set, best_pi, best = chosen.tolist(), p, ll - cost * (k - 1)
     rank = sorted(zip(best_pi.tolist(), best_set), key=lambda x: (-x[0], x[1]))
     score, lang = min(1.0, rank[0][0]), names[rank[0][1]]
-    like = best / n > -np.log(BUCKETS)  # better than all trigrams being as likely
+    like = best / n > -np.log(len(table))  # better than all trigrams being as likely
     return lang, score, ",".join(f"{names[i]}:{p:.3f}" for p, i in rank), bool(like)
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
     """All columns, and lang_pred, score, languages and like (whether the text resembles what was learned).
 
-    A null text, or one without a letter, is ``und`` with score 0. Columns of those names are replaced.
+    A null text, or one without a letter, is ``und`` with score 0. Columns of those names are replaced,
+    all others (``text`` too) pass untouched.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     new = {"lang_pred": "string", "score": "double", "languages": "string", "like": "boolean"}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(columns: list[list]) -> dict[str, list]:
         names, table = shared.value
-        for pdf in batches:
-            got = [identify(t, names, table) for t in pdf["_t"].tolist()]
-            out = pdf.drop(columns=["_t"]).reset_index(drop=True)
-            for i, name in enumerate(new):
-                out[name] = [g[i] for g in got]
-            yield out
+        got = [identify(t, names, table) for t in columns[0]]
+        return {name: [g[i] for g in got] for i, name in enumerate(new)}
 
-    rest = [f for f in docs.schema.fields if f.name not in new]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"{c} {t}" for c, t in new.items()])
-    return in_small_batches(docs).select(*[F.col(f"`{f.name}`") for f in rest], F.col(text).alias("_t")).mapInPandas(run, schema)
+    return extended(docs, new, run, [text])
 
 
 def held_out_languages(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, languages: learned where the key's crc32 mod 4 is not 2, predicted everywhere."""
     held = remainder(F.col("doc_id"), 4) == 2
     model = train(docs.filter(~held))
-    rows = docs.select("doc_id", held.alias("held_out"), "text")
-    return predict(rows, model).select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "lang_pred", "score", "languages")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
+    return predict(rows, model).select("doc_id", "held_out", "lang_pred", "score", "languages")

@@ -1,48 +1,53 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
-log P(word | history) = log P(class | history) + log P(word | class).
+log P(word | history) = log P(class | history) + log P(word | class, class before).
 
 * Classes: the end of a text; the rare words together with all unknown ones; each of the most
   frequent words by itself; and the other frequent words by cluster and band of frequency.
   Clusters come from k-means over the frequent words found beside a word; words outside the
   clustered vocabulary take the cluster most common for their last bytes.
-* P(class | history) is a log-linear model over hashed features of the three classes before: each
-  alone (the second and third are skips), the first with the second, the first with the third.
-* P(word | class) is the word's share of its class. Within the rare class, words seen once and
-  unknown words get the mass that Good and Turing's counts of counts give them.
-
-Training counts (history, class) events in one pass; their number is bounded by the classes, not
-by the corpus. Rounds of distributed updates follow: every task takes gradient steps over its
-events, and the weights are averaged.
+* P(class | history) is a softmax over classes with hashed features of words: the word before, the
+  one before that (a skip), and both together.
+* P(word | class, class before) is a softmax over the words of the class: the word's share of
+  its class, and a hashed feature of the class before with the word. Within the rare class, words
+  seen once and unknown words get the mass that Good and Turing's counts of counts give them.
+
+Both are trained by distributed gradient updates over all training texts. For the classes each round
+takes a share of the texts, every task takes steps over its batches, and Spark adds up each feature's
+weights by how often tasks met it. For the words Spark counts (class before, word) pairs; every task
+computes observed less expected counts of its histories, and Spark adds them up for the next step.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import in_small_batches, stored
+from tallyframe.llm.common import frames, stored
 from tallyframe.llm.language import remainder
 
 #: Words that tasks look up in memory; rarer ones are looked up by a join.
 VOCABULARY = 300_000
-#: Words that are clustered; words that are classes of their own and contexts for the clusters.
+#: Words that are clustered (others go by their endings); words that are classes of their own and contexts for the clusters.
 CLUSTERED, SINGLE = 20_000, 14
 CLUSTERS, BANDS = 6, 4
 END, RARE = 0, 1
 CLASSES = 2 + SINGLE + CLUSTERS * BANDS
-HASHED = 4096
-ROUNDS, LOCAL_STEPS, RATE = 8, 8, 0.25
-#: Distinct words after which a task hands on its counts.
+#: Most buckets of history features (each with a weight for every class), and buckets of (class before, word) features.
+HASHED, PAIRED = 1 << 16, 1 << 18
+#: Rounds of updates; tokens of a step; step sizes.
+ROUNDS, WORD_ROUNDS, STEP, RATE, PRIOR = 3, 4, 4096, 0.3, 2.0
+#: Buckets of a block of numbers that travels as one value.
+HISTORY_BLOCK, PAIR_BLOCK = 256, 1 << 14
+#: Distinct keys after which a task hands on its counts.
 FLUSH = 400_000
 
 
@@ -66,7 +71,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         if held:
             yield pd.DataFrame({"w": list(held), "n": list(held.values())})
 
-    return texts.mapInPandas(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return frames(texts, count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
 def frequent(vocabulary: DataFrame, most: int) -> tuple[list[tuple[bytes, int]], int]:
@@ -101,7 +106,7 @@ def neighbours(texts: DataFrame, words: list[bytes]) -> np.ndarray:
         yield pd.DataFrame({"at": at, "n": sums[at]})
 
     out = np.zeros(len(words) * 2 * single)
-    rows = texts.mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    rows = frames(texts, count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     out[rows["at"].to_numpy(np.int64)] = rows["n"]
     return out.reshape(len(words), 2 * single)
 
@@ -159,6 +164,12 @@ class Lexicon:
     log_share: np.ndarray  # log10 of the word's share of its class
     log_base: np.ndarray  # log10 of the base model's probability
 
+    @cached_property
+    def members(self) -> list[np.ndarray]:
+        """Numbers of the words of each class, ascending."""
+        order = np.argsort(self.classes, kind="stable")
+        return np.split(order, np.searchsorted(self.classes[order], np.arange(1, CLASSES)))
+
     def numbers(self) -> dict[bytes, int]:
         return {w: i for i, w in enumerate(self.words)}
 
@@ -172,90 +183,180 @@ def codes(texts: list[str], number: dict[bytes, int], classes: np.ndarray) -> tu
     return flat, kind, words
 
 
-def histories(kind: np.ndarray) -> np.ndarray:
-    """The three classes before each token as one number; before a text stand ends, and nothing reaches over one."""
-    n = len(kind)
-    padded = np.concatenate((np.full(3, END), kind))
-    one, two, three = padded[2 : n + 2].copy(), padded[1 : n + 1].copy(), padded[:n].copy()
-    two[one == END] = END
-    three[two == END] = END
-    return (one * CLASSES + two) * CLASSES + three
+def before(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers one and two places before each token; nothing reaches over the end of a text (-2)."""
+    padded = np.concatenate(([-2, -2], flat))
+    one, two = padded[1:-1].copy(), padded[:-2].copy()
+    two[one == -2] = -2
+    return one, two
 
 
-def features(history: np.ndarray) -> np.ndarray:
-    """Hashed features of histories, a row each."""
-    h = history.astype(np.uint64)
-    c = np.uint64(CLASSES)
-    one, two, three = h // (c * c), h // c % c, h % c
-    raw = [np.zeros_like(h), one + np.uint64(1), two + c + np.uint64(1), three + c * np.uint64(2) + np.uint64(1), one * c + two + np.uint64(1000), one * c + three + np.uint64(100_000)]
+def features(one: np.ndarray, two: np.ndarray, hashed: int) -> np.ndarray:
+    """Hashed features of histories, a row each: the word before, the skip, and both."""
+    a, b = (one + 2).astype(np.uint64), (two + 2).astype(np.uint64)
     with np.errstate(over="ignore"):
-        return np.stack([(r * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % HASHED for r in raw], 1)
+        raw = [a * np.uint64(3), b * np.uint64(3) + np.uint64(1), (a * np.uint64(0x9E3779B97F4A7C15) + b) * np.uint64(3) + np.uint64(2)]
+        return np.stack([(r * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - hashed.bit_length())).astype(np.int64) for r in raw], 1)
+
+
+def pair_buckets(kind: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashed feature of the class before and a word."""
+    with np.errstate(over="ignore"):
+        return ((word.astype(np.uint64) * np.uint64(CLASSES) + kind.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(65 - PAIRED.bit_length())).astype(np.int64)
 
 
 def log_probabilities(weights: np.ndarray, f: np.ndarray) -> np.ndarray:
     """log P(class | history) for rows of features."""
-    s = weights[f].sum(axis=1)
+    s = weights[f[:, 0]]
+    for i in range(1, f.shape[1]):
+        s = s + weights[f[:, i]]
     s -= s.max(axis=1, keepdims=True)
     return s - np.log(np.exp(s).sum(axis=1, keepdims=True))
 
 
-def events(texts: DataFrame, lexicon) -> DataFrame:
-    """history, c, n: how often each class follows each history; every task adds up one array of bounded size."""
+def gradient(weights: np.ndarray, f: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the features, and for each the gradient of the negative log-likelihood: expected less observed counts of every class."""
+    g = np.exp(log_probabilities(weights, f))
+    g[np.arange(len(kind)), kind] -= 1
+    order = np.argsort(f.ravel(), kind="stable")
+    ids, starts = np.unique(f.ravel()[order], return_index=True)
+    return ids, np.add.reduceat(g[order // f.shape[1]], starts, axis=0)
+
+
+def _summed(blocks: DataFrame, kind: str) -> list[tuple[int, np.ndarray]]:
+    """Sums of the arrays (binary column a) of each block, added up by tasks; the driver gets one array a block."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for block, a in zip(pdf["block"].tolist(), pdf["a"], strict=True):
+                got = np.frombuffer(a, kind).astype(np.float32)
+                sums[block] = sums[block] + got if block in sums else got
+        yield pd.DataFrame({"block": list(sums), "a": [x.tobytes() for x in sums.values()]})
+
+    return [(r["block"], np.frombuffer(r["a"], np.float32)) for r in frames(blocks.repartition("block"), run, "block int, a binary").collect()]
+
+
+def fit_classes(texts: DataFrame, lexicon, hashed: int) -> np.ndarray:
+    """Weights of the history features: each round, tasks take steps over their share of the texts, and a bucket's weights are averaged by its tokens."""
+    spark = texts.sparkSession
+    weights = np.zeros((hashed, CLASSES), np.float32)
+    for r in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(weights)
+
+        def step(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            lex: Lexicon = lexicon.value
+            number, w, met = lex.numbers(), shared.value.copy(), np.zeros(hashed, np.float32)
+            squares = np.full_like(w, 1e-6)
+            for pdf in batches:
+                flat, kind, _ = codes(pdf["t"].tolist(), number, lex.classes)
+                f = features(*before(flat), hashed)
+                for i in range(0, len(kind), STEP):
+                    ids, g = gradient(w, f[i : i + STEP], kind[i : i + STEP])
+                    squares[ids] += g * g
+                    w[ids] -= np.float32(RATE) * g / np.sqrt(squares[ids])
+                met += np.bincount(f.ravel(), minlength=hashed).astype(np.float32)
+            for block in np.unique(np.flatnonzero(met) // HISTORY_BLOCK).tolist():
+                at = slice(block * HISTORY_BLOCK, (block + 1) * HISTORY_BLOCK)
+                yield pd.DataFrame({"block": [block], "a": [np.concatenate(((w[at] * met[at, None]).ravel(), met[at])).astype(np.float32).tobytes()]})
+
+        share = texts.filter(F.pmod(F.xxhash64("t"), F.lit(ROUNDS)) == r)
+        weights = weights.copy()
+        for block, a in _summed(frames(share, step, "block int, a binary"), "<f4"):
+            met = a[-HISTORY_BLOCK:]
+            own = weights[block * HISTORY_BLOCK : (block + 1) * HISTORY_BLOCK]
+            some = met > 0
+            own[some] = a[:-HISTORY_BLOCK].reshape(HISTORY_BLOCK, CLASSES)[some] / met[some, None]
+        shared.unpersist()
+    return weights
+
+
+def word_events(texts: DataFrame, lexicon) -> DataFrame:
+    """kind, own (the word's class), word, n: how often each frequent word that shares its class follows each class."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex: Lexicon = lexicon.value
-        number, sums = lex.numbers(), np.zeros(CLASSES**4, np.int64)
+        number, held, rows = lex.numbers(), [], 0
+
+        def given() -> pd.DataFrame:
+            at, n = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+            at, back = np.unique(at, return_inverse=True)
+            return pd.DataFrame({"kind": at % CLASSES, "own": lex.classes[at // CLASSES] if len(at) else at, "word": at // CLASSES, "n": np.bincount(back, n).astype(np.int64)})
+
         for pdf in batches:
-            _, kind, _ = codes(pdf["t"].tolist(), number, lex.classes)
-            at, n = np.unique(histories(kind) * CLASSES + kind, return_counts=True)
-            sums[at] += n
-        at = np.flatnonzero(sums)
-        yield pd.DataFrame({"history": at // CLASSES, "c": at % CLASSES, "n": sums[at]})
+            flat, kind, _ = codes(pdf["t"].tolist(), number, lex.classes)
+            before_ = np.concatenate(([END], kind[:-1]))
+            several = flat >= SINGLE
+            held.append(np.unique(flat[several] * CLASSES + before_[several], return_counts=True))
+            rows += len(held[-1][0])
+            if rows > FLUSH:
+                yield given()
+                held, rows = [], 0
+        if held:
+            yield given()
 
-    return texts.mapInPandas(count, "history long, c int, n long").groupBy("history", "c").agg(F.sum("n").alias("n"))
+    return frames(texts, count, "kind int, own int, word int, n long").groupBy("kind", "own", "word").agg(F.sum("n").alias("n"))
 
 
-def fit(counted: DataFrame) -> np.ndarray:
-    """Weights after rounds of gradient steps in all tasks, averaged by the tasks' tokens.
+def word_gradient(pairs: np.ndarray, lex: Lexicon, kind: int, group: int, words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the words of class ``group`` after class ``kind``: buckets, observed less expected counts, and expected counts; all add up over parts of the counts."""
+    own = lex.members[group]
+    buckets = pair_buckets(np.full(len(own), kind), own)
+    p = np.exp(lex.log_share[own] * math.log(10) + pairs[buckets])
+    p /= p.sum()
+    seen = np.zeros(len(own))
+    seen[np.searchsorted(own, words)] = n
+    expected = seen.sum() * p
+    return buckets, seen - expected, expected
 
-    Rows are dealt by history; the weights of a round travel to the tasks and back (a bounded array).
-    """
-    spark = counted.sparkSession
-    rows = stored(counted.repartition(2, "history"), "events")
-    weights = np.zeros((HASHED, CLASSES), np.float32)
-    for _ in range(ROUNDS):
-        shared = spark.sparkContext.broadcast(weights)
+
+def fit_words(events: DataFrame, lexicon) -> np.ndarray:
+    """Weights of the (class before, word) features: each round every task adds up gradients of its histories, and the driver takes a damped Newton step."""
+    spark = events.sparkSession
+    pairs = np.zeros(PAIRED)
+    for _ in range(WORD_ROUNDS):
+        shared = spark.sparkContext.broadcast(pairs)
 
         def step(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            parts = list(batches)
+            lex: Lexicon = lexicon.value
+            parts = list(batches)  # at most CLASSES rows for each word of the vocabulary, over all tasks
             if not parts:
                 return
-            pdf = pd.concat(parts)  # at most CLASSES ** 4 rows
-            hist, at = np.unique(pdf["history"].to_numpy(), return_inverse=True)
-            y = np.zeros((len(hist), CLASSES), np.float32)
-            y[at, pdf["c"].to_numpy()] = pdf["n"]
-            total = float(y.sum())
-            f, n = features(hist), y.sum(axis=1, keepdims=True)
-            order = np.argsort(f.ravel(), kind="stable")
-            ids, starts = np.unique(f.ravel()[order], return_index=True)
-            owner = order // f.shape[1]
-            w = shared.value.copy()
-            m, v = np.zeros_like(w), np.zeros_like(w)
-            for t in range(1, LOCAL_STEPS + 1):
-                g = (n * np.exp(log_probabilities(w, f)) - y) / total
-                grad = np.zeros_like(w)
-                grad[ids] = np.add.reduceat(g[owner], starts, axis=0) + 1e-7 * w[ids]
-                m, v = 0.8 * m + 0.2 * grad, 0.95 * v + 0.05 * grad * grad
-                w -= RATE / math.sqrt(t) * (m / (1 - 0.8**t)) / (np.sqrt(v / (1 - 0.95**t)) + 1e-8)
-            yield pd.DataFrame({"total": [total], "w": [zlib.compress(w.astype(np.float32).tobytes(), 1)]})
-
-        back = rows.mapInPandas(step, "total double, w binary").collect()
-        if not back:
-            break
-        whole = sum(r["total"] for r in back)
-        weights = sum(np.frombuffer(zlib.decompress(r["w"]), np.float32).reshape(weights.shape) * np.float32(r["total"] / whole) for r in back)
+            pdf = pd.concat(parts)
+            g, e = np.zeros(PAIRED), np.zeros(PAIRED)
+            for (kind, own), rows in pdf.groupby(["kind", "own"], sort=False):
+                rows = rows.sort_values("word")
+                buckets, less, expected = word_gradient(shared.value, lex, int(kind), int(own), rows["word"].to_numpy(), rows["n"].to_numpy())
+                g += np.bincount(buckets, less, PAIRED)
+                e += np.bincount(buckets, expected, PAIRED)
+            for block in np.unique(np.flatnonzero(e) // PAIR_BLOCK).tolist():
+                at = slice(block * PAIR_BLOCK, (block + 1) * PAIR_BLOCK)
+                yield pd.DataFrame({"block": [block], "a": [np.concatenate((g[at], e[at])).astype(np.float32).tobytes()]})
+
+        pairs = pairs.copy()
+        for block, a in _summed(frames(events, step, "block int, a binary"), "<f4"):
+            own = pairs[block * PAIR_BLOCK : (block + 1) * PAIR_BLOCK]
+            own += np.clip((a[:PAIR_BLOCK] - PRIOR * own) / (a[PAIR_BLOCK:] + PRIOR), -1, 1)
         shared.unpersist()
-    return weights
+    return pairs
+
+
+def normalisers(lex: Lexicon, pairs: np.ndarray) -> np.ndarray:
+    """log10 of the sum over the words of each class (columns) after each class (rows)."""
+    out = np.zeros((CLASSES, CLASSES))
+    for group, own in enumerate(lex.members):
+        for kind in range(CLASSES if group >= 2 + SINGLE and len(own) else 0):
+            out[kind, group] = math.log10(np.exp(lex.log_share[own] * math.log(10) + pairs[pair_buckets(np.full(len(own), kind), own)]).sum())
+    return out
+
+
+def word_scores(lex: Lexicon, pairs: np.ndarray, norm: np.ndarray, flat: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """log10 P(word | class, class before) of frequent words that share their class; zero for others."""
+    out, before_ = np.zeros(len(flat)), np.concatenate(([END], kind[:-1]))
+    at = np.flatnonzero(flat >= SINGLE)
+    w, k = flat[at], before_[at]
+    out[at] = lex.log_share[w] + pairs[pair_buckets(k, w)] / math.log(10) - norm[k, kind[at]]
+    return out
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 10, held: int = 0, vocabulary: int = VOCABULARY) -> DataFrame:
@@ -267,7 +368,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
     symbol in both models.
     """
     out = remainder(F.col(key), modulus) == held
-    chosen = in_small_batches(docs).select(F.col(key).cast("long").alias("k"), out.alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    chosen = docs.select(F.col(key).cast("long").alias("k"), out.alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     training = chosen.filter(~F.col("held_out")).select("t")
     spark = docs.sparkSession
     counts = stored(word_counts(training), "vocabulary")
@@ -282,7 +383,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
     of_class = np.bincount(kinds, weights=seen, minlength=CLASSES) if words else np.zeros(CLASSES)
     log_sum = math.log10(total + 0.1 * (distinct + 1))
     lexicon = spark.sparkContext.broadcast(Lexicon([w for w, _ in words], kinds, np.log10(seen / of_class[kinds]) if words else seen, np.log10(seen + 0.1) - log_sum))
-    weights = spark.sparkContext.broadcast(fit(events(training, lexicon)))
+    hashed = 1 << min(HASHED.bit_length() - 1, max(12, (4 * len(words)).bit_length()))
+    weights = spark.sparkContext.broadcast(fit_classes(training, lexicon, hashed))
+    pairs = fit_words(stored(word_events(training, lexicon).repartition("kind", "own"), "events"), lexicon)
+    inner = spark.sparkContext.broadcast((pairs, normalisers(lexicon.value, pairs)))
     # the rare class: known words by count, words seen once by twice the words seen twice, and all unknown ones
     rare = total - ends - int(seen.sum())
     known_mass = float(rare - once + 2 * twice)
@@ -293,29 +397,31 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex: Lexicon = lexicon.value
         number = lex.numbers()
-        table = log_probabilities(weights.value.astype(np.float64), features(np.arange(CLASSES**3))) / math.log(10)
-        at = TaskContext.get().partitionId() << 40
         end_base = math.log10(ends + 0.1) - log_sum
-        shares, bases = np.append(lex.log_share, [0.0, 0.0]), np.append(lex.log_base, [end_base, 0.0])  # -2: end, -1: rare
+        bases = np.append(lex.log_base, [end_base, 0.0])  # -2: end, -1: rare
         for pdf in batches:
             flat, kind, texts = codes(pdf["t"].tolist(), number, lex.classes)
             sizes = np.fromiter((len(w) + 1 for w in texts), np.int64, len(texts))
             starts = np.cumsum(sizes) - sizes
-            own = table[histories(kind), kind] + shares[flat]
+            own, f = word_scores(lex, *inner.value, flat, kind), features(*before(flat), hashed)
+            for i in range(0, len(kind), STEP):
+                c = kind[i : i + STEP]
+                own[i : i + STEP] += log_probabilities(weights.value, f[i : i + STEP])[np.arange(len(c)), c] / math.log(10)
             tally = lambda x: np.add.reduceat(x, starts) if len(x) else x
-            missing = [[w for w in ws if w not in number] for ws in texts]
+            missing = [Counter(w for w in ws if w not in number) for ws in texts]
             yield pd.DataFrame({
-                "row": np.arange(at, at + len(pdf)), "k": pdf["k"].astype("Int64"), "held_out": pdf["held_out"], "n_tokens": sizes,
-                "known": tally((flat >= 0).astype(np.int64)) + (ends > 0), "base": tally(bases[flat]), "score": tally(own), "missing": missing,
+                "k": pdf["k"], "held_out": pdf["held_out"], "n_tokens": sizes, "known": tally((flat >= 0).astype(np.int64)) + (ends > 0),
+                "base": tally(bases[flat]), "score": tally(own), "missing": [list(m) for m in missing], "times": [list(m.values()) for m in missing],
             })
-            at += len(pdf)
 
-    part = stored(chosen.mapInPandas(first, "row long, k long, held_out boolean, n_tokens long, known long, base double, score double, missing array<binary>"), "scores")
+    made = frames(chosen, first, "k long, held_out boolean, n_tokens long, known long, base double, score double, missing array<binary>, times array<int>")
+    part = stored(made.withColumn("row", F.monotonically_increasing_id()), "scores")
     scarce = counts.filter((F.col("n") < least) & (F.col("w") != F.lit(b""))).select(F.col("w").alias("s_w"), "n")
-    each = part.select("row", F.explode("missing").alias("w")).join(scarce, F.col("w") == F.col("s_w"), "left")
+    each = part.select("row", F.explode(F.arrays_zip("missing", "times")).alias("m")).select("row", F.col("m.missing").alias("w"), F.col("m.times").alias("times")).join(scarce, F.col("w") == F.col("s_w"), "left")
     n = F.col("n")
     in_class = F.when(n.isNull(), F.lit(math.log10(unknown))).otherwise(F.log10(F.lit(1 - unknown if mass else 1.0) * F.when(n == 1, F.lit(of_once)).otherwise(n) / F.lit(mass or 1.0)))
-    rest = each.groupBy("row").agg(F.count("n").alias("r_known"), F.sum(F.log10(F.coalesce(n, F.lit(0)) + 0.1) - log_sum).alias("r_base"), F.sum(in_class).alias("r_score"))
+    times = F.col("times")
+    rest = each.groupBy("row").agg(F.sum(F.when(n.isNotNull(), times)).alias("r_known"), F.sum(times * (F.log10(F.coalesce(n, F.lit(0)) + 0.1) - log_sum)).alias("r_base"), F.sum(times * in_class).alias("r_score"))
     zero = F.lit(0.0)
     return part.join(rest, "row", "left").select(
         F.col("k").alias(key), "held_out", "n_tokens", (F.col("known") + F.coalesce("r_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),

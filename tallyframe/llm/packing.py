@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyframe.llm.common import in_small_batches, stored
+from tallyframe.llm.common import frames, stored
 from tallyframe.llm.encoders import library_encoder
 
 WINDOW = 2048
@@ -109,7 +109,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             ids = [encoder.encode_one(t) + end for t in pdf["text"].tolist()]
             n = [len(x) // 4 for x in ids]
             local = []
-            sources = [None if pd.isna(s) else s for s in pdf["source"].tolist()]
+            sources = pdf["source"].tolist()
             for s, k in zip(sources, n, strict=True):
                 local.append(at[s])
                 at[s] += k
@@ -117,8 +117,8 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             small = [a.astype("<u2").tobytes() if not len(a) or int(a.max()) < 1 << 16 else x for x, a in ((x, np.frombuffer(x, "<u4")) for x in ids)]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "source": sources, "part": part, "local": local, "n": n, "ids": small})
 
-    chosen = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("source").cast("string").alias("source"))
-    return chosen.mapInPandas(encode, "doc_id long, source string, part int, local long, n long, ids binary")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("source").cast("string").alias("source"))
+    return frames(chosen, encode, "doc_id long, source string, part int, local long, n long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW, shares: dict[str, float] | None = None) -> DataFrame:
@@ -180,4 +180,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
                     k, first = k + 1, until
             yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]).astype({"doc_id": "Int64"})
 
-    return placed.mapInPandas(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")
+    return frames(placed, pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")

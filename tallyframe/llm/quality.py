@@ -1,33 +1,34 @@
 """Quality rules: counts within a document, and line frequency across the documents of a host.
 
 Lines are normalised (lower case, single spaces) and hashed. A line is boilerplate of its host
-where more than ``max_share`` of the host's different documents, and more than ``min_docs`` of
-them, hold it. Documents with equal text are one document there, so copies of a good document
-do not turn its lines into boilerplate. Boilerplate lines are removed; a document that this
-depletes is rejected.
+where more documents hold it than both ``min_docs`` and ``max_share`` of the host's documents: a
+line in 6 of 10 documents of a small host, in more than a tenth of a typical one, in more than a
+tenth of one that has a third of all rows. Exact copies of a text count as one document unless
+``copies`` is set, so a text copied many times does not turn its own lines into boilerplate.
+Boilerplate lines are removed; a document that this depletes is rejected.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import in_small_batches, stored
+from tallyframe.llm.common import extended, stored
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
+#: What parts words (fixed: ASCII white space).
+BLANKS = " \t\n\r\x0b\x0c"
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of words
-MIN_DOCS = 20
+MIN_DOCS = 5
 MAX_SHARE = 0.1
 MAX_REMOVED = 0.5
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -64,48 +65,35 @@ def describe(text: str) -> tuple[int, int, int, int, int, list[int], list[int]]:
     words = raw.split()
     # code points are the bytes that do not continue one
     chars = sum(map(len, words)) if len(raw) == len(text) else sum(len(w.decode("utf-8", "surrogatepass")) for w in words)
-    lines = [x for x in text.split("\n") if x and not x.isspace()]
-    lines = [x for x in lines if x.strip(" \t\n\r\x0b\x0c")] if len(lines) != len(set(lines)) else lines
+    lines = [x for x in text.split("\n") if x.strip(BLANKS)]
     return (len(words), chars, len(SYMBOLS.findall(text)), len(lines) - len(set(lines)), repeated_words(words), *line_hashes(text))
 
 
-def described(docs: DataFrame, key: str, text: str, host: str, columns: list[str]) -> DataFrame:
-    """One row per document: a row number, counts, lines, and ``columns`` as they are."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = TaskContext.get().partitionId() << 40
-        for pdf in batches:
-            rows = [describe(t) for t in pdf["_text"].tolist()]
-            out = pdf.drop(columns=["_text"]).reset_index(drop=True)
-            for i, name in enumerate(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")):
-                out[name] = [r[i] for r in rows]
-            out["_lines"] = [np.array(r[5], np.uint64).view(np.int64) for r in rows]
-            out["_counts"] = [r[6] for r in rows]
-            out["_row"] = np.arange(at, at + len(out))
-            at += len(out)
-            yield out
-
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    chosen = in_small_batches(docs).select(
-        *[F.col(f"`{c}`") for c in columns], F.col(key).cast("long").alias("_key"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"),
-        F.coalesce(F.col(text), F.lit("")).alias("_text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_content"),
-    )
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields if f.name != "_text"] + [f"{c} long" for c in counts] + ["_lines array<long>", "_counts array<int>", "_row long"])
-    return chosen.mapInPandas(run, schema)
+def described(chosen: DataFrame) -> DataFrame:
+    """``chosen`` without _text; with a row number, the counts, and the hashes and words of its lines."""
+
+    def run(columns: list[list]) -> dict[str, list]:
+        rows = [describe(t) for t in columns[0]]
+        out = {name: [r[i] for r in rows] for i, name in enumerate(COUNTS)}
+        return out | {"_lines": [np.array(r[5], np.uint64).view(np.int64) for r in rows], "_counts": [r[6] for r in rows]}
+
+    new = {c: "long" for c in COUNTS} | {"_lines": "array<long>", "_counts": "array<int>"}
+    return extended(chosen, new, run, ["_text"], drop=["_text"]).withColumn("_row", F.monotonically_increasing_id())
 
 
-def boilerplate(rows: DataFrame, min_docs: int, max_share: float) -> DataFrame:
-    """_host, _line of lines in too many different documents of their host."""
-    contents = rows.select("_host", "_content", "_lines").dropDuplicates(["_host", "_content"])
-    totals = contents.groupBy(F.col("_host").alias("t_host")).agg(F.count(F.lit(1)).alias("docs"))
-    lines = contents.select("_host", F.explode(F.array_distinct("_lines")).alias("_line")).groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("holders"))
-    often = lines.filter(F.col("holders") > min_docs).join(totals, F.col("_host").eqNullSafe(F.col("t_host")))
+def boilerplate(rows: DataFrame, min_docs: int, max_share: float, copies: bool) -> DataFrame:
+    """_host, _line of lines in too many documents of their host."""
+    each = rows.select("_host", "_content", "_lines")
+    each = each if copies else each.dropDuplicates(["_host", "_content"])
+    totals = each.groupBy(F.col("_host").alias("t_host")).agg(F.count(F.lit(1)).alias("docs"))
+    lines = each.select("_host", F.explode(F.array_distinct("_lines")).alias("_line")).groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("holders"))
+    often = lines.filter(F.col("holders") > min_docs).join(totals, F.col("_host") == F.col("t_host"))
     return often.filter(F.col("holders") > F.col("docs") * max_share).select("_host", "_line")
 
 
 def quality(
     docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_words: int = MIN_WORDS, max_repeated: int = MAX_REPEATED,
-    min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_removed: float = MAX_REMOVED, keep: bool = False,
+    min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_removed: float = MAX_REMOVED, copies: bool = False, keep: bool = False,
 ) -> DataFrame:
     """key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_line_words per document.
 
@@ -115,13 +103,19 @@ def quality(
     With ``keep`` the columns of ``docs`` come first and ``text`` loses its boilerplate lines.
 
     Null texts have no words and fail, null hosts are one host, repeated rows are documents of
-    their own in the result, null keys are kept, columns named like a result are replaced and an
-    empty table gives no rows.
+    their own in the result, null keys are kept, columns named like a result are replaced, others
+    may have any name, and an empty table gives no rows.
     """
-    results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_line_words"]
+    results = [*COUNTS, "base_failed", "kept", "n_line_words"]
     columns = [c for c in docs.columns if keep and c not in results]
-    rows = stored(described(docs, key, text, host, columns), "quality")
-    lines = stored(boilerplate(rows, min_docs, max_share), "boilerplate")
+    own = [f"_c{i}" for i in range(len(columns))]
+    whole = F.coalesce(F.col(text), F.lit(""))
+    chosen = docs.select(
+        *[F.col(f"`{c}`").alias(o) for c, o in zip(columns, own, strict=True)], F.col(key).cast("long").alias("_key"),
+        F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), whole.alias("_text"), F.xxhash64(whole).alias("_content"),
+    )
+    rows = stored(described(chosen), "quality")
+    lines = stored(boilerplate(rows, min_docs, max_share, copies), "boilerplate")
     each = rows.select("_row", "_host", F.explode(F.arrays_zip("_lines", "_counts")).alias("_x")).select("_row", "_host", F.col("_x._lines").alias("_line"), F.col("_x._counts").alias("_n"))
     hit = each.join(lines, ["_host", "_line"]).groupBy("_row").agg(F.sum("_n").alias("n_line_words"), F.collect_set("_line").alias("_hit"))
     named = rows.drop("_lines", "_counts", "_content", "_host").join(hit, "_row", "left").withColumn("n_line_words", F.coalesce("n_line_words", F.lit(0).cast("long")))
@@ -130,16 +124,16 @@ def quality(
     judged = named.withColumn("base_failed", failed).withColumn("kept", ~failed & (left >= min_words) & (F.col("n_line_words") < F.col("n_words") * max_removed))
     if not keep:
         return judged.select(F.col("_key").alias(key), *results)
-
-    def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for t, bad in zip(pdf[text].tolist(), pdf["_hit"].tolist(), strict=True):
-                if t is not None and bad is not None and len(bad):
-                    bad = set(bad)
-                    t = "\n".join(x for x in t.split("\n") if not (h := line_hashes(x)[0]) or np.uint64(h[0]).view(np.int64) not in bad)
-                out.append(t)
-            yield pdf.assign(**{text: out}).drop(columns=["_hit"])
-
-    final = judged.select(*[F.col(f"`{c}`") for c in columns], *results, "_hit")
-    return final.mapInPandas(strip, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in final.schema.fields if f.name != "_hit"))
+    at = own[columns.index(text)]
+
+    def strip(columns: list[list]) -> dict[str, list]:
+        out = []
+        for t, bad in zip(*columns, strict=True):
+            if t is not None and bad:
+                bad = set(bad)
+                t = "\n".join(x for x in t.split("\n") if not (h := line_hashes(x)[0]) or int(np.uint64(h[0]).view(np.int64)) not in bad)
+            out.append(t)
+        return {at: out}
+
+    final = extended(judged.select(*own, *results, "_hit"), {at: "string"}, strip, [at, "_hit"], drop=["_hit"])
+    return final.select(*[F.col(o).alias(c) for o, c in zip(own, columns, strict=True)], *results)

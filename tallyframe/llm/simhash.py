@@ -1,36 +1,35 @@
 """SimHash near-duplicate groups by a segment-popcount embedding.
 
-A fingerprint's 64 bits are cut into 32 segments of two bits. The number of set bits of every
-segment, written as a thermometer (0 -> 00, 1 -> 01, 2 -> 11), is the fingerprint's embedding:
-one 64-bit word, in which the Manhattan distance of two embeddings is the number of differing
-bits. It is never above the Hamming distance of the fingerprints, so a grid range-join on the
-embedding within ``radius`` finds every link.
+A fingerprint's 64 bits are cut into 32 segments of two bits. The embedding is the vector of
+their bit counts (0, 1 or 2). The Manhattan distance of two embeddings is never above the Hamming
+distance of the fingerprints, so a range join under Manhattan distance finds every link.
 
-Grid: the segments form ``m`` blocks. Two embeddings within ``radius`` agree on ``m - radius``
-blocks at least, so they share a cell of one of the C(m, radius) tables whose axes are those
-blocks. Within a cell pairs are compared by Manhattan distance, then verified exactly.
+Grid: the vector is cut into ``G`` groups of segments. Two embeddings within ``radius`` lie within
+``t = radius // G`` in one group at least. For each group every point enters its own cell of the
+grid (its counts) and all neighbour cells within ``ceil(t / 2)``; two points within ``t`` meet in
+the middle, in a cell that both enter. Within a cell pairs are compared by Manhattan distance, then
+verified exactly. ``G`` follows the number of points: it changes the cost, never the links.
 
 Equal fingerprints are one point. A cell gives the links of a spanning forest, not its pairs; a
 cell of many points is dealt to several tasks as pairs of slices.
 
-``deduplicate`` goes by the similarity of shingle sets instead: cells of least hashes and sketches
-of one bit of each propose pairs, and the sets themselves decide.
+``deduplicate`` goes by the similarity of shingle sets instead, which fingerprints of 64 bits do
+not tell well enough: cells of least hashes and sketches of one bit of each propose pairs, and the
+sets themselves decide.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyframe.llm.common import in_small_batches, stored
+from tallyframe.llm.common import frames, stored
 from tallyframe.llm.components import connected
 
 SEED = 42
@@ -63,35 +62,23 @@ def shingle_hashes(words: list[bytes], k: int) -> list[int]:
     return [digest(joined[i:j], SEED) for i, j in zip(starts, ends[k - 1 :])]
 
 
-def _lane(h: np.ndarray, lane: int) -> np.ndarray:
-    """Further 64 bits of a hash; lane 0 is the hash itself."""
-    if not lane:
-        return h
-    with np.errstate(over="ignore"):
-        x = h + np.uint64(0x9E3779B97F4A7C15) * np.uint64(lane)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
-def votes(hashes: list[list[int]], lanes: int = 1) -> np.ndarray:
-    """Fingerprints, a column for each lane: a bit is set if it is set in over half of a document's hashes; none: zero."""
-    out = np.zeros((len(hashes), lanes), np.uint64)
+def votes(hashes: list[list[int]]) -> np.ndarray:
+    """Fingerprints: a bit is set if it is set in over half of a document's hashes; none: zero."""
+    out = np.zeros(len(hashes), np.uint64)
     sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
     some = np.flatnonzero(sizes)
     if not len(some):
         return out
     flat = np.fromiter((h for hs in hashes for h in hs), np.uint64, int(sizes.sum()))
     starts = (np.cumsum(sizes[some]) - sizes[some]).astype(np.int64)
-    for lane in range(lanes):
-        bits = np.unpackbits(_lane(flat, lane).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        out[some, lane] = np.packbits(counts * 2 > sizes[some][:, None], axis=1, bitorder="little").view("<u8").ravel()
+    bits = np.unpackbits(flat.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    counts = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+    out[some] = np.packbits(counts * 2 > sizes[some][:, None], axis=1, bitorder="little").view("<u8").ravel()
     return out
 
 
-def fingerprints(docs: DataFrame, words: int, lanes: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``k`` (the key) and ``fp0``, ``fp1``, ... (the fingerprint's lanes as signed longs) of every document; null texts count as empty."""
+def fingerprints(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``k`` (the key) and ``fp`` (the fingerprint as a signed long) of every document; null texts count as empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -100,73 +87,88 @@ def fingerprints(docs: DataFrame, words: int, lanes: int = 1, key: str = "doc_id
                 group.append(shingle_hashes(words_of(t), words))
                 held += len(group[-1])
                 if held > 200_000:
-                    out.append(votes(group, lanes))
+                    out.append(votes(group))
                     held, group = 0, []
-            out.append(votes(group, lanes))
-            fp = np.concatenate(out).view(np.int64)
-            yield pd.DataFrame({"k": pdf["k"].astype("Int64")} | {f"fp{i}": fp[:, i] for i in range(lanes)})
+            out.append(votes(group))
+            yield pd.DataFrame({"k": pdf["k"], "fp": np.concatenate(out).view(np.int64)})
 
-    return in_small_batches(docs).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(run, "k long, " + ", ".join(f"fp{i} long" for i in range(lanes)))
+    return frames(docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")), run, "k long, fp long")
 
 
-def thermometer(fp):
-    """The embedding of a fingerprint column: per two bits their count, as 00, 01 or 11."""
-    low = F.lit(0x5555555555555555).cast("long")
-    shifted = F.shiftrightunsigned(fp, 1)
-    return fp.bitwiseOR(shifted).bitwiseAND(low).bitwiseOR(F.shiftleft(fp.bitwiseAND(shifted).bitwiseAND(low), 1))
+_LOW = 0x5555555555555555
 
 
-def embedding(fp: np.ndarray) -> np.ndarray:
-    low = np.uint64(0x5555555555555555)
-    s = fp >> np.uint64(1)
-    return ((fp | s) & low) | ((fp & s & low) << np.uint64(1))
+def _long(x: int) -> Column:
+    return F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
 
 
-def tables(points: int, radius: int) -> list[int]:
-    """Masks of the grid's tables: the number of blocks that makes emitting and comparing cheapest for so many points.
+def embedded(fp: Column) -> Column:
+    """The counts of all segments, two bits each."""
+    next_ = F.shiftrightunsigned(fp, 1)
+    return fp.bitwiseXOR(next_).bitwiseAND(_long(_LOW)).bitwiseOR(F.shiftleft(fp.bitwiseAND(next_).bitwiseAND(_long(_LOW)), 1))
 
-    Two random embeddings agree on a segment with probability 3/8. Emitting and sorting a row
-    is taken to cost as much as 200 comparisons. Every choice finds the same links.
-    """
 
-    def cost(m: int) -> float:
-        agree = 0.375 ** (SEGMENTS * (m - radius) / m)
-        return math.comb(m, radius) * points * (200 + points * agree / 2)
+def neighbours(cell: Column, segments: int) -> Column:
+    """The cell itself and all cells with one count one higher or lower."""
+    out = [cell]
+    for i in range(segments):
+        count = F.shiftrightunsigned(cell, 2 * i).bitwiseAND(_long(3))
+        out.append(F.when(count < 2, cell.bitwiseXOR(_long(1 << 2 * i))))  # 0 to 1, 1 to 0
+        out.append(F.when(count > 0, cell.bitwiseXOR(_long(3 << 2 * i))))  # 1 to 2, 2 to 1
+    return F.array_compact(F.array(*out))
+
 
-    m = min(range(radius + 1, radius + 9), key=cost)
-    edges = [round(i * SEGMENTS / m) for i in range(m + 1)]
-    blocks = [((1 << 2 * (b - a)) - 1) << 2 * a for a, b in zip(edges, edges[1:])]
-    masks = [sum(c) for c in combinations(blocks, m - radius)]
-    return [x - (1 << 64) if x >> 63 else x for x in masks]
+def groups_for(points: int, radius: int) -> int:
+    """Groups of the grid for which entering and comparing so many points is cheapest.
+
+    Two random fingerprints have equal counts in a segment with probability 3/8. A row that enters
+    a cell is taken to cost as much as 200 comparisons.
+    """
+
+    def cost(groups: int) -> float:
+        size, steps = SEGMENTS // groups, -(-(radius // groups) // 2)
+        cells = sum((1.5 * size) ** i / (i or 1) for i in range(steps + 1))
+        return groups * cells * (200 + points * cells * 0.375**size / 2)
+
+    return min((1, 2, 4), key=cost)
+
+
+def cells_entered(points: DataFrame, groups: int, radius: int) -> DataFrame:
+    """fp, table, cell of all cells that the points ``fp`` enter."""
+    size, steps = SEGMENTS // groups, -(-(radius // groups) // 2)
+    out = None
+    for g in range(groups):
+        own = F.shiftrightunsigned(embedded(F.col("fp")), 2 * size * g).bitwiseAND(_long((1 << 2 * size) - 1))
+        placed = points.select("fp", own.alias("cell"))
+        for step in range(steps):
+            placed = placed.select("fp", F.explode(neighbours(F.col("cell"), size)).alias("cell"))
+            placed = placed.distinct() if step else placed
+        placed = placed.select("fp", F.lit(g).alias("table"), "cell")
+        out = placed if out is None else out.union(placed)
+    return out
 
 
 def cell_links(cell: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
-    """Rows (a, b) of a spanning forest of the links within each cell; ``cell`` ascends; fp: rows of lanes."""
+    """Rows (a, b) of a spanning forest of the links within each cell; ``cell`` ascends."""
     n = len(cell)
-    lanes = [np.ascontiguousarray(fp[:, i]) for i in range(fp.shape[1])]
-    embedded = [embedding(x) for x in lanes]
+    low = np.uint64(_LOW)
+    # counts in unary (00, 01, 11): the differing bits of two such words are their Manhattan distance
+    unary = ((fp | fp >> np.uint64(1)) & low) | ((fp & fp >> np.uint64(1) & low) << np.uint64(1))
     starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
     ends = np.append(starts[1:], n)
     left = np.repeat(ends, ends - starts) - np.arange(n)  # rows from here to the cell's end
     label = np.arange(n)
     links = []
-
-    def near(i: np.ndarray, d: int, words: list[np.ndarray]) -> np.ndarray:
-        total = np.zeros(len(i), np.int32)
-        for x in words:
-            total += np.bitwise_count(x[i] ^ x[i + d])
-            i, total = i[total <= radius], total[total <= radius]
-        return i
-
     at, d = np.arange(n), 1
     while True:
         at = at[left[at] > d]
         if not len(at):
             break
-        i = near(at[label[at] != label[at + d]], d, embedded)  # Manhattan distance
-        i = near(i, d, lanes)
+        i = at[label[at] != label[at + d]]
+        i = i[np.bitwise_count(unary[i] ^ unary[i + d]) <= radius]
+        i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= radius]
         if len(i):
-            for x, y in zip(i.tolist(), (i + d).tolist()):
+            for x, y in zip(i.tolist(), (i + d).tolist(), strict=True):
                 a, b = x, y
                 while label[a] != a:
                     a = int(label[a])
@@ -184,32 +186,30 @@ def cell_links(cell: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
     return np.array(links, np.int64).reshape(-1, 2)
 
 
-def links(points: DataFrame, radius: int, grid: list[tuple[int, int]]) -> DataFrame:
-    """Links that span the same components as all pairs of ``points`` (node, fp0, ...) that share a cell and lie within ``radius`` bits: a, b."""
-    lanes = [c for c in points.columns if c.startswith("fp")]
-    embedded = [thermometer(F.col(c)) for c in lanes]
-    cells = points.select("node", *lanes, F.posexplode(F.array(*[embedded[i].bitwiseAND(F.lit(m).cast("long")) for i, m in grid])).alias("table", "cell"))
-    # cells of more than SLICE points: at most points * tables / SLICE of them
+def links(points: DataFrame, radius: int, groups: int) -> DataFrame:
+    """Links that span the same components as all pairs of ``points.fp`` (distinct) within ``radius`` bits: a, b."""
+    cells = cells_entered(points.select("fp"), groups, radius)
+    # cells of more than SLICE points: at most points * cells of a point / SLICE of them
     large = cells.groupBy(F.col("table").alias("l_table"), F.col("cell").alias("l_cell")).count().filter(F.col("count") > SLICE)
     joined = cells.join(large, (F.col("table") == F.col("l_table")) & (F.col("cell") == F.col("l_cell")), "left")
     slices = F.coalesce(F.ceil(F.col("count") / SLICE), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("node"), slices).cast("int")
+    own = F.pmod(F.xxhash64("fp"), slices).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), slices - 1), lambda x: F.least(x, own) * slices + F.greatest(x, own))
-    dealt = joined.select("node", *lanes, "table", "cell", F.explode(pairs).alias("pair"))
+    dealt = joined.select("fp", "table", "cell", F.explode(pairs).alias("pair"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def found(group: pd.DataFrame) -> pd.DataFrame:
             change = np.zeros(len(group), np.int64)
             change[1:] = (np.diff(group["table"]) != 0) | (np.diff(group["cell"]) != 0) | (np.diff(group["pair"]) != 0)
-            node = group["node"].to_numpy()
-            pairs = cell_links(np.cumsum(change), group[lanes].to_numpy().view(np.uint64), radius)
-            return pd.DataFrame({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]}).drop_duplicates()
+            fp = group["fp"].to_numpy()
+            pairs = cell_links(np.cumsum(change), fp.view(np.uint64), radius)
+            return pd.DataFrame({"a": fp[pairs[:, 0]], "b": fp[pairs[:, 1]]}).drop_duplicates()
 
         held: list[pd.DataFrame] = []
         for pdf in batches:
             # the last cell of a batch may go on in the next
-            key = pdf[["table", "cell", "pair"]]
-            tail = (key == key.iloc[-1]).all(axis=1).to_numpy()
+            key = pdf[["table", "cell", "pair"]].to_numpy()
+            tail = (key == key[-1]).all(axis=1)
             if tail.all():
                 held.append(pdf)
                 continue
@@ -219,19 +219,8 @@ def links(points: DataFrame, radius: int, grid: list[tuple[int, int]]) -> DataFr
         if held:
             yield found(pd.concat(held, ignore_index=True))
 
-    together = dealt.repartition("table", "cell", "pair").sortWithinPartitions("table", "cell", "pair", "node")
-    return together.mapInPandas(run, "a long, b long")
-
-
-def components(fps: DataFrame, radius: int) -> DataFrame:
-    """node (of a distinct fingerprint) and component_id (least key of its component) for stored fingerprints with a ``node`` column."""
-    lanes = [c for c in fps.columns if c.startswith("fp")]
-    points = stored(fps.groupBy("node", *lanes).agg(F.min("k").alias("first")), "points")
-    grid = [(0, m) for m in tables(points.count(), radius)]
-    roots = connected(links(points.drop("first"), radius, grid))
-    rooted = points.join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return stored(rooted.join(least, "root").select(F.col("node").alias("p_node"), "component_id"), "components")
+    together = dealt.repartition("table", "cell", "pair").sortWithinPartitions("table", "cell", "pair", "fp")
+    return frames(together, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -242,9 +231,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, key: str =
     are kept, rows with a null key belong to their component without naming it (a component of
     null keys only has a null id), other columns are ignored and an empty table gives no rows.
     """
-    fps = stored(fingerprints(docs, words, 1, key, text).withColumn("node", F.col("fp0")), "fingerprints")
-    named = components(fps, radius)
-    return fps.join(named, F.col("node") == F.col("p_node")).select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
+    fps = stored(fingerprints(docs, words, key, text), "fingerprints")
+    points = stored(fps.groupBy("fp").agg(F.min("k").alias("first")), "points")
+    roots = connected(links(points.select("fp"), radius, groups_for(points.count(), radius)))
+    rooted = points.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = stored(rooted.join(least, "root").select(F.col("fp").alias("p_fp"), "component_id"), "components")
+    return fps.join(named, F.col("fp") == F.col("p_fp")).select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 _MULTIPLIERS = np.random.default_rng(11).integers(0, 1 << 31, LEAST, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -290,10 +283,7 @@ def sketches(keyed: DataFrame, words: int) -> DataFrame:
             cells = [c if len(x) else c[:0] for c, x in zip(cells_of(least), sets)]
             yield pd.DataFrame({"k": pdf["k"], "h": pdf["h"], "node": node, "cells": cells} | {c: fp[:, i] for i, c in enumerate(lanes)})
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return run(pdf for pdf in batches if len(pdf))
-
-    return in_small_batches(keyed).mapInPandas(whole, "k long, h long, node long, cells array<long>, " + ", ".join(f"{c} long" for c in lanes))
+    return frames(keyed, run, "k long, h long, node long, cells array<long>, " + ", ".join(f"{c} long" for c in lanes))
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -303,7 +293,7 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"node": pdf["node"], "s": [shingle_set(t, words).view(np.int64) for t in pdf["t"].tolist()]})
 
-    return in_small_batches(texts).mapInPandas(run, "node long, s array<long>").dropDuplicates(["node"])
+    return frames(texts, run, "node long, s array<long>").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

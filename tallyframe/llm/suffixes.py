@@ -2,20 +2,21 @@
 
 A passage is repeated where ``size`` bytes that start at a position also start elsewhere. Prefix
 doubling ranks positions by ever longer prefixes, a longer rank being the pair of the ranks of
-its halves, and drops positions whose prefix is unique. Three rounds of that are sorted by Spark:
+its halves, and drops positions whose prefix is unique:
 
 1. Phrases. Cut points are where a hash of the next 16 bytes is small, so they follow the
-   content; a phrase runs from one cut to the end of the next one's 16 bytes. Phrases are sorted
-   by rank (hash) and unique ones dropped: no window of ``size`` bytes over a unique phrase
-   is repeated.
-2. Runs. In each text the ranks of 1, 2, 4, ... phrases are paired up until past the threshold:
-   for each phrase the least run that holds every window starting in the phrase, named by the
-   pair of ranks of its two overlapping halves. If its name is repeated, so are all those windows.
-3. Windows. Positions that neither round decided are ranked by the pair of ranks of their two
-   halves of ``size / 2`` bytes.
-
-Texts with equal content are one text with several copies. Each round sorts rows of hashes and
-places, and streams through the sorted rows; nothing is gathered by key.
+   content; a phrase runs from one cut to the end of the next one's 16 bytes. Its rank is its
+   hash. Unique ones are dropped: no window of ``size`` bytes over a unique phrase is repeated.
+2. Rounds. Spark sorts the rank pairs of the positions of phrases and 1, 2, 4, ... phrases on,
+   numbers different pairs densely in that order, and drops positions whose pair is unique. The
+   new ranks go into the next round at twice the offset, until past the threshold: for each phrase
+   the least run that holds every window starting in it is a pair of overlapping ranks of its
+   level. If that pair is repeated, so are all those windows.
+3. Windows. Positions that the rounds did not decide are ranked by the pair of ranks of their
+   two halves of ``size / 2`` bytes, in one more sort.
+
+Texts with equal content are one text with several copies. Sorts take the place as the last
+key, so a rank that holds a third of all rows lies over as many tasks as it needs.
 
 ``deduplicate_words`` does the same with words in place of bytes: of every window of words the
 gram with the least hash is ranked first, and only windows whose gram is repeated are ranked whole.
@@ -26,14 +27,16 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import in_small_batches, stored
+from tallyframe.llm.common import discard, extended, frames, stored
 
 SIZE = 400
 #: Bytes that decide a cut; a window has about so many cuts.
@@ -83,16 +86,16 @@ def _place(c: int, at: np.ndarray) -> np.ndarray:
     return (np.uint64(c) << np.uint64(32) | at.astype(np.uint64)).view(np.int64)
 
 
-def _spread(pdf: pd.DataFrame, ranks: list[str]) -> pd.DataFrame:
+def _spread(pdf: pd.DataFrame, ranks: list[str], first: int = 2) -> pd.DataFrame:
     """Rows of a rank that a frame holds more than twice are dealt by place from the third on: bits 40 and up of ``n``.
 
-    The first two, at different places, go where the rank is judged and make it repeated there.
+    The ``first`` two, at different places, go where the rank is judged and make it repeated there.
     """
     nth = pdf.groupby(ranks, sort=False).cumcount().to_numpy()
     with np.errstate(over="ignore"):
         place = (pdf["d"].to_numpy().view(np.uint64) ^ pdf["e"].to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
     far = (place >> np.uint64(44)).astype(np.int64) + 1
-    return pdf.assign(n=pdf["n"].to_numpy() | np.where(nth < 2, 0, far) << SALT)
+    return pdf.assign(n=pdf["n"].to_numpy() | np.where(nth < first, 0, far) << SALT)
 
 
 def phrases(keyed: DataFrame, size: int) -> DataFrame:
@@ -116,7 +119,7 @@ def phrases(keyed: DataFrame, size: int) -> DataFrame:
             if hs:
                 yield _spread(pd.DataFrame({"h": _signed(hs), "d": np.concatenate(ds), "e": np.concatenate(es), "n": np.concatenate(ns)}), ["h"])
 
-    return keyed.select("raw", "d", "c").mapInPandas(run, "h long, d long, e long, n long")
+    return frames(keyed.select("raw", "d", "c"), run, "h long, d long, e long, n long")
 
 
 def repeated(rows: DataFrame, ranks: list[str]) -> DataFrame:
@@ -184,68 +187,146 @@ def repeated(rows: DataFrame, ranks: list[str]) -> DataFrame:
 
     order = [*given, F.shiftright("n", SALT)] if salted else given
     together = rows.repartition(*order).sortWithinPartitions(*order, "d", "e")
-    return together.mapInPandas(run, rows.schema).select(*names)
-
-
-def _chains(e: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """True where a phrase directly follows the one before."""
-    go = np.zeros(len(e), bool)
-    go[1:] = e[:-1] + n[:-1] == e[1:]
-    return go
-
-
-def runs(repeated_phrases: DataFrame, size: int) -> DataFrame:
-    """r1, r2, d, e, n of the least run from each phrase that holds all windows starting in it, if its phrases are all repeated."""
-    mult = np.uint64(0x9E3779B97F4A7C15)
-
-    def names(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[~pdf.duplicated(["d", "e"])]
-        h, e, n = pdf["h"].to_numpy().view(np.uint64), pdf["e"].to_numpy(), pdf["n"].to_numpy()
-        follow = _chains(e, n) & (pdf["d"].to_numpy() == np.roll(pdf["d"].to_numpy(), 1))
-        total = len(e)
-        chain = np.cumsum(~follow)
-        end = np.append(np.flatnonzero(~follow)[1:], total)[chain - 1]  # one past the chain's last phrase
-        # the least m with bytes(e .. e_m) + GRAM >= n - 1 + size
-        stop = np.cumsum(n) + 0
-        before = stop - n
-        m = np.searchsorted(stop, before + n - 1 + size - GRAM, "left") - np.arange(total) + 1
-        ok = np.arange(total) + m <= end
-        r1, r2 = np.zeros(total, np.uint64), np.zeros(total, np.uint64)
-        level, width = h, 1
-        with np.errstate(over="ignore"):
-            while True:
-                # runs of width..2 * width - 1 phrases: two overlapping runs of ``width``
-                now = np.flatnonzero(ok & (m >= width) & (m < 2 * width))
-                r1[now], r2[now] = level[now], level[now + m[now] - width] + m[now].astype(np.uint64) * mult
-                if total <= 2 * width or not (ok & (m >= 2 * width)).any():
-                    break
-                pair = level.copy()
-                a, b = level[:-width], level[width:]
-                x = (a ^ (a >> np.uint64(29))) * mult + b
-                pair[:-width] = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-                level, width = pair, 2 * width
-        # what comes next in the run: rank and bytes
-        more = ok & (m > 1)
-        hn, nn = np.zeros(total, np.uint64), np.full(total, 1 << 40)
-        hn[more], nn[more] = h[np.flatnonzero(more) + 1], n[np.flatnonzero(more) + 1]
-        named = pd.DataFrame({"r1": r1.view(np.int64), "r2": r2.view(np.int64), "d": pdf["d"].to_numpy(), "e": e, "n": n, "hn": hn.view(np.int64), "nn": nn})
-        return _spread(named[ok], ["r1", "r2"])
+    return frames(together, run, rows.schema).select(*names)
+
+
+def ranked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``rows`` (places d, e) whose ``keys`` stand at several places, without ``keys``, with ``r``: their dense rank in Spark's sort.
+
+    Sorting goes by keys and place, so equal keys may lie in several partitions. Each partition
+    numbers its groups; one row from each tells the driver its number of groups and outermost keys,
+    from which follow the ranks before it and whether its outermost groups go on in a neighbour.
+    """
+    rest = [f for f in rows.schema.fields if f.name not in keys]
+    ends = [f"{x}{i}" for x in ("low", "high") for i in range(len(keys))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        first = last = waiting = None
+        part, group, last_rows = TaskContext.get().partitionId(), -1, 0
+        none = dict.fromkeys(["groups", *ends])
         for pdf in batches:
-            tail = (pdf["d"] == pdf["d"].iloc[-1]).to_numpy()
-            if tail.all():
-                held.append(pdf)
-                continue
-            cut = int(np.flatnonzero(~tail)[-1]) + 1
-            yield names(pd.concat([*held, pdf.iloc[:cut]], ignore_index=True))
-            held = [pdf.iloc[cut:]]
-        if held:
-            yield names(pd.concat(held, ignore_index=True))
+            key = pdf[keys].to_numpy()
+            new = np.ones(len(pdf), bool)
+            new[1:] = (key[1:] != key[:-1]).any(axis=1)
+            new[0] = tuple(key[0]) != last
+            number = group + np.cumsum(new)
+            at = number - number[0]
+            rows_of = np.bincount(at)
+            rows_of[0] += 0 if new[0] else last_rows
+            many = rows_of[at] > 1
+            out = pdf.drop(columns=keys).assign(p=part, g=number, many=many, **none)
+            if waiting is not None:  # the one row so far of the last group
+                yield waiting.assign(many=not new[0])
+            alone = (at == at[-1]) & (rows_of[-1] == 1)
+            waiting = out[alone] if alone.any() else None
+            keep = (many | (number == 0)) & ~alone
+            if keep.any():
+                yield out[keep]
+            first = tuple(key[0]) if first is None else first
+            group, last, last_rows = int(number[-1]), tuple(key[-1]), int(rows_of[-1])
+        if waiting is not None:
+            yield waiting
+        if last is not None:
+            yield pd.DataFrame([dict.fromkeys(f.name for f in rest) | {"p": part, "g": None, "many": None, "groups": group + 1} | dict(zip(ends, [*first, *last], strict=True))], dtype=object)
+
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in rest], "p int, g long, many boolean, groups long", *[f"{c} long" for c in ends]])
+    numbered = stored(frames(rows.repartitionByRange(*keys, "d", "e").sortWithinPartitions(*keys, "d", "e"), run, schema), name)
+    marks, total, before = [], 0, None
+    for r in numbered.filter("groups is not null").orderBy("p").collect():
+        low, high = (tuple(r[f"{x}{i}"] for i in range(len(keys))) for x in ("low", "high"))
+        joined = low == before
+        if joined:
+            marks[-1][-1] = True
+        marks.append([r["p"], total - joined, joined, r["groups"] - 1, False])
+        total, before = total - joined + r["groups"], high
+    at = F.broadcast(numbered.sparkSession.createDataFrame(marks, "o_p int, o_off long, o_first boolean, o_g long, o_last boolean"))
+    several = F.col("many") | ((F.col("g") == 0) & F.col("o_first")) | ((F.col("g") == F.col("o_g")) & F.col("o_last"))
+    out = numbered.filter("groups is null").join(at, F.col("p") == F.col("o_p")).filter(several).select(*[f.name for f in rest], (F.col("o_off") + F.col("g")).alias("r"))
+    out.stored_at = numbered.stored_at
+    return out
+
+
+def _by_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of rows that ascend by text, cut between texts only."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        tail = (pdf["d"] == pdf["d"].iloc[-1]).to_numpy()
+        if tail.all():
+            held.append(pdf)
+            continue
+        cut = int(np.flatnonzero(~tail)[-1]) + 1
+        yield pd.concat([*held, pdf.iloc[:cut]], ignore_index=True)
+        held = [pdf.iloc[cut:]]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def started(seen: DataFrame, size: int) -> DataFrame:
+    """d, e, n of every repeated phrase once; its rank r; b, bytes to the end of what r ranks; ``level`` and ``o``.
+
+    The least run from the phrase that holds all windows starting in it is the pair of ranks of
+    2 ** level phrases at the phrase and ``o`` bytes on; level -1: the next phrases are not all repeated.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _by_text(batches):
+            pdf = pdf[~pdf.duplicated(["d", "e"])]
+            d, e, n = (pdf[c].to_numpy() for c in "den")
+            total = len(e)
+            follow = np.zeros(total, bool)
+            follow[1:] = (e[:-1] + n[:-1] == e[1:]) & (d[:-1] == d[1:])
+            chain = np.cumsum(~follow)
+            end = np.append(np.flatnonzero(~follow)[1:], total)[chain - 1]  # one past the chain's last phrase
+            # the least m with bytes(e .. e_m) + GRAM >= n - 1 + size
+            stop = np.cumsum(n)
+            before = stop - n
+            m = np.searchsorted(stop, before + n - 1 + size - GRAM, "left") - np.arange(total) + 1
+            ok = np.arange(total) + m <= end
+            level = np.where(ok, np.frexp(m.astype(float))[1] - 1, -1)
+            second = np.arange(total) + np.where(ok, m - (1 << np.maximum(level, 0)), 0)
+            yield pd.DataFrame({"d": d, "e": e, "n": n, "r": pdf["h"].to_numpy(), "b": n, "level": level.astype(np.int32), "o": before[second] - before})
+
+    by_text = seen.repartition("d").sortWithinPartitions("d", "e")
+    return frames(by_text, run, "d long, e long, n long, r long, b long, level int, o long")
+
+
+def paired(rows: DataFrame, level: int) -> DataFrame:
+    """Rank pairs (r1, r2 and the offset between them) of the rows of a level: for the next level (final false), and for the phrases that end at this one (final true)."""
 
-    by_text = repeated_phrases.repartition("d").sortWithinPartitions("d", "e")
-    return by_text.mapInPandas(run, "r1 long, r2 long, d long, e long, n long, hn long, nn long")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _by_text(batches):
+            d, e, r, b, o = (pdf[c].to_numpy() for c in ("d", "e", "r", "b", "o"))
+            change = np.ones(len(pdf), bool)
+            change[1:] = (d[1:] != d[:-1]) | (e[1:] >> 32 != e[:-1] >> 32)
+            place = (np.cumsum(change) << 32) | (e & 0xFFFFFFFF)
+            for final, step in ((False, b), (True, o)):
+                # phrases that end at an earlier level are done, and later ones go on
+                at = np.flatnonzero(pdf["level"].to_numpy() == level) if final else np.arange(len(pdf))
+                other = np.minimum(np.searchsorted(place, place[at] + step[at]), len(place) - 1)
+                hit = place[other] == place[at] + step[at]
+                i, j = at[hit], other[hit]
+                if len(i):
+                    yield pd.DataFrame({"r1": r[i], "r2": r[j], "step": step[i], "final": final, "d": d[i], "e": e[i], "n": pdf["n"].to_numpy()[i], "b": b[i] + b[j], "level": pdf["level"].to_numpy()[i], "o": o[i]})
+
+    by_text = rows.repartition("d").sortWithinPartitions("d", "e")
+    return frames(by_text, run, "r1 long, r2 long, step long, final boolean, d long, e long, n long, b long, level int, o long")
+
+
+def settled_phrases(seen: DataFrame, size: int) -> DataFrame:
+    """level and r (the name of a run), d, e, n of the phrases whose run is repeated, by rounds of prefix doubling."""
+    rows, level, ended, tables = stored(started(seen, size), "ranks-0"), 0, [], []
+    tables.append(rows)
+    while (rows.agg(F.max("level")).first()[0] or 0) >= max(level, 1):
+        pairs = stored(paired(rows, level), f"pairs-{level}")
+        judged = ranked(pairs, ["r1", "r2", "step"], f"ranks-{level + 1}")
+        discard(pairs)
+        tables.append(judged)
+        ended.append(judged.filter("final").select(F.lit(level).alias("level"), "r", "d", "e", "n"))
+        rows, level = judged.filter(~F.col("final")).drop("final"), level + 1
+    none = rows.limit(0).select(F.lit(0).alias("level"), "r", "d", "e", "n")
+    out = stored(reduce(DataFrame.union, ended, none), "runs")
+    discard(*tables)
+    return out
 
 
 def partners(seen: DataFrame, settled: DataFrame, size: int) -> DataFrame:
@@ -257,22 +338,27 @@ def partners(seen: DataFrame, settled: DataFrame, size: int) -> DataFrame:
     """
     after = settled.select("d", (F.col("e") + F.col("n")).alias("e"))
     open_ = seen.join(after, ["d", "e"], "left_anti").select(F.col("h").alias("hn")).distinct()
-    one = settled.groupBy("r1", "r2").agg(F.min(F.struct("d", "e", "n", "hn", "nn")).alias("one")).select("one.*")
+    one = settled.groupBy("level", "r").agg(F.min(F.struct("d", "e", "n")).alias("one")).select("one.*")
+    follow = seen.dropDuplicates(["d", "e"]).select(F.col("d").alias("x_d"), F.col("e").alias("x_e"), F.col("h").alias("hn"), F.col("n").alias("nn"))
+    one = one.join(follow, (F.col("d") == F.col("x_d")) & (F.col("e") + F.col("n") == F.col("x_e")))
     long = F.col("n") + F.col("nn") + GRAM > size
     return one.filter(long).select("d", "e").union(one.filter(~long).join(open_, "hn", "left_semi").select("d", "e"))
 
 
 def windows(texts: DataFrame, size: int) -> DataFrame:
-    """r1, r2, d, e of every window that is neither over a unique phrase nor known to be repeated.
+    """r1, r2, d, e, n of every window that is neither over a unique phrase nor known to be repeated.
 
     ``texts``: raw, d, c, ``seen`` (starts of its repeated phrases) and ``settled`` (starts of
     phrases all of whose windows are repeated; without those that others are compared with).
+    The third and later of equal windows in one text are repeated; neighbours among them are one
+    row of ``n`` windows, so a long run of one character is few rows.
     """
     half = size // 2
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts: list[pd.DataFrame] = []
+        held = 0
         for pdf in batches:
-            r1, r2, ds, es = [], [], [], []
             for raw, d, c, seen, settled in zip(pdf["raw"], pdf["d"].tolist(), pdf["c"].tolist(), pdf["seen"], pdf["settled"], strict=True):
                 last = len(raw) - size
                 at = cuts(raw, size)
@@ -292,17 +378,29 @@ def windows(texts: DataFrame, size: int) -> DataFrame:
                 left = np.flatnonzero(np.cumsum(out[:-1]) == 0)
                 if len(left):
                     i = left.tolist()
-                    r1 += [xxhash.xxh64_intdigest(raw[x : x + half]) for x in i]
-                    r2 += [xxhash.xxh64_intdigest(raw[x + half : x + size]) for x in i]
-                    ds.append(np.full(len(i), d, np.int64))
-                    es.append(_place(c, left))
-                if len(r1) > 500_000:
-                    yield pd.DataFrame({"r1": _signed(r1), "r2": _signed(r2), "d": np.concatenate(ds), "e": np.concatenate(es)})
-                    r1, r2, ds, es = [], [], [], []
-            if r1:
-                yield pd.DataFrame({"r1": _signed(r1), "r2": _signed(r2), "d": np.concatenate(ds), "e": np.concatenate(es)})
+                    ranks = pd.DataFrame({"r1": _signed([xxhash.xxh64_intdigest(raw[x : x + half]) for x in i]), "r2": _signed([xxhash.xxh64_intdigest(raw[x + half : x + size]) for x in i])})
+                    known = (ranks.groupby(["r1", "r2"], sort=False).cumcount() >= 2).to_numpy()
+                    ranks = ranks.assign(d=d, e=_place(c, left), n=1)
+                    if known.any():
+                        more = left[known]
+                        begin = np.flatnonzero(np.append(True, np.diff(more) != 1))
+                        runs = ranks[known].iloc[begin].assign(n=np.diff(np.append(begin, len(more))))
+                        parts.append(_spread(runs, ["r1", "r2"], 0))
+                        ranks = ranks[~known]
+                    parts.append(ranks)
+                    held += len(ranks)
+                if held > 200_000:
+                    yield pd.concat(parts, ignore_index=True)
+                    parts, held = [], 0
+        if parts:
+            yield pd.concat(parts, ignore_index=True)
 
-    return texts.mapInPandas(run, "r1 long, r2 long, d long, e long")
+    def salted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in run(batches):
+            fresh = pdf["n"].to_numpy() >> SALT == 0
+            yield pd.concat([pdf[~fresh], _spread(pdf[fresh], ["r1", "r2"])], ignore_index=True)
+
+    return frames(texts, salted, "r1 long, r2 long, d long, e long, n long")
 
 
 def _c(e: Column) -> Column:
@@ -321,7 +419,7 @@ def spans(keyed: DataFrame, size: int) -> DataFrame:
     """
     long = keyed.filter(F.length("raw") >= size)
     seen = stored(repeated(phrases(long, size), ["h"]), "phrases")
-    settled = stored(repeated(runs(seen, size), ["r1", "r2"]), "runs")
+    settled = settled_phrases(seen, size)
     done = settled.select("d", "e").join(partners(seen, settled, size), ["d", "e"], "left_anti")
     marks = seen.select("d", "e", F.lit(False).alias("settled")).union(done.select("d", "e", F.lit(True)))
     places = marks.groupBy("d", _c(F.col("e")).alias("c")).agg(
@@ -334,7 +432,7 @@ def spans(keyed: DataFrame, size: int) -> DataFrame:
     flags = stored(copies.join(places, ["d", "c"], "left").select("d", "c", "one", "copies", F.coalesce("seen", empty).alias("seen"), F.coalesce("settled", empty).alias("settled")), "flags")
     chosen = keyed.join(flags, ["d", "c"]).filter(name <= F.col("one")).select("raw", "d", "c", "seen", "settled")
     ranked = repeated(windows(chosen, size), ["r1", "r2"])
-    single = ranked.select("d", _c(F.col("e")).alias("c"), _at(F.col("e")).alias("first"), _at(F.col("e")).alias("last"))
+    single = ranked.select("d", _c(F.col("e")).alias("c"), _at(F.col("e")).alias("first"), (_at(F.col("e")) + F.col("n").cast("int") - 1).alias("last"))
     whole = settled.select("d", _c(F.col("e")).alias("c"), _at(F.col("e")).alias("first"), (_at(F.col("e")) + F.col("n").cast("int") - 1).alias("last"))
     lists = single.union(whole).groupBy("d", "c").agg(F.collect_list(F.struct("first", "last")).alias("at"))
     several = flags.filter("copies > 1").select("d", "c", "copies")
@@ -364,32 +462,32 @@ def deduplicate(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text: st
     columns of clashing names are replaced by the results, an empty table gives no rows.
     ``kept`` may end inside a UTF-8 character where a passage does.
     """
+    if size < 4 * GRAM:
+        raise ValueError(f"passages have {4 * GRAM} bytes at least")
     results = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"} | ({"kept": "binary"} if keep else {})
-    rest = [f for f in docs.schema.fields if keep and f.name not in {*results, key}]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for raw, copies, starts, ends in zip(pdf["raw"], pdf["copies"].fillna(0).tolist(), pdf["starts"], pdf["ends"], strict=True):
-                cut = _removed(len(raw), copies, starts, ends, size)
-                kept, at = [], 0
-                for i, j in cut:
-                    kept.append(raw[at:i])
-                    at = j
-                kept.append(raw[at:])
-                rest_ = b"".join(kept)
-                rows.append((len(raw), len(raw) - len(rest_), len(cut), hashlib.sha256(rest_).hexdigest(), *([rest_] if keep else [])))
-            out = pd.DataFrame(rows, columns=list(results))
-            names = [f"_{i}" for i in range(len(rest))]
-            yield pd.concat([pdf[["k", *names]].reset_index(drop=True), out], axis=1)
+    rest = [f.name for f in docs.schema.fields if keep and f.name not in {*results, key}]
+    own = [f"_{i}" for i in range(len(rest))]
+
+    def run(columns: list[list]) -> dict[str, list]:
+        rows = []
+        for raw, copies, starts, ends in zip(*columns, strict=True):
+            cut = _removed(len(raw), copies or 0, starts, ends, size)
+            kept, at = [], 0
+            for i, j in cut:
+                kept.append(raw[at:i])
+                at = j
+            kept.append(raw[at:])
+            left = b"".join(kept)
+            rows.append((len(raw), len(raw) - len(left), len(cut), hashlib.sha256(left).hexdigest(), left))
+        return {name: [r[i] for r in rows] for i, name in enumerate(results)}
 
     # the same rows, dealt by content, serve the search for windows and this join: one shuffle of the texts
-    every = docs.select(*[F.col(f"`{f.name}`").alias(f"_{i}") for i, f in enumerate(rest)], F.col(key).alias("_key"), F.col(text).alias("_text"))
-    keyed = _keyed(every, "_key", "_text", [f"_{i}" for i in range(len(rest))])
+    every = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(rest, own, strict=True)], F.col(key).alias("_key"), F.col(text).alias("_text"))
+    keyed = _keyed(every, "_key", "_text", own)
     joined = keyed.join(spans(keyed, size), ["d", "c"], "left").drop("d", "c")
-    internal = ", ".join(["k long", *[f"_{i} {f.dataType.simpleString()}" for i, f in enumerate(rest)], *[f"{c} {t}" for c, t in results.items()]])
-    out = joined.mapInPandas(run, internal)
-    return out.select(F.col("k").alias(key), *[F.col(f"_{i}").alias(f.name) for i, f in enumerate(rest)], *results)
+    inputs = ["raw", "copies", "starts", "ends"]
+    out = extended(joined, results, run, inputs, drop=inputs)
+    return out.select(F.col("k").alias(key), *[F.col(o).alias(c) for c, o in zip(rest, own, strict=True)], *results)
 
 
 def _word_ranks(text: str, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
@@ -438,11 +536,11 @@ def word_windows(keyed: DataFrame, words: int) -> DataFrame:
             if parts:
                 yield _spread(pd.concat(parts, ignore_index=True), ["r1", "r2"])
 
-    texts = in_small_batches(keyed).select("t", "d", "c")
-    first = stored(repeated(texts.mapInPandas(grams, "h long, d long, e long, n long"), ["h"]), "grams")
+    texts = keyed.select("t", "d", "c")
+    first = stored(repeated(frames(texts, grams, "h long, d long, e long, n long"), ["h"]), "grams")
     seen = stored(first.groupBy("d", _c(F.col("e")).alias("c")).agg(F.collect_set(_at(F.col("e"))).alias("seen")), "seen")
-    ranked = texts.join(seen, ["d", "c"]).mapInPandas(whole, "r1 long, r2 long, d long, e long, n long")
-    lists = repeated(ranked, ["r1", "r2"]).groupBy("d", _c(F.col("e")).alias("c")).agg(F.collect_set(_at(F.col("e"))).alias("at"))
+    named = frames(texts.join(seen, ["d", "c"]), whole, "r1 long, r2 long, d long, e long, n long")
+    lists = repeated(named, ["r1", "r2"]).groupBy("d", _c(F.col("e")).alias("c")).agg(F.collect_set(_at(F.col("e"))).alias("at"))
     several = keyed.groupBy("d", "c").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     return stored(lists.join(several, ["d", "c"], "full").select("d", "c", F.coalesce("copies", F.lit(1)).alias("copies"), "at"), "windows")
 
@@ -477,10 +575,8 @@ def deduplicate_words(docs: DataFrame, words: int, key: str = "doc_id", text: st
     every = _keyed(docs.toDF(*names), names[docs.columns.index(key)], names[at], names).drop("k", "raw")
     joined = every.join(word_windows(keyed, words), ["d", "c"], "left").drop("d", "c")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            cut = [t if t is None else without(t, n, x, words) for t, n, x in zip(pdf[names[at]], pdf["copies"].fillna(0).tolist(), pdf["at"], strict=True)]
-            yield pdf[names].assign(**{names[at]: cut})
+    def run(columns: list[list]) -> dict[str, list]:
+        return {names[at]: [t if t is None else without(t, n or 0, x, words) for t, n, x in zip(*columns, strict=True)]}
 
-    out = in_small_batches(joined).mapInPandas(run, ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields)))
-    return out.toDF(*docs.columns)
+    out = extended(joined, {names[at]: "string"}, run, [names[at], "copies", "at"], drop=["copies", "at"])
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

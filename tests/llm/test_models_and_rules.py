@@ -86,12 +86,42 @@ def test_language_model_edges(spark, odd_docs, no_docs):
     assert maxent.score(no_docs).count() == 0
 
 
-def test_class_probabilities_sum_to_one():
+def test_probabilities_sum_to_one_and_gradient_is_right():
     import numpy as np
 
-    w = np.random.default_rng(0).normal(size=(maxent.HASHED, maxent.CLASSES))
-    p = np.exp(maxent.log_probabilities(w, maxent.features(np.arange(500))))
-    assert np.allclose(p.sum(axis=1), 1)
+    rng = np.random.default_rng(0)
+    n = 200
+    classes = np.concatenate((np.arange(2, 2 + maxent.SINGLE), rng.integers(2 + maxent.SINGLE, maxent.CLASSES, n - maxent.SINGLE)))
+    share = rng.random(n)
+    share /= np.bincount(classes, share, maxent.CLASSES)[classes]
+    lex = maxent.Lexicon([b"w%d" % i for i in range(n)], classes, np.log10(share), np.zeros(n))
+    hashed, pairs = 1 << 12, rng.normal(size=maxent.PAIRED)
+    w = rng.normal(size=(hashed, maxent.CLASSES))
+    norm = maxent.normalisers(lex, pairs)
+    for one, two in ((-2, -2), (5, -2), (7, 60), (-1, 3)):
+        history = maxent.END if one == -2 else maxent.RARE if one == -1 else classes[one]
+        f = maxent.features(np.array([one]), np.array([two]), hashed)
+        by_class = np.exp(maxent.log_probabilities(w, f))[0]
+        inner = [10 ** maxent.word_scores(lex, pairs, norm, np.array([-2 if one == -2 else one, i]), np.array([history, classes[i]]))[1] for i in range(n)]
+        total = sum(by_class[c] * p for c, p in zip(classes, inner, strict=True)) + by_class[maxent.END] + by_class[maxent.RARE]
+        assert total + sum(by_class[c] for c in range(2, maxent.CLASSES) if not len(lex.members[c])) == pytest.approx(1)
+    f, kind = maxent.features(rng.integers(-2, n, 50), rng.integers(-2, n, 50), hashed), rng.integers(0, maxent.CLASSES, 50)
+    ids, g = maxent.gradient(w, f, kind)
+    loss = lambda w: -maxent.log_probabilities(w, f)[np.arange(50), kind].sum()
+    for i in range(0, len(ids), 7):
+        for c in (0, 3, kind[0]):
+            up, down = w.copy(), w.copy()
+            up[ids[i], c] += 1e-5
+            down[ids[i], c] -= 1e-5
+            assert g[i, c] == pytest.approx((loss(up) - loss(down)) / 2e-5, abs=1e-5)
+    group = int(classes[-1])
+    own = lex.members[group]
+    n_of = rng.integers(0, 9, len(own))
+    buckets, less, expected = maxent.word_gradient(pairs, lex, 5, group, own, n_of)
+    p = share[own] * np.exp(pairs[buckets])
+    assert np.allclose(expected, n_of.sum() * p / p.sum()) and np.allclose(less, n_of - expected)
+    halves = [maxent.word_gradient(pairs, lex, 5, group, own[i::2], n_of[i::2])[1] for i in range(2)]
+    assert np.allclose(sum(halves), less)
 
 
 def test_languages(spark):

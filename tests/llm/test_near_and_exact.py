@@ -46,8 +46,8 @@ def test_near_query(spark):
         assert (r.fingerprint, r.component_id) == (f"{fps[r.doc_id]:016x}", want[r.doc_id])
 
 
-@pytest.mark.parametrize("size", [8192, 16])
-def test_links_of_dense_points(spark, monkeypatch, size):
+@pytest.mark.parametrize(("size", "cuts"), [(8192, 1), (16, 2), (16, 4)])
+def test_links_of_dense_points(spark, monkeypatch, size, cuts):
     monkeypatch.setattr(simhash, "SLICE", size)
     rng = random.Random(5)
     fps = {}
@@ -58,30 +58,32 @@ def test_links_of_dense_points(spark, monkeypatch, size):
                 x ^= 1 << rng.randrange(64)
             fps[len(fps)] = x
     want = groups(fps, 4)
-    points = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in fps.items()], "i long, fp0 long").withColumn("node", F.col("fp0"))
-    grid = [(0, m) for m in simhash.tables(len(fps), 4)]
-    roots = {r.node: r.root for r in connected(simhash.links(points.select("node", "fp0").distinct(), 4, grid)).collect()}
+    points = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in fps.items()], "i long, fp long")
+    roots = {r.node: r.root for r in connected(simhash.links(points.select("fp").distinct(), 4, cuts)).collect()}
     got = defaultdict(set)
     for r in points.collect():
-        got[roots.get(r.node, r.node)].add(r.i)
+        got[roots.get(r.fp, r.fp)].add(r.i)
     expect = defaultdict(set)
     for i, c in want.items():
         expect[c].add(i)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, expect.values()))
 
 
-@pytest.mark.parametrize("points", [10, 10**5, 10**7, 10**9])
-def test_every_choice_of_tables_is_complete(points):
-    rng = random.Random(points)
-    masks = [m & (1 << 64) - 1 for m in simhash.tables(points, 4)]
-    for _ in range(200):
+@pytest.mark.parametrize("groups", [1, 2, 4])
+def test_points_within_the_radius_meet_in_a_cell(spark, groups):
+    rng = random.Random(groups)
+    rows = []
+    for i in range(200):
         a = rng.getrandbits(64)
         b = a
-        for i in rng.sample(range(64), 4):
-            b ^= 1 << i
-        x, y = (int(v) for v in simhash.embedding(np.array([a, b], np.uint64)))
-        assert (x ^ y).bit_count() <= (a ^ b).bit_count()
-        assert any(x & m == y & m for m in masks)
+        for j in rng.sample(range(64), 4):
+            b ^= 1 << j
+        rows += [(i, x - (1 << 64) if x >> 63 else x) for x in (a, b)]
+    cells = defaultdict(set)
+    for r in simhash.cells_entered(spark.createDataFrame(rows, "i long, fp long").select("fp"), groups, 4).collect():
+        cells[r.fp].add((r.table, r.cell))
+    assert all(cells[a] & cells[b] for (_, a), (_, b) in zip(rows[::2], rows[1::2], strict=True))
+    assert simhash.groups_for(10**6, 4) == 2
 
 
 def test_wide_fingerprints_find_close_texts(spark):
