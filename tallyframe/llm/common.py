@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of a batch that a Python worker turns into objects at once; one row may have more.
 BATCH_BYTES = 8 << 20
+#: Settings while a table is written: its shuffle files go when it is done, and Python workers get small batches.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -33,18 +34,20 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, value)
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    before = {name: spark.conf.get(name, None) for name in values}
     try:
+        for name, value in values.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def written(spark: SparkSession, writer: DataFrameWriter, kind: str, path: str) -> None:
-    """Write to ``path`` in a format; shuffle files that the write needed go when it ends."""
-    with _setting(spark, _CLEANUP, "true"):
+    """Write to ``path`` in a format, with settings that hold for this write alone."""
+    with _settings(spark, _WHILE_WRITING):
         writer.format(kind).save(path)
 
 

@@ -356,8 +356,7 @@ def windows(texts: DataFrame, size: int) -> DataFrame:
     half = size // 2
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts: list[pd.DataFrame] = []
-        held = 0
+        fresh, known, held = [], [], 0  # (r1, r2, d, e, n) by text
         for pdf in batches:
             for raw, d, c, seen, settled in zip(pdf["raw"], pdf["d"].tolist(), pdf["c"].tolist(), pdf["seen"], pdf["settled"], strict=True):
                 last = len(raw) - size
@@ -376,31 +375,43 @@ def windows(texts: DataFrame, size: int) -> DataFrame:
                 done = np.isin(start, settled)
                 drop(start[done], end[done] - 1)
                 left = np.flatnonzero(np.cumsum(out[:-1]) == 0)
-                if len(left):
-                    i = left.tolist()
-                    ranks = pd.DataFrame({"r1": _signed([xxhash.xxh64_intdigest(raw[x : x + half]) for x in i]), "r2": _signed([xxhash.xxh64_intdigest(raw[x + half : x + size]) for x in i])})
-                    known = (ranks.groupby(["r1", "r2"], sort=False).cumcount() >= 2).to_numpy()
-                    ranks = ranks.assign(d=d, e=_place(c, left), n=1)
-                    if known.any():
-                        more = left[known]
-                        begin = np.flatnonzero(np.append(True, np.diff(more) != 1))
-                        runs = ranks[known].iloc[begin].assign(n=np.diff(np.append(begin, len(more))))
-                        parts.append(_spread(runs, ["r1", "r2"], 0))
-                        ranks = ranks[~known]
-                    parts.append(ranks)
-                    held += len(ranks)
+                if not len(left):
+                    continue
+                digest, i = xxhash.xxh64_intdigest, left.tolist()
+                r1, r2 = _signed([digest(raw[x : x + half]) for x in i]), _signed([digest(raw[x + half : x + size]) for x in i])
+                place = _place(c, left)
+                third = _third(r1, r2)
+                if third is not None:
+                    more = left[third]
+                    begin = np.flatnonzero(np.append(True, np.diff(more) != 1))
+                    known.append((r1[third][begin], r2[third][begin], np.full(len(begin), d), place[third][begin], np.diff(np.append(begin, len(more)))))
+                    r1, r2, place = r1[~third], r2[~third], place[~third]
+                fresh.append((r1, r2, np.full(len(r1), d), place, np.ones(len(r1), np.int64)))
+                held += len(r1)
                 if held > 200_000:
-                    yield pd.concat(parts, ignore_index=True)
-                    parts, held = [], 0
-        if parts:
-            yield pd.concat(parts, ignore_index=True)
+                    yield from given(fresh, known)
+                    fresh, known, held = [], [], 0
+        yield from given(fresh, known)
+
+    def given(fresh: list, known: list) -> Iterator[pd.DataFrame]:
+        for rows, first in ((fresh, 2), (known, 0)):
+            if rows:
+                yield _spread(pd.DataFrame(dict(zip(["r1", "r2", "d", "e", "n"], map(np.concatenate, zip(*rows, strict=True)), strict=True))), ["r1", "r2"], first)
 
-    def salted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in run(batches):
-            fresh = pdf["n"].to_numpy() >> SALT == 0
-            yield pd.concat([pdf[~fresh], _spread(pdf[fresh], ["r1", "r2"])], ignore_index=True)
+    return frames(texts, run, "r1 long, r2 long, d long, e long, n long")
 
-    return frames(texts, salted, "r1 long, r2 long, d long, e long, n long")
+
+def _third(r1: np.ndarray, r2: np.ndarray) -> np.ndarray | None:
+    """True for the third and later row of a pair of ranks; None if there is none."""
+    if len(np.unique(r1)) == len(r1):
+        return None
+    order = np.lexsort((r2, r1))
+    a, b = r1[order], r2[order]
+    start = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    nth = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a))))
+    out = np.zeros(len(a), bool)
+    out[order] = nth >= 2
+    return out if out.any() else None
 
 
 def _c(e: Column) -> Column:
