@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,7 +54,7 @@ def units(text: Column) -> Column:
 
 
 def _any(low: Column, words: list[str]) -> Column:
-    return F.exists(F.array(*map(F.lit, words)), lambda k: F.contains(low, k))
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(k)) for k in words])
 
 
 def non_monetary(label: Column) -> Column:

@@ -6,6 +6,8 @@ Lexicons and headings are parameters; the values here are defaults.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +42,11 @@ OTHER_STATEMENTS = [
 GROUPED_NUMBER = r"\b\d{1,3}(?:,\d{3})+(?:\.\d+)?\b"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used: long chains of rules stay as long as they are written."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def any_case(pattern: str) -> str:
     return "(?iU)" + pattern
 
@@ -59,8 +66,7 @@ def numeric_density(text: Column) -> Column:
 
 def anchor_hits(text: Column, lexicon: list[str]) -> Column:
     """How many entries of the lexicon the text holds, in any case."""
-    low = F.lower(text)
-    return F.size(F.filter(F.array(*map(F.lit, lexicon)), lambda a: F.contains(low, a)))
+    return let(F.lower(text), lambda low: sum((F.contains(low, F.lit(a)).cast("int") for a in lexicon), F.lit(0)))
 
 
 def near_top(text: Column, pattern: str, chars: int = 500) -> Column:

@@ -31,7 +31,7 @@ def levels(xs: Column, gap: float = LEVEL_GAP) -> Column:
 
 def nearest_column(x: Column, centres: Column) -> Column:
     """0-based index of the closest centre; ties to the first."""
-    return F.array_min(F.transform(centres, lambda c, i: F.struct(F.abs(c - x).alias("d"), i.alias("i"))))["i"]
+    return F.array_min(F.transform(centres, lambda c, i: F.named_struct(F.lit("d"), F.abs(c - x), F.lit("i"), i)))["i"]
 
 
 def near_columns(tokens: Column, centres: Column, reach: float = COLUMN_REACH) -> Column:
