@@ -1 +1,11 @@
-"""Statement analytics and corpus preparation as Spark DataFrame plans."""
+"""Statement analytics and corpus preparation on Spark."""
+
+from tallyframe.operators.batch import certify_all, certify_batches
+from tallyframe.operators.documents import certify_documents
+from tallyframe.operators.extract import table_rows
+from tallyframe.operators.select import select_pages
+from tallyframe.sources.demo import demo_facts
+from tallyframe.sources.readers import aliases, document_files, page_texts
+from tallyframe.sources.sinks import write_long, write_series, write_workbook
+
+__all__ = ["aliases", "certify_all", "certify_batches", "certify_documents", "demo_facts", "document_files", "page_texts", "select_pages", "table_rows", "write_long", "write_series", "write_workbook"]

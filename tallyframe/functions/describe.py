@@ -6,17 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyframe.functions.periods import MONTHS
+from tallyframe.functions.text import let
 
 DATE = "MMMM dd, yyyy"
 
 
 def significant(x: Column, digits: int = 6) -> Column:
     """A number with so many significant digits and no zeros at the end; by exponent below 1e-4 and from 10 ** digits on."""
-    text = F.format_string(f"%.{digits - 1}e", x)
-    mantissa, exponent = F.split(text, "e")[0], F.split(text, "e")[1].cast("int")
-    bare = lambda t: F.regexp_replace(t, r"\.?0+$", "")
-    plain = F.when(exponent.between(-4, digits - 1), text).cast("decimal(38,18)").cast("string")
-    return F.when(x == 0, F.lit("0")).when(exponent.between(-4, digits - 1), bare(plain)).otherwise(F.concat(F.when(F.contains(mantissa, F.lit(".")), bare(mantissa)).otherwise(mantissa), F.lit("e"), F.split(text, "e")[1]))
+
+    def shown(text: Column) -> Column:
+        mantissa, power = F.substring_index(text, "e", 1), F.substring_index(text, "e", -1)
+        bare = lambda t: F.regexp_replace(t, r"\.?0+$", "")
+        plain = power.try_cast("int").between(-4, digits - 1)
+        return F.when(plain, bare(text.try_cast("decimal(38,18)").cast("string"))).otherwise(F.concat(F.when(F.contains(mantissa, F.lit(".")), bare(mantissa)).otherwise(mantissa), F.lit("e"), power))
+
+    value = x.cast("double")
+    return F.when(value == 0, F.lit("0")).when(value.isNotNull(), let(F.format_string(f"%.{digits - 1}e", value), shown))
 
 
 def delta_text(label: str, delta: Column, derived: Column | None = None) -> Column:

@@ -34,6 +34,7 @@ ANCHORS = {
 ANCHOR_MIN = {"balance": 4, "income": 4, "cash": 3}
 EXCLUDE = r"\bItem\s+7A\b.*Market\s+Risk\b"
 CONTINUED = r"\(continued\)"
+CONTENTS = r"Table\s+of\s+Contents"
 INDEX_PAGE = r"Index\s+to\s+Consolidated\s+Financial\s+Statements"
 OTHER_STATEMENTS = [
     r"statements?\s+of\s+comprehensive\s+income", r"statements?\s+of\s+shareholders'\s+equity",
