@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Bytes of a batch that a Python worker turns into objects at once; one row may have more.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 #: Settings while a table is written: its shuffle files go when it is done, and Python workers get small batches.
 _WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
 
