@@ -11,6 +11,8 @@ agree there; all within the radius are found and verified.
 
 from __future__ import annotations
 
+import json
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -22,8 +24,8 @@ from tallyframe.llm.common import stored
 RADIUS, BLOCKS = 3, 5
 #: Fingerprints of one cell of a table that are compared as one list.
 CHUNK = 256
-#: Ranges of keys in which successors are found.
-MAX_RANGES = 2000
+#: Bytes of text in a range of keys in which successors are found.
+RANGE_BYTES = 32 << 20
 #: Weight of a word by its characters: short ones count once.
 SHORT, MOST = 3, 16
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -52,31 +54,45 @@ def fingerprint(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
 def with_next(rows: DataFrame, key: str, order: list[str], value: str, out: str, ranges: int = 0) -> DataFrame:
     """All columns, ``out`` (``value`` of the row that follows by ``key``, nulls first, then ``order``; after the last the first), _range, _nth.
 
-    Keys are dealt to ranges of about equal size; the driver gathers one bound and one least key of
-    each, at most MAX_RANGES. A range's first row also goes to the end of the range before it,
-    where it serves as successor only, so each row is shuffled once and no range sees another.
+    Keys are dealt to ranges of about equal rows, one for each RANGE_BYTES of ``value`` and as many as four
+    times the partitions of a shuffle at least; the driver gathers one bound and one least key of each.
+    A range's first row also goes to the end of the range before it, where it serves as successor
+    only, so each row is shuffled once and no range sees another. Rows of one key share a range.
     """
     spark = rows.sparkSession
-    ranges = min(MAX_RANGES, ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     least = -(1 << 63)
     keyed = rows.withColumn("_key", F.coalesce(F.col(key).cast("long"), F.lit(least)))
+    if not ranges:
+        size = keyed.agg(F.sum(F.octet_length(F.col(value).cast("string")).cast("long"))).first()[0] or 0
+        ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
     cuts = keyed.agg(F.percentile_approx("_key", [i / ranges for i in range(1, ranges)] or [0.5], 10 * ranges)).first()[0] or []
     bounds = sorted(set(cuts))
-    at = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col("_key"))) if bounds else F.lit(0)
-    dealt = keyed.withColumn("_range", at.cast("int"))
+    dealt = keyed.withColumn("_range", _bounds_below(F.col("_key"), bounds))
     firsts = sorted((r["_range"], r["first"]) for r in dealt.groupBy("_range").agg(F.min("_key").alias("first")).collect())
     if not firsts:
         return dealt.withColumn(out, F.col(value)).withColumn("_nth", F.lit(0)).drop("_key")
-    before = {k: firsts[i - 1][0] for i, (k, _) in enumerate(firsts)}
-    back = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_range"))
-    places = F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("ghost")))
-    twice = F.when(F.col("_key").isin([k for _, k in firsts]), F.concat(places, F.array(F.struct(back.alias("r"), F.lit(1).alias("ghost"))))).otherwise(places)
-    spread = dealt.withColumn("_p", F.explode(twice)).withColumn("_range", F.col("_p.r")).withColumn("_ghost", F.col("_p.ghost")).drop("_p")
+    # one row a range: its least key, and the range before it
+    before = spark.createDataFrame([(k, firsts[i - 1][0]) for i, (_, k) in enumerate(firsts)], "_first long, _back int")
+    known = dealt.join(F.broadcast(before), F.col("_key") == F.col("_first"), "left")
+    places = F.array_compact(F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("ghost")), F.when(F.col("_back").isNotNull(), F.struct(F.col("_back").alias("r"), F.lit(1).alias("ghost")))))
+    spread = known.withColumn("_p", F.explode(places)).withColumn("_range", F.col("_p.r")).withColumn("_ghost", F.col("_p.ghost")).drop("_p", "_first", "_back")
     w = Window.partitionBy("_range").orderBy("_ghost", "_key", *order)
     led = spread.withColumn(out, F.lead(value).over(w)).withColumn("_nth", F.row_number().over(w))
     return led.filter("_ghost = 0").drop("_ghost", "_key")
 
 
+def _bounds_below(key: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are below the key: first among every so many of them, then among those between."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, math.isqrt(len(bounds)))
+    parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    table = F.from_json(F.lit(json.dumps(parts)), "array<array<bigint>>")
+    ends = F.from_json(F.lit(json.dumps([p[-1] for p in parts])), "array<bigint>")
+    part = F.size(F.filter(ends, lambda b: b < key))
+    return (part * step + F.size(F.filter(F.coalesce(F.get(table, part), F.array().cast("array<bigint>")), lambda b: b < key)) - F.when(part == len(parts), step * len(parts) - len(bounds)).otherwise(0)).cast("int")
+
+
 def linked(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     """fp, n_links: how many other fingerprints of ``points.fp`` (distinct) lie within ``radius`` bits, where any do."""
     edges = [round(i * 64 / BLOCKS) for i in range(BLOCKS + 1)]

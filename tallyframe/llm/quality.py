@@ -137,3 +137,28 @@ def quality(
 
     final = extended(judged.select(*own, *results, "_hit"), {at: "string"}, strip, [at, "_hit"], drop=["_hit"])
     return final.select(*[F.col(o).alias(c) for o, c in zip(own, columns, strict=True)], *results)
+
+
+def oracle() -> str:
+    """DuckDB SQL for ``quality`` over documents with the default limits."""
+    word = r"[^\x20\x09-\x0D]+"
+    line = f"array_to_string(regexp_extract_all(lower(line), '{word}'), ' ')"
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host FROM documents),
+    w AS (SELECT r, doc_id, t, host, regexp_extract_all(t, '{word}') AS ws, string_split(t, chr(10)) AS ls FROM d),
+    grams AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+    twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM grams) WHERE n > 1),
+    repeated AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY r),
+    lines AS (SELECT r, t, host, line, {line} AS l, len(regexp_extract_all(line, '{word}')) AS n FROM (SELECT r, t, host, unnest(ls) AS line FROM w)),
+    worded AS (SELECT * FROM lines WHERE n > 0),
+    dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM worded GROUP BY r),
+    hosts AS (SELECT host, count(DISTINCT t) AS docs FROM w GROUP BY host),
+    bad AS (SELECT host, l FROM (SELECT host, l, count(DISTINCT t) AS holders FROM worded GROUP BY host, l) JOIN hosts USING (host) WHERE holders > {MIN_DOCS} AND holders > docs * {MAX_SHARE}),
+    hit AS (SELECT r, sum(n) AS n FROM worded JOIN bad USING (host, l) GROUP BY r),
+    c AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+      CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
+      CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_line_words
+      FROM w LEFT JOIN dup USING (r) LEFT JOIN repeated USING (r) LEFT JOIN hit USING (r)),
+    f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed FROM c)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+      NOT base_failed AND n_words - n_line_words >= {MIN_WORDS} AND n_line_words < n_words * {MAX_REMOVED} AS kept, n_line_words FROM f"""

@@ -54,4 +54,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for n, f in list(globals().items()) if n.startswith("op") and n[2].isdigit()}
-ORACLES: dict[str, str] = {"op1_warc_derivatives": warc.oracle()}
+ORACLES: dict[str, str] = {"op1_warc_derivatives": warc.oracle(), "op7_suffix_array_dedup": suffixes.oracle(), "op8_quality_lines": quality.oracle()}

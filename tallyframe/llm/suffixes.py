@@ -591,3 +591,18 @@ def deduplicate_words(docs: DataFrame, words: int, key: str = "doc_id", text: st
 
     out = extended(joined, {names[at]: "string"}, run, [names[at], "copies", "at"], drop=["copies", "at"])
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+
+
+def oracle(size: int = SIZE) -> str:
+    """DuckDB SQL for ``deduplicate`` over documents: every window of every text, in hexadecimal digits of its bytes."""
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    w AS (SELECT r, i, hash(substr(h, 2 * i + 1, {2 * size})) AS k FROM (SELECT r, h, unnest(range(0, CAST(length(h) // 2 - {size} + 1 AS BIGINT))) AS i FROM d WHERE length(h) >= {2 * size})),
+    found AS (SELECT w.r, w.i FROM w JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+    marked AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= {size} THEN 0 ELSE 1 END AS opens FROM found),
+    numbered AS (SELECT r, i, sum(opens) OVER (PARTITION BY r ORDER BY i) AS run FROM marked),
+    runs AS (SELECT r, run, min(i) AS low, max(i) + {size} AS high FROM numbered GROUP BY r, run),
+    gaps AS (SELECT r, low, high, coalesce(lag(high) OVER (PARTITION BY r ORDER BY low), 0) AS before FROM runs),
+    cut AS (SELECT r, sum(high - low) AS removed, count(*) AS spans, max(high) AS last, string_agg(substr(h, 2 * before + 1, 2 * (low - before)), '' ORDER BY low) AS kept FROM gaps JOIN d USING (r) GROUP BY r)
+    SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+      sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN cut USING (r)"""
