@@ -191,8 +191,11 @@ def _coverage(wide: DataFrame, store: DataFrame, by: list[str]) -> DataFrame:
 
 
 def certify_batches(store: DataFrame, by: list[str]) -> DataFrame:
-    """by, check, result, details: five checks of every batch; a batch without measurements gives no rows."""
-    wide = laid_out(store, by)
+    """by, check, result, details: five checks of every batch; a batch without measurements gives no rows.
+
+    What all checks read, a row for each period of the chosen lines, is laid out once and kept.
+    """
+    wide = laid_out(store, by).persist()
     found = reduce(DataFrame.unionByName, [f(wide, by) for f in (balance_check, roll_check, net_check, income_check, cash_check)])
     found = found.select(*[F.col(c).alias(f"f_{c}") for c in by], F.col("check").alias("f_check"), "result", "details")
     named = _coverage(wide, store, by).join(found, [F.col("check") == F.col("f_check"), *[F.col(c) == F.col(f"f_{c}") for c in by]], "left")

@@ -117,7 +117,7 @@ def income_cross(wide: DataFrame) -> DataFrame:
 
 def certify_documents(facts: DataFrame, headers: DataFrame | None = None) -> DataFrame:
     """doc_id, check, result, details: seven checks of every document; ``headers``: doc_id, statement, statement_name, source for the list of pages."""
-    wide = columns_of(facts)
+    wide = columns_of(facts).persist()  # a row for each column of a statement, read by all checks
     c = F.col
     fx = F.coalesce("fx", F.lit(0.0))
     rows = [

@@ -34,7 +34,7 @@ def ingested(facts: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     one = good.groupBy(*by, "statement", F.lower("canonical").alias("line"), *KEY).agg(F.max_by(F.struct("value", "source"), F.when(F.col("value").isNotNull(), F.col("seq"))).alias("v"), F.min("seq").alias("seq"))
     shown = good.groupBy(*by, "statement", F.lower("canonical").alias("line")).agg(F.max_by(F.struct("label", "level", "order_index"), F.struct("period_end", "seq")).alias("s"))
     values = one.join(shown, [*by, "statement", "line"]).select(*by, "statement", "line", *KEY, "v.*", "seq", F.col("s.label").alias("label"), F.col("s.level").alias("level"), F.col("s.order_index").alias("order_index"))
-    return values, lost
+    return values.persist(), lost
 
 
 def period_keys(values: DataFrame, by: list[str]) -> DataFrame:
@@ -69,6 +69,7 @@ def slot_keys(keys: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
 
     Of several periods in a slot the first by date counts, of annual ones the last.
     """
+    keys = keys.persist()  # a row for each period that a statement names
     years = fiscal_year(keys, by)
     ends = calendar(keys, years, by)
     placed = keys.join(years, by).withColumn("projected", R.fiscal_year_end(F.col("period_end"), F.col("fy_month"), F.col("fy_day")))
@@ -88,7 +89,7 @@ def slot_keys(keys: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     rows = other.filter("q is not null").withColumn("slot", F.concat(kind, F.col("q").cast("string"))).select(*columns).union(annual.withColumn("slot", F.lit("fy")).select(*columns))
     far = F.datediff("period_end", F.to_date(F.lit("1970-01-01")))
     order = F.struct(F.when(F.col("slot") == "fy", -far).otherwise(far), "first")
-    return rows.groupBy(*by, "statement", "fy_end", "slot").agg(F.min_by(F.struct(*KEY), order).alias("_k")).select(*by, "statement", "fy_end", "slot", "_k.*"), lost
+    return rows.groupBy(*by, "statement", "fy_end", "slot").agg(F.min_by(F.struct(*KEY), order).alias("_k")).select(*by, "statement", "fy_end", "slot", "_k.*").persist(), lost
 
 
 def slotted(values: DataFrame, slots: DataFrame, by: list[str]) -> DataFrame:

@@ -22,24 +22,28 @@ INDEX_LINES = {"balance": r"balance sheet", "income": r"statements?\s+of\s+(oper
 
 
 def flagged(pages: DataFrame, doc: str = "doc_id", page: str = "page_idx", text: str = "text", headings: dict[str, str] | None = None) -> DataFrame:
-    """doc, page, text and flags: index (an index page), stop, and by statement hit_ (heading anywhere), valid_ (a statement page), on_ (goes on)."""
+    """Pages that have a flag, computed once and kept: contents, index (an index page), stop, and by statement hit_ (heading anywhere), valid_ (a statement page), on_ (goes on).
+
+    The text stays for contents and index pages only.
+    """
     heads = headings or {s: T.any_case(T.HEADINGS[s]) for s in STATEMENTS}
-    t = F.col(text)
+    t = F.col("text")
     dense = T.numeric_density(t)
-    flags = [t.rlike(T.any_case(T.INDEX_PAGE)).alias("index"), (t.rlike(T.any_case(T.INDEX_PAGE)) | reduce(lambda a, b: a | b, [t.rlike(T.any_case(p)) for p in T.OTHER_STATEMENTS])).alias("stop")]
+    flags = [t.rlike(T.any_case(T.CONTENTS)).alias("contents"), t.rlike(T.any_case(T.INDEX_PAGE)).alias("index"), (t.rlike(T.any_case(T.INDEX_PAGE)) | reduce(lambda a, b: a | b, [t.rlike(T.any_case(p)) for p in T.OTHER_STATEMENTS])).alias("stop")]
     for s in STATEMENTS:
         flags.append(t.rlike(heads[s]).alias(f"hit_{s}"))
         flags.append(F.coalesce(T.statement_page(t, heads[s], T.ANCHORS[s], T.ANCHOR_MIN[s]), F.lit(False)).alias(f"valid_{s}"))
         goes = (t.rlike(T.any_case(T.CONTINUED)) | T.heading_line(t, heads[s])) & (dense >= DENSITY) & (T.anchor_hits(t, T.ANCHORS[s]) >= max(2, T.ANCHOR_MIN[s] - 1))
         flags.append((goes & (t != "") & ~F.col("stop")).alias(f"on_{s}"))
-    base = pages.select(F.col(doc).alias("doc_id"), F.col(page).alias("page_idx"), F.coalesce(t, F.lit("")).alias("text"))
-    t = F.col("text")
-    return base.select("*", *flags[:2]).select("*", *flags[2:])
+    base = pages.select(F.col(doc).alias("doc_id"), F.col(page).alias("page_idx"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    found = base.select("*", *flags[:3]).select("*", *flags[3:])
+    names = [c for c in found.columns if c not in ("doc_id", "page_idx", "text")]
+    return found.filter(" or ".join(names)).withColumn("text", F.when(F.col("contents") | F.col("index"), F.col("text"))).persist()
 
 
 def contents_hint(pages: DataFrame) -> DataFrame:
     """doc_id, hint: the printed page at the end of the first line on financial statements in a table of contents among the first pages."""
-    lines = pages.filter((F.col("page_idx") < SCAN) & F.col("text").rlike(T.any_case(T.CONTENTS))).select("doc_id", "page_idx", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    lines = pages.filter((F.col("page_idx") < SCAN) & F.col("contents")).select("doc_id", "page_idx", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     number = F.regexp_extract("line", r"(\d{1,3})\s*$", 1)
     found = lines.filter(F.contains(F.lower("line"), F.lit("financial statements")) & (number != ""))
     return found.groupBy("doc_id").agg(F.min_by(number.cast("int"), F.struct("page_idx", "n")).alias("hint"))
@@ -79,14 +83,16 @@ def mapped_pages(flags: DataFrame, printed: DataFrame) -> DataFrame:
 def with_continuations(flags: DataFrame, starts: DataFrame) -> DataFrame:
     """doc_id, statement, page_idx, position: start pages with those that continue them, each page once, in order."""
     w = Window.partitionBy("doc_id").orderBy("page_idx")
-    reach = []
+    ahead, reach = flags, []
+    for i in range(1, MORE + 1):
+        ahead = ahead.withColumn(f"next_{i}", F.when(F.lead("page_idx", i).over(w) == F.col("page_idx") + i, F.lead(F.struct(*[f"on_{s}" for s in STATEMENTS]), i).over(w)))
     for s in STATEMENTS:
         upto, n = F.lit(True), F.lit(0)
         for i in range(1, MORE + 1):
-            upto = upto & F.coalesce(F.lead(f"on_{s}", i).over(w), F.lit(False)) & (F.lead("page_idx", i).over(w) == F.col("page_idx") + i)
+            upto = upto & F.coalesce(F.col(f"next_{i}.on_{s}"), F.lit(False))
             n = F.when(upto, i).otherwise(n)
         reach.append(F.struct(F.lit(s).alias("statement"), n.alias("more")))
-    far = flags.select("doc_id", "page_idx", F.explode(F.array(*reach)).alias("_r")).select("doc_id", "page_idx", "_r.*")
+    far = ahead.select("doc_id", "page_idx", F.explode(F.array(*reach)).alias("_r")).select("doc_id", "page_idx", "_r.*")
     taken = starts.join(far, ["doc_id", "statement", "page_idx"])
     each = taken.select("doc_id", "statement", "nth", F.col("page_idx").alias("start"), F.explode(F.sequence("page_idx", F.col("page_idx") + F.col("more"))).alias("page_idx"))
     return each.groupBy("doc_id", "statement", "page_idx").agg(F.min(F.struct("nth", "start")).alias("position"))
@@ -113,14 +119,14 @@ def first_hits(flags: DataFrame, selected: DataFrame) -> DataFrame:
     return with_continuations(flags, lacks.withColumn("nth", F.lit(0)))
 
 
-def median_window(flags: DataFrame, reach: int = 4) -> DataFrame:
+def median_window(flags: DataFrame, pages: DataFrame, reach: int = 4) -> DataFrame:
     """doc_id, page_idx: pages around the median statement page of documents that lack statement pages of some kind."""
     each = [F.collect_list(F.when(F.col(f"valid_{s}"), F.col("page_idx"))).alias(s) for s in STATEMENTS]
-    held = flags.groupBy("doc_id").agg(*each, F.max("page_idx").alias("last"))
+    held = flags.groupBy("doc_id").agg(*each)
     lacks = reduce(lambda a, b: a | b, [F.size(s) == 0 for s in STATEMENTS])
     pool = F.array_sort(F.concat(*STATEMENTS))
     middle = F.get(pool, F.floor(F.size(pool) / 2).cast("int"))
-    return held.filter(lacks & (F.size(pool) > 0)).select("doc_id", F.explode(F.sequence(F.greatest(middle - reach, F.lit(0)), F.least(middle + reach, "last"))).alias("page_idx"))
+    return held.filter(lacks & (F.size(pool) > 0)).select("doc_id", F.explode(F.sequence(F.greatest(middle - reach, F.lit(0)), middle + reach)).alias("page_idx")).join(pages.select("doc_id", "page_idx"), ["doc_id", "page_idx"], "left_semi")
 
 
 def page_subset(pages: DataFrame, selected: DataFrame) -> DataFrame:

@@ -210,10 +210,10 @@ def q30_latest_presentation(spark: SparkSession, d: str) -> DataFrame:
     return A.presentation(table(spark, d, "orders"), ["o_custkey"], ["o_orderstatus", "o_orderpriority"], ["o_orderdate", "o_orderkey"])
 
 
-@query("""WITH e AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS fy_end FROM orders WHERE month(o_orderdate) = 3 AND o_orderkey % 40 = 0)
+@query("""WITH e AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS fy_end FROM orders WHERE month(o_orderdate) = 3)
  SELECT l_orderkey, l_linenumber, day, CASE WHEN date_diff('day', day, fy_end) <= 400 THEN fy_end END AS fy_end FROM (SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS day FROM lineitem) ASOF LEFT JOIN e ON day <= fy_end""")
 def q31_asof_fy(spark: SparkSession, d: str) -> DataFrame:
-    ends = table(spark, d, "orders").filter("month(o_orderdate) = 3 and o_orderkey % 40 = 0").select(F.to_date("o_orderdate").alias("fy_end"))
+    ends = table(spark, d, "orders").filter("month(o_orderdate) = 3").select(F.to_date("o_orderdate").alias("fy_end"))
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("day"))
     return S.as_of(rows, ends, "day", "fy_end")
 
@@ -367,15 +367,15 @@ def q52_fragment_merge(spark: SparkSession, d: str) -> DataFrame:
     return A.parent_row(table(spark, d, "orders"), ["o_custkey"], "o_orderkey", s == "P", s == "F", "o_totalprice")
 
 
-_P = "SELECT DISTINCT year(o_orderdate) * 10 + quarter(o_orderdate) AS p FROM orders WHERE o_orderkey % 97 = "
+_P = ["SELECT DISTINCT year(o_orderdate) * 10 + quarter(o_orderdate) AS p FROM orders", "SELECT DISTINCT year(l_shipdate) * 10 + quarter(l_shipdate) AS p FROM lineitem"]
 
 
-@query(f"SELECT 'union' AS op, p FROM ({_P} 1 UNION {_P} 2) UNION ALL SELECT 'intersect', p FROM ({_P} 1 INTERSECT {_P} 2) UNION ALL SELECT 'except', p FROM ({_P} 1 EXCEPT {_P} 2)")
+@query(f"SELECT 'union' AS op, p FROM ({_P[0]} UNION {_P[1]}) UNION ALL SELECT 'intersect', p FROM ({_P[0]} INTERSECT {_P[1]}) UNION ALL SELECT 'except', p FROM ({_P[1]} EXCEPT {_P[0]})")
 def q53_set_ops(spark: SparkSession, d: str) -> DataFrame:
-    p = lambda k: table(spark, d, "orders").filter(F.col("o_orderkey") % 97 == k).select((F.year("o_orderdate") * 10 + F.quarter("o_orderdate")).cast("long").alias("p")).distinct()
-    a, b = p(1), p(2)
+    p = lambda t, c: table(spark, d, t).select((F.year(c) * 10 + F.quarter(c)).cast("long").alias("p")).distinct()
+    a, b = p("orders", "o_orderdate"), p("lineitem", "l_shipdate")
     named = lambda n, df: df.select(F.lit(n).alias("op"), "p")
-    return named("union", a.union(b).distinct()).unionByName(named("intersect", a.intersect(b))).unionByName(named("except", a.subtract(b)))
+    return named("union", a.union(b).distinct()).unionByName(named("intersect", a.intersect(b))).unionByName(named("except", b.subtract(a)))
 
 
 @query("SELECT event_id, event_type AS label, CAST(NULL AS DOUBLE) AS confidence FROM events WHERE event_type LIKE '%c%'")

@@ -21,7 +21,7 @@ def q01_text_norm(spark: SparkSession, d: str) -> DataFrame:
     return n.select("doc_id", F.length("n").cast("long").alias("norm_len"), (F.length("n") - F.length(F.replace("n", F.lit("\n"), F.lit("")))).cast("long").alias("breaks"))
 
 
-@query("SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")
+@query("SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text || chr(10) || 'see page ' || (n_chars % 1000) || chr(10) || 'end', chr(10)) AS l FROM documents)")
 def q02_line_explode(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
 
@@ -58,19 +58,19 @@ def q07_low_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT hint, (m).page AS page, (m).far AS distance FROM (
- SELECT h.hint, min({'far': abs(v.page - h.hint), 'page': v.page}) AS m FROM (SELECT doc_id + 7 AS hint FROM documents WHERE doc_id % 10 = 0) h
- JOIN (SELECT doc_id AS page FROM documents WHERE n_chars % 5 = 0) v ON abs(v.page - h.hint) <= 20 GROUP BY h.hint)""")
+ SELECT h.hint, min({'far': abs(v.page - h.hint), 'page': v.page}) AS m FROM (SELECT doc_id + 7 AS hint FROM documents) h
+ JOIN (SELECT doc_id AS page FROM documents WHERE lang = 'de') v ON abs(v.page - h.hint) <= 20 GROUP BY h.hint)""")
 def q08_nearest_page(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    hints = docs.filter("doc_id % 10 = 0").select((F.col("doc_id") + 7).alias("hint"))
-    return P.nearest_page(hints, docs.filter("n_chars % 5 = 0").select(F.col("doc_id").alias("page")), "hint", "page")
+    hints = docs.select((F.col("doc_id") + 7).alias("hint"))
+    return P.nearest_page(hints, docs.filter("lang = 'de'").select(F.col("doc_id").alias("page")), "hint", "page")
 
 
 @query(r"""SELECT doc_id, (m).line_no AS line_no, (m).number AS number FROM (SELECT doc_id, min({'line_no': line_no, 'number': CAST(number AS BIGINT)}) AS m FROM (
  SELECT doc_id, line_no, nullif(regexp_extract(line, '(\d{1,3})\s*$', 1), '') AS number FROM (
- SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))) WHERE number IS NOT NULL GROUP BY doc_id)""")
+ SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text || chr(10) || 'see page ' || (n_chars % 1000) || chr(10) || 'end', chr(10)) AS l FROM documents))) WHERE number IS NOT NULL GROUP BY doc_id)""")
 def q09_toc_first_match(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.concat("text", F.lit("\nsee page "), F.col("n_chars") % 1000, F.lit("\nend")), "\n")).alias("line_no", "line"))
     numbered = lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), T.trailing_page_number(F.col("line")).cast("long").alias("number"))
     return P.first_match(numbered, "doc_id", ["line_no"], "number")
 
