@@ -173,7 +173,7 @@ def test_quality_query(spark, docs):
         r, (n, chars, symbols, dup, rep), h = got[d.doc_id], base(d.text), d.source or ""
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, dup, rep)
         failed = n < 50 or 100 * rep > 50 * n
-        bad = sum(len(words(x)) for x in (d.text or "").split("\n") if holders[h, line_key(x)] > max(20, 0.1 * len(hosts[h])))
+        bad = sum(len(words(x)) for x in (d.text or "").split("\n") if holders[h, line_key(x)] > max(5, 0.1 * len(hosts[h])))
         assert (r.base_failed, r.n_line_words) == (failed, bad)
         assert r.kept == (not failed and n - bad >= 50 and bad < 0.5 * n)
 
