@@ -70,9 +70,9 @@ def slot_keys(keys: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     Of several periods in a slot the first by date counts, of annual ones the last.
     """
     keys = keys.persist()  # a row for each period that a statement names
-    years = fiscal_year(keys, by)
+    years = fiscal_year(keys, by).persist()
     ends = calendar(keys, years, by)
-    placed = keys.join(years, by).withColumn("projected", R.fiscal_year_end(F.col("period_end"), F.col("fy_month"), F.col("fy_day")))
+    placed = keys.join(years, by).withColumn("projected", R.fiscal_year_end(F.col("period_end"), F.col("fy_month"), F.col("fy_day"))).persist()
     annual = placed.filter("duration = 'annual'").withColumn("fy_end", F.col("projected"))
     each = F.explode(F.array(F.lit("balance"), F.lit("income"), F.lit("cash"))).alias("statement")
     known = ends.select(*by, "fy_end", each).union(annual.select(*by, "fy_end", "statement")).distinct()
@@ -82,7 +82,7 @@ def slot_keys(keys: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     met = near.join(known.withColumn("_cell", cells("fy_end")), [*by, "statement", "_cell"]).filter((F.col("fy_end") >= F.col("projected")) & (F.datediff("fy_end", "period_end") <= 400))
     first = met.groupBy(*by, "statement", *KEY).agg(F.min("fy_end").alias("fy_end"))
     other = other.join(first.select(*[F.col(c).alias(f"m_{c}") for c in [*by, "statement", *KEY]], "fy_end"), [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in [*by, "statement", *KEY]], "left")
-    other = other.withColumn("fy_end", F.coalesce("fy_end", "projected")).withColumn("q", R.quarter_index(F.col("duration"), F.col("months"), F.col("period_end"), F.col("fy_end")))
+    other = other.withColumn("fy_end", F.coalesce("fy_end", "projected")).withColumn("q", R.quarter_index(F.col("duration"), F.col("months"), F.col("period_end"), F.col("fy_end"))).persist()
     lost = other.filter("q is null").select(*by, "statement", F.lit("").alias("line"), F.lit("quarter-index").alias("issue"), D.date_text(F.col("period_end")).alias("period"), F.concat(F.lit("Unable to map duration "), "duration").alias("detail"))
     kind = F.when(F.col("duration") == "ytd", "y").otherwise("q")
     columns = [*by, "statement", "fy_end", "slot", *KEY, "first"]
@@ -96,7 +96,7 @@ def slotted(values: DataFrame, slots: DataFrame, by: list[str]) -> DataFrame:
     """by, statement, line, fy_end and a struct (value, months, period_end, source) for each slot that the line fills."""
     at = slots.select(*[F.col(c).alias(f"s_{c}") for c in [*by, "statement", *KEY]], "fy_end", "slot")
     met = values.filter("value is not null").join(at, [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in [*by, "statement", *KEY]])
-    return met.groupBy(*by, "statement", "line", "fy_end").pivot("slot", S.SLOTS).agg(F.first(F.struct("value", "months", "period_end", "source")))
+    return met.groupBy(*by, "statement", "line", "fy_end").pivot("slot", S.SLOTS).agg(F.first(F.struct("value", "months", "period_end", "source"))).persist()
 
 
 def fiscal_series(wide: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -133,6 +133,7 @@ def measurements(values: DataFrame, slots: DataFrame, by: list[str]) -> DataFram
     wide = slotted(values.filter("statement <> 'balance'"), slots, by)
     wide = wide.join(at, [F.col(c) == F.col(f"e_{c}") for c in [*by, "statement", "fy_end"]])
     v = lambda s: F.col(f"{s}.value")
+    # each value is made once and named, then used by those after it
     wide = wide.withColumn("v1", F.coalesce(v("q1"), F.when(F.col("y1.months").isNull() | (F.col("y1.months") == 3), v("y1"))))
     wide = wide.withColumn("v2", F.coalesce(v("q2"), F.when(_can_difference("y2", "y1"), v("y2") - v("y1")), v("y2") - F.col("v1")))
     wide = wide.withColumn("v3", F.coalesce(v("q3"), F.when(_can_difference("y3", "y2"), v("y3") - v("y2")), v("y3") - (F.col("v1") + F.col("v2"))))

@@ -133,22 +133,8 @@ def q62_document_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Reports of each priority's revenue: by year quarters, year to date, three quarters and the year, or a mixture; and a column without a date.
-_SLOT = [
-    ("y % 4 = 0", "quarter", "q", "rev"),
-    ("y % 4 = 1", "ytd", "q", "ytd"),
-    ("y % 4 = 2 AND q < 4", "quarter", "q", "rev"),
-    ("y % 4 IN (2, 3) AND q = 4", "annual", "4", "ytd"),
-    ("y % 4 = 3 AND q = 1", "quarter", "q", "rev"),
-    ("y % 4 = 3 AND q IN (2, 3)", "ytd", "q", "ytd"),
-]
 _RAW = "CASE WHEN duration = 'annual' THEN 'Year Ended ' WHEN q = 1 THEN 'Three Months Ended ' WHEN duration = 'quarter' THEN 'Three Months Ended ' WHEN q = 2 THEN 'Six Months Ended ' WHEN q = 3 THEN 'Nine Months Ended ' ELSE 'Twelve Months Ended ' END"
-_REPORTS = (
-    f"WITH {_QUARTERS}, s AS (SELECT *, CAST(sum(rev) OVER (PARTITION BY batch, y ORDER BY q) AS BIGINT) AS ytd FROM q2), f AS ("
-    + " UNION ALL ".join(f"SELECT batch, y, q, period_end, '{kind}' AS duration, CAST({value} AS DOUBLE) AS value FROM s WHERE {there}" for there, kind, _, value in _SLOT)
-    + f") SELECT batch, 'income' AS statement, 'Net revenue' AS canonical, 'Net revenue' AS label, 0 AS level, 1 AS order_index, concat({_RAW}, CAST(period_end AS STRING)) AS column, {_RAW} AS raw_label, duration, CAST(period_end AS STRING) AS period_end, value, 'a' AS source, y * 10 + q AS seq FROM f"
-    + " UNION ALL SELECT batch, 'balance', 'Total assets', 'Total assets', 0, 1, CAST(period_end AS STRING), '', 'point', CAST(period_end AS STRING), CAST(2 * ending AS DOUBLE), 'a', y * 10 + q FROM q2"
-    + " UNION ALL SELECT batch, 'income', 'Net revenue', 'Net revenue', 0, 1, 'Restated', 'Restated', 'annual', '', 1.0, 'a', 1 FROM q2 WHERE q = 1"
-)
+_KIND = "CASE WHEN y % 4 = 0 OR (y % 4 = 2 AND q < 4) OR (y % 4 = 3 AND q = 1) THEN 'quarter' WHEN y % 4 IN (2, 3) AND q = 4 THEN 'annual' ELSE 'ytd' END"
 _S = f"WITH {_duck(_QUARTERS)}, s AS (SELECT *, CAST(sum(rev) OVER (PARTITION BY batch, y ORDER BY q) AS BIGINT) AS ytd, max(q) OVER (PARTITION BY batch, y) AS most FROM q2)"
 _MEASURE_SQL = _S + """
  SELECT batch, 'income' AS statement, 'net revenue' AS label, 'quarter' AS duration_key, period_end, 3 AS months, CAST(rev AS DOUBLE) AS value, NOT (y % 4 = 0 OR (y % 4 = 2 AND q < 4) OR (y % 4 = 3 AND q = 1)) AS derived FROM s
@@ -158,7 +144,15 @@ _MEASURE_SQL = _S + """
 
 
 def _reports(spark: SparkSession, d: str) -> DataFrame:
-    return spark.sql(_REPORTS, orders=table(spark, d, "orders"))
+    kinds = _quarters(spark, d).selectExpr("*", "CAST(sum(rev) OVER (PARTITION BY batch, y ORDER BY q) AS BIGINT) AS ytd", f"{_KIND} AS duration").selectExpr("*", f"{_RAW} AS raw", "CAST(period_end AS STRING) AS day")
+    row = "struct('{}' AS statement, '{}' AS canonical, {} AS column, {} AS raw_label, {} AS duration, {} AS period_end, CAST({} AS DOUBLE) AS value, {} AS seq)"
+    rows = [
+        row.format("income", "Net revenue", "concat(raw, day)", "raw", "duration", "day", "CASE WHEN duration = 'quarter' THEN rev ELSE ytd END", "y * 10 + q"),
+        row.format("balance", "Total assets", "day", "''", "'point'", "day", "2 * ending", "y * 10 + q"),
+        "CASE WHEN q = 1 THEN " + row.format("income", "Net revenue", "'Restated'", "'Restated'", "'annual'", "''", "1.0", "1") + " END",
+    ]
+    each = kinds.selectExpr("batch", f"explode(array_compact(array({', '.join(rows)}))) AS r").selectExpr("batch", "r.*")
+    return each.selectExpr("*", "canonical AS label", "0 AS level", "1 AS order_index", "'a' AS source")
 
 
 @query(_MEASURE_SQL)
