@@ -370,5 +370,9 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: s
     roots = similar_components(points, sets, shared, similarity).select(F.col("node").alias("r_node"), "root")
     grouped = points.join(roots, F.col("node") == F.col("r_node"), "left").groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("one"))
     chosen = stored(grouped.select(F.col("one.k").alias("_k"), F.col("one.h").alias("_h")), "chosen")
-    kept = docs.withColumn("_own", own).withColumn("_content", content).join(chosen, (F.col("_own") == F.col("_k")) & (F.col("_content") == F.col("_h")))
-    return kept.withColumn("_nth", F.row_number().over(Window.partitionBy("_own", "_content").orderBy(F.lit(0)))).filter("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    at, said = (F.col(names[docs.columns.index(c)]) for c in (key, text))
+    held = docs.toDF(*names).withColumn("_own", F.coalesce(at.cast("long"), F.lit(-(1 << 63)))).withColumn("_content", F.xxhash64(F.coalesce(said, F.lit(""))))
+    kept = held.join(chosen, (F.col("_own") == F.col("_k")) & (F.col("_content") == F.col("_h")))
+    one = kept.withColumn("_nth", F.row_number().over(Window.partitionBy("_own", "_content").orderBy(F.lit(0)))).filter("_nth = 1")
+    return one.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
