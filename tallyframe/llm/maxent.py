@@ -6,8 +6,8 @@ log P(word | history) = log P(class | history) + log P(word | class, class befor
   frequent words by itself; and the other frequent words by cluster and band of frequency.
   Clusters come from k-means over the frequent words found beside a word; words outside the
   clustered vocabulary take the cluster most common for their last bytes.
-* P(class | history) is a softmax over classes with hashed features of words: the word before, the
-  one before that (a skip), and both together.
+* P(class | history) is a softmax over classes with hashed features of words: the word before (a
+  bigram with the class), and the one before that (a skip).
 * P(word | class, class before) is a softmax over the words of the class: the word's share of
   its class, and a hashed feature of the class before with the word. Within the rare class, words
   seen once and unknown words get the mass that Good and Turing's counts of counts give them.
@@ -37,14 +37,14 @@ from tallyframe.llm.language import remainder
 #: Words that tasks look up in memory; rarer ones are looked up by a join.
 VOCABULARY = 300_000
 #: Words that are clustered (others go by their endings); words that are classes of their own and contexts for the clusters.
-CLUSTERED, SINGLE = 20_000, 14
-CLUSTERS, BANDS = 6, 4
+CLUSTERED, SINGLE = 20_000, 10
+CLUSTERS, BANDS = 5, 3
 END, RARE = 0, 1
 CLASSES = 2 + SINGLE + CLUSTERS * BANDS
 #: Most buckets of history features (each with a weight for every class), and buckets of (class before, word) features.
 HASHED, PAIRED = 1 << 16, 1 << 18
 #: Rounds of updates; tokens of a step; step sizes.
-ROUNDS, WORD_ROUNDS, STEP, RATE, PRIOR = 3, 4, 4096, 0.3, 2.0
+ROUNDS, WORD_ROUNDS, STEP, RATE, PRIOR = 3, 4, 8192, 0.3, 2.0
 #: Buckets of a block of numbers that travels as one value.
 HISTORY_BLOCK, PAIR_BLOCK = 256, 1 << 14
 #: Distinct keys after which a task hands on its counts.
@@ -83,8 +83,8 @@ def frequent(vocabulary: DataFrame, most: int) -> tuple[list[tuple[bytes, int]],
         if held > most or r["n"] < 2:
             break
         least = r["n"]
-    rows = vocabulary.filter((F.col("n") >= least) & (F.col("w") != F.lit(b""))).collect()
-    return sorted(((bytes(r["w"]), r["n"]) for r in rows), key=lambda x: (-x[1], x[0])), least
+    rows = vocabulary.filter((F.col("n") >= least) & (F.col("w") != F.lit(b""))).toArrow()
+    return sorted(zip(rows.column("w").to_pylist(), rows.column("n").to_pylist(), strict=True), key=lambda x: (-x[1], x[0])), least
 
 
 def neighbours(texts: DataFrame, words: list[bytes]) -> np.ndarray:
@@ -192,10 +192,9 @@ def before(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def features(one: np.ndarray, two: np.ndarray, hashed: int) -> np.ndarray:
-    """Hashed features of histories, a row each: the word before, the skip, and both."""
-    a, b = (one + 2).astype(np.uint64), (two + 2).astype(np.uint64)
+    """Hashed features of histories, a row each: the word before and the skip."""
     with np.errstate(over="ignore"):
-        raw = [a * np.uint64(3), b * np.uint64(3) + np.uint64(1), (a * np.uint64(0x9E3779B97F4A7C15) + b) * np.uint64(3) + np.uint64(2)]
+        raw = [(one + 2).astype(np.uint64) * np.uint64(2), (two + 2).astype(np.uint64) * np.uint64(2) + np.uint64(1)]
         return np.stack([(r * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - hashed.bit_length())).astype(np.int64) for r in raw], 1)
 
 
@@ -205,21 +204,29 @@ def pair_buckets(kind: np.ndarray, word: np.ndarray) -> np.ndarray:
         return ((word.astype(np.uint64) * np.uint64(CLASSES) + kind.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(65 - PAIRED.bit_length())).astype(np.int64)
 
 
-def log_probabilities(weights: np.ndarray, f: np.ndarray) -> np.ndarray:
-    """log P(class | history) for rows of features."""
+def _scores(weights: np.ndarray, f: np.ndarray) -> np.ndarray:
     s = weights[f[:, 0]]
     for i in range(1, f.shape[1]):
-        s = s + weights[f[:, i]]
+        s += weights[f[:, i]]
     s -= s.max(axis=1, keepdims=True)
+    return s
+
+
+def log_probabilities(weights: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """log P(class | history) for rows of features."""
+    s = _scores(weights, f)
     return s - np.log(np.exp(s).sum(axis=1, keepdims=True))
 
 
 def gradient(weights: np.ndarray, f: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the features, and for each the gradient of the negative log-likelihood: expected less observed counts of every class."""
-    g = np.exp(log_probabilities(weights, f))
+    g = np.exp(_scores(weights, f))
+    g /= g.sum(axis=1, keepdims=True)
     g[np.arange(len(kind)), kind] -= 1
     order = np.argsort(f.ravel(), kind="stable")
-    ids, starts = np.unique(f.ravel()[order], return_index=True)
+    held = f.ravel()[order]
+    starts = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
+    ids = held[starts]
     return ids, np.add.reduceat(g[order // f.shape[1]], starts, axis=0)
 
 
