@@ -163,8 +163,8 @@ def q63_measurements(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_S + """ SELECT batch, statement, line, fy_end, max(v) FILTER (WHERE q = 1) AS q1, max(v) FILTER (WHERE q = 2) AS q2, max(v) FILTER (WHERE q = 3) AS q3, max(v) FILTER (WHERE q = 4) AS q4,
-  CASE WHEN statement = 'balance' THEN max(v) FILTER (WHERE q = 4) WHEN max(most) = 4 THEN CAST(sum(v) AS DOUBLE) END AS fy FROM (
-  SELECT batch, 'income' AS statement, 'net revenue' AS line, make_date(y, 12, 31) AS fy_end, q, CAST(rev AS DOUBLE) AS v, most FROM s UNION ALL SELECT batch, 'balance', 'total assets', make_date(y, 12, 31), q, CAST(2 * ending AS DOUBLE), most FROM s) GROUP BY ALL""")
+  CASE WHEN max(most) = 4 THEN CAST(sum(v) AS DOUBLE) END AS fy FROM (
+  SELECT batch, 'income' AS statement, 'net revenue' AS line, make_date(y, 12, 31) AS fy_end, q, CAST(rev AS DOUBLE) AS v, most FROM s UNION ALL SELECT batch, 'balance', 'total assets', make_date(y, 12, 31), q, CAST(2 * ending AS DOUBLE), most FROM s) GROUP BY batch, statement, line, fy_end""")
 def q64_fiscal_series(spark: SparkSession, d: str) -> DataFrame:
     values, _ = fiscal.ingested(_reports(spark, d), ["batch"])
     slots, _ = fiscal.slot_keys(fiscal.period_keys(values, ["batch"]), ["batch"])
