@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import bpe, fingerprints, language, maxent, packing, quality, simhash, suffixes, token_index, warc
+from tallyframe.llm import audit, bpe, fingerprints, language, maxent, packing, quality, resampling, sharding, simhash, suffixes, token_index, warc
 from tallyframe.llm.common import table
 
 #: Where the public vocabularies are; a caller may point elsewhere.
@@ -53,5 +53,17 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), RANK_VOCABULARY)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for n, f in list(globals().items()) if n.startswith("op") and n[2].isdigit()}
-ORACLES: dict[str, str] = {"op1_warc_derivatives": warc.oracle(), "op7_suffix_array_dedup": suffixes.oracle(), "op8_quality_lines": quality.oracle()}
+ORACLES: dict[str, str] = {"op1_warc_derivatives": warc.oracle(), "op7_suffix_array_dedup": suffixes.oracle(), "op8_quality_lines": quality.oracle(), "op11_filter_audit": audit.oracle(), "op12_importance_resampling": resampling.oracle()}
