@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +18,8 @@ SKIP_ISSUERS = ["electronic arts"]
 CURRENCY = ["$", "US$", "U.S.$"]
 DASHES = ["-", "–", "—", "−"]
 # Titles by statement.
+TITLE_LINES = {"income": r"(?i)CONSOLIDATED\s+STATEMENTS?\s+OF\s+(OPERATIONS|INCOME|EARNINGS)", "balance": r"(?i)CONSOLIDATED\s+BALANCE\s+SHEETS?", "cash": r"(?i)CONSOLIDATED\s+STATEMENTS?\s+OF\s+CASH\s+FLOWS?"}
+UNSTATED_AUDIT = "Audited/Unaudited: See filing"
 TITLES = {"income": "CONSOLIDATED STATEMENTS OF OPERATIONS", "balance": "CONSOLIDATED BALANCE SHEETS", "cash": "CONSOLIDATED STATEMENTS OF CASH FLOWS"}
 
 
@@ -116,22 +118,31 @@ def merged_fragments(labels: Column) -> Column:
     return F.aggregate(F.transform(labels, lambda x: F.btrim(x)), start, step, lambda a: a["out"])
 
 
-def statement_title(statement: Column, text: Column, patterns: dict[str, str]) -> Column:
-    """The canonical title of a page's statement; ``patterns``: what its title line matches."""
+def statement_title(statement: Column, text: Column, patterns: dict[str, str] = TITLE_LINES) -> Column:
+    """The canonical title of a page's statement by its first line that ``patterns`` has for it, else the usual title."""
+    split = F.split(text, "\r\n|\r|\n")
     out = F.lit(None).cast("string")
-    for name, default in TITLES.items():
-        line = F.lower(F.try_element_at(F.filter(F.split(text, "\r\n|\r|\n"), lambda x, n=name: x.rlike(patterns[n])), F.lit(1)))
-        has = lambda *words, line=line: reduce(lambda a, b: a & b, [F.contains(line, F.lit(w)) for w in words])
-        title = F.when(line.isNull(), default)
-        if name == "income":
-            title = title.when(has("cash", "flow"), TITLES["cash"]).when(has("balance"), TITLES["balance"]).when(has("operations"), default)
-            title = title.when(has("comprehensive", "income"), "CONSOLIDATED STATEMENTS OF COMPREHENSIVE INCOME").when(has("income"), "CONSOLIDATED STATEMENTS OF INCOME")
-            title = title.otherwise(F.try_element_at(F.transform(F.filter(F.split(text, "\r\n|\r|\n"), lambda x, n=name: x.rlike(patterns[n])), lambda x: F.btrim(x)), F.lit(1)))
-        else:
-            title = title.when((F.lit(name == "balance")) & has("cash", "flow"), TITLES["cash"]).otherwise(default)
-        out = F.when(statement == name, title).otherwise(out)
+    for name, usual in TITLES.items():
+        found = F.btrim(F.try_element_at(F.filter(split, partial(_matching, patterns[name])), F.lit(1)))
+        out = F.when(statement == name, F.when(found.isNull(), usual).otherwise(let(found, partial(_canonical_title, name)))).otherwise(out)
     return out
 
 
-def audited(text: Column) -> Column:
-    return F.when(F.contains(F.lower(text), F.lit("unaudited")), "Unaudited").otherwise("Audited")
+def _matching(pattern: str, line: Column) -> Column:
+    return line.rlike(pattern)
+
+
+def _canonical_title(statement: str, line: Column) -> Column:
+    low = F.lower(line)
+    has = lambda *words: reduce(lambda a, b: a & b, [F.contains(low, F.lit(w)) for w in words])
+    if statement == "cash":
+        return F.lit(TITLES["cash"])
+    title = F.when(has("cash", "flow"), TITLES["cash"])
+    if statement == "balance":
+        return title.otherwise(TITLES["balance"])
+    title = title.when(has("balance"), TITLES["balance"]).when(has("operations"), TITLES["income"])
+    return title.when(has("comprehensive", "income"), "CONSOLIDATED STATEMENTS OF COMPREHENSIVE INCOME").when(has("income"), "CONSOLIDATED STATEMENTS OF INCOME").otherwise(line)
+
+
+def audited(text: Column, unstated: str = "Audited") -> Column:
+    return F.when(F.contains(F.lower(text), F.lit("unaudited")), "Unaudited").otherwise(unstated)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,8 @@ from tallyframe.functions import numbers as A
 from tallyframe.functions import periods as R
 from tallyframe.functions import rewrites as W
 from tallyframe.operators import statements as S
+from tallyframe.operators.relabel import settled
+from tallyframe.tables import written
 
 #: Points between tokens that part header groups; points around a column that hold its numbers.
 GROUP_GAP, REACH = 40.0, 45.0
@@ -150,10 +153,10 @@ def marked_lines(found: DataFrame) -> DataFrame:
 
 
 def labelled(marked: DataFrame, columns: DataFrame, by: list[str], reach: float = REACH) -> DataFrame:
-    """Lines of the body: order, line, label (cleaned), x0, numbers (cleaned tokens near a column)."""
+    """Lines of the body: order, line, label (cleaned), x0, numbers (cleaned tokens near a column), filled (one of them has a value), restarts (a line of units)."""
     at = columns.select(*[F.col(c).alias(f"h_{c}") for c in by], "centres", F.size("names").alias("width"), "body")
     body = marked.join(at, [F.col(c).eqNullSafe(F.col(f"h_{c}")) for c in by]).filter(F.col("order") >= F.col("body"))
-    body = body.filter(~(F.exists("tokens", lambda w: w["numeric"]) & F.contains(F.lower("line"), F.lit("in millions"))))
+    body = body.withColumn("restarts", F.exists("tokens", lambda w: w["numeric"]) & F.contains(F.lower("line"), F.lit("in millions")))
     near = lambda w: F.coalesce(F.array_min(F.transform("centres", lambda c: F.abs(c - w["c"]))) <= reach, F.lit(False))
     first = F.coalesce(F.array_min(F.transform("tokens", lambda w, i: F.when(w["numeric"], i))), F.size("tokens"))
     told = F.filter("tokens", lambda w, i: F.when(w["numeric"], ~near(w) & ~w["note"]).otherwise((i < first) | w["t"].rlike("[A-Za-z]")))
@@ -161,33 +164,38 @@ def labelled(marked: DataFrame, columns: DataFrame, by: list[str], reach: float
     index = F.transform("tokens", lambda w, i: F.named_struct(F.lit("part"), F.when(w["numeric"], 1).when(i < first, 0).otherwise(2), F.lit("i"), i, F.lit("w"), w))
     held = F.filter(F.array_sort(index), lambda p: F.exists(told, lambda w: (w["x"] == p["w"]["x"]) & (w["t"] == p["w"]["t"])))
     core = lambda t: F.btrim(t, F.lit(",;:"))
-    held = F.filter(held, lambda p: (core(p["w"]["t"]) != "") & ~core(p["w"]["t"]).rlike(r"^[\d$,().-]+$"))
-    opened = body.withColumn("_held", held).withColumn("numbers", F.transform(F.filter("tokens", lambda w: w["numeric"] & near(w)), lambda w: w["clean"]))
+    opened = body.withColumn("_all", held)
+    held = F.filter("_all", lambda p: (core(p["w"]["t"]) != "") & ~core(p["w"]["t"]).rlike(r"^[\d$,().-]+$"))
+    opened = opened.withColumn("_held", held).withColumn("_held", F.when(F.size("_held") > 0, F.col("_held")).otherwise(F.col("_all")))
+    opened = opened.withColumn("numbers", F.transform(F.filter("tokens", lambda w: w["numeric"] & near(w)), lambda w: w["clean"]))
     begin = F.array_min(F.transform("_held", lambda p, i: F.when(~F.lower(p["w"]["t"]).isin("and", "of", "the"), i)))
     opened = opened.withColumn("_held", F.slice("_held", F.greatest(F.coalesce(begin, F.size("_held") - 1) + 1, F.lit(1)), F.greatest(F.size("_held"), F.lit(1))))
     x0 = F.coalesce(F.array_min(F.transform("_held", lambda p: p["w"]["x"])), F.col("tokens")[0]["x"])
     label = W.clean_label(F.array_join(F.transform("_held", lambda p: p["w"]["t"]), " "))
-    return opened.select(*by, "order", "line", label.alias("label"), x0.alias("x0"), (F.size("_held") > 0).alias("worded"), "numbers", "width")
+    filled = F.exists("numbers", lambda n: A.parse_number(n).isNotNull())
+    return opened.select(*by, "order", "line", label.alias("label"), x0.alias("x0"), (F.size("_held") > 0).alias("worded"), "numbers", filled.alias("filled"), "restarts", "width")
 
 
 def rows(body: DataFrame, by: list[str]) -> DataFrame:
     """by, order_index, label, x0, cells, raw: lines put together to rows.
 
-    Label and numbers make a row. A label alone goes to the row before it if that has no numbers yet (or is
+    Label and numbers make a row. A label alone goes to the row before it if that has no value yet (or is
     about shares), takes numbers that wait, or waits for them; numbers alone fill a waiting label or wait.
+    Dashes are numbers without a value. A line of units ends all waiting.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [*by, "order_index", "label", "x0", "cells", "raw"]
         done: list[list] = []
         last: list | None = None  # the last row may still change
-        nth, waits, numbers = 0, False, None
+        nth, waits, numbers, full, waiting_full = 0, False, None, False, False
 
-        def opened(key: tuple, line, cells) -> list:
-            nonlocal last, nth
+        def opened(key: tuple, line, cells, filled: bool) -> list:
+            nonlocal last, nth, full
             if last is not None:
                 done.append(last)
             nth += 1
+            full = filled
             last = [*key, nth, line.label, line.x0, list(cells), line.line]
             return last
 
@@ -202,61 +210,89 @@ def rows(body: DataFrame, by: list[str]) -> DataFrame:
                     yield pd.DataFrame(done, columns=names)
                     done = []
                 continue
+            if line.restarts:
+                waits, numbers = False, None
+                continue
             cells, worded = list(line.numbers), bool(line.worded)
             if worded and cells:
                 if waits and SHARE.search(line.line):
                     joined(line.label, line.line)
-                    last[-2] = cells
+                    last[-2], full = cells, bool(line.filled)
                 elif line.label:
-                    opened(key, line, cells)
+                    opened(key, line, cells, bool(line.filled))
                 else:
                     continue
                 waits, numbers = False, None
             elif worded and line.label:
-                full = last is not None and any(last[-2])
                 alone = last is not None and numbers is None and not waits and not SHOUT.fullmatch(line.label)
                 if alone and (not full or SHARE_END.search(line.label)):
                     if "accompanying notes" not in line.label.lower():
                         joined(line.label, line.line)
                 else:
-                    opened(key, line, numbers or [])
+                    opened(key, line, numbers or [], numbers is not None and waiting_full)
                     waits, numbers = numbers is None, None
             elif cells and waits:
-                last[-2], waits = cells, False
+                last[-2], waits, full = cells, False, bool(line.filled)
                 last[-1] = f"{last[-1]} {line.line}"
             elif cells:
-                numbers = cells
+                numbers, waiting_full = cells, bool(line.filled)
         if done:
             yield pd.DataFrame(done, columns=names)
 
-    return _streamed(body, by, ["line", "label", "x0", "worded", "numbers"], run, "order_index int, label string, x0 double, cells array<string>, raw string")
+    return _streamed(body, by, ["line", "label", "x0", "worded", "numbers", "filled", "restarts"], run, "order_index int, label string, x0 double, cells array<string>, raw string")
 
 
-def table_rows(words: DataFrame, by: list[str], statement: str = "statement", scale: Column | float = 1.0) -> DataFrame:
-    """by, order_index, level, label, raw, col_ord, column, raw_column, duration, period_end, value: facts of all statements in ``words``.
+def statement_blocks(words: DataFrame, by: list[str], statement: str = "statement", page: str = "page_idx") -> DataFrame:
+    """by, title, original_units, scale, units_assumption, audited, source: what the first page of each statement says of it.
 
-    Columns without a number in a row give rows with a null value; statements without a header give none.
+    ``source``: all its pages, counted from one. Pages without words do not count.
+    """
+    w = F.struct(F.bround("top", 1).alias("top"), F.col("x0").alias("x"), F.btrim("text").alias("t"))
+    pages = words.groupBy(*by, page).agg(F.array_sort(F.collect_list(w)).alias("w"))
+    # a token that starts a line brings the line's end before it
+    text = F.array_join(F.transform("w", lambda x, i: F.concat(F.when(i == 0, "").when(F.get(F.col("w"), i - 1)["top"] == x["top"], " ").otherwise("\n"), x["t"])), "")
+    first = pages.select(*by, page, text.alias("text")).groupBy(*by).agg(F.min_by("text", page).alias("text"), F.array_sort(F.collect_set(page)).alias("pages"))
+    unit = first.withColumn("_u", A.units(F.col("text")))
+    source = F.array_join(F.transform("pages", lambda p: F.concat(F.lit("p."), (p + 1).cast("string"))), ", ")
+    return unit.select(
+        *by, N.statement_title(F.col(statement), F.col("text"), N.TITLE_LINES).alias("title"), F.col("_u.label").alias("original_units"), F.col("_u.scale").alias("scale"),
+        F.col("_u.assumption").alias("units_assumption"), N.audited(F.col("text"), N.UNSTATED_AUDIT).alias("audited"), source.alias("source"),
+    )
+
+
+def table_rows(words: DataFrame, by: list[str], statement: str = "statement", scale: Column | float | None = None, aliases: DataFrame | None = None) -> DataFrame:
+    """by, order_index, level, label, raw, reasons, col_ord, column, raw_column, duration, period_end, value: facts of all statements in ``words``.
+
+    Labels are those that no rule changes any more (``relabel.settled``, with ``aliases``); ``reasons``: why one is doubted.
+    Values are in millions by the units on a statement's first page, or times ``scale``. Columns without
+    a number in a row give rows with a null value; statements without a header give none.
     """
     marked = marked_lines(lines(words, by))
-    columns = headers(marked, by)
-    body = labelled(marked, columns, by)
-    made = rows(body, by).withColumn("label", W.clean_label(F.col("label"))).filter("label <> ''")
-    heads = columns.select(*[F.col(c).alias(f"h_{c}") for c in by], "names")
+    columns = written(headers(marked, by), "headers")
+    made = rows(labelled(marked, columns, by), by).withColumn("label", W.clean_label(F.col("label"))).filter("label <> ''")
+    made = written(made, "rows")
+    # columns, levels (clusters of left edges) and units of each statement, in one look-up
+    edges = made.groupBy(*by).agg(S.levels(F.collect_set(F.bround("x0", 1))).alias("edges"))
+    heads = columns.select(*by, "names").join(edges, _same(columns, edges, by)).select(*[columns[c].alias(f"h_{c}") for c in by], "names", "edges")
+    if scale is None:
+        units = statement_blocks(words, by, statement)
+        heads = heads.join(units.select(*[F.col(c).alias(f"u_{c}") for c in by], "scale"), [F.col(f"h_{c}").eqNullSafe(F.col(f"u_{c}")) for c in by]).drop(*[f"u_{c}" for c in by])
+    else:
+        heads = heads.withColumn("scale", scale if isinstance(scale, Column) else F.lit(float(scale)))
     table = made.join(heads, [F.col(c).eqNullSafe(F.col(f"h_{c}")) for c in by]).drop(*[f"h_{c}" for c in by])
-    values = A.fit_columns(F.transform("cells", lambda c: A.parse_number(c)), F.size("names"))
-    table = table.withColumn("values", values).withColumn("empty", ~F.exists("values", lambda v: v.isNotNull()))
-    table = table.withColumn("label", W.per_share_name(W.canonical_name(F.col("label"), F.col("raw")), F.col("values"))).filter(~W.dropped_row(F.col("label"), F.col("raw"), F.col("empty")))
-    # levels: clusters of left edges by statement
-    edges = table.groupBy(*[F.col(c).alias(f"l_{c}") for c in by]).agg(S.levels(F.collect_set(F.bround("x0", 1))).alias("edges"))
-    table = table.join(edges, [F.col(c).eqNullSafe(F.col(f"l_{c}")) for c in by]).drop(*[f"l_{c}" for c in by])
-    level = W.level_of(F.col("label"), F.least(S.nearest_column(F.col("x0"), F.col("edges")), F.lit(2)))
+    table = table.withColumn("values", A.fit_columns(F.transform("cells", lambda c: A.parse_number(c)), F.size("names"))).withColumn("level", F.least(S.nearest_column(F.col("x0"), F.col("edges")), F.lit(2)).cast("int"))
+    table = settled(table.select(*by, "order_index", "level", "label", "raw", "values", "names", "scale"), by, statement=statement, aliases=aliases)
     cells = F.arrays_zip(F.col("names").alias("raw_column"), F.col("values").alias("value"))
-    each = table.select(*by, "order_index", level.alias("level"), "label", "raw", F.size("names").alias("_n"), F.posexplode(cells).alias("col_ord", "_c"))
-    named = each.select(*by, "order_index", "level", "label", "raw", "col_ord", N.column_label(F.col("_c.raw_column"), F.col("col_ord"), F.col("_n")).alias("column"), F.col("_c.raw_column").alias("raw_column"), F.col("_c.value").alias("value"))
-    value = A.scaled(F.col("label"), F.col("value"), F.lit(scale) if isinstance(scale, (int, float)) else scale)
+    each = table.select(*by, "order_index", W.level_of(F.col("label"), F.col("level")).alias("level"), "label", "raw", "reasons", "scale", F.size("names").alias("_n"), F.posexplode(cells).alias("col_ord", "_c"))
+    named = each.select(*by, "order_index", "level", "label", "raw", "reasons", "scale", "col_ord", N.column_label(F.col("_c.raw_column"), F.col("col_ord"), F.col("_n")).alias("column"), F.col("_c.raw_column").alias("raw_column"), F.col("_c.value").alias("value"))
+    value = A.scaled(F.col("label"), F.col("value"), F.col("scale"))
     kind = F.col(statement)
     signed = F.when((kind == "income") & ~A.non_monetary(F.col("label")), A.income_sign(F.col("label"), value)).when(kind == "cash", A.cash_sign(F.col("label"), value)).otherwise(value)
-    return named.select(*by, "order_index", "level", "label", "raw", "col_ord", "column", "raw_column", R.duration_of(kind, F.col("column")).alias("duration"), D.period_end_text(F.col("column"), F.col("raw_column")).alias("period_end"), signed.alias("value"))
+    return named.select(*by, "order_index", "level", "label", "raw", "reasons", "col_ord", "column", "raw_column", R.duration_of(kind, F.col("column")).alias("duration"), D.period_end_text(F.col("column"), F.col("raw_column")).alias("period_end"), signed.alias("value"))
+
+
+def _same(a: DataFrame, b: DataFrame, by: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in by])
 
 
 def without_repeated_empty(table: DataFrame, by: list[str]) -> DataFrame:

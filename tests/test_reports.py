@@ -73,6 +73,24 @@ def test_extraction(spark):
     assert kept.count() == 0 and {r.doc_id for r in lacks.collect()} == {"d", "e"}
 
 
+def test_dashes_units_and_blocks(spark):
+    """A row of dashes has no value, so the next line joins its label; a line of units ends waiting; units, title and pages of a statement."""
+    page = [
+        [(50, "CONSOLIDATED STATEMENTS OF INCOME (unaudited)")], [(320, "2024"), (420, "2025")], [(50, "Net revenue"), (320, "5,000"), (420, "6,000")], [(50, "Goodwill"), (320, "—"), (420, "—")],
+        [(50, "related party")], [(50, "Gains")], [(50, "(In millions) 7")], [(320, "1"), (420, "2")], [(50, "Total gains"), (320, "9"), (420, "8")],
+    ]
+    df = spark.createDataFrame(words(page, statement="income") + [("d", "income", 3, "tail", 1.0, 2.0, 3.0)], "doc_id string, statement string, page_idx int, text string, x0 double, x1 double, top double")
+    block = extract.statement_blocks(df, ["doc_id", "statement"]).first()
+    assert (block.title, block.original_units, block.scale, block.audited, block.source) == ("CONSOLIDATED STATEMENTS OF INCOME", "In millions", 1.0, "Unaudited", "p.1, p.4")
+    got = [(r.label, r.value) for r in sorted(extract.table_rows(df, ["doc_id", "statement"]).filter("col_ord = 1").collect(), key=lambda r: r.order_index)]
+    assert got == [("Net revenue", 6000.0), ("Goodwill related party Gains", None), ("Total gains", 8.0), ("tail", None)]
+    small = spark.createDataFrame(words([[(50, "(In thousands)")], *page[1:3]]), df.schema)
+    assert [r.value for r in extract.table_rows(small, ["doc_id", "statement"]).orderBy("col_ord").collect()] == [5.0, 6.0]
+    plain = spark.createDataFrame([("cash", "a\nb"), ("balance", "Consolidated  Balance Sheet"), ("income", "x\r\n CONSOLIDATED STATEMENT OF EARNINGS\n"), ("income", "CONSOLIDATED STATEMENTS OF OPERATIONS AND COMPREHENSIVE INCOME"), ("other", "x")], "s string, t string")
+    titles = [r[0] for r in plain.select(N.statement_title(F.col("s"), F.col("t"))).collect()]
+    assert titles == ["CONSOLIDATED STATEMENTS OF CASH FLOWS", "CONSOLIDATED BALANCE SHEETS", "CONSOLIDATED STATEMENT OF EARNINGS", "CONSOLIDATED STATEMENTS OF OPERATIONS", None]
+
+
 def test_selection_fallbacks(spark):
     money, anchors = "\n1,234 2,345 3,456 4,567 5,678 6,789", "\ntotal assets total liabilities accounts receivable deferred revenue"
     pages = [("x", i, "CONSOLIDATED BALANCE SHEETS" + anchors + money if i in (6, 9) else "prose") for i in range(12)]
