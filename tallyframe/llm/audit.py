@@ -35,7 +35,7 @@ DUPLICATE = 1 << FILTERS.index("E")
 BLOCKS = [64 << 2 * i for i in range(7)]
 #: Rows of a class that one task compares with a copy of its least id's text.
 SHARE_ROWS = 1024
-#: Classes that are broadcast to find their texts; more are joined by a shuffle.
+#: Classes (of 24 bytes) that are broadcast; more are joined by a shuffle.
 FEW_CLASSES = 1 << 20
 
 
@@ -67,6 +67,11 @@ def signature(length: Column, hashes: list[Column], rounds: int) -> Column:
     return F.xxhash64(length, *hashes[:rounds])
 
 
+def _few(classes: DataFrame) -> DataFrame:
+    """Sent to all tasks where the count shows that they are few."""
+    return F.broadcast(classes) if classes.count() <= FEW_CLASSES else classes
+
+
 def refined(rows: DataFrame) -> DataFrame:
     """sig, n, rep (least id) of the classes of two rows or more that agree in length and all blocks.
 
@@ -78,10 +83,10 @@ def refined(rows: DataFrame) -> DataFrame:
     left = rows
     for k in range(len(hashes) + 1):
         split = left.withColumn("_class", signature(F.col("_length"), hashes, k))
-        several = split.groupBy(F.col("_class").alias("s_class")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        several = stored(split.groupBy(F.col("_class").alias("sig")).agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("rep")).filter("n > 1"), "classes")
         if k == len(hashes):
-            return stored(split.groupBy(F.col("_class").alias("sig")).agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("rep")).filter("n > 1"), "classes")
-        kept = stored(split.join(several, F.col("_class") == F.col("s_class"), "left_semi").drop("_class"), "refined")
+            return several
+        kept = stored(split.join(_few(several.select("sig")), F.col("_class") == F.col("sig"), "left_semi").drop("_class"), "refined")
         if k:
             discard(left)
         left = kept
@@ -90,9 +95,7 @@ def refined(rows: DataFrame) -> DataFrame:
 def duplicates(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """All columns of those ``rows`` (_id, _text, ...) whose text is that of a smaller id."""
     length, hashes = F.length("_text"), block_hashes(F.col("_text"))
-    n = classes.count()
-    known = F.broadcast(classes) if n <= FEW_CLASSES else classes
-    members = stored(rows.withColumn("_sig", signature(length, hashes, len(hashes))).join(known, F.col("_sig") == F.col("sig")).drop("sig"), "members")
+    members = stored(rows.withColumn("_sig", signature(length, hashes, len(hashes))).join(_few(classes), F.col("_sig") == F.col("sig")).drop("sig"), "members")
     found = None
     while True:
         shares = F.ceil(F.col("n") / SHARE_ROWS)
