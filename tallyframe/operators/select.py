@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyframe.functions import text as T
+from tallyframe.operators import pages as P
+from tallyframe.tables import written
 
 STATEMENTS = ("balance", "income", "cash")
 #: Pages scanned for a table of contents; printed pages around the hint; pages from a printed page to its heading; continuation pages; least density.
@@ -22,7 +24,7 @@ INDEX_LINES = {"balance": r"balance sheet", "income": r"statements?\s+of\s+(oper
 
 
 def flagged(pages: DataFrame, doc: str = "doc_id", page: str = "page_idx", text: str = "text", headings: dict[str, str] | None = None) -> DataFrame:
-    """Pages that have a flag, computed once and kept: contents, index (an index page), stop, and by statement hit_ (heading anywhere), valid_ (a statement page), on_ (goes on).
+    """Pages that have a flag, computed once and written: contents, index (an index page), stop, and by statement hit_ (heading anywhere), valid_ (a statement page), on_ (goes on).
 
     The text stays for contents and index pages only.
     """
@@ -38,7 +40,7 @@ def flagged(pages: DataFrame, doc: str = "doc_id", page: str = "page_idx", text:
     base = pages.select(F.col(doc).alias("doc_id"), F.col(page).alias("page_idx"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = base.select("*", *flags[:3]).select("*", *flags[3:])
     names = [c for c in found.columns if c not in ("doc_id", "page_idx", "text")]
-    return found.filter(" or ".join(names)).withColumn("text", F.when(F.col("contents") | F.col("index"), F.col("text"))).persist()
+    return written(found.filter(" or ".join(names)).withColumn("text", F.when(F.col("contents") | F.col("index"), F.col("text"))), "flags")
 
 
 def contents_hint(pages: DataFrame) -> DataFrame:
@@ -129,6 +131,44 @@ def median_window(flags: DataFrame, pages: DataFrame, reach: int = 4) -> DataFra
     return held.filter(lacks & (F.size(pool) > 0)).select("doc_id", F.explode(F.sequence(F.greatest(middle - reach, F.lit(0)), middle + reach)).alias("page_idx")).join(pages.select("doc_id", "page_idx"), ["doc_id", "page_idx"], "left_semi")
 
 
+def least_triples(flags: DataFrame) -> DataFrame:
+    """doc_id, first_page, last_page: the tightest balance, income and cash pages of documents that have all three; ties to the earliest balance, then income, then cash page.
+
+    The least span comes from one walk over the pages (``pages.least_span``); the pages that reach it are then looked up in
+    the document's own arrays of pages, so triples are never formed.
+    """
+    kinds = F.array_compact(F.array(*[F.when(F.col(f"valid_{s}"), F.lit(s)) for s in STATEMENTS]))
+    each = flags.select("doc_id", "page_idx", F.explode(kinds).alias("kind"))
+    spans = P.least_span(each, "doc_id", "page_idx", F.col("kind"), list(STATEMENTS)).select(F.col("doc_id").alias("_d"), "span")
+    held = each.groupBy("doc_id").agg(*[F.array_sort(F.collect_set(F.when(F.col("kind") == s, F.col("page_idx")))).alias(s) for s in STATEMENTS])
+    met = held.join(spans, F.col("doc_id") == F.col("_d"))
+
+    def with_income(b: Column) -> Column:
+        def with_cash(i: Column) -> Column:
+            low, high = F.least(b, i), F.greatest(b, i)
+            cash = F.array_min(F.filter("cash", lambda c: (c >= high - F.col("span")) & (c <= low + F.col("span"))))
+            return F.when(cash.isNotNull(), F.struct(b.alias("b"), i.alias("i"), cash.alias("c")))
+
+        return F.array_compact(F.transform(F.filter("income", lambda i: F.abs(i - b) <= F.col("span")), with_cash))
+
+    best = F.array_min(F.flatten(F.transform("balance", with_income)))
+    return met.withColumn("_m", best).select("doc_id", F.least("_m.b", "_m.i", "_m.c").alias("first_page"), F.greatest("_m.b", "_m.i", "_m.c").alias("last_page"))
+
+
+def cluster_pages(flags: DataFrame, pages: DataFrame, before: int = 4, after: int = 5) -> DataFrame:
+    """doc_id, page_idx: a document's statement pages by where they cluster, for documents that nothing else could place.
+
+    With statement pages of all three kinds: those from ``before`` pages ahead of the tightest three to ``after``
+    behind them, each tested again and with its continuations. Else the pages around the median
+    statement page; without any, none.
+    """
+    window = least_triples(flags)
+    valid = F.array_compact(F.array(*[F.when(F.col(f"valid_{s}"), F.lit(s)) for s in STATEMENTS]))
+    near = flags.join(window, "doc_id").filter((F.col("page_idx") >= F.col("first_page") - before) & (F.col("page_idx") <= F.col("last_page") + after))
+    starts = near.select("doc_id", "page_idx", F.explode(valid).alias("statement"), F.lit(0).alias("nth"))
+    return with_continuations(flags, starts).select("doc_id", "page_idx").distinct().unionByName(median_window(flags, pages, before))
+
+
 def page_subset(pages: DataFrame, selected: DataFrame) -> DataFrame:
     """The selected pages' rows, each once in page order; page numbers out of range are ignored."""
     wanted = selected.select("doc_id", "page_idx").distinct()

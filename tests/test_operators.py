@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from tallyframe.functions import labels, numbers
 from tallyframe.operators import planner, review
 from tallyframe.sources import readers, sinks
-from tallyframe.streaming.restatements import as_batch, latest_facts
 
 
 def test_numbers(spark):
@@ -55,13 +54,3 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/long_all")).count() == 3
     sinks.write_log(df.filter("id < 0"), str(tmp_path / "none"))
     assert not (tmp_path / "none").exists()
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    schema = "k string, v double, seq int"
-    files = [[("a", 1.0, 1), ("b", 2.0, 1)], [("a", None, 2), ("b", 3.0, 2), ("c", None, 2)], [("a", 5.0, 3)]]
-    for i, rows in enumerate(files):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        latest_facts(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "check"), ["k"], "v", ["seq"]).awaitTermination()
-    got = {(r.k, r.v) for r in spark.read.parquet(str(tmp_path / f"out/version={len(files) - 1}")).collect()}
-    assert got == {(r.k, r.v) for r in as_batch(spark.read.parquet(str(tmp_path / "in")), ["k"], "v", ["seq"]).collect()} == {("a", 5.0), ("b", 3.0)}
