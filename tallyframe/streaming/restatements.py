@@ -16,7 +16,7 @@ from __future__ import annotations
 import json
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -99,11 +99,12 @@ def merge(batch: DataFrame, number: int, target: str, keys: list[str], value: st
 
 def latest_facts(
     spark: SparkSession, source: str, schema: str | StructType, target: str, checkpoint: str, keys: list[str], value: str, seq: list[str],
-    fan: int = FAN, files: int | None = None,
+    fan: int = FAN, files: int | None = None, where: Column | None = None,
 ) -> StreamingQuery:
-    """Add all files that arrived at ``source`` to the log at ``target``, at most ``files`` a batch. ``current`` reads what is known."""
+    """Add all files that arrived at ``source`` (their rows that ``where`` holds for) to the log at ``target``, at most ``files`` a batch. ``current`` reads what is known."""
     read = spark.readStream.schema(schema)
     stream = (read.option("maxFilesPerTrigger", files) if files else read).parquet(source)
+    stream = stream if where is None else stream.filter(where)
     add = partial(merge, target=target, keys=keys, value=value, seq=seq, fan=fan)
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
