@@ -12,9 +12,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyframe.functions import describe as D
 from tallyframe.operators import series
+from tallyframe.tables import written
 
 TOLERANCE = 1e-6
 # Statement, role and the label pattern of its lines.
@@ -193,9 +195,9 @@ def _coverage(wide: DataFrame, store: DataFrame, by: list[str]) -> DataFrame:
 def certify_batches(store: DataFrame, by: list[str]) -> DataFrame:
     """by, check, result, details: five checks of every batch; a batch without measurements gives no rows.
 
-    What all checks read, a row for each period of the chosen lines, is laid out once and kept.
+    What all checks read, a row for each period of the chosen lines, is laid out once and written.
     """
-    wide = laid_out(store, by).persist()
+    wide = written(laid_out(store, by), "laid-out")
     found = reduce(DataFrame.unionByName, [f(wide, by) for f in (balance_check, roll_check, net_check, income_check, cash_check)])
     found = found.select(*[F.col(c).alias(f"f_{c}") for c in by], F.col("check").alias("f_check"), "result", "details")
     named = _coverage(wide, store, by).join(found, [F.col("check") == F.col("f_check"), *[F.col(c) == F.col(f"f_{c}") for c in by]], "left")
@@ -218,12 +220,14 @@ def net_income_overview(store: DataFrame, by: list[str]) -> DataFrame:
     lines = store.filter(F.col("statement").isin("income", "cash") & F.lower("label").startswith("net income") & (F.year("period_end") >= 1900))
     kind = D.normal_duration(F.col("statement"), F.col("duration"), F.col("months"))
     each = lines.withColumn("kind", kind).groupBy(*by, "statement", "kind", "months", "period_end").agg(F.max_by("value", "seq").alias("value"))
-    month = lambda c: F.year(c) * 12 + F.month(c)
-    ytd = each.filter("kind = 'ytd' and months is not null")
-    before = ytd.select(*[F.col(c).alias(f"b_{c}") for c in [*by, "statement"]], F.col("months").alias("b_months"), month(F.col("period_end")).alias("b_month"), F.col("value").alias("b_value"))
-    met = ytd.join(before, [*[F.col(c) == F.col(f"b_{c}") for c in [*by, "statement"]], F.col("b_months") == F.col("months") - 3, F.col("b_month") == month(F.col("period_end")) - 3])
-    made = met.select(*by, "statement", F.lit("quarter").alias("kind"), "period_end", (F.col("value") - F.col("b_value")).alias("value"), F.lit(1).alias("made"))
-    own = each.select(*by, "statement", "kind", "period_end", "value", F.lit(0).alias("made"))
-    one = own.union(made).groupBy(*by, "kind", "period_end", "statement").agg(F.min_by("value", "made").alias("value"))
-    wide = one.groupBy(*by, "kind", "period_end").pivot("statement", ["income", "cash"]).agg(F.first("value"))
+    # figures of one year so far begin in one month; the one three months shorter stands in a frame of its own
+    begins = F.year("period_end") * 12 + F.month("period_end") - F.col("months")
+    shorter = Window.partitionBy(*by, "statement", "kind", begins).orderBy("months").rangeBetween(-3, -3)
+    ytd = (F.col("kind") == "ytd") & F.col("months").isNotNull()
+    met = each.withColumn("_b", F.when(ytd, F.max(F.struct("period_end", "value")).over(shorter)))
+    own = F.struct("kind", F.col("value").alias("value"), F.lit(0).alias("made"))
+    made = F.struct(F.lit("quarter").alias("kind"), (F.col("value") - F.col("_b.value")).alias("value"), F.lit(1).alias("made"))
+    rows = met.select(*by, "statement", "period_end", F.explode(F.array_compact(F.array(own, F.when(F.col("_b").isNotNull(), made)))).alias("_r")).select(*by, "statement", "period_end", "_r.*")
+    wide = rows.groupBy(*by, "kind", "period_end").agg(*[F.min(F.when(F.col("statement") == s, F.struct("made", "value"))).alias(s) for s in ("income", "cash")])
+    wide = wide.select(*by, "kind", "period_end", F.col("income.value").alias("income"), F.col("cash.value").alias("cash"))
     return wide.select(*by, F.col("kind").alias("duration"), "period_end", "income", "cash", _ok(F.col("income") - F.col("cash")).alias("ok"))

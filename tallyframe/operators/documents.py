@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import describe as D
 from tallyframe.operators import batch as B
+from tallyframe.tables import written
 
 # Statement, role and the label pattern of its line; the first line that fits is taken.
 ROLES = [
@@ -117,7 +118,7 @@ def income_cross(wide: DataFrame) -> DataFrame:
 
 def certify_documents(facts: DataFrame, headers: DataFrame | None = None) -> DataFrame:
     """doc_id, check, result, details: seven checks of every document; ``headers``: doc_id, statement, statement_name, source for the list of pages."""
-    wide = columns_of(facts).persist()  # a row for each column of a statement, read by all checks
+    wide = written(columns_of(facts), "columns")  # a row for each column of a statement, read by all checks
     c = F.col
     fx = F.coalesce("fx", F.lit(0.0))
     rows = [

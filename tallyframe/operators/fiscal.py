@@ -3,113 +3,152 @@
 Facts: ``by`` (whose reports), statement, canonical, label, level, order_index, column, raw_label,
 duration, period_end (text), value, source, seq (order of ingestion). A key of a period is
 period_end (date), duration and months.
+
+Facts become values by line and period in one grouping and one window, and are written. What a fiscal year is, and
+which period fills which slot of it, follows from the list of periods of one ``by``: a short array, on which array
+functions do all the counting, so the calendar costs two small shuffles. Values then meet their slots in one join,
+and lines their years in one grouping; everything a later step needs travels along.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyframe.functions import describe as D
 from tallyframe.functions import periods as R
+from tallyframe.functions.text import let
 from tallyframe.operators import series as S
+from tallyframe.tables import written
 
 KEY = ["period_end", "duration", "months"]
 ISSUES = ["statement", "line", "issue", "period", "detail"]
-
-
-def _same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
-    out = a[columns[0]].eqNullSafe(b[columns[0]])
-    for c in columns[1:]:
-        out = out & a[c].eqNullSafe(b[c])
-    return out
+STATEMENTS = ["balance", "income", "cash"]
 
 
 def ingested(facts: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Values by line and period (the last one that is not null; attributes of the latest period), and an issue for each column without a date."""
+    """Values by line and period (the last one that is not null) with their line's attributes (of the latest period) and least seq, written; and an issue for each column without a date."""
     end = R.period_end(F.coalesce(F.nullif("period_end", F.lit("")), F.nullif("column", F.lit("")), "raw_label"))
     dated = facts.withColumn("_end", end).withColumn("months", R.months_of(F.coalesce("raw_label", F.lit("")), F.col("duration")))
     lost = dated.filter("_end is null").select(*by, "statement", F.col("canonical").alias("line"), F.lit("missing-period").alias("issue"), F.col("column").alias("period"), F.lit("Could not parse period end date").alias("detail"))
     good = dated.filter("_end is not null").drop("period_end").withColumnRenamed("_end", "period_end")
-    one = good.groupBy(*by, "statement", F.lower("canonical").alias("line"), *KEY).agg(F.max_by(F.struct("value", "source"), F.when(F.col("value").isNotNull(), F.col("seq"))).alias("v"), F.min("seq").alias("seq"))
-    shown = good.groupBy(*by, "statement", F.lower("canonical").alias("line")).agg(F.max_by(F.struct("label", "level", "order_index"), F.struct("period_end", "seq")).alias("s"))
-    values = one.join(shown, [*by, "statement", "line"]).select(*by, "statement", "line", *KEY, "v.*", "seq", F.col("s.label").alias("label"), F.col("s.level").alias("level"), F.col("s.order_index").alias("order_index"))
-    return values.persist(), lost
+    one = good.groupBy(*by, "statement", F.lower("canonical").alias("line"), *KEY).agg(
+        F.max_by(F.struct("value", "source"), F.when(F.col("value").isNotNull(), F.col("seq"))).alias("v"), F.min("seq").alias("seq"),
+        F.max(F.struct("period_end", "seq", "label", "level", "order_index")).alias("s"),
+    )
+    line = Window.partitionBy(*by, "statement", "line")
+    whole = one.withColumn("s", F.max("s").over(line)).withColumn("line_seq", F.min("seq").over(line))
+    return written(whole.select(*by, "statement", "line", *KEY, "v.*", "seq", "line_seq", "s.label", "s.level", "s.order_index"), "values"), lost
 
 
 def period_keys(values: DataFrame, by: list[str]) -> DataFrame:
-    """by, statement, period_end, duration, months, first (seq): the periods that each statement has."""
-    return values.filter(F.year("period_end") >= 1900).groupBy(*by, "statement", *KEY).agg(F.min("seq").alias("first"))
+    """by, keys: the periods that the statements of each ``by`` have, an array of statement, period_end, duration, months, first (seq)."""
+    keys = values.filter(F.year("period_end") >= 1900).groupBy(*by, "statement", *KEY).agg(F.min("seq").alias("first"))
+    return keys.groupBy(*by).agg(F.collect_list(F.struct("statement", *KEY, "first")).alias("keys"))
+
+
+def _mode(pairs: Column) -> Column:
+    """The most frequent ``v`` of an array of (v, first); ties to the one seen first."""
+    kinds = F.array_distinct(F.transform(pairs, lambda p: p["v"]))
+
+    def weight(v: Column) -> Column:
+        own = F.filter(pairs, lambda p: p["v"] == v)
+        return F.struct(F.size(own).alias("n"), (-F.array_min(F.transform(own, lambda p: p["first"]))).alias("first"), v.alias("v"))
+
+    return F.array_max(F.transform(kinds, weight))["v"]
+
+
+def fiscal_year(keys: DataFrame) -> DataFrame:
+    """``keys`` with fy_month, fy_day: the most frequent month in which years end, and the most frequent day of balances in it; ties to the first seen."""
 
+    def flow_month(k: Column) -> Column:
+        m = F.month(k["period_end"])
+        ytd = F.when((k["duration"] == "ytd") & (k["months"] > 0), F.pmod(m - k["months"] - 1, F.lit(12)) + 1)
+        return F.struct(ytd.when((k["duration"] == "annual") & (k["months"] == 12), m).alias("v"), k["first"].alias("first"))
 
-def fiscal_year(keys: DataFrame, by: list[str]) -> DataFrame:
-    """by, fy_month, fy_day: the most frequent month in which years end, and the most frequent day of balances in it; ties to the first seen."""
-    m = F.month("period_end")
-    month = F.when((F.col("duration") == "ytd") & (F.col("months") > 0), F.pmod(m - F.col("months") - 1, F.lit(12)) + 1).when((F.col("duration") == "annual") & (F.col("months") == 12), m)
-    point = F.col("duration") == "point"
-    flows = S.mode_first(keys.withColumn("_m", month).filter("_m is not null"), by, F.col("_m"), "first", "flow_month").drop("n")
-    points = S.mode_first(keys.filter(point), by, m, "first", "point_month").drop("n")
-    out = keys.select(*by).distinct().join(flows, by, "left").join(points, by, "left").select(*by, F.coalesce("flow_month", "point_month", F.lit(12)).alias("fy_month"))
-    days = keys.filter(point).join(out, by).filter(m == F.col("fy_month"))
-    days = S.mode_first(days, by, F.dayofmonth("period_end"), "first", "day").drop("n")
-    return out.join(days, by, "left").select(*by, "fy_month", F.coalesce("day", F.lit(31)).alias("fy_day"))
+    points = F.filter("keys", lambda k: k["duration"] == "point")
+    flows = F.filter(F.transform("keys", flow_month), lambda p: p["v"].isNotNull())
+    named = keys.withColumn("_flows", flows).withColumn("_points", points)
+    months = F.transform("_points", lambda k: F.struct(F.month(k["period_end"]).alias("v"), k["first"].alias("first")))
+    named = named.withColumn("fy_month", F.coalesce(_mode(F.col("_flows")), _mode(months), F.lit(12)))
+    days = F.transform(F.filter("_points", lambda k: F.month(k["period_end"]) == F.col("fy_month")), lambda k: F.struct(F.dayofmonth(k["period_end"]).alias("v"), k["first"].alias("first")))
+    return named.withColumn("fy_day", F.coalesce(_mode(days), F.lit(31))).drop("_flows", "_points")
 
 
-def calendar(keys: DataFrame, years: DataFrame, by: list[str]) -> DataFrame:
-    """by, fy_end: years that annual columns name, and balance dates in the last month; without any, the annual columns' own dates."""
-    named = keys.join(years, by)
-    last = F.dayofmonth(F.last_day(F.make_date(F.year("period_end"), "fy_month", F.lit(1))))
-    annual = F.when(F.col("duration") == "annual", F.make_date(F.year("period_end"), "fy_month", F.least("fy_day", last)))
-    point = F.when((F.col("duration") == "point") & (F.month("period_end") == F.col("fy_month")), F.col("period_end"))
-    return named.select(*by, F.coalesce(annual, point).alias("fy_end")).filter("fy_end is not null").distinct()
+def _clamped(year: Column, month: Column, day: Column) -> Column:
+    return F.make_date(year, month, F.least(day, F.dayofmonth(F.last_day(F.make_date(year, month, F.lit(1))))))
+
+
+def calendar(years: DataFrame) -> DataFrame:
+    """``years`` with ends: years that annual columns name, and balance dates in the last month."""
+
+    def end(k: Column) -> Column:
+        point = F.when((k["duration"] == "point") & (F.month(k["period_end"]) == F.col("fy_month")), k["period_end"])
+        return F.when(k["duration"] == "annual", _clamped(F.year(k["period_end"]), F.col("fy_month"), F.col("fy_day"))).otherwise(point)
+
+    return years.withColumn("ends", F.array_distinct(F.array_compact(F.transform("keys", end))))
 
 
 def slot_keys(keys: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """by, statement, fy_end, slot (q1.., y1.., fy) and the period key in it, and an issue for each period without a quarter.
+    """by, statement, fy_end, slot (q1.., y1.., fy), the period key in it and at (dates of the year's slots), written; and an issue for each period without a quarter.
 
-    Of several periods in a slot the first by date counts, of annual ones the last.
+    A period belongs to the first year end that its own does not pass, if that is at most 400 days after it. Of several
+    periods in a slot the first by date counts, of annual ones the last.
     """
-    keys = keys.persist()  # a row for each period that a statement names
-    years = fiscal_year(keys, by).persist()
-    ends = calendar(keys, years, by)
-    placed = keys.join(years, by).withColumn("projected", R.fiscal_year_end(F.col("period_end"), F.col("fy_month"), F.col("fy_day"))).persist()
-    annual = placed.filter("duration = 'annual'").withColumn("fy_end", F.col("projected"))
-    each = F.explode(F.array(F.lit("balance"), F.lit("income"), F.lit("cash"))).alias("statement")
-    known = ends.select(*by, "fy_end", each).union(annual.select(*by, "fy_end", "statement")).distinct()
-    other = placed.filter("duration <> 'annual'")
-    cells = lambda c: F.floor(F.datediff(c, F.to_date(F.lit("1970-01-01"))) / 400)
-    near = other.withColumn("_cell", F.explode(F.array(cells("projected"), cells("projected") + 1)))
-    met = near.join(known.withColumn("_cell", cells("fy_end")), [*by, "statement", "_cell"]).filter((F.col("fy_end") >= F.col("projected")) & (F.datediff("fy_end", "period_end") <= 400))
-    first = met.groupBy(*by, "statement", *KEY).agg(F.min("fy_end").alias("fy_end"))
-    other = other.join(first.select(*[F.col(c).alias(f"m_{c}") for c in [*by, "statement", *KEY]], "fy_end"), [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in [*by, "statement", *KEY]], "left")
-    other = other.withColumn("fy_end", F.coalesce("fy_end", "projected")).withColumn("q", R.quarter_index(F.col("duration"), F.col("months"), F.col("period_end"), F.col("fy_end"))).persist()
-    lost = other.filter("q is null").select(*by, "statement", F.lit("").alias("line"), F.lit("quarter-index").alias("issue"), D.date_text(F.col("period_end")).alias("period"), F.concat(F.lit("Unable to map duration "), "duration").alias("detail"))
-    kind = F.when(F.col("duration") == "ytd", "y").otherwise("q")
-    columns = [*by, "statement", "fy_end", "slot", *KEY, "first"]
-    rows = other.filter("q is not null").withColumn("slot", F.concat(kind, F.col("q").cast("string"))).select(*columns).union(annual.withColumn("slot", F.lit("fy")).select(*columns))
+    state = calendar(fiscal_year(keys))
+    own_end = lambda k: R.fiscal_year_end(k["period_end"], F.col("fy_month"), F.col("fy_day"))
+    annual = {s: F.transform(F.filter("keys", lambda k: (k["duration"] == "annual") & (k["statement"] == F.lit(s))), own_end) for s in STATEMENTS}  # noqa: B023
+    state = state.select(*by, "keys", "fy_month", "fy_day", *[F.array_union("ends", annual[s]).alias(f"_known_{s}") for s in STATEMENTS])
+
+    def placed(k: Column) -> Column:
+        known = reduce(lambda other, s: F.when(k["statement"] == s, F.col(f"_known_{s}")).otherwise(other), STATEMENTS, F.array().cast("array<date>"))
+
+        def within(own: Column) -> Column:
+            first = F.array_min(F.filter(known, lambda e: (e >= own) & (F.datediff(e, k["period_end"]) <= 400)))
+            return F.when(k["duration"] == "annual", own).otherwise(F.coalesce(first, own))
+
+        return F.struct(*[k[c].alias(c) for c in ("statement", *KEY, "first")], let(own_end(k), within).alias("fy_end"))
+
+    each = state.select(*by, F.explode(F.transform("keys", placed)).alias("_k")).select(*by, "_k.*")
+    each = each.withColumn("q", F.when(F.col("duration") != "annual", R.quarter_index(F.col("duration"), F.col("months"), F.col("period_end"), F.col("fy_end"))))
+    lost = each.filter("q is null and duration <> 'annual'").select(*by, "statement", F.lit("").alias("line"), F.lit("quarter-index").alias("issue"), D.date_text(F.col("period_end")).alias("period"), F.concat(F.lit("Unable to map duration "), "duration").alias("detail"))
+    slot = F.when(F.col("duration") == "annual", "fy").when(F.col("duration") == "ytd", F.concat(F.lit("y"), F.col("q").cast("string"))).otherwise(F.concat(F.lit("q"), F.col("q").cast("string")))
     far = F.datediff("period_end", F.to_date(F.lit("1970-01-01")))
-    order = F.struct(F.when(F.col("slot") == "fy", -far).otherwise(far), "first")
-    return rows.groupBy(*by, "statement", "fy_end", "slot").agg(F.min_by(F.struct(*KEY), order).alias("_k")).select(*by, "statement", "fy_end", "slot", "_k.*").persist(), lost
+    order = F.struct(F.when(F.col("duration") == "annual", -far).otherwise(far), "first")
+    # these groups lie within those of ``by``: no shuffle
+    one = each.withColumn("slot", slot).filter("slot is not null").groupBy(*by, "statement", "fy_end", "slot").agg(F.min_by(F.struct(*KEY), order).alias("_k")).select(*by, "statement", "fy_end", "slot", "_k.*")
+    dates = F.map_from_entries(F.collect_list(F.struct("slot", "period_end")).over(Window.partitionBy(*by, "statement", "fy_end")))
+    return written(one.withColumn("at", dates), "slots"), lost
 
 
 def slotted(values: DataFrame, slots: DataFrame, by: list[str]) -> DataFrame:
-    """by, statement, line, fy_end and a struct (value, months, period_end, source) for each slot that the line fills."""
-    at = slots.select(*[F.col(c).alias(f"s_{c}") for c in [*by, "statement", *KEY]], "fy_end", "slot")
+    """by, statement, line, fy_end, a struct (value, months, period_end, source) for each slot that the line fills, at, and the line's attributes."""
+    at = slots.select(*[F.col(c).alias(f"s_{c}") for c in [*by, "statement", *KEY]], "fy_end", "slot", F.map_entries("at").alias("at"))
     met = values.filter("value is not null").join(at, [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in [*by, "statement", *KEY]])
-    return met.groupBy(*by, "statement", "line", "fy_end").pivot("slot", S.SLOTS).agg(F.first(F.struct("value", "months", "period_end", "source"))).persist()
+    cell = F.struct("value", "months", "period_end", "source")
+    filled = met.groupBy(*by, "statement", "line", "fy_end").agg(*[F.max(F.when(F.col("slot") == s, cell)).alias(s) for s in S.SLOTS], F.first("at").alias("at"), F.first(F.struct("line_seq", "label", "level", "order_index")).alias("_l"))
+    return filled.withColumn("at", F.map_from_entries("at")).select(*by, "statement", "line", "fy_end", *S.SLOTS, "at", "_l.*")
+
+
+def _date_of(n: int) -> Column:
+    """When the n-th quarter ended: by its own column, that of the year to date, else by the year's end."""
+    return F.coalesce(F.col("at")[f"q{n}"], F.col("at")[f"y{n}"], F.add_months("fy_end", 3 * n - 12))
 
 
 def fiscal_series(wide: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """q1..q4 and fy of every line and fiscal year, and an issue for each quarter that lacks those before it."""
-    keys = [*by, "statement", "line", "fy_end"]
-    flat = wide.select(*keys, *[F.col(f"{s}.value").alias(s) for s in S.SLOTS])
+    """q1..q4 and fy of every line and fiscal year (with what ``slotted`` says of both), and an issue for each quarter that lacks those before it."""
+    keep = [*by, "statement", "line", "fy_end", "at", "line_seq", "label", "level", "order_index"]
+    flat = wide.select(*keep, *[F.col(f"{s}.value").alias(s) for s in S.SLOTS])
     made = S.derive_series(flat)
     balance = F.col("statement") == "balance"
     out = made.withColumn("fy", F.when(balance, F.coalesce("fy", "q4")).otherwise(F.col("fy")))
     q1 = F.coalesce("q1", "y1")
     lacks = [(2, F.col("q2").isNull() & F.col("y2").isNotNull() & q1.isNull()), (3, F.col("q3").isNull() & F.col("y3").isNotNull() & (q1.isNull() | F.coalesce(F.col("q2"), F.col("y2") - q1).isNull()))]
     each = flat.withColumn("q", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in lacks]))))
-    lost = each.select(*by, "statement", "line", F.lit("ytd-backfill").alias("issue"), R.describe_quarter(F.col("fy_end"), F.col("q")).alias("period"), F.lit("Missing prior quarters prevents YTD backfill").alias("detail"))
+    lost = each.select(*by, "statement", F.col("label").alias("line"), F.lit("ytd-backfill").alias("issue"), R.describe_quarter(F.col("fy_end"), F.col("q")).alias("period"), F.lit("Missing prior quarters prevents YTD backfill").alias("detail"))
     return out, lost
 
 
@@ -128,10 +167,7 @@ def measurements(values: DataFrame, slots: DataFrame, by: list[str]) -> DataFram
     four quarters. Balances are points as reported.
     """
     keys = [*by, "statement", "line"]
-    ends = slots.groupBy(*by, "statement", "fy_end").pivot("slot", S.SLOTS).agg(F.first("period_end"))
-    at = ends.select(*[F.col(c).alias(f"e_{c}") for c in [*by, "statement", "fy_end"]], *[F.col(s).alias(f"at_{s}") for s in S.SLOTS])
     wide = slotted(values.filter("statement <> 'balance'"), slots, by)
-    wide = wide.join(at, [F.col(c) == F.col(f"e_{c}") for c in [*by, "statement", "fy_end"]])
     v = lambda s: F.col(f"{s}.value")
     # each value is made once and named, then used by those after it
     wide = wide.withColumn("v1", F.coalesce(v("q1"), F.when(F.col("y1.months").isNull() | (F.col("y1.months") == 3), v("y1"))))
@@ -141,32 +177,26 @@ def measurements(values: DataFrame, slots: DataFrame, by: list[str]) -> DataFram
     by_ytd = F.when(_can_difference("y4", "y3"), v("y4") - v("y3"))
     by_year = F.when(F.col("y3").isNotNull(), v("fy") - v("y3")).otherwise(v("fy") - three)
     wide = wide.withColumn("v4", F.coalesce(v("q4"), by_ytd, by_year, v("y4") - three))
-    told = lambda n: F.coalesce(F.col(f"at_q{n}"), F.col(f"at_y{n}"), F.add_months("fy_end", 3 * n - 12))
-    at4 = F.when(v("q4").isNull() & by_ytd.isNull() & by_year.isNotNull(), F.col("fy.period_end")).otherwise(told(4))
+    at4 = F.when(v("q4").isNull() & by_ytd.isNull() & by_year.isNotNull(), F.col("fy.period_end")).otherwise(_date_of(4))
     four = three + F.col("v4")
     long_year = F.coalesce(F.col("y4.months") > 0, F.lit(False))
     annual = F.coalesce(v("fy"), F.when(long_year, v("y4")), four)
     annual_end = F.when(v("fy").isNotNull(), F.col("fy.period_end")).when(long_year, F.col("y4.period_end")).otherwise(F.col("fy_end"))
     row = lambda kind, months, end, value, derived, first: F.struct(F.lit(kind).alias("duration"), months.alias("months"), end.alias("period_end"), value.alias("value"), derived.alias("derived"), F.lit(first).alias("rank"))
-    quarters = [row("quarter", F.coalesce(F.col(f"q{n}.months"), F.lit(3)), F.coalesce(F.col(f"q{n}.period_end"), at4 if n == 4 else told(n)), F.col(f"v{n}"), v(f"q{n}").isNull(), n) for n in (1, 2, 3, 4)]
-    made = wide.select(*keys, F.explode(F.array(*quarters, row("annual", F.coalesce(F.col("fy.months"), F.lit(12)), annual_end, annual, v("fy").isNull(), 5))).alias("_m")).select(*keys, "_m.*").filter("value is not null")
+    quarters = [row("quarter", F.coalesce(F.col(f"q{n}.months"), F.lit(3)), F.coalesce(F.col(f"q{n}.period_end"), at4 if n == 4 else _date_of(n)), F.col(f"v{n}"), v(f"q{n}").isNull(), n) for n in (1, 2, 3, 4)]
+    made = wide.select(*keys, "line_seq", F.explode(F.array(*quarters, row("annual", F.coalesce(F.col("fy.months"), F.lit(12)), annual_end, annual, v("fy").isNull(), 5))).alias("_m")).select(*keys, "line_seq", "_m.*").filter("value is not null")
     kind = F.when(F.col("statement") == "balance", "point").otherwise(F.coalesce(F.nullif(F.lower("duration"), F.lit("")), F.lit("unknown")))
-    raw = values.filter("value is not null").filter(F.year("period_end") >= 1900).select(*keys, kind.alias("duration"), "months", "period_end", "value", F.lit(False).alias("derived"), F.lit(0).alias("rank"))
-    seqs = values.groupBy(*[F.col(c).alias(f"o_{c}") for c in keys]).agg(F.min("seq").alias("seq"))
+    raw = values.filter("value is not null").filter(F.year("period_end") >= 1900).select(*keys, "line_seq", kind.alias("duration"), "months", "period_end", "value", F.lit(False).alias("derived"), F.lit(0).alias("rank"))
     every = raw.unionByName(made).withColumn("duration_key", R.duration_key(F.col("duration"), F.col("months")))
-    one = every.groupBy(*keys, "duration_key", "period_end").agg(F.max_by(F.struct("duration", "months", "value", "derived"), "rank").alias("_m"))
-    return one.join(seqs, [F.col(c) == F.col(f"o_{c}") for c in keys]).select(*by, "statement", F.col("line").alias("label"), "duration_key", "period_end", "_m.*", "seq")
+    one = every.groupBy(*keys, "duration_key", "period_end").agg(F.max_by(F.struct("duration", "months", "value", "derived"), "rank").alias("_m"), F.min("line_seq").alias("seq"))
+    return one.select(*by, "statement", F.col("line").alias("label"), "duration_key", "period_end", "_m.*", "seq")
 
 
-def frames(series: DataFrame, values: DataFrame, slots: DataFrame, by: list[str]) -> DataFrame:
-    """by, statement, level, line, position, column, value: the table of a statement, lines and fiscal years in order; ``pivot`` makes it wide."""
-    shown = values.groupBy(*by, "statement", "line").agg(F.first(F.struct("order_index", "level", "label")).alias("_l"))
-    ends = slots.groupBy(*by, "statement", "fy_end").pivot("slot", S.SLOTS).agg(F.first("period_end"))
-    at = ends.select(*[F.col(c).alias(f"e_{c}") for c in [*by, "statement", "fy_end"]], *[F.coalesce(f"q{n}", f"y{n}", F.add_months("fy_end", 3 * n - 12)).alias(f"at{n}") for n in (1, 2, 3, 4)])
-    met = series.join(at, [F.col(c) == F.col(f"e_{c}") for c in [*by, "statement", "fy_end"]]).join(shown, [*by, "statement", "line"])
-    cells = [F.struct(F.lit(n).alias("n"), R.quarter_label(F.col(f"at{n}")).alias("column"), F.col(f"q{n}").alias("value")) for n in (1, 2, 3, 4)]
+def frames(series: DataFrame, by: list[str]) -> DataFrame:
+    """by, statement, order_index, level, line, position, column, value: the table of a statement, lines and fiscal years in order; ``workbooks.series_sheets`` makes it wide."""
+    cells = [F.struct(F.lit(n).alias("n"), R.quarter_label(_date_of(n)).alias("column"), F.col(f"q{n}").alias("value")) for n in (1, 2, 3, 4)]
     cells.append(F.struct(F.lit(5).alias("n"), F.concat(F.lit("FY "), F.year("fy_end").cast("string")).alias("column"), F.col("fy").alias("value")))
-    each = met.select(*by, "statement", F.col("_l.order_index").alias("order_index"), F.col("_l.level").alias("level"), F.col("_l.label").alias("line"), "fy_end", F.explode(F.array(*cells)).alias("_c"))
+    each = series.select(*by, "statement", "order_index", "level", F.col("label").alias("line"), "fy_end", F.explode(F.array(*cells)).alias("_c"))
     return each.select(*by, "statement", "order_index", "level", "line", F.struct("fy_end", "_c.n").alias("position"), "_c.column", "_c.value")
 
 

@@ -168,7 +168,7 @@ def q63_measurements(spark: SparkSession, d: str) -> DataFrame:
 def q64_fiscal_series(spark: SparkSession, d: str) -> DataFrame:
     values, _ = fiscal.ingested(_reports(spark, d), ["batch"])
     slots, _ = fiscal.slot_keys(fiscal.period_keys(values, ["batch"]), ["batch"])
-    return fiscal.fiscal_series(fiscal.slotted(values, slots, ["batch"]), ["batch"])[0]
+    return fiscal.fiscal_series(fiscal.slotted(values, slots, ["batch"]), ["batch"])[0].select("batch", "statement", "line", "fy_end", "q1", "q2", "q3", "q4", "fy")
 
 
 @query("SELECT DISTINCT o_orderpriority AS batch, 'income' AS statement, 'Net revenue' AS line, 'missing-period' AS issue, 'Restated' AS period, 'Could not parse period end date' AS detail FROM orders")
