@@ -1,9 +1,14 @@
 """Language identification of mixed documents by expectation-maximisation.
 
 Training counts hashed byte trigrams of each language. A document is a mixture of languages:
-EM over its trigram counts estimates their proportions, for the best language alone, then for
-the two with the largest proportions, and so on; the set with the best penalised likelihood is
-chosen, and its largest language is the prediction.
+EM over its trigram counts estimates their proportions. Sets of languages grow from the best one alone,
+each time by the language that raises the likelihood most; the set with the best penalised likelihood is
+chosen, and its largest language is the prediction. How large a set can be is not limited: the
+likelihood of all languages together, with what is left to gain by the slope there, bounds that of every
+set, and sets stop growing when that bound, less the penalty of the next size, is no better than the best found.
+
+The model holds the counts of the trigrams that each language has, so it grows with labels and what was seen
+of them; its buckets are the same for any number of labels.
 """
 
 from __future__ import annotations
@@ -20,10 +25,8 @@ from pyspark.sql import functions as F
 from tallyframe.llm.common import extended, frames
 
 BUCKETS = 1 << 15
-#: Numbers of the model: languages times buckets. More languages share a table of fewer buckets, so the model is bounded for any number of labels.
-MODEL = 1 << 24
-#: Languages that a document may have.
-MAX_SET = 4
+#: Counts that a task holds before it hands them on.
+HELD = 1 << 22
 ROUNDS = 15
 #: A language more must gain so many times half the logarithm of the trigrams; neighbouring trigrams share two bytes.
 PENALTY = 6.0
@@ -45,18 +48,37 @@ def remainder(key: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages in ascending order, and the smoothed probability of every bucket (rows) in each (columns).
+class Table:
+    """Smoothed probabilities of buckets by language, kept as the counts that are not zero: those of a bucket stand together."""
 
-    Every labelled row counts. A task holds one array of counts for each language it meets, a
-    language's counts travel as one array, Spark adds them up, and the driver gathers the sums:
-    MODEL numbers at most, whatever the corpus; with more than MODEL / 64 labels it is an error.
+    def __init__(self, bucket: np.ndarray, lang: np.ndarray, n: np.ndarray, languages: int, buckets: int) -> None:
+        order = np.argsort(bucket, kind="stable")
+        self.starts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        self.lang, self.n = lang[order].astype(np.int32), n[order].astype(np.float64)
+        self.sums = np.bincount(lang, n, languages) + 0.5 * buckets
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        """Probabilities of the buckets ``at`` (rows) in every language (columns)."""
+        out = np.tile(0.5 / self.sums, (len(at), 1))
+        first, sizes = self.starts[at], self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(sizes)
+        held = np.arange(ends[-1] if len(at) else 0) + np.repeat(first - ends + sizes, sizes)
+        lang = self.lang[held]
+        out[np.repeat(np.arange(len(at)), sizes), lang] += self.n[held] / self.sums[lang]
+        return out
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], Table]:
+    """Languages in ascending order, and the probability of every bucket in each.
+
+    Every labelled row counts. A task holds an array of counts for each language it meets and hands them on
+    when they become many; Spark adds them up, and the driver gathers what is not zero: 12 bytes
+    for each trigram bucket that a label has.
     """
     labelled = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
-    distinct = labelled.agg(F.approx_count_distinct("l", 0.05)).first()[0] or 0
-    buckets = BUCKETS
-    while buckets * distinct * 2 > MODEL and buckets > 64:
-        buckets //= 2
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -69,25 +91,23 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
 
         for pdf in batches:
             for t, name in zip(pdf["t"].tolist(), pdf["l"].tolist(), strict=True):
-                got = np.bincount(grams(t, buckets), minlength=buckets)
+                got = np.bincount(grams(t), minlength=BUCKETS)
                 if name in sums:
                     sums[name] += got
                 else:
                     sums[name] = got
-            if len(sums) * buckets > MODEL:
-                yield from given()
+                    if len(sums) * BUCKETS > HELD:
+                        yield from given()
         yield from given()
 
     summed = frames(labelled, count, "l string, bucket long, n long").groupBy("l", "bucket").agg(F.sum("n").alias("n"))
-    by_language = summed.groupBy("l").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("c")).select("l", F.col("c.bucket").alias("bucket"), F.col("c.n").alias("n"))
-    rows = by_language.orderBy("l").collect()
-    if len(rows) * buckets > 2 * MODEL:
-        raise ValueError(f"{len(rows)} languages are more than {2 * MODEL // 64}")
-    counts = np.zeros((buckets, len(rows)))
-    for i, r in enumerate(rows):
-        counts[r["bucket"], i] = r["n"]
-    smooth = counts + 0.5
-    return [r["l"] for r in rows], smooth / smooth.sum(axis=0, keepdims=True)
+    rows = summed.toArrow()
+    kinds = rows.column("l").combine_chunks().dictionary_encode() if rows.num_rows else None
+    seen = kinds.dictionary.to_pylist() if rows.num_rows else []
+    names = sorted(seen)
+    place = np.argsort(np.argsort(np.array(seen, object), kind="stable"), kind="stable").astype(np.int64)
+    at = place[kinds.indices.to_numpy()] if rows.num_rows else np.zeros(0, np.int64)
+    return names, Table(rows.column("bucket").to_numpy(), at, rows.column("n").to_numpy(), len(names), BUCKETS)
 
 
 def mixture(counts: np.ndarray, probs: np.ndarray) -> tuple[np.ndarray, float]:
@@ -103,34 +123,51 @@ def mixture(counts: np.ndarray, probs: np.ndarray) -> tuple[np.ndarray, float]:
     return pi, float(counts @ np.log(probs @ pi))
 
 
-def identify(text: str | None, names: list[str], table: np.ndarray) -> tuple[str, float, str, bool]:
-    """Prediction, its proportion, all chosen languages with proportions, and whether the text is like any of them."""
+def ceiling(counts: np.ndarray, probs: np.ndarray, pi: np.ndarray, likelihood: float) -> float:
+    """What no proportions of these languages can exceed: the likelihood is concave, so its slope at ``pi`` bounds it."""
+    slopes = (counts / (probs @ pi)) @ probs
+    return likelihood + float(slopes.max() - counts.sum())
+
+
+def chosen_set(counts: np.ndarray, probs: np.ndarray, penalty: float) -> tuple[list[int], np.ndarray, float]:
+    """Languages (columns), their proportions and the penalised likelihood of the best set on the way from the best language to all."""
+    alone = counts @ np.log(probs)
+    now = [int(np.argmax(alone))]
+    best = (now, np.ones(1), float(alone[now[0]]))
+    if probs.shape[1] == 1:
+        return best
+    most = ceiling(counts, probs, *mixture(counts, probs))
+    for size in range(2, probs.shape[1] + 1):
+        cost = penalty * (size - 1)
+        if most - cost <= best[2]:
+            break
+        tried = [(*mixture(counts, probs[:, [*now, k]]), k) for k in range(probs.shape[1]) if k not in now]
+        pi, likelihood, k = max(tried, key=lambda x: (x[1], -x[2]))
+        now = [*now, k]
+        if likelihood - cost > best[2]:
+            best = (now, pi, likelihood - cost)
+    return best
+
+
+def identify(text: str | None, names: list[str], table: Table | np.ndarray) -> tuple[str, float, str, bool]:
+    """Prediction, its proportion, all chosen languages with proportions, and whether the text is like any of them.
+
+    Of equal proportions the language that comes first by name is the prediction.
+    """
     if not names or text is None or _LETTER.search(text) is None:
         return UNKNOWN, 0.0, "", False
     c = np.bincount(grams(text, len(table)), minlength=len(table))
     at = np.flatnonzero(c)
     counts, probs = c[at].astype(float), table[at]
     n = counts.sum()
-    pi, _ = mixture(counts, probs)
-    order = np.argsort(-pi, kind="stable")
-    alone = counts @ np.log(probs)
-    first = int(np.argmax(alone))
-    order = np.concatenate(([first], order[order != first]))
-    best_set, best_pi, best = [first], np.ones(1), alone[first]
-    cost = PENALTY * 0.5 * np.log(max(n, 2.0))
-    for k in range(2, min(MAX_SET, len(names)) + 1):
-        chosen = order[:k]
-        p, ll = mixture(counts, probs[:, chosen])
-        if ll - cost * (k - 1) <= best:
-            break
-        best_set, best_pi, best = chosen.tolist(), p, ll - cost * (k - 1)
+    best_set, best_pi, best = chosen_set(counts, probs, PENALTY * 0.5 * np.log(max(n, 2.0)))
     rank = sorted(zip(best_pi.tolist(), best_set), key=lambda x: (-x[0], x[1]))
     score, lang = min(1.0, rank[0][0]), names[rank[0][1]]
     like = best / n > -np.log(len(table))  # better than all trigrams being as likely
     return lang, score, ",".join(f"{names[i]}:{p:.3f}" for p, i in rank), bool(like)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: tuple[list[str], Table], text: str = "text") -> DataFrame:
     """All columns, and lang_pred, score, languages and like (whether the text resembles what was learned).
 
     A null text, or one without a letter, is ``und`` with score 0. Columns of those names are replaced,
@@ -148,7 +185,11 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
 
 
 def held_out_languages(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, languages: learned where the key's crc32 mod 4 is not 2, predicted everywhere."""
+    """doc_id, held_out, lang_pred, score, languages: learned where the key's crc32 mod 4 is not 2, predicted everywhere.
+
+    A null key counts as an empty text there. Rows of equal keys are predicted each, other columns are ignored, without any
+    label every prediction is ``und``, and an empty table gives no rows.
+    """
     held = remainder(F.col("doc_id"), 4) == 2
     model = train(docs.filter(~held))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
