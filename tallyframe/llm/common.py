@@ -68,11 +68,12 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of BATCH_BYTES at most, or of one row."""
     n = batch.num_rows
     if n > 1 and batch.nbytes > BATCH_BYTES:
-        yield from _sliced(batch.slice(0, n // 2))
-        yield from _sliced(batch.slice(n // 2))
+        yield from slices(batch.slice(0, n // 2))
+        yield from slices(batch.slice(n // 2))
     elif n:
         yield batch
 
@@ -86,7 +87,7 @@ def frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.Da
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = to_arrow_schema(types)
-        for pdf in run(part.to_pandas(integer_object_nulls=True) for b in batches for part in _sliced(b)):
+        for pdf in run(part.to_pandas(integer_object_nulls=True) for b in batches for part in slices(b)):
             yield pa.RecordBatch.from_pandas(pdf, schema=made, preserve_index=False)
 
     return df.mapInArrow(go, types)
@@ -106,7 +107,7 @@ def extended(df: DataFrame, new: dict[str, str], run: Callable[[list[list]], dic
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = to_arrow_schema(added)
         for b in batches:
-            for part in _sliced(b):
+            for part in slices(b):
                 got = run([part.column(names.index(c)).to_pylist() for c in inputs])
                 fields = [part.schema.field(names.index(f.name)) for f in rest]
                 columns = [part.column(names.index(f.name)) for f in rest] + [pa.array(got[f.name], f.type) for f in types]

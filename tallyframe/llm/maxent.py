@@ -7,48 +7,60 @@ log P(word | history) = log P(class | history) + log P(word | class, class befor
   Clusters come from k-means over the frequent words found beside a word; words outside the
   clustered vocabulary take the cluster most common for their last bytes.
 * P(class | history) is a softmax over classes with hashed features of words: the word before (a
-  bigram with the class), and the one before that (a skip).
+  bigram with the class), the one before that (a skip), and both together. Words of every frequency
+  are contexts; their number of buckets follows the tokens of the corpus.
 * P(word | class, class before) is a softmax over the words of the class: the word's share of
   its class, and a hashed feature of the class before with the word. Within the rare class, words
   seen once and unknown words get the mass that Good and Turing's counts of counts give them.
 
-Both are trained by distributed gradient updates over all training texts. For the classes each round
-takes a share of the texts, every task takes steps over its batches, and Spark adds up each feature's
-weights by how often tasks met it. For the words Spark counts (class before, word) pairs; every task
-computes observed less expected counts of its histories, and Spark adds them up for the next step.
+Texts become numbers once, in a written table, which all passes read. Both parts are trained by
+distributed gradient updates over all training texts. For the classes, texts are dealt to shards by
+a hash of key and text, as many as the tokens ask for; in each round every shard takes steps over its
+share in the order of that hash, and a bucket's weights are averaged by how often shards met it, in
+the order of the shards. So the weights follow from the texts alone, however they are partitioned. For the
+words Spark counts (class before, word) pairs; every task computes observed less expected counts of
+its histories, and Spark adds them up for the next step.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from tallyframe.llm.common import frames, stored
+from tallyframe.llm.common import discard, frames, slices, stored
 from tallyframe.llm.language import remainder
 
-#: Words that tasks look up in memory; rarer ones are looked up by a join.
+#: Words that have a number; rarer ones are looked up by a join, and are contexts by their hash.
 VOCABULARY = 300_000
 #: Words that are clustered (others go by their endings); words that are classes of their own and contexts for the clusters.
-CLUSTERED, SINGLE = 20_000, 10
-CLUSTERS, BANDS = 5, 3
+CLUSTERED, SINGLE = 20_000, 14
+CLUSTERS, BANDS = 6, 4
 END, RARE = 0, 1
 CLASSES = 2 + SINGLE + CLUSTERS * BANDS
-#: Most buckets of history features (each with a weight for every class), and buckets of (class before, word) features.
-HASHED, PAIRED = 1 << 16, 1 << 18
-#: Rounds of updates; tokens of a step; step sizes.
-ROUNDS, WORD_ROUNDS, STEP, RATE, PRIOR = 3, 4, 8192, 0.3, 2.0
+#: Least and most buckets of history features (each with a weight for every class), and buckets of (class before, word) features.
+LEAST_HASHED, HASHED, PAIRED = 1 << 12, 1 << 17, 1 << 18
+#: Rounds of updates; tokens of a step; tokens of a shard in a round; step sizes.
+ROUNDS, WORD_ROUNDS, STEP, SHARD, RATE, PRIOR = 3, 4, 4096, 2_000_000, 0.3, 2.0
+#: Tasks of a round at most; each takes several shards, one after the other.
+MOST_TASKS = 4096
 #: Buckets of a block of numbers that travels as one value.
 HISTORY_BLOCK, PAIR_BLOCK = 256, 1 << 14
 #: Distinct keys after which a task hands on its counts.
 FLUSH = 400_000
+#: Numbers of the end of a text and of words that are not frequent: this one and those below.
+END_CODE, RARE_CODE = -2, -3
 
 
 def tokens(text: str) -> list[bytes]:
@@ -87,28 +99,73 @@ def frequent(vocabulary: DataFrame, most: int) -> tuple[list[tuple[bytes, int]],
     return sorted(zip(rows.column("w").to_pylist(), rows.column("n").to_pylist(), strict=True), key=lambda x: (-x[1], x[0])), least
 
 
-def neighbours(texts: DataFrame, words: list[bytes]) -> np.ndarray:
-    """How often each of ``words`` stands right after, and right before, each of the first SINGLE: a bounded array."""
-    single = min(SINGLE, len(words))
-    shared = texts.sparkSession.sparkContext.broadcast(words)
+def encoded(chosen: DataFrame, words: list[bytes]) -> DataFrame:
+    """k, held_out, h, ids, missing, times of every text: numbers of its words, and those that have none with how often they occur."""
+    shared = chosen.sparkSession.sparkContext.broadcast(words)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = {w: i for i, w in enumerate(shared.value)}
-        sums = np.zeros(len(number) * 2 * single, np.int64)
+    class Numbers(dict):
+        def __missing__(self, w: bytes) -> int:
+            return RARE_CODE - (zlib.crc32(w) & 0x3FFFFFFF)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = Numbers((w, i) for i, w in enumerate(shared.value))
         for pdf in batches:
-            flat = np.array([i for t in pdf["t"].tolist() for i in [number.get(w, -1) for w in tokens(t)] + [-1]], np.int64)
+            ids, missing, times = [], [], []
+            for t in pdf["t"].tolist():
+                ws = tokens(t)
+                own = np.array([*map(number.__getitem__, ws)], np.int32)
+                lost = Counter(ws[i] for i in np.flatnonzero(own < 0).tolist())
+                ids.append(own)
+                missing.append(list(lost))
+                times.append(list(lost.values()))
+            yield pd.DataFrame({"k": pdf["k"], "held_out": pdf["held_out"], "h": pdf["h"], "ids": ids, "missing": missing, "times": times})
+
+    return frames(chosen, run, "k long, held_out boolean, h long, ids array<int>, missing array<binary>, times array<int>")
+
+
+def streams(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """``df`` through ``run``, which gets Arrow batches of bounded bytes and gives frames."""
+    types = StructType.fromDDL(schema)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = to_arrow_schema(types)
+        for pdf in run(part for b in batches for part in slices(b)):
+            yield pa.RecordBatch.from_pandas(pdf, schema=made, preserve_index=False)
+
+    return df.mapInArrow(go, types)
+
+
+def flattened(ids: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all tokens of some texts, an end behind each, and the tokens of each text (its end included)."""
+    sizes = np.diff(ids.offsets.to_numpy()).astype(np.int64)
+    flat = np.full(int(sizes.sum()) + len(sizes), END_CODE, np.int64)
+    ends = np.cumsum(sizes + 1) - 1
+    word = np.ones(len(flat), bool)
+    word[ends] = False
+    flat[word] = ids.flatten().to_numpy()
+    return flat, sizes + 1
+
+
+def neighbours(coded: DataFrame, words: int) -> np.ndarray:
+    """How often each of the first ``words`` words stands right after, and right before, each of the first SINGLE: a bounded array."""
+    single = min(SINGLE, words)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros(words * 2 * single, np.int64)
+        for part in batches:
+            flat, _ = flattened(part.column(0))
             a, b = flat[:-1], flat[1:]
-            after = (a >= 0) & (a < single) & (b >= 0)
-            before = (b >= 0) & (b < single) & (a >= 0)
+            inside = (a >= 0) & (b >= 0) & (a < words) & (b < words)
+            after, before = inside & (a < single), inside & (b < single)
             at = np.concatenate((b[after] * 2 * single + a[after], a[before] * 2 * single + single + b[before]))
             sums += np.bincount(at, minlength=len(sums))
         at = np.flatnonzero(sums)
         yield pd.DataFrame({"at": at, "n": sums[at]})
 
-    out = np.zeros(len(words) * 2 * single)
-    rows = frames(texts, count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(words * 2 * single)
+    rows = streams(coded.select("ids"), count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     out[rows["at"].to_numpy(np.int64)] = rows["n"]
-    return out.reshape(len(words), 2 * single)
+    return out.reshape(words, 2 * single)
 
 
 def clustered(vectors: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -157,7 +214,7 @@ def classed(words: list[tuple[bytes, int]], cluster: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Lexicon:
-    """What tasks know of words: number, class and share of the frequent ones."""
+    """What tasks know of the frequent words, by number; the words themselves may be left out."""
 
     words: list[bytes]
     classes: np.ndarray
@@ -170,31 +227,25 @@ class Lexicon:
         order = np.argsort(self.classes, kind="stable")
         return np.split(order, np.searchsorted(self.classes[order], np.arange(1, CLASSES)))
 
-    def numbers(self) -> dict[bytes, int]:
-        return {w: i for i, w in enumerate(self.words)}
-
-
-def codes(texts: list[str], number: dict[bytes, int], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Word numbers of all tokens (-1: rare or unknown, -2: end), their classes, and the words of each text."""
-    words = [tokens(t) for t in texts]
-    get = number.get
-    flat = np.array([i for ws in words for i in [get(w, -1) for w in ws] + [-2]], np.int64)
-    kind = np.where(flat >= 0, classes[np.maximum(flat, 0)] if len(classes) else RARE, np.where(flat == -1, RARE, END))
-    return flat, kind, words
+    def kinds(self, flat: np.ndarray) -> np.ndarray:
+        """Classes of tokens."""
+        frequent_ = self.classes[np.maximum(flat, 0)] if len(self.classes) else np.full(len(flat), RARE)
+        return np.where(flat >= 0, frequent_, np.where(flat == END_CODE, END, RARE))
 
 
 def before(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers one and two places before each token; nothing reaches over the end of a text (-2)."""
-    padded = np.concatenate(([-2, -2], flat))
+    """Word numbers one and two places before each token; nothing reaches over the end of a text."""
+    padded = np.concatenate(([END_CODE, END_CODE], flat))
     one, two = padded[1:-1].copy(), padded[:-2].copy()
-    two[one == -2] = -2
+    two[one == END_CODE] = END_CODE
     return one, two
 
 
 def features(one: np.ndarray, two: np.ndarray, hashed: int) -> np.ndarray:
-    """Hashed features of histories, a row each: the word before and the skip."""
+    """Hashed features of histories, a row each: the word before, the skip, and both."""
+    a, b = (one + (1 << 31)).astype(np.uint64), (two + (1 << 31)).astype(np.uint64)
     with np.errstate(over="ignore"):
-        raw = [(one + 2).astype(np.uint64) * np.uint64(2), (two + 2).astype(np.uint64) * np.uint64(2) + np.uint64(1)]
+        raw = [a * np.uint64(3), b * np.uint64(3) + np.uint64(1), (a * np.uint64(0x9E3779B97F4A7C15) + b) * np.uint64(3) + np.uint64(2)]
         return np.stack([(r * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - hashed.bit_length())).astype(np.int64) for r in raw], 1)
 
 
@@ -204,23 +255,25 @@ def pair_buckets(kind: np.ndarray, word: np.ndarray) -> np.ndarray:
         return ((word.astype(np.uint64) * np.uint64(CLASSES) + kind.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(65 - PAIRED.bit_length())).astype(np.int64)
 
 
-def _scores(weights: np.ndarray, f: np.ndarray) -> np.ndarray:
+def _scores(weights: np.ndarray, f: np.ndarray, prior: np.ndarray | None) -> np.ndarray:
     s = weights[f[:, 0]]
+    if prior is not None:
+        s += prior
     for i in range(1, f.shape[1]):
         s += weights[f[:, i]]
     s -= s.max(axis=1, keepdims=True)
     return s
 
 
-def log_probabilities(weights: np.ndarray, f: np.ndarray) -> np.ndarray:
-    """log P(class | history) for rows of features."""
-    s = _scores(weights, f)
+def log_probabilities(weights: np.ndarray, f: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
+    """log P(class | history) for rows of features; ``prior``: what every class has without any history."""
+    s = _scores(weights, f, prior)
     return s - np.log(np.exp(s).sum(axis=1, keepdims=True))
 
 
-def gradient(weights: np.ndarray, f: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def gradient(weights: np.ndarray, f: np.ndarray, kind: np.ndarray, prior: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the features, and for each the gradient of the negative log-likelihood: expected less observed counts of every class."""
-    g = np.exp(_scores(weights, f))
+    g = np.exp(_scores(weights, f, prior))
     g /= g.sum(axis=1, keepdims=True)
     g[np.arange(len(kind)), kind] -= 1
     order = np.argsort(f.ravel(), kind="stable")
@@ -230,46 +283,79 @@ def gradient(weights: np.ndarray, f: np.ndarray, kind: np.ndarray) -> tuple[np.n
     return ids, np.add.reduceat(g[order // f.shape[1]], starts, axis=0)
 
 
-def _summed(blocks: DataFrame, kind: str) -> list[tuple[int, np.ndarray]]:
-    """Sums of the arrays (binary column a) of each block, added up by tasks; the driver gets one array a block."""
+def _summed(blocks: DataFrame, order: list[str], kind: str) -> list[tuple[int, np.ndarray]]:
+    """Sums, as doubles, of the arrays (binary column a, numbers of that kind) of each block in ``order``; the driver gets one array a block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
+        now, total = None, None
         for pdf in batches:
             for block, a in zip(pdf["block"].tolist(), pdf["a"], strict=True):
-                got = np.frombuffer(a, kind).astype(np.float32)
-                sums[block] = sums[block] + got if block in sums else got
-        yield pd.DataFrame({"block": list(sums), "a": [x.tobytes() for x in sums.values()]})
+                if block != now:
+                    if now is not None:
+                        yield pd.DataFrame({"block": [now], "a": [total.tobytes()]})
+                    now, total = block, 0.0
+                total = total + np.frombuffer(a, kind).astype(np.float64)
+        if now is not None:
+            yield pd.DataFrame({"block": [now], "a": [total.tobytes()]})
+
+    dealt = blocks.repartition("block").sortWithinPartitions("block", *order)
+    table = stored(frames(dealt.select("block", "a"), run, "block int, a binary"), "sums")
+    out = [(r["block"], np.frombuffer(r["a"], "<f8")) for r in table.collect()]
+    discard(table)
+    return out
 
-    return [(r["block"], np.frombuffer(r["a"], np.float32)) for r in frames(blocks.repartition("block"), run, "block int, a binary").collect()]
 
+def fit_classes(coded: DataFrame, lexicon, prior: np.ndarray, hashed: int, total: int) -> np.ndarray:
+    """Weights of the history features after ROUNDS rounds over the training texts.
 
-def fit_classes(texts: DataFrame, lexicon, hashed: int) -> np.ndarray:
-    """Weights of the history features: each round, tasks take steps over their share of the texts, and a bucket's weights are averaged by its tokens."""
-    spark = texts.sparkSession
+    coded: h, ids. A text's shard and round follow from its hash; a shard's steps do not depend on the task that takes them.
+    """
+    spark = coded.sparkSession
     weights = np.zeros((hashed, CLASSES), np.float32)
+    shards = max(1, -(-total // (ROUNDS * SHARD)))
+    tasks = min(shards, MOST_TASKS)
+    dealt = coded.withColumn("shard", F.pmod(F.shiftright("h", 8), F.lit(shards)).cast("int")).withColumn("round", F.pmod("h", F.lit(ROUNDS)))
     for r in range(ROUNDS):
-        shared = spark.sparkContext.broadcast(weights)
-
-        def step(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            lex: Lexicon = lexicon.value
-            number, w, met = lex.numbers(), shared.value.copy(), np.zeros(hashed, np.float32)
-            squares = np.full_like(w, 1e-6)
-            for pdf in batches:
-                flat, kind, _ = codes(pdf["t"].tolist(), number, lex.classes)
-                f = features(*before(flat), hashed)
-                for i in range(0, len(kind), STEP):
-                    ids, g = gradient(w, f[i : i + STEP], kind[i : i + STEP])
-                    squares[ids] += g * g
-                    w[ids] -= np.float32(RATE) * g / np.sqrt(squares[ids])
-                met += np.bincount(f.ravel(), minlength=hashed).astype(np.float32)
-            for block in np.unique(np.flatnonzero(met) // HISTORY_BLOCK).tolist():
-                at = slice(block * HISTORY_BLOCK, (block + 1) * HISTORY_BLOCK)
-                yield pd.DataFrame({"block": [block], "a": [np.concatenate(((w[at] * met[at, None]).ravel(), met[at])).astype(np.float32).tobytes()]})
-
-        share = texts.filter(F.pmod(F.xxhash64("t"), F.lit(ROUNDS)) == r)
+        shared = spark.sparkContext.broadcast((weights, prior))
+
+        def step(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pd.DataFrame]:
+            lex, (start, bias) = lexicon.value, shared.value
+            now, w, squares, met, f, kind = None, None, None, None, None, None
+
+            def take(rows: np.ndarray, own: np.ndarray) -> None:
+                ids, g = gradient(w, rows, own, bias)
+                squares[ids] += g * g
+                w[ids] -= np.float32(RATE) * g / np.sqrt(squares[ids])
+                np.add.at(met, rows.ravel(), 1)
+
+            def finished() -> Iterator[pd.DataFrame]:
+                if len(kind):
+                    take(f, kind)
+                for block in np.unique(np.flatnonzero(met) // HISTORY_BLOCK).tolist():
+                    at = slice(block * HISTORY_BLOCK, (block + 1) * HISTORY_BLOCK)
+                    yield pd.DataFrame({"block": [block], "shard": [now], "a": [np.concatenate(((w[at] * met[at, None]).ravel(), met[at])).astype("<f4").tobytes()]})
+
+            for part in batches:
+                shard = part.column(0).to_numpy()
+                edges = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+                for x, y in zip(edges, edges[1:]):
+                    if shard[x] != now:
+                        if now is not None:
+                            yield from finished()
+                        now, w, squares, met = int(shard[x]), start.copy(), np.full_like(start, 1e-6), np.zeros(hashed, np.float32)
+                        f, kind = np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
+                    flat, _ = flattened(part.column(1).slice(x, y - x))
+                    f, kind = np.concatenate((f, features(*before(flat), hashed))), np.concatenate((kind, lex.kinds(flat)))
+                    whole = len(kind) // STEP * STEP
+                    for i in range(0, whole, STEP):
+                        take(f[i : i + STEP], kind[i : i + STEP])
+                    f, kind = f[whole:], kind[whole:]
+            if now is not None:
+                yield from finished()
+
+        share = dealt.filter(F.col("round") == r).repartitionById(tasks, F.pmod("shard", F.lit(tasks))).sortWithinPartitions("shard", "h").select("shard", "ids")
         weights = weights.copy()
-        for block, a in _summed(frames(share, step, "block int, a binary"), "<f4"):
+        for block, a in _summed(streams(share, step, "block int, shard int, a binary"), ["shard"], "<f4"):
             met = a[-HISTORY_BLOCK:]
             own = weights[block * HISTORY_BLOCK : (block + 1) * HISTORY_BLOCK]
             some = met > 0
@@ -278,21 +364,21 @@ def fit_classes(texts: DataFrame, lexicon, hashed: int) -> np.ndarray:
     return weights
 
 
-def word_events(texts: DataFrame, lexicon) -> DataFrame:
+def word_events(coded: DataFrame, lexicon) -> DataFrame:
     """kind, own (the word's class), word, n: how often each frequent word that shares its class follows each class."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         lex: Lexicon = lexicon.value
-        number, held, rows = lex.numbers(), [], 0
+        held, rows = [], 0
 
         def given() -> pd.DataFrame:
             at, n = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
             at, back = np.unique(at, return_inverse=True)
             return pd.DataFrame({"kind": at % CLASSES, "own": lex.classes[at // CLASSES] if len(at) else at, "word": at // CLASSES, "n": np.bincount(back, n).astype(np.int64)})
 
-        for pdf in batches:
-            flat, kind, _ = codes(pdf["t"].tolist(), number, lex.classes)
-            before_ = np.concatenate(([END], kind[:-1]))
+        for part in batches:
+            flat, _ = flattened(part.column(0))
+            before_ = np.concatenate(([END], lex.kinds(flat)[:-1]))
             several = flat >= SINGLE
             held.append(np.unique(flat[several] * CLASSES + before_[several], return_counts=True))
             rows += len(held[-1][0])
@@ -302,7 +388,7 @@ def word_events(texts: DataFrame, lexicon) -> DataFrame:
         if held:
             yield given()
 
-    return frames(texts, count, "kind int, own int, word int, n long").groupBy("kind", "own", "word").agg(F.sum("n").alias("n"))
+    return streams(coded.select("ids"), count, "kind int, own int, word int, n long").groupBy("kind", "own", "word").agg(F.sum("n").alias("n"))
 
 
 def word_gradient(pairs: np.ndarray, lex: Lexicon, kind: int, group: int, words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -338,10 +424,10 @@ def fit_words(events: DataFrame, lexicon) -> np.ndarray:
                 e += np.bincount(buckets, expected, PAIRED)
             for block in np.unique(np.flatnonzero(e) // PAIR_BLOCK).tolist():
                 at = slice(block * PAIR_BLOCK, (block + 1) * PAIR_BLOCK)
-                yield pd.DataFrame({"block": [block], "a": [np.concatenate((g[at], e[at])).astype(np.float32).tobytes()]})
+                yield pd.DataFrame({"block": [block], "a": [np.concatenate((g[at], e[at])).tobytes()]})
 
         pairs = pairs.copy()
-        for block, a in _summed(frames(events, step, "block int, a binary"), "<f4"):
+        for block, a in _summed(frames(events, step, "block int, a binary"), [], "<f8"):
             own = pairs[block * PAIR_BLOCK : (block + 1) * PAIR_BLOCK]
             own += np.clip((a[:PAIR_BLOCK] - PRIOR * own) / (a[PAIR_BLOCK:] + PRIOR), -1, 1)
         shared.unpersist()
@@ -372,56 +458,58 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
     Learns from documents whose crc32(key as text) mod ``modulus`` is not ``held``; a null key
     counts as an empty text there and null texts are empty. Repeated rows count and are scored
     each, other columns are ignored and an empty table gives no rows. Unknown words count as one
-    symbol in both models.
+    symbol in both models. Words beyond the ``vocabulary`` most frequent (words of one count are in it together or not at
+    all, words seen once never) have the rare class, share it by their counts, and are contexts like any other word.
     """
     out = remainder(F.col(key), modulus) == held
-    chosen = docs.select(F.col(key).cast("long").alias("k"), out.alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    training = chosen.filter(~F.col("held_out")).select("t")
+    k, t = F.col(key).cast("long"), F.coalesce(F.col(text), F.lit(""))
+    chosen = docs.select(k.alias("k"), out.alias("held_out"), F.xxhash64(k, t).alias("h"), t.alias("t"))
     spark = docs.sparkSession
-    counts = stored(word_counts(training), "vocabulary")
+    counts = stored(word_counts(chosen.filter(~F.col("held_out")).select("t")), "vocabulary")
     total, distinct, once, twice = (int(x or 0) for x in counts.agg(F.sum("n"), F.count("n"), F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))).first())
     ends = counts.filter("w = X''").first()
     ends = ends["n"] if ends else 0
     words, least = frequent(counts, vocabulary)
-    near = neighbours(training, [w for w, _ in words[:CLUSTERED]]) if words else np.zeros((0, 1))
-    cluster = clustered(near, np.array([n for _, n in words[:CLUSTERED]], float)) if len(near) else np.zeros(0, np.int64)
+    coded = stored(encoded(chosen, [w for w, _ in words]), "numbers")
+    training = coded.filter(~F.col("held_out")).select("h", "ids")
+    some = min(len(words), CLUSTERED)
+    near = neighbours(training, some) if some else np.zeros((0, 1))
+    cluster = clustered(near, np.array([n for _, n in words[:some]], float)) if some else np.zeros(0, np.int64)
     kinds = classed(words, cluster)
     seen = np.array([n for _, n in words], float)
     of_class = np.bincount(kinds, weights=seen, minlength=CLASSES) if words else np.zeros(CLASSES)
     log_sum = math.log10(total + 0.1 * (distinct + 1))
-    lexicon = spark.sparkContext.broadcast(Lexicon([w for w, _ in words], kinds, np.log10(seen / of_class[kinds]) if words else seen, np.log10(seen + 0.1) - log_sum))
-    hashed = 1 << min(HASHED.bit_length() - 1, max(12, (4 * len(words)).bit_length()))
-    weights = spark.sparkContext.broadcast(fit_classes(training, lexicon, hashed))
+    lexicon = spark.sparkContext.broadcast(Lexicon([], kinds, np.log10(seen / of_class[kinds]) if words else seen, np.log10(seen + 0.1) - log_sum))
+    hashed = min(HASHED, max(LEAST_HASHED, 1 << total.bit_length()))
+    rare = total - ends - int(seen.sum())
+    mass = of_class + np.bincount([END, RARE], [ends, rare], CLASSES) + 0.5
+    prior = np.log(mass / mass.sum()).astype(np.float32)
+    weights = spark.sparkContext.broadcast((fit_classes(training, lexicon, prior, hashed, total), prior))
     pairs = fit_words(stored(word_events(training, lexicon).repartition("kind", "own"), "events"), lexicon)
     inner = spark.sparkContext.broadcast((pairs, normalisers(lexicon.value, pairs)))
     # the rare class: known words by count, words seen once by twice the words seen twice, and all unknown ones
-    rare = total - ends - int(seen.sum())
     known_mass = float(rare - once + 2 * twice)
     unknown = min(1 - 1e-6, max(1e-6, once / max(once + known_mass, 1.0))) if known_mass > 0 else (1.0 if not once else 0.5)
     of_once = 2.0 * twice / once if once and twice else 1.0
     mass = known_mass if twice else float(rare)
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         lex: Lexicon = lexicon.value
-        number = lex.numbers()
-        end_base = math.log10(ends + 0.1) - log_sum
-        bases = np.append(lex.log_base, [end_base, 0.0])  # -2: end, -1: rare
-        for pdf in batches:
-            flat, kind, texts = codes(pdf["t"].tolist(), number, lex.classes)
-            sizes = np.fromiter((len(w) + 1 for w in texts), np.int64, len(texts))
-            starts = np.cumsum(sizes) - sizes
+        bases = np.concatenate((lex.log_base, [0.0, math.log10(ends + 0.1) - log_sum, 0.0]))  # END_CODE counts from the end; rare words come later
+        for part in batches:
+            flat, sizes = flattened(part.column(2))
+            kind, starts = lex.kinds(flat), np.cumsum(sizes) - sizes
             own, f = word_scores(lex, *inner.value, flat, kind), features(*before(flat), hashed)
             for i in range(0, len(kind), STEP):
                 c = kind[i : i + STEP]
-                own[i : i + STEP] += log_probabilities(weights.value, f[i : i + STEP])[np.arange(len(c)), c] / math.log(10)
-            tally = lambda x: np.add.reduceat(x, starts) if len(x) else x
-            missing = [Counter(w for w in ws if w not in number) for ws in texts]
+                own[i : i + STEP] += log_probabilities(weights.value[0], f[i : i + STEP], weights.value[1])[np.arange(len(c)), c] / math.log(10)
+            tally = lambda x: np.add.reduceat(x, starts)  # noqa: E731, B023
             yield pd.DataFrame({
-                "k": pdf["k"], "held_out": pdf["held_out"], "n_tokens": sizes, "known": tally((flat >= 0).astype(np.int64)) + (ends > 0),
-                "base": tally(bases[flat]), "score": tally(own), "missing": [list(m) for m in missing], "times": [list(m.values()) for m in missing],
+                "k": part.column(0).to_pandas(integer_object_nulls=True), "held_out": part.column(1).to_pandas(), "n_tokens": sizes, "known": tally((flat >= 0).astype(np.int64)) + (ends > 0),
+                "base": tally(bases[np.maximum(flat, RARE_CODE)]), "score": tally(own), "missing": part.column(3).to_pylist(), "times": part.column(4).to_pylist(),
             })
 
-    made = frames(chosen, first, "k long, held_out boolean, n_tokens long, known long, base double, score double, missing array<binary>, times array<int>")
+    made = streams(coded.select("k", "held_out", "ids", "missing", "times"), first, "k long, held_out boolean, n_tokens long, known long, base double, score double, missing array<binary>, times array<int>")
     part = stored(made.withColumn("row", F.monotonically_increasing_id()), "scores")
     scarce = counts.filter((F.col("n") < least) & (F.col("w") != F.lit(b""))).select(F.col("w").alias("s_w"), "n")
     each = part.select("row", F.explode(F.arrays_zip("missing", "times")).alias("m")).select("row", F.col("m.missing").alias("w"), F.col("m.times").alias("times")).join(scarce, F.col("w") == F.col("s_w"), "left")
