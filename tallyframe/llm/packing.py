@@ -69,6 +69,8 @@ class Schedule:
         """Tokens that queues 0..upto have given together after ``x`` tokens in all."""
         if upto < 0 or not self.phases:
             return 0
+        if len(self.phases) == 1:  # as it is without targets
+            return x * self.phases[0][2][upto] // self.phases[0][1]
         start, n, sums, before = self.phases[max(0, bisect.bisect_right(self.phases, x, key=lambda p: p[0]) - 1)]
         return sum(before[: upto + 1]) + (x - start) * sums[upto] // n
 
@@ -160,24 +162,31 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
         "doc_id", "source", "queue", (F.col("base") + F.col("local")).alias("position"), "n", "ids"
     )
 
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
+
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = schedule.total
         for pdf in batches:
-            out = []
+            out: dict[str, list] = {c: [] for c in columns}
+            add = [x.append for x in out.values()]
             for doc, source, q, a, n, ids in zip(pdf["doc_id"].astype("Int64").tolist(), pdf["source"].tolist(), pdf["queue"].tolist(), pdf["position"].tolist(), pdf["n"].tolist(), pdf["ids"].tolist(), strict=True):
                 if len(ids) != 4 * n:
                     ids = np.frombuffer(ids, "<u2").astype("<u4").tobytes()
                 k, done = schedule.window_of(q, a, window), 0
-                first = schedule.served(q, k * window)
+                # what the queues before this one, and this one, have given when a window begins
+                below = schedule.given(q - 1, k * window)
+                first = schedule.given(q, k * window) - below
                 while done < n:
-                    x, y = k * window, min(last, (k + 1) * window)
-                    until = schedule.served(q, y)
+                    y = min(last, (k + 1) * window)
+                    below_end = schedule.given(q - 1, y)
+                    until = schedule.given(q, y) - below_end
                     take = min(n - done, until - a - done)
                     if take > 0:
-                        ahead = schedule.given(q - 1, y) - schedule.given(q - 1, x)
-                        out.append((doc, done, take, zlib.crc32(ids[4 * done : 4 * (done + take)]), n, k, ahead + a + done - first, source))
+                        piece = (doc, done, take, zlib.crc32(ids[4 * done : 4 * (done + take)]), n, k, below_end - below + a + done - first, source)
+                        for put, value in zip(add, piece):
+                            put(value)
                         done += take
-                    k, first = k + 1, until
-            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]).astype({"doc_id": "Int64"})
+                    k, first, below = k + 1, until, below_end
+            yield pd.DataFrame(out).astype({"doc_id": "Int64"})
 
     return frames(placed, pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")
