@@ -14,12 +14,16 @@ Equal fingerprints are one point. A cell gives the links of a spanning forest, n
 cell of many points is dealt to several tasks as pairs of slices.
 
 ``deduplicate`` goes by the similarity of shingle sets instead, which fingerprints of 64 bits do
-not tell well enough: cells of least hashes and sketches of one bit of each propose pairs, and the
-sets themselves decide.
+not tell well enough. Cells of least hashes say which sets can have a partner at all. A set then meets
+the first set of a cell; sets that this leaves in different groups meet by prefixes: two sets as similar
+as asked share a shingle among the few rarest of each, and the places of the first one that they share bound
+what they can have in common, so families of like texts that are not similar enough
+are ruled out where they meet. The sets themselves decide.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +31,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import AtomicType
 
 from tallyframe.llm.common import frames, stored
 from tallyframe.llm.components import connected
@@ -38,8 +42,10 @@ SEGMENTS = 32
 SLICE = 8192
 #: Least hashes of a shingle set in a sketch; bands of so many of them make its cells.
 LEAST, BAND = 256, 6
-#: Differing bits of two sketches of 64-bit lanes above which no pair of similarity 0.8 is expected (mean 26, deviation 5).
-SKETCH_RADIUS = 56
+#: Buckets in which shingles are counted to tell rare ones from frequent ones.
+COUNTED = 1 << 20
+#: Rows of one prefix shingle that one task compares; cells and groups that are broadcast up to so many.
+TOGETHER, FEW = 1024, 1 << 18
 #: Pairs that one copy of a shingle set is compared in.
 PAIRS = 64
 
@@ -306,20 +312,85 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(F.col("common") / (F.size("x") + F.size("y") - F.col("common")) >= similarity).select("a", "b")
 
 
+def _few(table: DataFrame) -> DataFrame:
+    """Sent to all tasks where a count shows that it is small."""
+    return F.broadcast(table) if table.count() <= FEW else table
+
+
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How many sets hold a shingle of each bucket: a vector a task, summed by Spark; orders shingles, and decides nothing else."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros(COUNTED, np.int64)
+        for pdf in batches:
+            flat = np.concatenate([np.asarray(x, np.int64) for x in pdf["s"]]).view(np.uint64)
+            sums += np.bincount((flat % np.uint64(COUNTED)).astype(np.int64), minlength=COUNTED)
+        at = np.flatnonzero(sums)
+        yield pd.DataFrame({"bucket": at, "n": sums[at]})
+
+    out = np.zeros(COUNTED, np.int64)
+    rows = frames(sets.select("s"), run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+    return out
+
+
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """node, size, token, place: the rarest shingles of each set, as many as a set of that similarity must share one of.
+
+    All sets order shingles alike: by how many sets hold their bucket, then by value.
+    """
+    counts = sets.sparkSession.sparkContext.broadcast(shingle_counts(sets))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often = counts.value
+        for pdf in batches:
+            out = []
+            for node, x in zip(pdf["node"].tolist(), pdf["s"]):
+                x = np.asarray(x, np.int64).view(np.uint64)
+                keep = len(x) - math.ceil(similarity * len(x) - 1e-9) + 1
+                order = np.lexsort((x, often[(x % np.uint64(COUNTED)).astype(np.int64)]))[: min(keep, len(x))]
+                out.append(pd.DataFrame({"node": node, "size": len(x), "token": x[order].view(np.int64), "place": np.arange(len(order))}))
+            if out:
+                yield pd.concat(out)
+
+    return frames(sets, run, "node long, size int, token long, place int")
+
+
+def crossing_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """a, b, ra, rb, d of nodes of different roots that share a prefix shingle and can, by sizes and places, have the similarity.
+
+    rows: ``prefixes`` with root and sketch lanes. ``d``: differing bits of the sketches. The rows of a frequent shingle are dealt as pairs of slices.
+    """
+    kinds = rows.groupBy(F.col("token").alias("m_token")).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows"))
+    mixed = stored(kinds.filter("low <> high").select("m_token", "rows"), "mixed")
+    lanes = [c for c in rows.columns if c.startswith("fp")]
+    parts = F.ceil(F.col("rows") / TOGETHER).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    slots = F.transform(F.sequence(F.lit(0), parts - 1), lambda x: F.least(x, own) * parts + F.greatest(x, own))
+    dealt = stored(rows.join(_few(mixed), F.col("token") == F.col("m_token")).select("token", "node", "root", "size", "place", *lanes, own.alias("own"), (own * parts + own).alias("alone"), F.explode(slots).alias("slot")), "dealt")
+    other = dealt.select(*[F.col(c).alias(f"o_{c}") for c in dealt.columns])
+    met = dealt.join(other, (F.col("token") == F.col("o_token")) & (F.col("slot") == F.col("o_slot")) & (F.col("node") < F.col("o_node")) & (F.col("root") != F.col("o_root")))
+    # two rows of one slice meet where that slice meets itself, and nowhere else
+    met = met.filter((F.col("own") != F.col("o_own")) | (F.col("slot") == F.col("alone")))
+    needed = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("o_size")) - 1e-9)
+    most = F.least(F.col("size") - F.col("place"), F.col("o_size") - F.col("o_place"))
+    can = met.filter((F.least("size", "o_size") >= F.greatest("size", "o_size") * similarity - 1e-9) & (most >= needed))
+    far = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"o_{c}"))) for c in lanes), F.lit(0))
+    pairs = can.select(F.col("node").alias("a"), F.col("o_node").alias("b"), F.least("root", "o_root").alias("ra"), F.greatest("root", "o_root").alias("rb"), far.alias("d"))
+    return stored(pairs.distinct(), "crossing")
+
+
 def similar_components(points: DataFrame, sets: DataFrame, shared: DataFrame, similarity: float) -> DataFrame:
-    """node, root of every node that has a link, where ``shared`` nodes of one cell link if their sets have the similarity.
+    """node, root of every node that has a link: two nodes link if their sets have the similarity.
 
     Three rounds, each over the pairs that the ones before left in different components: a node with
-    the nearest of the first nodes of its cells; of each two components the nearest pair; all pairs.
-    Pairs whose sketches differ by more than SKETCH_RADIUS bits are left out.
+    the nearest of the first nodes of its cells; of each two components the nearest pair that prefixes
+    allow; all pairs that they allow.
     """
     lanes = [c for c in points.columns if c.startswith("fp")]
-
-    def distance(other: list[str]):
-        return sum((F.bit_count(F.col(c).bitwiseXOR(F.col(o))) for c, o in zip(lanes, other)), F.lit(0))
-
     hubs = points.select(F.col("node").alias("h_node"), *[F.col(c).alias(f"h_{c}") for c in lanes])
-    near = shared.filter("hub <> node").join(hubs, F.col("hub") == F.col("h_node")).withColumn("d", distance([f"h_{c}" for c in lanes])).filter(F.col("d") <= SKETCH_RADIUS)
+    d = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"h_{c}"))) for c in lanes), F.lit(0))
+    near = shared.filter("hub <> node").join(points.select("node", *lanes), "node").join(hubs, F.col("hub") == F.col("h_node")).withColumn("d", d)
     first = stored(near.groupBy("node").agg(F.min(F.struct("d", "hub")).alias("one")).select(F.col("one.hub").alias("a"), F.col("node").alias("b")), "pairs")
     found = stored(verified(first, sets, similarity), "similar")
     roots = connected(found)
@@ -328,17 +399,9 @@ def similar_components(points: DataFrame, sets: DataFrame, shared: DataFrame, si
         named = roots.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
         return df.join(named, F.col(node) == F.col("_n"), "left").withColumn(name, F.coalesce("_r", node)).drop("_n", "_r")
 
-    cell = Window.partitionBy("cell")
-    mixed = rooted(shared, "node", "root", roots).withColumn("low", F.min("root").over(cell)).withColumn("high", F.max("root").over(cell)).withColumn("rows", F.count(F.lit(1)).over(cell)).filter("low <> high")
-    slices = F.ceil(F.col("rows") / SLICE).cast("int")
-    own = F.pmod(F.xxhash64("node"), slices).cast("int")
-    slots = F.transform(F.sequence(F.lit(0), slices - 1), lambda x: F.least(x, own) * slices + F.greatest(x, own))
-    dealt = stored(mixed.select("cell", "node", "root", *lanes, F.explode(slots).alias("slot")), "mixed")
-    others = dealt.select(*[F.col(c).alias(f"o_{c}") for c in dealt.columns])
-    met = dealt.join(others, (F.col("cell") == F.col("o_cell")) & (F.col("slot") == F.col("o_slot")) & (F.col("node") < F.col("o_node")) & (F.col("root") != F.col("o_root")))
-    far = distance([f"o_{c}" for c in lanes])
-    crossing = met.select(F.col("node").alias("a"), F.col("o_node").alias("b"), F.least("root", "o_root").alias("ra"), F.greatest("root", "o_root").alias("rb"), far.alias("d"))
-    crossing = stored(crossing.filter(F.col("d") <= SKETCH_RADIUS).distinct(), "crossing")
+    own = rooted(points.select("node", *lanes), "node", "root", roots).withColumnRenamed("node", "p_node")
+    rows = prefixes(sets, similarity).join(own, F.col("node") == F.col("p_node")).drop("p_node")
+    crossing = crossing_pairs(stored(rows, "prefixes"), similarity)
     nearest = stored(crossing.groupBy("ra", "rb").agg(F.min(F.struct("d", "a", "b")).alias("one")).select("one.a", "one.b"), "pairs")
     found = stored(found.union(verified(nearest, sets, similarity)), "similar")
     roots = connected(found)
@@ -350,10 +413,10 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: s
     """Rows of ``docs`` with all columns, one of each group of near-duplicates: the one with the least key.
 
     Documents link if the Jaccard similarity of their sets of different shingles is at least
-    ``similarity``, which has to be 0.8 or more for the cells and sketches that propose pairs.
+    ``similarity``, which has to be 0.8 or more for the cells that tell which sets can have a partner.
     A group is what links connect. Null keys come before all others; a row is known by its key and
-    its text, so rows of equal keys are kept or dropped each by its own group. Null texts are empty
-    and near-duplicates of each other.
+    its text, so rows of equal keys are kept or dropped each by its own group; of rows equal in both, the one whose
+    other columns (those of plain types) hash least stays. Null texts are empty and near-duplicates of each other.
     """
     own = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
     content = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
@@ -361,9 +424,9 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: s
     rows = stored(sketches(keyed, words), "sketches")
     lanes = [c for c in rows.columns if c.startswith("fp")]
     points = stored(rows.groupBy("node").agg(F.min(F.struct("k", "h")).alias("least"), *[F.first(c).alias(c) for c in ("cells", *lanes)]), "points")
-    cell = Window.partitionBy("cell")
-    placed = points.select("node", F.explode("cells").alias("cell")).withColumn("hub", F.min("node").over(cell)).withColumn("last", F.max("node").over(cell)).filter("hub <> last").drop("last")
-    shared = stored(placed.join(points.select("node", *lanes), "node"), "shared")
+    placed = points.select("node", F.explode("cells").alias("cell"))
+    several = placed.groupBy(F.col("cell").alias("s_cell")).agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").select("s_cell", "hub")
+    shared = stored(placed.join(_few(stored(several, "cells")), F.col("cell") == F.col("s_cell")).select("node", "hub").distinct(), "shared")
     wanted = shared.select("node").distinct().join(points.select("node", "least"), "node").select("node", F.col("least.k").alias("w_k"), F.col("least.h").alias("w_h"))
     texts = keyed.join(wanted, (F.col("k") == F.col("w_k")) & (F.col("h") == F.col("w_h"))).select("node", "t")
     sets = stored(shingle_sets(texts, words), "sets")
@@ -374,5 +437,6 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: s
     at, said = (F.col(names[docs.columns.index(c)]) for c in (key, text))
     held = docs.toDF(*names).withColumn("_own", F.coalesce(at.cast("long"), F.lit(-(1 << 63)))).withColumn("_content", F.xxhash64(F.coalesce(said, F.lit(""))))
     kept = held.join(chosen, (F.col("_own") == F.col("_k")) & (F.col("_content") == F.col("_h")))
-    one = kept.withColumn("_nth", F.row_number().over(Window.partitionBy("_own", "_content").orderBy(F.lit(0)))).filter("_nth = 1")
+    plain = [n for n, f in zip(names, docs.schema.fields, strict=True) if isinstance(f.dataType, AtomicType)]
+    one = kept.groupBy("_own", "_content").agg(F.min_by(F.struct(*names), F.xxhash64(*plain)).alias("_row")).select("_row.*")
     return one.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

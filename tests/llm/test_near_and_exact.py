@@ -243,3 +243,64 @@ def test_pipeline_removes_short_words_passages(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: len(r.text.split()) for r in corpus_pipeline.remove_passages(spark, docs, SF).collect()}
     assert got == {0: 60, 1: 60, 2: 110, 3: 110}
+
+
+def family(n, common=170, own=30):
+    """Texts that share a long passage, each with words of its own: five-word shingle similarity about 0.71."""
+    passage = " ".join(f"c{i}" for i in range(common))
+    return [(k, passage + " " + " ".join(f"o{k}x{i}" for i in range(own))) for k in range(n)]
+
+
+def test_like_texts_do_not_meet_in_pairs(spark, monkeypatch):
+    """A family of like texts that are not near enough: what is written grows with the family, not with its square."""
+    sizes, kept = {}, simhash.stored
+
+    def counted(df, name):
+        out = kept(df, name)
+        sizes[name] = sizes.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    made = []
+    for n in (60, 120, 240):
+        sizes.clear()
+        assert simhash.deduplicate(spark.createDataFrame(family(n), "doc_id long, text string")).count() == n
+        made.append((sizes["crossing"], sizes["pairs"], sum(v for k, v in sizes.items() if k != "dealt")))
+    assert all(crossing <= 2 for crossing, _, _ in made) and made[2][1] <= 2 * 240 and made[2][2] < 5 * made[0][2]
+
+
+def test_prefixes_find_what_sets_have(spark):
+    """Pairs of every similarity around the limit, across families that share shingles, against all pairs of sets."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(4000)]
+    texts = []
+    for _ in range(25):
+        start = [rng.choice(words) for _ in range(rng.randrange(30, 160))]
+        for _ in range(6):
+            t = list(start)
+            for _ in range(rng.randrange(0, 6)):
+                t[rng.randrange(len(t))] = rng.choice(words)
+            texts.append(" ".join(t))
+    texts += [t for _, t in family(30)] + ["", "short text", "short text", "four words are here"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.split()) else set() for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if (not a and not b) or (a and b and len(a & b) >= 0.8 * len(a | b)):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    got = sorted(r.doc_id for r in simhash.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect())
+    assert got == sorted({find(i) for i in range(len(texts))})
+
+
+def test_equal_rows_leave_a_defined_one(spark):
+    rows = spark.createDataFrame([(1, "same text of some words here", i, {"k": i}) for i in range(6)], "doc_id long, text string, other int, m map<string, int>")
+    left = {simhash.deduplicate(rows.repartition(n)).first().other for n in (1, 2, 5)}
+    assert len(left) == 1
