@@ -26,6 +26,8 @@ RADIUS, BLOCKS = 3, 5
 CHUNK = 256
 #: Bytes of text in a range of keys in which successors are found.
 RANGE_BYTES = 32 << 20
+#: Ranges at most: their bounds pass through the driver and stand in the plan. Larger ranges are sorted with the disk's help.
+MOST_RANGES = 1 << 14
 #: Weight of a word by its characters: short ones count once.
 SHORT, MOST = 3, 16
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -55,7 +57,7 @@ def with_next(rows: DataFrame, key: str, order: list[str], value: str, out: str,
     """All columns, ``out`` (``value`` of the row that follows by ``key``, nulls first, then ``order``; after the last the first), _range, _nth.
 
     Keys are dealt to ranges of about equal rows, one for each RANGE_BYTES of ``value`` and as many as four
-    times the partitions of a shuffle at least; the driver gathers one bound and one least key of each.
+    times the partitions of a shuffle at least, MOST_RANGES at most; the driver gathers one bound and one least key of each.
     A range's first row also goes to the end of the range before it, where it serves as successor
     only, so each row is shuffled once and no range sees another. Rows of one key share a range.
     """
@@ -64,7 +66,7 @@ def with_next(rows: DataFrame, key: str, order: list[str], value: str, out: str,
     keyed = rows.withColumn("_key", F.coalesce(F.col(key).cast("long"), F.lit(least)))
     if not ranges:
         size = keyed.agg(F.sum(F.octet_length(F.col(value).cast("string")).cast("long"))).first()[0] or 0
-        ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
+        ranges = min(MOST_RANGES, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES))
     cuts = keyed.agg(F.percentile_approx("_key", [i / ranges for i in range(1, ranges)] or [0.5], 10 * ranges)).first()[0] or []
     bounds = sorted(set(cuts))
     dealt = keyed.withColumn("_range", _bounds_below(F.col("_key"), bounds))
