@@ -58,24 +58,24 @@ def inner_index(flags: DataFrame, hints: DataFrame) -> DataFrame:
     return met.groupBy("doc_id").agg(F.min_by("page_idx", F.struct(far, "page_idx")).alias("index_page"))
 
 
-def printed_map(flags: DataFrame, hints: DataFrame, index: DataFrame) -> DataFrame:
+def printed_map(flags: DataFrame, hints: DataFrame, index: DataFrame, delta: int = DELTA) -> DataFrame:
     """doc_id, statement, printed, nth: page numbers in the lines of the index page; without one, statement pages around the hint."""
     lines = flags.join(index, "doc_id").filter("page_idx = index_page").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     number = F.regexp_extract("line", r"(\d{1,3})\s*$", 1)
     kinds = F.array_compact(F.array(*[F.when(F.lower("line").rlike(p), F.lit(s)) for s, p in INDEX_LINES.items()]))
     listed = lines.filter(number != "").select("doc_id", F.explode(kinds).alias("statement"), number.cast("int").alias("printed"), F.col("n").cast("int").alias("nth"))
     valid = F.array_compact(F.array(*[F.when(F.col(f"valid_{s}"), F.lit(s)) for s in STATEMENTS]))
-    around = flags.join(hints, "doc_id").join(index, "doc_id", "left_anti").filter(F.abs(F.col("page_idx") - (F.col("hint") - 1)) <= DELTA)
+    around = flags.join(hints, "doc_id").join(index, "doc_id", "left_anti").filter(F.abs(F.col("page_idx") - (F.col("hint") - 1)) <= delta)
     return listed.union(around.select("doc_id", F.explode(valid).alias("statement"), F.col("page_idx") + 1, "page_idx"))
 
 
-def mapped_pages(flags: DataFrame, printed: DataFrame) -> DataFrame:
+def mapped_pages(flags: DataFrame, printed: DataFrame, near: int = NEAR) -> DataFrame:
     """doc_id, statement, page_idx, nth: each printed page's closest statement page; else the first statement page, else the first heading."""
     kinds = F.array_compact(F.array(*[F.when(F.col(f"hit_{s}"), F.struct(F.lit(s).alias("statement"), F.col(f"valid_{s}").alias("valid"))) for s in STATEMENTS]))
     hits = flags.select("doc_id", "page_idx", F.explode(kinds).alias("_h")).select("doc_id", "page_idx", "_h.*")
     valid = hits.filter("valid").select("doc_id", "statement", "page_idx")
     far = F.abs(F.col("page_idx") + 1 - F.col("printed"))
-    met = printed.join(valid, ["doc_id", "statement"]).filter(far <= NEAR)
+    met = printed.join(valid, ["doc_id", "statement"]).filter(far <= near)
     best = met.groupBy("doc_id", "statement", "printed", "nth").agg(F.min_by("page_idx", F.struct(far, "page_idx")).alias("page_idx")).groupBy("doc_id", "statement", "page_idx").agg(F.min("nth").alias("nth"))
     first = hits.groupBy("doc_id", "statement").agg(F.min_by("page_idx", F.struct(~F.col("valid"), "page_idx")).alias("page_idx"))
     rest = first.join(best, ["doc_id", "statement"], "left_anti").select("doc_id", "statement", "page_idx", F.lit(0).alias("nth"))
@@ -100,11 +100,14 @@ def with_continuations(flags: DataFrame, starts: DataFrame) -> DataFrame:
     return each.groupBy("doc_id", "statement", "page_idx").agg(F.min(F.struct("nth", "start")).alias("position"))
 
 
-def select_pages(pages: DataFrame, **columns: str) -> DataFrame:
-    """doc_id, statement, page_idx, position: the pages of each document's statements."""
+def select_pages(pages: DataFrame, near: int = NEAR, delta: int = DELTA, **columns: str) -> DataFrame:
+    """doc_id, statement, page_idx, position: the pages of each document's statements.
+
+    ``near``: pages between a printed number and its statement at most; ``delta``: pages around the hint of the contents where there is no index.
+    """
     flags = flagged(pages, **columns)
     hints = contents_hint(flags)
-    return with_continuations(flags, mapped_pages(flags, printed_map(flags, hints, inner_index(flags, hints))))
+    return with_continuations(flags, mapped_pages(flags, printed_map(flags, hints, inner_index(flags, hints), delta), near))
 
 
 def grouped(selected: DataFrame) -> DataFrame:

@@ -15,8 +15,16 @@ from tallyframe.functions import text as T
 
 
 def document_files(spark: SparkSession, path: str, pattern: str = "*.pdf", recursive: bool = True) -> DataFrame:
-    """path and content of the files under ``path`` in any store that Spark reads, each once."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern).load(path).dropDuplicates(["path"])
+    """path and content of the files under ``path`` in any store that Spark reads; a listing has each file once."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern).load(path)
+
+
+def existing_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """path of the files under ``path``, none where it does not exist; contents are not read."""
+    store = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not store.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(store):
+        return spark.createDataFrame([], "path string")
+    return document_files(spark, path, pattern).select("path")
 
 
 def pypdf_pages(raw: bytes) -> list[str]:

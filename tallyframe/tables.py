@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -24,3 +25,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Partitions of a numbering sort at most; the driver gathers one count of each.
+MOST_PARTITIONS = 1 << 16
+
+
+def numbered(rows: DataFrame, order: list[Column | str], name: str = "nth") -> DataFrame:
+    """``rows`` with ``name``: 0, 1, 2, ... in ``order``; equal rows in any order.
+
+    The sort is written with each row's partition and place in it; the places get the counts of the partitions before.
+    """
+    spark = rows.sparkSession
+    parts = min(MOST_PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    held = written(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "numbered")
+    before, base = 0, []
+    for r in sorted(held.groupBy("_part").count().collect()):
+        base.append((r["_part"], before))
+        before += r["count"]
+    starts = spark.createDataFrame(base, "_at int, _base long")
+    return held.join(F.broadcast(starts), F.col("_part") == F.col("_at")).withColumn(name, F.col("_base") + F.col("_nth")).drop("_part", "_nth", "_at", "_base")
