@@ -273,18 +273,30 @@ def log_probabilities(weights: np.ndarray, f: np.ndarray, prior: np.ndarray | No
 
 def gradient(weights: np.ndarray, f: np.ndarray, kind: np.ndarray, prior: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the features, and for each the gradient of the negative log-likelihood: expected less observed counts of every class."""
+    return counted_gradient(weights, f, kind, prior)[:2]
+
+
+def counted_gradient(weights: np.ndarray, f: np.ndarray, kind: np.ndarray, prior: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``gradient``, and how often each bucket occurs."""
     g = np.exp(_scores(weights, f, prior))
     g /= g.sum(axis=1, keepdims=True)
     g[np.arange(len(kind)), kind] -= 1
     order = np.argsort(f.ravel(), kind="stable")
     held = f.ravel()[order]
     starts = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
-    ids = held[starts]
-    return ids, np.add.reduceat(g[order // f.shape[1]], starts, axis=0)
+    rows, counts = order // f.shape[1], np.diff(np.append(starts, len(order)))
+    out = g[rows[starts]]
+    # most buckets occur once: only those that occur again are summed
+    several = counts > 1
+    if several.any():
+        again = np.repeat(several, counts)
+        sizes = counts[several]
+        out[several] = np.add.reduceat(g[rows[again]], np.cumsum(sizes) - sizes, axis=0)
+    return held[starts], out, counts
 
 
-def _summed(blocks: DataFrame, order: list[str], kind: str) -> list[tuple[int, np.ndarray]]:
-    """Sums, as doubles, of the arrays (binary column a, numbers of that kind) of each block in ``order``; the driver gets one array a block."""
+def _summed(blocks: DataFrame, order: list[str], kind: str, done: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> Iterator[tuple[int, np.ndarray]]:
+    """``done`` of the sums, as doubles, of the arrays (binary column a, numbers of that kind) of each block in ``order``: one array a block, a partition of blocks at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, total = None, None
@@ -292,17 +304,24 @@ def _summed(blocks: DataFrame, order: list[str], kind: str) -> list[tuple[int, n
             for block, a in zip(pdf["block"].tolist(), pdf["a"], strict=True):
                 if block != now:
                     if now is not None:
-                        yield pd.DataFrame({"block": [now], "a": [total.tobytes()]})
+                        yield pd.DataFrame({"block": [now], "a": [done(total).tobytes()]})
                     now, total = block, 0.0
                 total = total + np.frombuffer(a, kind).astype(np.float64)
         if now is not None:
-            yield pd.DataFrame({"block": [now], "a": [total.tobytes()]})
+            yield pd.DataFrame({"block": [now], "a": [done(total).tobytes()]})
 
     dealt = blocks.repartition("block").sortWithinPartitions("block", *order)
     table = stored(frames(dealt.select("block", "a"), run, "block int, a binary"), "sums")
-    out = [(r["block"], np.frombuffer(r["a"], "<f8")) for r in table.collect()]
+    for r in table.toLocalIterator():
+        yield r["block"], r["a"]
     discard(table)
-    return out
+
+
+def _averaged(total: np.ndarray) -> np.ndarray:
+    """Weights of a block by how often shards met its buckets; not a number for buckets that none met."""
+    met = total[-HISTORY_BLOCK:, None]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return (total[:-HISTORY_BLOCK].reshape(HISTORY_BLOCK, CLASSES) / np.where(met > 0, met, np.nan)).astype("<f4")
 
 
 def fit_classes(coded: DataFrame, lexicon, prior: np.ndarray, hashed: int, total: int) -> np.ndarray:
@@ -323,10 +342,14 @@ def fit_classes(coded: DataFrame, lexicon, prior: np.ndarray, hashed: int, total
             now, w, squares, met, f, kind = None, None, None, None, None, None
 
             def take(rows: np.ndarray, own: np.ndarray) -> None:
-                ids, g = gradient(w, rows, own, bias)
-                squares[ids] += g * g
-                w[ids] -= np.float32(RATE) * g / np.sqrt(squares[ids])
-                np.add.at(met, rows.ravel(), 1)
+                ids, g, n = counted_gradient(w, rows, own, bias)
+                s = squares[ids] + g * g
+                squares[ids] = s
+                np.sqrt(s, out=s)
+                g *= np.float32(RATE)
+                g /= s
+                w[ids] -= g
+                met[ids] += n
 
             def finished() -> Iterator[pd.DataFrame]:
                 if len(kind):
@@ -355,12 +378,10 @@ def fit_classes(coded: DataFrame, lexicon, prior: np.ndarray, hashed: int, total
 
         share = dealt.filter(F.col("round") == r).repartitionById(tasks, F.pmod("shard", F.lit(tasks))).sortWithinPartitions("shard", "h").select("shard", "ids")
         weights = weights.copy()
-        for block, a in _summed(streams(share, step, "block int, shard int, a binary"), ["shard"], "<f4"):
-            met = a[-HISTORY_BLOCK:]
-            own = weights[block * HISTORY_BLOCK : (block + 1) * HISTORY_BLOCK]
-            some = met > 0
-            own[some] = a[:-HISTORY_BLOCK].reshape(HISTORY_BLOCK, CLASSES)[some] / met[some, None]
-        shared.unpersist()
+        for block, a in _summed(streams(share, step, "block int, shard int, a binary"), ["shard"], "<f4", _averaged):
+            own, new = weights[block * HISTORY_BLOCK : (block + 1) * HISTORY_BLOCK], np.frombuffer(a, "<f4").reshape(HISTORY_BLOCK, CLASSES)
+            own[...] = np.where(np.isnan(new), own, new)
+        shared.destroy()
     return weights
 
 
@@ -428,9 +449,10 @@ def fit_words(events: DataFrame, lexicon) -> np.ndarray:
 
         pairs = pairs.copy()
         for block, a in _summed(frames(events, step, "block int, a binary"), [], "<f8"):
+            a = np.frombuffer(a, "<f8")
             own = pairs[block * PAIR_BLOCK : (block + 1) * PAIR_BLOCK]
             own += np.clip((a[:PAIR_BLOCK] - PRIOR * own) / (a[PAIR_BLOCK:] + PRIOR), -1, 1)
-        shared.unpersist()
+        shared.destroy()
     return pairs
 
 
@@ -477,9 +499,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
     cluster = clustered(near, np.array([n for _, n in words[:some]], float)) if some else np.zeros(0, np.int64)
     kinds = classed(words, cluster)
     seen = np.array([n for _, n in words], float)
-    of_class = np.bincount(kinds, weights=seen, minlength=CLASSES) if words else np.zeros(CLASSES)
+    del words, near  # the driver keeps numbers only
+    of_class = np.bincount(kinds, weights=seen, minlength=CLASSES) if len(seen) else np.zeros(CLASSES)
     log_sum = math.log10(total + 0.1 * (distinct + 1))
-    lexicon = spark.sparkContext.broadcast(Lexicon([], kinds, np.log10(seen / of_class[kinds]) if words else seen, np.log10(seen + 0.1) - log_sum))
+    lexicon = spark.sparkContext.broadcast(Lexicon([], kinds, np.log10(seen / of_class[kinds]) if len(seen) else seen, np.log10(seen + 0.1) - log_sum))
     hashed = min(HASHED, max(LEAST_HASHED, 1 << total.bit_length()))
     rare = total - ends - int(seen.sum())
     mass = of_class + np.bincount([END, RARE], [ends, rare], CLASSES) + 0.5
