@@ -59,7 +59,7 @@ def doubts(statement: Column, label: Column, raw: Column, empty: Column) -> Colu
     return F.when(label == "", F.array(F.lit("missing_label"))).otherwise(F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, name in found])))
 
 
-def normalised(statement: Column, label: Column, raw: Column, empty: Column) -> Column:
+def normalised(statement: Column, label: Column, raw: Column, empty: Column, rules: list[tuple[list[str], str]] = W.CANONICAL) -> Column:
     """Struct of the label in its canonical form and the reasons, each once and in order.
 
     An empty label takes the printed line; nulls count as empty.
@@ -79,7 +79,7 @@ def normalised(statement: Column, label: Column, raw: Column, empty: Column) ->
         state = start
         for name, change in _trims():
             state = let(state, step(name, change))
-        return let(state, lambda s: let(W.canonical_name(s["x"], said), lambda c: F.named_struct(
+        return let(state, lambda s: let(W.canonical_name(s["x"], said, rules), lambda c: F.named_struct(
             F.lit("label"), F.btrim(F.regexp_replace(c, r"\s+", " ")),
             F.lit("reasons"), F.array_distinct(F.array_compact(F.concat(s["r"], doubts(statement, s["x"], said, empty), F.array(F.when(c == "", F.lit("empty_after_normalization")).otherwise(none))))),
         )))

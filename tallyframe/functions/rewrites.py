@@ -68,6 +68,8 @@ HELD_REASONS = ["footnote_fragment", "share_details_without_security", "standalo
 def _test(part: str, low: Column, raw: Column) -> Column:
     if part.startswith("raw:"):
         return F.contains(raw, F.lit(part[4:]))
+    if part[0] == "~":
+        return low.rlike(part[1:])
     if part[0] in "^=!":
         word = F.lit(part[1:])
         return {"^": low.startswith(word), "=": low == word, "!": ~F.contains(low, word)}[part[0]]
@@ -142,8 +144,8 @@ def clean_label(printed: Column) -> Column:
     return let(without_footnotes(printed), whole)
 
 
-def canonical_name(label: Column, raw: Column) -> Column:
-    return by_rules(label, CANONICAL, raw)
+def canonical_name(label: Column, raw: Column, rules: list[tuple[list[str], str]] = CANONICAL) -> Column:
+    return by_rules(label, rules, raw)
 
 
 def per_share_name(label: Column, values: Column) -> Column:

@@ -260,10 +260,10 @@ def statement_blocks(words: DataFrame, by: list[str], statement: str = "statemen
     )
 
 
-def table_rows(words: DataFrame, by: list[str], statement: str = "statement", scale: Column | float | None = None, aliases: DataFrame | None = None) -> DataFrame:
+def table_rows(words: DataFrame, by: list[str], statement: str = "statement", scale: Column | float | None = None, aliases: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
     """by, order_index, level, label, raw, reasons, col_ord, column, raw_column, duration, period_end, value: facts of all statements in ``words``.
 
-    Labels are those that no rule changes any more (``relabel.settled``, with ``aliases``); ``reasons``: why one is doubted.
+    Labels are those that no rule changes any more (``relabel.settled``, with ``aliases`` and ``rules``); ``reasons``: why one is doubted.
     Values are in millions by the units on a statement's first page, or times ``scale``. Columns without
     a number in a row give rows with a null value; statements without a header give none.
     """
@@ -281,7 +281,7 @@ def table_rows(words: DataFrame, by: list[str], statement: str = "statement", sc
         heads = heads.withColumn("scale", scale if isinstance(scale, Column) else F.lit(float(scale)))
     table = made.join(heads, [F.col(c).eqNullSafe(F.col(f"h_{c}")) for c in by]).drop(*[f"h_{c}" for c in by])
     table = table.withColumn("values", A.fit_columns(F.transform("cells", lambda c: A.parse_number(c)), F.size("names"))).withColumn("level", F.least(S.nearest_column(F.col("x0"), F.col("edges")), F.lit(2)).cast("int"))
-    table = settled(table.select(*by, "order_index", "level", "label", "raw", "values", "names", "scale"), by, statement=statement, aliases=aliases)
+    table = settled(table.select(*by, "order_index", "level", "label", "raw", "values", "names", "scale"), by, statement=statement, aliases=aliases, rules=rules)
     cells = F.arrays_zip(F.col("names").alias("raw_column"), F.col("values").alias("value"))
     each = table.select(*by, "order_index", W.level_of(F.col("label"), F.col("level")).alias("level"), "label", "raw", "reasons", "scale", F.size("names").alias("_n"), F.posexplode(cells).alias("col_ord", "_c"))
     named = each.select(*by, "order_index", "level", "label", "raw", "reasons", "scale", "col_ord", N.column_label(F.col("_c.raw_column"), F.col("col_ord"), F.col("_n")).alias("column"), F.col("_c.raw_column").alias("raw_column"), F.col("_c.value").alias("value"))

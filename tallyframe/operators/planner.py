@@ -14,9 +14,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-class PeriodError(ValueError):
-    pass
+from tallyframe.errors import PeriodError
 
 
 def parse_period(spec: str) -> tuple[int, int]:

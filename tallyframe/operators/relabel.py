@@ -24,15 +24,16 @@ from tallyframe.functions import labels as L
 from tallyframe.functions import normalise as M
 from tallyframe.functions import rewrites as W
 from tallyframe.operators.facts import small
+from tallyframe.operators.rules import Rules, listed
 from tallyframe.tables import written
 
 LEVELS = 3
 
 
-def _named(rows: DataFrame, aliases: DataFrame | None, statement: str) -> DataFrame:
+def _named(rows: DataFrame, aliases: DataFrame | None, statement: str, rules: Rules) -> DataFrame:
     """``_name`` and ``_reasons`` of every row by itself, ``_out`` where it is given up."""
     made = rows.withColumn("_empty", ~F.exists("values", lambda v: v.isNotNull())).withColumn("_early", M.dropped_before(F.col("raw"), F.col("_empty")))
-    made = made.withColumn("_n", M.normalised(F.col(statement), F.col("label"), F.col("raw"), F.col("_empty")))
+    made = made.withColumn("_n", M.normalised(F.col(statement), F.col("label"), F.col("raw"), F.col("_empty"), rules))
     own = L.canonical(F.col("_n.label"))
     if aliases is not None:
         made = made.join(aliases, (F.lower(own) == F.col("_key")) & (F.col(statement) == F.col("_of")), "left")
@@ -76,12 +77,12 @@ def _merged(rows: DataFrame, by: list[str], order: str, above) -> DataFrame:
     return rows.withColumn("values", F.when(F.col("_to").isNull() & F.col("_first").isNotNull(), F.col("_first.v")).otherwise(F.col("values"))).drop("_to", "_family", "_first")
 
 
-def _round(rows: DataFrame, by: list[str], order: str, statement: str, aliases: DataFrame | None) -> DataFrame:
+def _round(rows: DataFrame, by: list[str], order: str, statement: str, aliases: DataFrame | None, rules: Rules) -> DataFrame:
     """All rows with their new label; ``gone`` ones leave, ``again``: their statement lost a row."""
     above = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     whole, same = Window.partitionBy(*by), Window.partitionBy(*by, "_low")
     rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*by).orderBy(order)).cast("string"))
-    rows = _merged(_sections(_named(rows, aliases, statement), above), by, order, above)
+    rows = _merged(_sections(_named(rows, aliases, statement, rules), above), by, order, above)
     rows = rows.withColumn("_low", F.lower("_name")).withColumn("_empty", ~F.exists("values", lambda v: v.isNotNull())).withColumn("_copies", F.count(F.lit(1)).over(same))
     kinds = [F.col("_out") | F.col("_moved"), F.col("_empty") & (F.col("_copies") > 1), F.col("_low").isin(W.ALWAYS_DROPS), F.col("_empty") & F.col("_low").isin(W.EMPTY_DROPS)]
     kind = F.coalesce(*[F.when(k, i) for i, k in enumerate(kinds)], F.lit(len(kinds)))
@@ -93,12 +94,12 @@ def _round(rows: DataFrame, by: list[str], order: str, statement: str, aliases:
     return rows.select(*keep, F.col("_name").alias("label"), core.alias("reasons"), (again & (F.col("_kind") == F.col("_least"))).alias("_gone"), again.alias("_again"))
 
 
-def settled(rows: DataFrame, by: list[str], order: str = "order_index", statement: str = "statement", aliases: DataFrame | None = None) -> DataFrame:
+def settled(rows: DataFrame, by: list[str], order: str = "order_index", statement: str = "statement", aliases: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
     """``rows`` whose labels no round changes any more, with ``reasons`` to doubt a label (empty: none).
 
     ``rows``: by, order (unique in a statement), statement, level (int from 0), label, raw (the printed line), values (array of double),
     and any other columns, which stay with their row (names that begin with an underscore are for this function).
-    ``aliases``: statement, key, value; of equal keys the last by value counts. Null labels and lines count as empty, null
+    ``aliases``: statement, key, value; of equal keys the last by value counts. ``rules``: a table of naming rules in place of the usual ones. Null labels and lines count as empty, null
     levels as 0, a null or empty array of values as a row without values; rows with equal order keep any order; statements
     without rows and an empty table give nothing.
     """
@@ -108,9 +109,10 @@ def settled(rows: DataFrame, by: list[str], order: str = "order_index", statemen
     known = None
     if aliases is not None:
         known = small(aliases.groupBy(F.col("statement").alias("_of"), F.lower(L.canonical(F.col("key"))).alias("_key")).agg(F.max("value").alias("_alias")))
+    chosen = W.CANONICAL if rules is None else listed(rules)
     now, done = start, []
     while True:
-        out = written(_round(now, by, order, statement, known), "relabelled")
+        out = written(_round(now, by, order, statement, known, chosen), "relabelled")
         done.append(out.filter(~F.col("_again")).drop("_gone", "_again"))
         left = out.filter(F.col("_again") & ~F.col("_gone")).drop("_gone", "_again", "reasons")
         if left.isEmpty():

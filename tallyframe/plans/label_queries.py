@@ -1,11 +1,12 @@
-"""Queries over labels that rules rename, drop and merge until nothing changes."""
+"""Queries over labels that rules rename, drop and merge until nothing changes, and over rules as a table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.operators import relabel
+from tallyframe.functions import rewrites as W
+from tallyframe.operators import relabel, rules
 from tallyframe.plans.registry import query, table
 
 _LABELS = [
@@ -51,3 +52,51 @@ def q71_settled_labels(spark: SparkSession, d: str) -> DataFrame:
     given = rows.select("doc", F.lit("income").alias("statement"), F.col("o").cast("long").alias("o"), F.col("level").cast("int").alias("level"), label.alias("label"), label.alias("raw"), F.array("v").alias("values"))
     found = relabel.settled(given, ["doc"], "o")
     return found.select("doc", "o", "level", "label", F.col("values")[0].alias("v"), F.array_contains("reasons", "duplicate_after_normalization").alias("doubted"))
+
+
+def sample(tests: list[str]) -> tuple[str, str]:
+    """A label and a printed line that a rule's tests hold for."""
+    label, line = "", ""
+    for t in tests:
+        if t.startswith("raw:"):
+            line += f" {t[4:]}"
+        elif t[0] == "=":
+            label = t[1:]
+        elif t[0] == "^":
+            label = f"{t[1:]} of it{label}"
+        elif t[0] != "!":
+            label = f"{label} {t}".strip()
+    return label.capitalize(), line or label
+
+
+_SAMPLES = [sample(tests) for _, found in (("cleaned", W.CLEANED), ("canonical", W.CANONICAL)) for tests, _ in found] + [("Own label", "x"), ("Other label", "own line"), ("Nothing fits", "")]
+#: A user's rules: one in place of a usual one, one before all, one behind.
+_OWN = [(10 * len(W.CANONICAL), "equals", "other, net", "Other items"), (5, "matches", r"^own\s+label$", "Named by its form"), (1000, "printed", "own line", "Named by its line")]
+
+
+def _sql(found: list[tuple[list[str], str]], own: bool) -> str:
+    """The first rule that fits, as one CASE."""
+    text = lambda t: "'" + t.replace("'", "''") + "'"
+    kinds = {"^": lambda t: f"starts_with(lower(label), {text(t)})", "=": lambda t: f"lower(label) = {text(t)}", "!": lambda t: f"NOT contains(lower(label), {text(t)})"}
+
+    def test(t: str) -> str:
+        return f"contains(lower(raw), {text(t[4:])})" if t.startswith("raw:") else kinds[t[0]](t[1:]) if t[0] in kinds else f"contains(lower(label), {text(t)})"
+
+    cases = [f"WHEN {' AND '.join(map(test, tests))} THEN {text(out)}" for tests, out in found]
+    if own:
+        cases = ["WHEN regexp_matches(lower(label), '^own\\s+label$') THEN 'Named by its form'", *cases[:-1], "WHEN lower(label) = 'other, net' THEN 'Other items'", "WHEN contains(lower(raw), 'own line') THEN 'Named by its line'"]
+    return f"CASE {' '.join(cases)} ELSE label END"
+
+
+_PAIRS = ", ".join("{'label': '%s', 'raw': '%s'}" % tuple(x.replace("'", "''") for x in s) for s in _SAMPLES)
+
+
+@query(f"SELECT o_orderkey, {_sql(W.CLEANED, False)} AS cleaned, {_sql(W.CANONICAL, False)} AS canonical, {_sql(W.CANONICAL, True)} AS own FROM (SELECT o_orderkey, s.label AS label, s.raw AS raw FROM (SELECT o_orderkey, ([{_PAIRS}])[o_orderkey % {len(_SAMPLES)} + 1] AS s FROM orders))")
+def q78_label_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Every rule of both tables at work on the orders' labels, and a user's rules among them."""
+    pairs = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("raw")) for a, b in _SAMPLES])
+    rows = table(spark, d, "orders").select("o_orderkey", F.element_at(pairs, (F.col("o_orderkey") % len(_SAMPLES) + 1).cast("int")).alias("s")).select("o_orderkey", "s.*")
+    usual = rules.table_of(spark, W.CANONICAL)
+    own = rules.with_own(usual, spark.createDataFrame(_OWN, rules.SCHEMA))
+    label, raw = F.col("label"), F.col("raw")
+    return rows.select("o_orderkey", W.by_rules(label, rules.listed(rules.table_of(spark, W.CLEANED))).alias("cleaned"), W.by_rules(label, rules.listed(usual), raw).alias("canonical"), W.by_rules(label, rules.listed(own), raw).alias("own"))
