@@ -404,14 +404,6 @@ def q56_row_machine(spark: SparkSession, d: str) -> DataFrame:
     return M.row_machine(lines, ["l_orderkey"], "at", "tokens", 2).select("l_orderkey", "order_index", "label", F.array_join(F.transform("values", lambda x: F.coalesce(x.cast("string"), F.lit("-"))), "|").alias("cells"))
 
 
-@query()
-def q57_demo_certification(spark: SparkSession, d: str) -> DataFrame:
-    """Every check on the built-in filing."""
-    from tallyframe.sources.demo import demo_facts
-
-    return C.certify(demo_facts(spark))
-
-
 @query("SELECT p_type, count(*) AS n FROM (SELECT CASE WHEN p_size % 3 = 0 THEN p_type WHEN p_size % 3 = 1 THEN 'Net ' || p_type ELSE p_type END AS p_type FROM part) GROUP BY 1")
 def q58_label_trim(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("p_size") % 3

@@ -100,6 +100,26 @@ def q60_batch_checks(spark: SparkSession, d: str) -> DataFrame:
     return batch.certify_batches(_store(spark, d), ["batch"])
 
 
+#: Checks by name: difference, and the columns it needs.
+_IDENTITIES = {
+    "balance equality": ("ta - (tl + eq)", "ta tl eq"), "cash roll": ("be + ch - en", "be ch en"), "net income link": ("ni - cn", "ni cn"), "gross profit": ("rv + co - gp", "rv co gp"),
+    "operating income": ("gp - ox - oi", "gp ox oi"), "pretax income": ("oi + ot - pt", "oi ot pt"), "net income": ("pt + tx - ni", "pt tx ni"), "cash flow": ("ca + cb + cc + coalesce(ex, 0) - ch", "ca cb cc ch"),
+}
+
+
+def _identity(name: str, delta: str, needs: str) -> str:
+    every, some = (f" {word} ".join(f"{c} IS NOT NULL" for c in needs.split()) for word in ("AND", "OR"))
+    return f"SELECT batch, '{name}' AS \"check\", coalesce(({every}) AND abs({delta}) <= 1e-6, false) AS ok FROM w WHERE {some}"
+
+
+@query(f"""{_W}, i AS ({' UNION ALL '.join(_identity(n, *x) for n, x in _IDENTITIES.items())})
+ SELECT batch AS doc_id, "check", CASE WHEN bool_and(ok) THEN 'PASS' ELSE 'CHECK' END AS result, count(*) AS periods, count(*) FILTER (WHERE NOT ok) AS failed FROM i GROUP BY ALL""")
+def q57_demo_certification(spark: SparkSession, d: str) -> DataFrame:
+    """The checks that the demo filing is made for, over each priority's quarters as one document."""
+    facts = _store(spark, d).selectExpr("batch AS doc_id", "statement", "label", "seq AS order_index", "CAST(period_end AS STRING) AS period", "value")
+    return certify.certify(facts)
+
+
 _NOT_SUB = "SELECT batch, duration, period_end, income, cash, abs(income - cash) <= 1e-6 AS ok FROM (SELECT batch, 'quarter' AS duration, period_end, ni AS income, cn AS cash FROM w)"
 
 
