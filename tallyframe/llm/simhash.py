@@ -428,7 +428,7 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: s
     several = placed.groupBy(F.col("cell").alias("s_cell")).agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").select("s_cell", "hub")
     shared = stored(placed.join(_few(stored(several, "cells")), F.col("cell") == F.col("s_cell")).select("node", "hub").distinct(), "shared")
     wanted = shared.select("node").distinct().join(points.select("node", "least"), "node").select("node", F.col("least.k").alias("w_k"), F.col("least.h").alias("w_h"))
-    texts = keyed.join(wanted, (F.col("k") == F.col("w_k")) & (F.col("h") == F.col("w_h"))).select("node", "t")
+    texts = keyed.join(_few(stored(wanted, "wanted")), (F.col("k") == F.col("w_k")) & (F.col("h") == F.col("w_h"))).select("node", "t")
     sets = stored(shingle_sets(texts, words), "sets")
     roots = similar_components(points, sets, shared, similarity).select(F.col("node").alias("r_node"), "root")
     grouped = points.join(roots, F.col("node") == F.col("r_node"), "left").groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("one"))
@@ -436,7 +436,13 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: s
     names = [f"_{i}" for i in range(len(docs.columns))]
     at, said = (F.col(names[docs.columns.index(c)]) for c in (key, text))
     held = docs.toDF(*names).withColumn("_own", F.coalesce(at.cast("long"), F.lit(-(1 << 63)))).withColumn("_content", F.xxhash64(F.coalesce(said, F.lit(""))))
-    kept = held.join(chosen, (F.col("_own") == F.col("_k")) & (F.col("_content") == F.col("_h")))
-    plain = [n for n, f in zip(names, docs.schema.fields, strict=True) if isinstance(f.dataType, AtomicType)]
-    one = kept.groupBy("_own", "_content").agg(F.min_by(F.struct(*names), F.xxhash64(*plain)).alias("_row")).select("_row.*")
-    return one.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    known = (F.col("_own") == F.col("_k")) & (F.col("_content") == F.col("_h"))
+    kept = held.join(_few(chosen), known).drop("_k", "_h")
+    # rows that are equal in key and text: mostly there are none, and then no text is shuffled
+    again = stored(rows.groupBy(F.col("k").alias("_k"), F.col("h").alias("_h")).count().filter("count > 1").select("_k", "_h"), "again")
+    if not again.isEmpty():
+        plain = [n for n, f in zip(names, docs.schema.fields, strict=True) if isinstance(f.dataType, AtomicType)]
+        several = kept.join(_few(again), known).drop("_k", "_h")
+        one = several.groupBy("_own", "_content").agg(F.min_by(F.struct(*names), F.xxhash64(*plain)).alias("_row")).select("_row.*")
+        kept = kept.join(_few(again), known, "left_anti").select(*names).unionByName(one)
+    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
