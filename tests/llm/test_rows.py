@@ -6,13 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 from tests.conftest import SF
 
-from tallyframe.llm import bpe, fingerprints, language, maxent, packing, quality, queries, simhash, suffixes, token_index, warc
+from tallyframe.llm import bpe, fingerprints, language, maxent, packing, quality, queries, resampling, sharding, simhash, suffixes, token_index, warc
 
 BIG = (1 << 53) + 1
 RESULTS = {
     "near": lambda d: simhash.near_duplicates(d), "kept": lambda d: simhash.deduplicate(d), "pack": lambda d: packing.pack(d, queries.JSON_VOCABULARY), "score": lambda d: maxent.score(d),
     "language": lambda d: language.held_out_languages(d), "index": lambda d: token_index.token_index(d, queries.JSON_VOCABULARY), "passages": lambda d: suffixes.deduplicate(d, keep=True),
     "words": lambda d: suffixes.deduplicate_words(d, 51), "quality": lambda d: quality.quality(d, keep=True), "prints": lambda d: fingerprints.edited_fingerprints(d), "bpe": lambda d: bpe.digests(d, queries.RANK_VOCABULARY),
+    "resample": lambda d: resampling.resample(d, d), "shards": lambda d: sharding.sharded(d),
 }
 
 
