@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,6 +17,10 @@ from pyspark.sql.types import StructType
 #: Bytes of a batch that a Python worker turns into objects at once; one row may have more.
 BATCH_BYTES = 2 << 20
 #: Settings while a table is written: its shuffle files go when it is done, and Python workers get small batches.
+try:
+    _LIBC = ctypes.CDLL("libc.so.6") if hasattr(ctypes.CDLL("libc.so.6"), "malloc_trim") else None
+except OSError:  # another C library
+    _LIBC = None
 _WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
 
 
@@ -78,6 +83,13 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch
 
 
+def released() -> None:
+    """Gives freed memory back to the machine: Spark keeps Python workers, and what they hold, from task to task."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str | StructType) -> DataFrame:
     """``df`` through ``run``, as ``mapInPandas``, but over batches of bounded bytes and with exact integers.
 
@@ -89,6 +101,7 @@ def frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.Da
         made = to_arrow_schema(types)
         for pdf in run(part.to_pandas(integer_object_nulls=True) for b in batches for part in slices(b)):
             yield pa.RecordBatch.from_pandas(pdf, schema=made, preserve_index=False)
+        released()
 
     return df.mapInArrow(go, types)
 

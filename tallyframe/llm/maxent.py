@@ -30,6 +30,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tallyframe.llm.common import discard, frames, slices, stored
+from tallyframe.llm.common import discard, frames, released, slices, stored
 from tallyframe.llm.language import remainder
 
 #: Words that have a number; rarer ones are looked up by a join, and are contexts by their hash.
@@ -58,7 +59,7 @@ MOST_TASKS = 4096
 #: Buckets of a block of numbers that travels as one value.
 HISTORY_BLOCK, PAIR_BLOCK = 256, 1 << 14
 #: Distinct keys after which a task hands on its counts.
-FLUSH = 400_000
+FLUSH = 200_000
 #: Numbers of the end of a text and of words that are not frequent: this one and those below.
 END_CODE, RARE_CODE = -2, -3
 
@@ -107,30 +108,38 @@ def encoded(chosen: DataFrame, words: list[bytes]) -> DataFrame:
         def __missing__(self, w: bytes) -> int:
             return RARE_CODE - (zlib.crc32(w) & 0x3FFFFFFF)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = Numbers((w, i) for i, w in enumerate(shared.value))
-        for pdf in batches:
-            ids, missing, times = [], [], []
-            for t in pdf["t"].tolist():
-                ws = tokens(t)
-                own = np.array([*map(number.__getitem__, ws)], np.int32)
-                lost = Counter(ws[i] for i in np.flatnonzero(own < 0).tolist())
-                ids.append(own)
-                missing.append(list(lost))
-                times.append(list(lost.values()))
-            yield pd.DataFrame({"k": pdf["k"], "held_out": pdf["held_out"], "h": pdf["h"], "ids": ids, "missing": missing, "times": times})
-
-    return frames(chosen, run, "k long, held_out boolean, h long, ids array<int>, missing array<binary>, times array<int>")
-
-
-def streams(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-    """``df`` through ``run``, which gets Arrow batches of bounded bytes and gives frames."""
+        for part in batches:
+            texts = [tokens(t) for t in part.column(3).to_pylist()]
+            flat = list(chain.from_iterable(texts))
+            ids = np.fromiter(map(number.__getitem__, flat), np.int32, len(flat))
+            ends = np.cumsum([0, *map(len, texts)])
+            lost, last = [], 0
+            rare = np.flatnonzero(ids < 0)
+            for upto in np.searchsorted(rare, ends[1:]).tolist():
+                lost.append(Counter([flat[i] for i in rare[last:upto].tolist()]))
+                last = upto
+            held = np.cumsum([0, *map(len, lost)]).astype(np.int32)
+            missing, times = pa.array(list(chain.from_iterable(lost)), pa.binary()), pa.array(list(chain.from_iterable(c.values() for c in lost)), pa.int32())
+            lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), values) for at, values in ((ends, pa.array(ids)), (held, missing), (held, times))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *lists], names=["k", "held_out", "h", "ids", "missing", "times"])
+
+    return streams(chosen.select("k", "held_out", "h", "t"), run, "k long, held_out boolean, h long, ids array<int>, missing array<binary>, times array<int>")
+
+
+def streams(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pd.DataFrame | pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df`` through ``run``, which gets Arrow batches of bounded bytes and gives frames or batches."""
     types = StructType.fromDDL(schema)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = to_arrow_schema(types)
-        for pdf in run(part for b in batches for part in slices(b)):
-            yield pa.RecordBatch.from_pandas(pdf, schema=made, preserve_index=False)
+        for out in run(part for b in batches for part in slices(b)):
+            if isinstance(out, pa.RecordBatch):
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(out.columns, made)], schema=made)
+            else:
+                yield pa.RecordBatch.from_pandas(out, schema=made, preserve_index=False)
+        released()
 
     return df.mapInArrow(go, types)
 
@@ -527,10 +536,9 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
                 c = kind[i : i + STEP]
                 own[i : i + STEP] += log_probabilities(weights.value[0], f[i : i + STEP], weights.value[1])[np.arange(len(c)), c] / math.log(10)
             tally = lambda x: np.add.reduceat(x, starts)  # noqa: E731, B023
-            yield pd.DataFrame({
-                "k": part.column(0).to_pandas(integer_object_nulls=True), "held_out": part.column(1).to_pandas(), "n_tokens": sizes, "known": tally((flat >= 0).astype(np.int64)) + (ends > 0),
-                "base": tally(bases[np.maximum(flat, RARE_CODE)]), "score": tally(own), "missing": part.column(3).to_pylist(), "times": part.column(4).to_pylist(),
-            })
+            sums = [sizes, tally((flat >= 0).astype(np.int64)) + (ends > 0), tally(bases[np.maximum(flat, RARE_CODE)]), tally(own)]
+            columns = [part.column(0), part.column(1), *map(pa.array, sums), part.column(3), part.column(4)]
+            yield pa.RecordBatch.from_arrays(columns, names=["k", "held_out", "n_tokens", "known", "base", "score", "missing", "times"])
 
     made = streams(coded.select("k", "held_out", "ids", "missing", "times"), first, "k long, held_out boolean, n_tokens long, known long, base double, score double, missing array<binary>, times array<int>")
     part = stored(made.withColumn("row", F.monotonically_increasing_id()), "scores")
