@@ -50,8 +50,9 @@ def edged_words(raw: bytes):
     return [page(p) for p in raw.decode().split("\f")]
 
 
-@pytest.fixture
-def folder(tmp_path):
+@pytest.fixture(scope="module")
+def folder(tmp_path_factory):
+    tmp_path = tmp_path_factory.mktemp("filings")
     (tmp_path / "in").mkdir()
     (tmp_path / "in/good.pdf").write_text(filing())
     (tmp_path / "in/off.pdf").write_text(filing(change=7))
@@ -60,14 +61,14 @@ def folder(tmp_path):
     return tmp_path
 
 
-def results(spark, folder):
+@pytest.fixture(scope="module")
+def out(spark, folder):
     spark.dataSource.register(words.word_source(edged_words, "edged"))
     read = spark.read.format("edged")
     return run.extract_reports(read.load(f"{folder}/in"), unread=read.option("rows", "errors").load(f"{folder}/in"))
 
 
-def test_words_to_certification(spark, folder):
-    out = results(spark, folder)
+def test_words_to_certification(out):
     names = F.substring_index("doc_id", "/", -1).alias("doc")
     assert {(r.doc, r.step, r.error) for r in out.errors.select(names, "step", "error").collect()} == {("half.pdf", "pages", "no page of: cash"), ("torn.pdf", "words", "page 5: ValueError: unreadable")}
     values = {(r.doc, r.statement, r.label, r.col_ord): r.value for r in out.facts.select(names, "statement", "label", "col_ord", "value").collect()}
@@ -86,8 +87,7 @@ def test_words_to_certification(spark, folder):
     assert len(table.columns) == 12 and table.count() == len(values)
 
 
-def test_outputs_and_restart(spark, folder):
-    out = results(spark, folder)
+def test_outputs_and_restart(spark, folder, out):
     run.write_reports(out, f"{folder}/out", f"{folder}/books")
     assert sorted(p.name for p in (folder / "books").iterdir()) == ["good_tables.xlsx", "off_tables.xlsx", "torn_tables.xlsx"]
     sheets = book(folder / "books/good_tables.xlsx")
