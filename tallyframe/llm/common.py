@@ -125,6 +125,7 @@ def extended(df: DataFrame, new: dict[str, str], run: Callable[[list[list]], dic
                 fields = [part.schema.field(names.index(f.name)) for f in rest]
                 columns = [part.column(names.index(f.name)) for f in rest] + [pa.array(got[f.name], f.type) for f in types]
                 yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([*fields, *types]))
+        released()
 
     return chosen.mapInArrow(go, StructType([*rest, *added.fields]))
 
