@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.errors import PeriodError
+from tallyframe.functions.text import let
 
 
 def parse_period(spec: str) -> tuple[int, int]:
@@ -116,11 +117,6 @@ _FILING = "struct<form: string, year: int, quarter: int, covers: array<int>>"
 _CHOICE = "struct<form: string, year: int, quarter: int, covers: array<int>, score: int>"
 
 
-def coverage_score(covers: Column, open_: Column) -> Column:
-    """How many of the open periods a filing holds."""
-    return F.size(F.array_intersect(covers, open_))
-
-
 def cover(wanted: DataFrame, filings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The filings chosen for each request, with the periods each is taken for; and the periods that no filing holds.
 
@@ -137,20 +133,27 @@ def cover(wanted: DataFrame, filings: DataFrame) -> tuple[DataFrame, DataFrame]:
     kind = f"struct<open: array<int>, chosen: array<{_CHOICE}>, lost: array<int>>"
 
     def step(s: Column, _: Column) -> Column:
-        latest = F.array_max(s["open"])
-        holds = F.filter(F.col("_f"), lambda f: F.array_contains(f["covers"], latest))
-        ranked = F.transform(holds, lambda f: F.struct(coverage_score(f["covers"], s["open"]).alias("score"), (-f["year"]).alias("y"), (-f["quarter"]).alias("q"), f["form"].alias("form"), f.alias("f")))
-        best = F.array_max(ranked)
-        took = F.array_intersect(best["f"]["covers"], s["open"])
-        picked = F.array(F.struct(best["f"]["form"].alias("form"), best["f"]["year"].alias("year"), best["f"]["quarter"].alias("quarter"), took.alias("covers"), best["score"].alias("score"))).cast(f"array<{_CHOICE}>")
-        found = F.struct(F.array_except(s["open"], took).alias("open"), F.concat(s["chosen"], picked).alias("chosen"), s["lost"].alias("lost")).cast(kind)
-        missed = F.struct(F.array_remove(s["open"], latest).alias("open"), s["chosen"].alias("chosen"), F.concat(s["lost"], F.array(latest)).alias("lost")).cast(kind)
-        return F.when(F.size(s["open"]) == 0, s).when(F.size(holds) > 0, found).otherwise(missed)
+        # each value is bound once: a chain of columns would work it out anew at every use
+        def choose(latest: Column, held: Column) -> Column:
+            best = let(F.array_max(held), lambda x: F.struct(F.array_except(s["open"], x["took"]).alias("open"), F.concat(s["chosen"], F.array(
+                F.struct(x["form"].alias("form"), (-x["y"]).alias("year"), (-x["q"]).alias("quarter"), x["took"].alias("covers"), x["score"].alias("score")),
+            ).cast(f"array<{_CHOICE}>")).alias("chosen"), s["lost"].alias("lost")).cast(kind))
+            missed = F.struct(F.array_remove(s["open"], latest).alias("open"), s["chosen"].alias("chosen"), F.concat(s["lost"], F.array(latest)).alias("lost")).cast(kind)
+            return F.when(F.size(held) > 0, best).otherwise(missed)
+
+        def ranked(f: Column) -> Column:
+            return let(F.array_intersect(f["covers"], s["open"]), lambda took: F.struct(F.size(took).alias("score"), (-f["year"]).alias("y"), (-f["quarter"]).alias("q"), f["form"].alias("form"), f["covers"].alias("covers"), took.alias("took")))
+
+        def chosen(latest: Column) -> Column:
+            return let(F.transform(F.filter(F.col("_f"), lambda f: F.array_contains(f["covers"], latest)), ranked), lambda held: choose(latest, held))
+
+        return F.when(F.size(s["open"]) == 0, s).otherwise(let(F.array_max(s["open"]), chosen))
 
     rounds = F.when(F.size("_t") > 0, F.sequence(F.lit(1), F.size("_t"))).otherwise(F.array().cast("array<int>"))
     done = met.withColumn("_s", F.aggregate(rounds, start.cast(kind), step))
-    chosen = done.select("request", F.posexplode("_s.chosen").alias("nth", "_c")).select("request", (F.col("nth") + 1).alias("nth"), "_c.*")
-    return chosen, done.select("request", F.explode("_s.lost").alias("target"))
+    # an inner explode would have Spark test the array first, and search once more for each test
+    chosen = done.select("request", F.posexplode_outer("_s.chosen").alias("nth", "_c")).filter("nth is not null").select("request", (F.col("nth") + 1).alias("nth"), "_c.*")
+    return chosen, done.select("request", F.explode_outer("_s.lost").alias("target")).filter("target is not null")
 
 
 def plan_json(requests: DataFrame) -> DataFrame:

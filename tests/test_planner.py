@@ -66,3 +66,11 @@ def test_names_and_json(spark):
     ]
     none = requests.filter("false")
     assert planner.cover(planner.targets(none), planner.reports(none))[0].count() == 0
+
+
+def test_a_request_is_searched_once(spark):
+    """The plan holds the search, and each costly step in it, one time."""
+    requests = spark.createDataFrame([("Q1 2026", 2026, 1, 2)], "request string, year int, quarter int, years int")
+    for found in planner.cover(planner.targets(requests), planner.reports(requests)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert [plan.count(w) for w in ("aggregate(", "array_intersect(", "array_contains(", "array_except(")] == [1, 1, 1, 1]
