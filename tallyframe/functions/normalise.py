@@ -16,6 +16,8 @@ SHARE_WORDS = r"(?i)(?:shares?|issued|outstanding|authorized)"
 NO_LINE = ["respectively", "issued", "none issued"]
 SHARE_SUFFIX = r"(?i)[;,]?\s*(and\s+)?(?:\d[\d,()]*\s+)?shares?.*$"
 CONNECTORS = r"\b(and|or|of|in|the)"
+#: What every trim needs to find; a label without any of it leaves them as it came.
+TOUCHED = r"(?i)\b(?:and|or|of|in|the)\s+(?:and|or|of|in|the)\b|respectively|share|\(|[;,]$|(?:[,;]\s*|\s)(?:and|or|of|in|the)$"
 PER_SHARE_LINE = "Net income attributable to Amkor per common share"
 SECURITIES = ["common stock", "preferred stock", "treasury stock"]
 # Children whose numbers belong to the row above them that holds one of these.
@@ -53,7 +55,7 @@ def doubts(statement: Column, label: Column, raw: Column, empty: Column) -> Colu
         (F.contains(label, F.lit("(")) & ~F.contains(label, F.lit(")")), "dangling_parenthesis"),
         (~label.rlike("[A-Za-z]") & ~label.rlike(r"^\s+$"), "non_text_label"),
         (low.isin(NO_LINE), "standalone_fragment"),
-        (raw.rlike(r"[\d$,()]+$") & empty, "likely_footnote_row"),
+        (empty & raw.rlike(r"[\d$,()]+$"), "likely_footnote_row"),
         ((statement == "balance") & said.rlike(SHARE_WORDS) & ~low.rlike(W.SECURITY), "share_details_without_security"),
     ]
     return F.when(label == "", F.array(F.lit("missing_label"))).otherwise(F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, name in found])))
@@ -76,10 +78,12 @@ def normalised(statement: Column, label: Column, raw: Column, empty: Column, rul
 
             return go
 
-        state = start
-        for name, change in _trims():
-            state = let(state, step(name, change))
-        return let(state, lambda s: let(W.canonical_name(s["x"], said, rules), lambda c: F.named_struct(
+        def trimmed(state: Column) -> Column:
+            for name, change in _trims():
+                state = let(state, step(name, change))
+            return state
+
+        return let(let(start, lambda s: F.when(s["x"].rlike(TOUCHED), trimmed(s)).otherwise(s)), lambda s: let(W.canonical_name(s["x"], said, rules), lambda c: F.named_struct(
             F.lit("label"), F.btrim(F.regexp_replace(c, r"\s+", " ")),
             F.lit("reasons"), F.array_distinct(F.array_compact(F.concat(s["r"], doubts(statement, s["x"], said, empty), F.array(F.when(c == "", F.lit("empty_after_normalization")).otherwise(none))))),
         )))
@@ -103,7 +107,7 @@ def final_name(label: Column, raw: Column, values: Column) -> Column:
     """Names that depend on the printed line and on the row's magnitude."""
     said = F.lower(F.coalesce(raw, F.lit("")))
     share_line = F.contains(said, F.lit("per common share")) & F.contains(said, F.lit("net income")) & ~F.contains(F.lower(label), F.lit("per share"))
-    return W.per_share_name(F.when(share_line, PER_SHARE_LINE).otherwise(label), values)
+    return let(F.when(share_line, PER_SHARE_LINE).otherwise(label), lambda name: W.per_share_name(name, values))
 
 
 def by_parent(label: Column, level: Column, parent: Column) -> Column:

@@ -32,21 +32,22 @@ LEVELS = 3
 
 def _named(rows: DataFrame, aliases: DataFrame | None, statement: str, rules: Rules) -> DataFrame:
     """``_name`` and ``_reasons`` of every row by itself, ``_out`` where it is given up."""
+    # a column for each value that is used more than once: inside lambdas Spark works a repeated expression out anew
     made = rows.withColumn("_empty", ~F.exists("values", lambda v: v.isNotNull())).withColumn("_early", M.dropped_before(F.col("raw"), F.col("_empty")))
     made = made.withColumn("_n", M.normalised(F.col(statement), F.col("label"), F.col("raw"), F.col("_empty"), rules))
-    own = L.canonical(F.col("_n.label"))
+    made = made.withColumn("_said", F.col("_n.label")).withColumn("_own", L.canonical(F.col("_said")))
     if aliases is not None:
-        made = made.join(aliases, (F.lower(own) == F.col("_key")) & (F.col(statement) == F.col("_of")), "left")
-        own = F.coalesce("_alias", own)
-    changed = F.when((own != "") & (own != F.col("_n.label")), F.array(F.lit("alias_applied"))).otherwise(F.array().cast("array<string>"))
+        made = made.join(aliases, (F.lower("_own") == F.col("_key")) & (F.col(statement) == F.col("_of")), "left").withColumn("_own", F.coalesce("_alias", "_own"))
+    changed = F.when((F.col("_own") != "") & (F.col("_own") != F.col("_said")), F.array(F.lit("alias_applied"))).otherwise(F.array().cast("array<string>"))
     made = made.withColumn("_reasons", F.array_distinct(F.concat("_n.reasons", changed)))
     first = lambda *columns: F.coalesce(*[F.when(F.btrim(c) != "", F.btrim(c)) for c in columns], F.lit(""))
-    name = M.final_name(first(own, F.col("_n.label"), F.col("raw")), F.col("raw"), F.col("values"))
+    made = made.withColumn("_first", first(F.col("_own"), F.col("_said"), F.col("raw")))
+    made = made.withColumn("_name", M.final_name(F.col("_first"), F.col("raw"), F.col("values")))
     # a row of values without any name keeps its place in the table as its name
-    name = F.when(name != "", name).when(~F.col("_empty"), first(F.col("label"), F.col("raw"), F.concat(F.lit("Line "), F.col("_nth")))).otherwise("")
+    name = F.when(F.col("_name") != "", F.col("_name")).when(~F.col("_empty"), first(F.col("label"), F.col("raw"), F.concat(F.lit("Line "), F.col("_nth")))).otherwise("")
     made = made.withColumn("_name", F.when(F.col("_early"), F.col("label")).otherwise(name))
     given_up = F.col("_early") | (F.col("_empty") & F.lower("_name").isin("", "activities", "activity"))
-    return made.withColumn("_out", given_up).drop("_n", "_early", "_key", "_of", "_alias")
+    return made.withColumn("_out", given_up).drop("_n", "_said", "_own", "_first", "_early", "_key", "_of", "_alias")
 
 
 def _sections(rows: DataFrame, above) -> DataFrame:

@@ -188,3 +188,19 @@ def test_empty_and_hot_statement(spark):
     long_ = spark.range(3000).selectExpr("1 doc_id", "'cash' statement", "cast(id as int) order_index", "cast(id % 3 as int) level", "if(id % 5 = 0, 'Amounts', concat('line ', id)) label", "'' raw", "array(if(id % 2 = 0, 1.0d, null)) values")
     got = relabel.settled(long_, ["doc_id"])
     assert got.filter(F.col("label") == "Amounts").count() == 0 and got.count() == 2400
+
+
+def test_labels_that_no_trim_changes_skip_them_all(spark):
+    """``TOUCHED`` holds for every label that any trim changes, so the rest may leave them out."""
+    import itertools
+
+    from pyspark.sql import functions as F
+
+    from tallyframe.functions import normalise as M
+
+    parts = ["", "Net", "of the", "IN  of", "brandy", "and", ", or", ";the", "respectively", "; Respectively)", "10 shares", "Share", "(a", "(b)", "x;", "y,", "the\n", "common stock", "\tin"]
+    rows = spark.createDataFrame([(" ".join(p),) for p in itertools.product(parts, repeat=2)] + [("".join(p),) for p in itertools.product(parts, repeat=2)], "t string").withColumn("t", F.btrim("t"))
+    changed = [change(F.col("t"), F.lit("Common stock, shares")) != F.col("t") for _, change in M._trims()]
+    found = rows.select(F.col("t").rlike(M.TOUCHED).alias("touched"), F.array_contains(F.array(*changed), True).alias("changed")).collect()
+    assert not [r for r in found if r.changed and not r.touched]
+    assert sum(r.changed for r in found) > 100 and sum(not r.touched for r in found) > 10
