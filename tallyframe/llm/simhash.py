@@ -13,8 +13,9 @@ verified exactly. ``G`` follows the number of points: it changes the cost, never
 Equal fingerprints are one point. A cell gives the links of a spanning forest, not its pairs; a
 cell of many points is dealt to several tasks as pairs of slices.
 
-``deduplicate`` goes by the similarity of shingle sets instead, which fingerprints of 64 bits do
-not tell well enough. Cells of least hashes say which sets can have a partner at all. A set then meets
+``deduplicate`` decides by the similarity of shingle sets. The sets' fingerprints meet in the same range join first, and
+the sets check what it links. Sets as similar as asked may differ in more bits than a range join can reach, so
+an exact way finds the rest: cells of least hashes say which sets can have a partner at all; a set meets
 the first set of a cell; sets that this leaves in different groups meet by prefixes: two sets as similar
 as asked share a shingle among the few rarest of each, and the places of the first one that they share bound
 what they can have in common, so families of like texts that are not similar enough
@@ -44,6 +45,8 @@ SLICE = 8192
 LEAST, BAND = 256, 6
 #: Buckets in which shingles are counted to tell rare ones from frequent ones.
 COUNTED = 1 << 20
+#: Differing bits at which fingerprints of shingle sets meet; up to 5 cost no more cells than op2's 4.
+REACH = 5
 #: Rows of one prefix shingle that one task compares; cells and groups that are broadcast up to so many.
 TOGETHER, FEW = 1024, 1 << 18
 #: Pairs that one copy of a shingle set is compared in.
@@ -83,6 +86,12 @@ def votes(hashes: list[list[int]]) -> np.ndarray:
     return out
 
 
+def set_vote(shingles: np.ndarray) -> int:
+    """The fingerprint of a set of shingle hashes, as a signed long."""
+    bits = np.unpackbits(shingles.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return int(np.packbits(bits.sum(axis=0, dtype=np.int32) * 2 > len(shingles), bitorder="little").view("<i8")[0])
+
+
 def fingerprints(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``k`` (the key) and ``fp`` (the fingerprint as a signed long) of every document; null texts count as empty."""
 
@@ -275,7 +284,7 @@ def cells_of(least: np.ndarray) -> np.ndarray:
 
 
 def sketches(keyed: DataFrame, words: int) -> DataFrame:
-    """k, h (the row's identity), node (of its shingle set), cells and the sketch fp0, ..., one bit of each least hash; no cells without shingles."""
+    """k, h (the row's identity), node (of its shingle set), vote (its fingerprint), cells and the sketch fp0, ..., one bit of each least hash; no cells without shingles."""
     lanes = [f"fp{i}" for i in range(LEAST // 64)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -287,9 +296,9 @@ def sketches(keyed: DataFrame, words: int) -> DataFrame:
             fp = np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view("<i8")
             node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
             cells = [c if len(x) else c[:0] for c, x in zip(cells_of(least), sets)]
-            yield pd.DataFrame({"k": pdf["k"], "h": pdf["h"], "node": node, "cells": cells} | {c: fp[:, i] for i, c in enumerate(lanes)})
+            yield pd.DataFrame({"k": pdf["k"], "h": pdf["h"], "node": node, "vote": [set_vote(x) for x in sets], "cells": cells} | {c: fp[:, i] for i, c in enumerate(lanes)})
 
-    return frames(keyed, run, "k long, h long, node long, cells array<long>, " + ", ".join(f"{c} long" for c in lanes))
+    return frames(keyed, run, "k long, h long, node long, vote long, cells array<long>, " + ", ".join(f"{c} long" for c in lanes))
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -380,25 +389,38 @@ def crossing_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     return stored(pairs.distinct(), "crossing")
 
 
-def similar_components(points: DataFrame, sets: DataFrame, shared: DataFrame, similarity: float) -> DataFrame:
+def fingerprint_pairs(points: DataFrame) -> DataFrame:
+    """a, b of nodes whose fingerprints (``vote``) the range join links within REACH bits, or that share one."""
+    held = stored(points.groupBy("vote").agg(F.min("node").alias("hub")), "votes")
+    met = links(held.select(F.col("vote").alias("fp")), REACH, groups_for(held.count(), REACH))
+    left, right = (held.select(F.col("vote").alias(f"{c}_vote"), F.col("hub").alias(f"{c}_hub")) for c in "ab")
+    near = met.join(left, F.col("a") == F.col("a_vote")).join(right, F.col("b") == F.col("b_vote")).select("a_hub", "b_hub")
+    same = points.join(left, F.col("vote") == F.col("a_vote")).filter("node <> a_hub").select("a_hub", "node")
+    return stored(near.union(same).toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "met")
+
+
+def similar_components(points: DataFrame, sets: DataFrame, met: DataFrame, shared: DataFrame, similarity: float) -> DataFrame:
     """node, root of every node that has a link: two nodes link if their sets have the similarity.
 
-    Three rounds, each over the pairs that the ones before left in different components: a node with
+    Four rounds, each over the pairs that the ones before left in different components: pairs that fingerprints link (``met``); a node with
     the nearest of the first nodes of its cells; of each two components the nearest pair that prefixes
     allow; all pairs that they allow.
     """
-    lanes = [c for c in points.columns if c.startswith("fp")]
-    hubs = points.select(F.col("node").alias("h_node"), *[F.col(c).alias(f"h_{c}") for c in lanes])
-    d = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"h_{c}"))) for c in lanes), F.lit(0))
-    near = shared.filter("hub <> node").join(points.select("node", *lanes), "node").join(hubs, F.col("hub") == F.col("h_node")).withColumn("d", d)
-    first = stored(near.groupBy("node").agg(F.min(F.struct("d", "hub")).alias("one")).select(F.col("one.hub").alias("a"), F.col("node").alias("b")), "pairs")
-    found = stored(verified(first, sets, similarity), "similar")
-    roots = connected(found)
 
     def rooted(df: DataFrame, node: str, name: str, roots: DataFrame) -> DataFrame:
         named = roots.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
         return df.join(named, F.col(node) == F.col("_n"), "left").withColumn(name, F.coalesce("_r", node)).drop("_n", "_r")
 
+    lanes = [c for c in points.columns if c.startswith("fp")]
+    hubs = points.select(F.col("node").alias("h_node"), *[F.col(c).alias(f"h_{c}") for c in lanes])
+    d = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"h_{c}"))) for c in lanes), F.lit(0))
+    close = stored(verified(met, sets, similarity), "similar")
+    roots = connected(close)
+    apart = rooted(rooted(shared.filter("hub <> node"), "node", "ra", roots), "hub", "rb", roots).filter("ra <> rb").select("node", "hub")
+    near = apart.join(points.select("node", *lanes), "node").join(hubs, F.col("hub") == F.col("h_node")).withColumn("d", d)
+    first = stored(near.groupBy("node").agg(F.min(F.struct("d", "hub")).alias("one")).select(F.col("one.hub").alias("a"), F.col("node").alias("b")), "pairs")
+    found = stored(close.union(verified(first, sets, similarity)), "similar")
+    roots = connected(found)
     own = rooted(points.select("node", *lanes), "node", "root", roots).withColumnRenamed("node", "p_node")
     rows = prefixes(sets, similarity).join(own, F.col("node") == F.col("p_node")).drop("p_node")
     crossing = crossing_pairs(stored(rows, "prefixes"), similarity)
@@ -423,14 +445,16 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: s
     keyed = docs.select(own.alias("k"), content.alias("h"), F.col(text).alias("t"))
     rows = stored(sketches(keyed, words), "sketches")
     lanes = [c for c in rows.columns if c.startswith("fp")]
-    points = stored(rows.groupBy("node").agg(F.min(F.struct("k", "h")).alias("least"), *[F.first(c).alias(c) for c in ("cells", *lanes)]), "points")
+    points = stored(rows.groupBy("node").agg(F.min(F.struct("k", "h")).alias("least"), *[F.first(c).alias(c) for c in ("vote", "cells", *lanes)]), "points")
     placed = points.select("node", F.explode("cells").alias("cell"))
     several = placed.groupBy(F.col("cell").alias("s_cell")).agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").select("s_cell", "hub")
     shared = stored(placed.join(_few(stored(several, "cells")), F.col("cell") == F.col("s_cell")).select("node", "hub").distinct(), "shared")
-    wanted = shared.select("node").distinct().join(points.select("node", "least"), "node").select("node", F.col("least.k").alias("w_k"), F.col("least.h").alias("w_h"))
+    met = fingerprint_pairs(points.filter(F.size("cells") > 0))
+    partners = shared.select("node").union(met.select("a")).union(met.select("b")).distinct()
+    wanted = partners.join(points.select("node", "least"), "node").select("node", F.col("least.k").alias("w_k"), F.col("least.h").alias("w_h"))
     texts = keyed.join(_few(stored(wanted, "wanted")), (F.col("k") == F.col("w_k")) & (F.col("h") == F.col("w_h"))).select("node", "t")
     sets = stored(shingle_sets(texts, words), "sets")
-    roots = similar_components(points, sets, shared, similarity).select(F.col("node").alias("r_node"), "root")
+    roots = similar_components(points, sets, met, shared, similarity).select(F.col("node").alias("r_node"), "root")
     grouped = points.join(roots, F.col("node") == F.col("r_node"), "left").groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("one"))
     chosen = stored(grouped.select(F.col("one.k").alias("_k"), F.col("one.h").alias("_h")), "chosen")
     names = [f"_{i}" for i in range(len(docs.columns))]

@@ -304,3 +304,24 @@ def test_equal_rows_leave_a_defined_one(spark):
     rows = spark.createDataFrame([(1, "same text of some words here", i, {"k": i}) for i in range(6)], "doc_id long, text string, other int, m map<string, int>")
     left = {simhash.deduplicate(rows.repartition(n)).first().other for n in (1, 2, 5)}
     assert len(left) == 1
+
+
+def test_fingerprints_of_sets_meet_in_the_range_join(spark, monkeypatch):
+    """The near-duplicate stage links by fingerprints and the range join before any other way, and the sets check that."""
+    import random
+
+    rng = random.Random(8)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(900)] for _ in range(6)]
+    texts += [[*t[:i * 100], "other", *t[i * 100 + 1:]] for i, t in enumerate(texts[:4])] + [texts[5] * 2]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = [simhash.shingle_set(" ".join(t), 5) for t in texts]
+    votes = [simhash.set_vote(x) & (1 << 64) - 1 for x in sets]
+    assert votes == [int(v) for v in simhash.votes([x.tolist() for x in sets])]
+    want = {(a, b) for a in range(len(votes)) for b in range(a + 1, len(votes)) if (votes[a] ^ votes[b]).bit_count() <= simhash.REACH}
+    assert len(want) >= 3
+    points = spark.createDataFrame([(i, v - (1 << 64) if v >> 63 else v) for i, v in enumerate(votes)], "node long, vote long")
+    assert {(r.a, r.b) for r in simhash.fingerprint_pairs(points).collect()} == want
+    calls, real = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *x: calls.append(x) or real(*x))
+    assert sorted(r.doc_id for r in simhash.deduplicate(rows).collect()) == [0, 1, 2, 3, 4, 5]
+    assert len(calls) == 1
