@@ -15,7 +15,7 @@ cell of many points is dealt to several tasks as pairs of slices.
 
 ``deduplicate`` decides by the similarity of shingle sets. The sets' fingerprints meet in the same range join first, and
 the sets check what it links. Sets as similar as asked may differ in more bits than a range join can reach, so
-an exact way finds the rest: cells of least hashes say which sets can have a partner at all; a set meets
+another way finds the rest: cells of least hashes say which sets can have a partner at all; a set meets
 the first set of a cell; sets that this leaves in different groups meet by prefixes: two sets as similar
 as asked share a shingle among the few rarest of each, and the places of the first one that they share bound
 what they can have in common, so families of like texts that are not similar enough
