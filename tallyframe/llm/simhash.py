@@ -17,8 +17,9 @@ cell of many points is dealt to several tasks as pairs of slices.
 the sets check what it links. Sets as similar as asked may differ in more bits than a range join can reach, so
 another way finds the rest: cells of least hashes say which sets can have a partner at all; a set meets
 the first set of a cell; sets that this leaves in different groups meet by prefixes: two sets as similar
-as asked share a shingle among the few rarest of each, and the places of the first one that they share bound
-what they can have in common, so families of like texts that are not similar enough
+as asked share a shingle among the few rarest of each. The places of the first one that they share bound
+what they can have in common, and the buckets that hold an odd number of shingles of one set and an even one
+of the other bound in how many they differ, so families of like texts that are not similar enough
 are ruled out where they meet. The sets themselves decide.
 """
 
@@ -47,6 +48,8 @@ LEAST, BAND = 256, 6
 COUNTED = 1 << 20
 #: Differing bits at which fingerprints of shingle sets meet; up to 5 cost no more cells than op2's 4.
 REACH = 5
+#: Bits, by parity, that bound from below in how many shingles two sets differ.
+PARITY = 512
 #: Rows of one prefix shingle that one task compares; cells and groups that are broadcast up to so many.
 TOGETHER, FEW = 1024, 1 << 18
 #: Pairs that one copy of a shingle set is compared in.
@@ -313,17 +316,19 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have at least that Jaccard similarity; sets in many pairs are dealt as copies to several tasks."""
+    few = F.broadcast if pairs.count() <= FEW else lambda x: x
     copies = pairs.groupBy(F.col("a").alias("c_node")).agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias("copies"))
-    left = sets.join(copies, F.col("node") == F.col("c_node")).select(F.col("node").alias("l_node"), F.col("s").alias("x"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    left = sets.join(few(copies), F.col("node") == F.col("c_node")).select(F.col("node").alias("l_node"), F.col("s").alias("x"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     right = sets.select(F.col("node").alias("r_node"), F.col("s").alias("y"))
-    dealt = pairs.select("a", "b").join(copies, F.col("a") == F.col("c_node")).join(right, F.col("b") == F.col("r_node")).withColumn("own", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int"))
+    named = pairs.select("a", "b").join(few(copies), F.col("a") == F.col("c_node"))
+    dealt = right.join(few(named), F.col("b") == F.col("r_node")).withColumn("own", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int"))
     both = dealt.join(left, (F.col("a") == F.col("l_node")) & (F.col("own") == F.col("copy"))).withColumn("common", F.size(F.array_intersect("x", "y")))
     return both.filter(F.col("common") / (F.size("x") + F.size("y") - F.col("common")) >= similarity).select("a", "b")
 
 
-def _few(table: DataFrame) -> DataFrame:
+def _few(table: DataFrame, most: int = FEW) -> DataFrame:
     """Sent to all tasks where a count shows that it is small."""
-    return F.broadcast(table) if table.count() <= FEW else table
+    return F.broadcast(table) if table.count() <= most else table
 
 
 def shingle_counts(sets: DataFrame) -> np.ndarray:
@@ -343,48 +348,60 @@ def shingle_counts(sets: DataFrame) -> np.ndarray:
     return out
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """PARITY bits: whether the set has an odd number of shingles in each bucket. Two sets differ in at least as many shingles as these bits differ."""
+    buckets = np.bincount((shingles >> np.uint64(65 - PARITY.bit_length())).astype(np.int64), minlength=PARITY)
+    return np.packbits((buckets & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
 def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """node, size, token, place: the rarest shingles of each set, as many as a set of that similarity must share one of.
+    """node, size, tokens: the rarest shingles of each set in order, as many as a set of that similarity must share one of; odd0, ...: ``parity`` of the set.
 
     All sets order shingles alike: by how many sets hold their bucket, then by value.
     """
     counts = sets.sparkSession.sparkContext.broadcast(shingle_counts(sets))
+    lanes = [f"odd{i}" for i in range(PARITY // 64)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         often = counts.value
         for pdf in batches:
-            out = []
-            for node, x in zip(pdf["node"].tolist(), pdf["s"]):
-                x = np.asarray(x, np.int64).view(np.uint64)
+            tokens, odd = [], []
+            held = [np.asarray(x, np.int64).view(np.uint64) for x in pdf["s"]]
+            for x in held:
                 keep = len(x) - math.ceil(similarity * len(x) - 1e-9) + 1
                 order = np.lexsort((x, often[(x % np.uint64(COUNTED)).astype(np.int64)]))[: min(keep, len(x))]
-                out.append(pd.DataFrame({"node": node, "size": len(x), "token": x[order].view(np.int64), "place": np.arange(len(order))}))
-            if out:
-                yield pd.concat(out)
+                tokens.append(x[order].view(np.int64))
+                odd.append(parity(x))
+            bits = np.stack(odd)
+            yield pd.DataFrame({"node": pdf["node"], "size": [len(x) for x in held], "tokens": tokens} | {c: bits[:, i] for i, c in enumerate(lanes)})
 
-    return frames(sets, run, "node long, size int, token long, place int")
+    return frames(sets, run, "node long, size int, tokens array<long>, " + ", ".join(f"{c} long" for c in lanes))
 
 
 def crossing_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """a, b, ra, rb, d of nodes of different roots that share a prefix shingle and can, by sizes and places, have the similarity.
+    """a, b, ra, rb, d of nodes of different roots that share a prefix shingle and can, by sizes, places and parities, have the similarity.
 
-    rows: ``prefixes`` with root and sketch lanes. ``d``: differing bits of the sketches. The rows of a frequent shingle are dealt as pairs of slices.
+    rows: ``prefixes`` with root. ``d``: differing bits of the parities. The rows of a frequent shingle are dealt as pairs of slices.
     """
+    lanes = [c for c in rows.columns if c.startswith("odd")]
+    odd = rows.select(F.col("node").alias("p_node"), *lanes)
+    rows = rows.select("node", "root", "size", F.posexplode("tokens").alias("place", "token"))
     kinds = rows.groupBy(F.col("token").alias("m_token")).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows"))
     mixed = stored(kinds.filter("low <> high").select("m_token", "rows"), "mixed")
-    lanes = [c for c in rows.columns if c.startswith("fp")]
     parts = F.ceil(F.col("rows") / TOGETHER).cast("int")
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
     slots = F.transform(F.sequence(F.lit(0), parts - 1), lambda x: F.least(x, own) * parts + F.greatest(x, own))
-    dealt = stored(rows.join(_few(mixed), F.col("token") == F.col("m_token")).select("token", "node", "root", "size", "place", *lanes, own.alias("own"), (own * parts + own).alias("alone"), F.explode(slots).alias("slot")), "dealt")
+    held = rows.join(_few(mixed, 4 * FEW), F.col("token") == F.col("m_token")).join(_few(odd), F.col("node") == F.col("p_node"))
+    dealt = stored(held.select("token", "node", "root", "size", "place", *lanes, own.alias("own"), (own * parts + own).alias("alone"), F.explode(slots).alias("slot")), "dealt")
     other = dealt.select(*[F.col(c).alias(f"o_{c}") for c in dealt.columns])
     met = dealt.join(other, (F.col("token") == F.col("o_token")) & (F.col("slot") == F.col("o_slot")) & (F.col("node") < F.col("o_node")) & (F.col("root") != F.col("o_root")))
     # two rows of one slice meet where that slice meets itself, and nowhere else
     met = met.filter((F.col("own") != F.col("o_own")) | (F.col("slot") == F.col("alone")))
     needed = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("o_size")) - 1e-9)
     most = F.least(F.col("size") - F.col("place"), F.col("o_size") - F.col("o_place"))
-    can = met.filter((F.least("size", "o_size") >= F.greatest("size", "o_size") * similarity - 1e-9) & (most >= needed))
     far = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"o_{c}"))) for c in lanes), F.lit(0))
+    # of the shingles of both, 2 * needed at least are shared; the others are no fewer than the differing bits
+    can = met.filter((F.least("size", "o_size") >= F.greatest("size", "o_size") * similarity - 1e-9) & (most >= needed) & (F.col("size") + F.col("o_size") - far >= 2 * needed))
     pairs = can.select(F.col("node").alias("a"), F.col("o_node").alias("b"), F.least("root", "o_root").alias("ra"), F.greatest("root", "o_root").alias("rb"), far.alias("d"))
     return stored(pairs.distinct(), "crossing")
 
@@ -421,9 +438,7 @@ def similar_components(points: DataFrame, sets: DataFrame, met: DataFrame, share
     first = stored(near.groupBy("node").agg(F.min(F.struct("d", "hub")).alias("one")).select(F.col("one.hub").alias("a"), F.col("node").alias("b")), "pairs")
     found = stored(close.union(verified(first, sets, similarity)), "similar")
     roots = connected(found)
-    own = rooted(points.select("node", *lanes), "node", "root", roots).withColumnRenamed("node", "p_node")
-    rows = prefixes(sets, similarity).join(own, F.col("node") == F.col("p_node")).drop("p_node")
-    crossing = crossing_pairs(stored(rows, "prefixes"), similarity)
+    crossing = crossing_pairs(rooted(stored(prefixes(sets, similarity), "prefixes"), "node", "root", roots), similarity)
     nearest = stored(crossing.groupBy("ra", "rb").agg(F.min(F.struct("d", "a", "b")).alias("one")).select("one.a", "one.b"), "pairs")
     found = stored(found.union(verified(nearest, sets, similarity)), "similar")
     roots = connected(found)

@@ -235,6 +235,21 @@ def test_passages_of_over_fifty_words(spark):
     assert not any(want[i] for i in (3, 4, 5)) and all(less in got[i] for i in (13, 14, 15)) and all(len(want[i]) == 140 for i in (7, 8, 9))
 
 
+def test_texts_without_repeats_do_not_move(spark, monkeypatch):
+    """Only texts with a repeat are met by content; more of them than ``KEYS`` are met by a shuffle, with equal results."""
+    rng = random.Random(4)
+    other = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared = other(80)
+    rows = [(i, other(120) if i % 5 else f"{other(20)} {shared} {other(20)}", "s") for i in range(40)] + [(40, None, "s"), (41, "", "s"), (None, shared, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    said, real = [], suffixes.extended
+    monkeypatch.setattr(suffixes, "extended", lambda df, *x, **y: said.append(df.count()) or real(df, *x, **y))
+    got = [sorted(map(tuple, suffixes.deduplicate_words(docs, 51).collect()), key=str)]
+    monkeypatch.setattr(suffixes, "KEYS", 0)
+    got.append(sorted(map(tuple, suffixes.deduplicate_words(docs, 51).collect()), key=str))
+    assert got[0] == got[1] and said == [11, 43] and len(got[0]) == 43 and not any(t and shared in t for _, t, _ in got[0])
+
+
 def test_pipeline_removes_short_words_passages(spark):
     rng = random.Random(7)
     word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
@@ -269,6 +284,36 @@ def test_like_texts_do_not_meet_in_pairs(spark, monkeypatch):
     assert all(crossing <= 2 for crossing, _, _ in made) and made[1][1] <= 2 * 240 and made[1][2] < 5 * made[0][2]
 
 
+def test_parities_rule_out_like_texts(spark, monkeypatch):
+    """Texts of similarity 0.73 share rare shingles early enough for their places; few of their pairs are written, and all links are found."""
+    rng, kept, sizes = random.Random(9), simhash.stored, {}
+    start = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(60):
+        t = list(start)
+        for at in rng.sample(range(10, 190, 5), 3):
+            t[at] = f"x{i}.{at}"
+        texts.append(" ".join(t))
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    assert all(simhash.parity(a).size == 8 and np.bitwise_count((simhash.parity(a) ^ simhash.parity(b)).view("u8")).sum() <= len(np.setxor1d(a, b)) for a in sets for b in sets[:9])
+    root = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+
+    def counted(df, name):
+        out = kept(df, name)
+        sizes[name] = sizes.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    got = simhash.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(root)) and sizes["crossing"] <= 120
+
+
 def test_prefixes_find_what_sets_have(spark):
     """Pairs of every similarity around the limit, across families that share shingles, against all pairs of sets."""
     rng = random.Random(6)
