@@ -265,11 +265,11 @@ def pair_buckets(kind: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def _scores(weights: np.ndarray, f: np.ndarray, prior: np.ndarray | None) -> np.ndarray:
-    s = weights[f[:, 0]]
+    s = np.take(weights, f[:, 0], axis=0)
     if prior is not None:
         s += prior
     for i in range(1, f.shape[1]):
-        s += weights[f[:, i]]
+        s += np.take(weights, f[:, i], axis=0)
     s -= s.max(axis=1, keepdims=True)
     return s
 
@@ -280,6 +280,13 @@ def log_probabilities(weights: np.ndarray, f: np.ndarray, prior: np.ndarray | No
     return s - np.log(np.exp(s).sum(axis=1, keepdims=True))
 
 
+def log_probability_of(weights: np.ndarray, f: np.ndarray, kind: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
+    """``log_probabilities`` of one class a row."""
+    s = _scores(weights, f, prior)
+    own = s[np.arange(len(kind)), kind]
+    return own - np.log(np.exp(s, out=s).sum(axis=1))
+
+
 def gradient(weights: np.ndarray, f: np.ndarray, kind: np.ndarray, prior: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the features, and for each the gradient of the negative log-likelihood: expected less observed counts of every class."""
     return counted_gradient(weights, f, kind, prior)[:2]
@@ -533,8 +540,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
             kind, starts = lex.kinds(flat), np.cumsum(sizes) - sizes
             own, f = word_scores(lex, *inner.value, flat, kind), features(*before(flat), hashed)
             for i in range(0, len(kind), STEP):
-                c = kind[i : i + STEP]
-                own[i : i + STEP] += log_probabilities(weights.value[0], f[i : i + STEP], weights.value[1])[np.arange(len(c)), c] / math.log(10)
+                own[i : i + STEP] += log_probability_of(weights.value[0], f[i : i + STEP], kind[i : i + STEP], weights.value[1]) / math.log(10)
             tally = lambda x: np.add.reduceat(x, starts)  # noqa: E731, B023
             sums = [sizes, tally((flat >= 0).astype(np.int64)) + (ends > 0), tally(bases[np.maximum(flat, RARE_CODE)]), tally(own)]
             columns = [part.column(0), part.column(1), *map(pa.array, sums), part.column(3), part.column(4)]

@@ -42,3 +42,12 @@ def test_vocabulary_of_one_word_and_copies(spark):
     few, many = ({r.doc_id: r for r in maxent.score(docs, vocabulary=v).collect()} for v in (1, 300_000))
     assert all(np.isfinite(r.score) for r in few.values()) and few[3].n_known == many[3].n_known and few[3].base_score == pytest.approx(many[3].base_score, rel=1e-12)
     assert many[3].score > many[3].base_score
+
+
+def test_probability_of_one_class_is_that_of_all():
+    rng = np.random.default_rng(3)
+    weights, prior = rng.normal(0, 2, (64, maxent.CLASSES)).astype(np.float32), rng.normal(0, 1, maxent.CLASSES).astype(np.float32)
+    f, kind = rng.integers(0, 64, (500, 3)), rng.integers(0, maxent.CLASSES, 500)
+    for bias in (prior, None):
+        want = maxent.log_probabilities(weights, f, bias)[np.arange(500), kind]
+        assert (maxent.log_probability_of(weights, f, kind, bias) == want).all()
