@@ -26,15 +26,14 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -58,33 +57,49 @@ ROUNDS, WORD_ROUNDS, STEP, SHARD, RATE, PRIOR = 3, 4, 4096, 2_000_000, 0.3, 2.0
 MOST_TASKS = 4096
 #: Buckets of a block of numbers that travels as one value.
 HISTORY_BLOCK, PAIR_BLOCK = 256, 1 << 14
-#: Distinct keys after which a task hands on its counts.
-FLUSH = 200_000
+#: Distinct keys after which a task hands on its counts; bytes of texts that are looked up at once.
+FLUSH, GATHERED = 200_000, 8 << 20
+#: Rows of a bucket in a step that are added up one by one with those of others; further ones are summed by bucket.
+ALONGSIDE = 12
 #: Numbers of the end of a text and of words that are not frequent: this one and those below.
 END_CODE, RARE_CODE = -2, -3
 
 
-def tokens(text: str) -> list[bytes]:
-    """Words between ASCII white space, A-Z lower-cased."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of some texts (between ASCII white space, A-Z lower-cased), and where those of each text start and end."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, ends = parts.flatten().cast(pa.binary()), parts.offsets.to_numpy().astype(np.int64)
+    ends -= ends[0]
+    word = pc.binary_length(flat).to_numpy() > 0
+    if word.all():
+        return flat, ends
+    return flat.filter(pa.array(word)), np.append(0, np.cumsum(word))[ends]
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """w, n of every token of column ``t``; the end of a text is the empty word."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter = Counter()
-        for pdf in batches:
-            for t in pdf["t"].tolist():
-                held.update(tokens(t))
-            held[b""] += len(pdf)
-            if len(held) > FLUSH:
-                yield pd.DataFrame({"w": list(held), "n": list(held.values())})
-                held = Counter()
+    def added(parts: list[pa.StructArray]) -> list[pa.StructArray]:
+        sums = pa.table(pa.concat_arrays(parts).flatten(), names=["w", "n"]).group_by("w", use_threads=False).aggregate([("n", "sum")])
+        return [pa.StructArray.from_arrays([sums.column(c).combine_chunks() for c in ("w", "n_sum")], names=["w", "n"])]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ends = [], 0
+        for part in batches:
+            counts = pc.value_counts(split(part.column(0))[0])
+            held.append(pa.StructArray.from_arrays(counts.flatten(), names=["w", "n"]))
+            ends += part.num_rows
+            if sum(map(len, held)) > 2 * FLUSH:
+                held = added(held)
+                if len(held[0]) > FLUSH:
+                    yield pa.RecordBatch.from_struct_array(held[0])
+                    held = []
         if held:
-            yield pd.DataFrame({"w": list(held), "n": list(held.values())})
+            yield pa.RecordBatch.from_struct_array(added(held)[0])
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([ends], pa.int64())], names=["w", "n"])
 
-    return frames(texts, count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return streams(texts, count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
 def frequent(vocabulary: DataFrame, most: int) -> tuple[list[tuple[bytes, int]], int]:
@@ -100,32 +115,47 @@ def frequent(vocabulary: DataFrame, most: int) -> tuple[list[tuple[bytes, int]],
     return sorted(zip(rows.column("w").to_pylist(), rows.column("n").to_pylist(), strict=True), key=lambda x: (-x[1], x[0])), least
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about GATHERED bytes, or of one row that has more."""
+    held: list[pa.RecordBatch] = []
+    for part in batches:
+        if held and sum(b.nbytes for b in held) + part.nbytes > GATHERED:
+            yield pa.concat_batches(held)
+            held = []
+        held.append(part)
+    if held:
+        yield pa.concat_batches(held)
+
+
 def encoded(chosen: DataFrame, words: list[bytes]) -> DataFrame:
-    """k, held_out, h, ids, missing, times of every text: numbers of its words, and those that have none with how often they occur."""
-    shared = chosen.sparkSession.sparkContext.broadcast(words)
+    """k, held_out, h, ids, missing, times of every text: numbers of its words, and those that have none with how often they occur.
 
-    class Numbers(dict):
-        def __missing__(self, w: bytes) -> int:
-            return RARE_CODE - (zlib.crc32(w) & 0x3FFFFFFF)
+    ids holds 32-bit integers as bytes.
+    """
+    shared = chosen.sparkSession.sparkContext.broadcast(pa.array(words, pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = Numbers((w, i) for i, w in enumerate(shared.value))
-        for part in batches:
-            texts = [tokens(t) for t in part.column(3).to_pylist()]
-            flat = list(chain.from_iterable(texts))
-            ids = np.fromiter(map(number.__getitem__, flat), np.int32, len(flat))
-            ends = np.cumsum([0, *map(len, texts)])
-            lost, last = [], 0
-            rare = np.flatnonzero(ids < 0)
-            for upto in np.searchsorted(rare, ends[1:]).tolist():
-                lost.append(Counter([flat[i] for i in rare[last:upto].tolist()]))
-                last = upto
-            held = np.cumsum([0, *map(len, lost)]).astype(np.int32)
-            missing, times = pa.array(list(chain.from_iterable(lost)), pa.binary()), pa.array(list(chain.from_iterable(c.values() for c in lost)), pa.int32())
-            lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), values) for at, values in ((ends, pa.array(ids)), (held, missing), (held, times))]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *lists], names=["k", "held_out", "h", "ids", "missing", "times"])
-
-    return streams(chosen.select("k", "held_out", "h", "t"), run, "k long, held_out boolean, h long, ids array<int>, missing array<binary>, times array<int>")
+        numbered = shared.value
+        n = len(numbered)
+        for part in gathered(batches):
+            flat, ends = split(part.column(3))
+            # the dictionary of the frequent words and these together has the frequent ones first
+            named = pa.concat_arrays([numbered, flat]).dictionary_encode()
+            ids, others = named.indices.to_numpy()[n:].copy(), named.dictionary.slice(n)
+            rare = np.flatnonzero(ids >= n)
+            other = ids[rare].astype(np.int64) - n
+            codes = np.array([RARE_CODE - (zlib.crc32(w) & 0x3FFFFFFF) for w in others.to_pylist()], np.int32)
+            ids[rare] = codes[other]
+            # each text's words without a number, with how often they occur
+            text = np.searchsorted(ends, rare, "right") - 1
+            each, times = np.unique(text * (len(others) + 1) + other, return_counts=True)
+            held = np.searchsorted(each // (len(others) + 1), np.arange(len(ends)))
+            missing = others.take(pa.array(each % (len(others) + 1)))
+            coded = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(ids)])
+            lists = [pa.ListArray.from_arrays(pa.array(held, pa.int32()), values) for values in (missing, pa.array(times, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), coded, *lists], names=["k", "held_out", "h", "ids", "missing", "times"])
+
+    return streams(chosen.select("k", "held_out", "h", "t"), run, "k long, held_out boolean, h long, ids binary, missing array<binary>, times array<int>")
 
 
 def streams(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pd.DataFrame | pa.RecordBatch]], schema: str) -> DataFrame:
@@ -144,6 +174,13 @@ def streams(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pd
     return df.mapInArrow(go, types)
 
 
+def listed(ids: pa.BinaryArray) -> pa.ListArray:
+    """32-bit integers that each value holds as bytes."""
+    edges = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1] // 4
+    values = pa.Array.from_buffers(pa.int32(), int(edges[-1]), [None, ids.buffers()[2] or pa.py_buffer(b"")])
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), values)
+
+
 def flattened(ids: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of all tokens of some texts, an end behind each, and the tokens of each text (its end included)."""
     sizes = np.diff(ids.offsets.to_numpy()).astype(np.int64)
@@ -162,7 +199,7 @@ def neighbours(coded: DataFrame, words: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         sums = np.zeros(words * 2 * single, np.int64)
         for part in batches:
-            flat, _ = flattened(part.column(0))
+            flat, _ = flattened(listed(part.column(0)))
             a, b = flat[:-1], flat[1:]
             inside = (a >= 0) & (b >= 0) & (a < words) & (b < words)
             after, before = inside & (a < single), inside & (b < single)
@@ -264,12 +301,13 @@ def pair_buckets(kind: np.ndarray, word: np.ndarray) -> np.ndarray:
         return ((word.astype(np.uint64) * np.uint64(CLASSES) + kind.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(65 - PAIRED.bit_length())).astype(np.int64)
 
 
-def _scores(weights: np.ndarray, f: np.ndarray, prior: np.ndarray | None) -> np.ndarray:
-    s = np.take(weights, f[:, 0], axis=0)
+def _scores(weights: np.ndarray, f: np.ndarray, prior: np.ndarray | None, s: np.ndarray | None = None, t: np.ndarray | None = None) -> np.ndarray:
+    """Scores of all classes, less the highest, for rows of features; in ``s``, with room to work in ``t``, where these are given."""
+    s = np.take(weights, f[:, 0], axis=0, out=s, mode="clip")
     if prior is not None:
         s += prior
     for i in range(1, f.shape[1]):
-        s += np.take(weights, f[:, i], axis=0)
+        s += np.take(weights, f[:, i], axis=0, out=t, mode="clip")
     s -= s.max(axis=1, keepdims=True)
     return s
 
@@ -280,35 +318,61 @@ def log_probabilities(weights: np.ndarray, f: np.ndarray, prior: np.ndarray | No
     return s - np.log(np.exp(s).sum(axis=1, keepdims=True))
 
 
-def log_probability_of(weights: np.ndarray, f: np.ndarray, kind: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
+class Room:
+    """Arrays that steps of at most so many rows of ``width`` features work in, so that they need not be made anew."""
+
+    def __init__(self, rows: int, width: int = 3, kind: type = np.float32) -> None:
+        self.scores, self.more = np.empty((rows, CLASSES), kind), np.empty((rows, CLASSES), kind)
+        self.own, self.sums, self.squares, self.work = (np.empty((width * rows, CLASSES), kind) for _ in range(4))
+
+
+def log_probability_of(weights: np.ndarray, f: np.ndarray, kind: np.ndarray, prior: np.ndarray | None = None, room: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """``log_probabilities`` of one class a row."""
-    s = _scores(weights, f, prior)
+    s = _scores(weights, f, prior, *(x[: len(kind)] for x in room or ()))
     own = s[np.arange(len(kind)), kind]
     return own - np.log(np.exp(s, out=s).sum(axis=1))
 
 
 def gradient(weights: np.ndarray, f: np.ndarray, kind: np.ndarray, prior: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the features, and for each the gradient of the negative log-likelihood: expected less observed counts of every class."""
-    return counted_gradient(weights, f, kind, prior)[:2]
-
-
-def counted_gradient(weights: np.ndarray, f: np.ndarray, kind: np.ndarray, prior: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``gradient``, and how often each bucket occurs."""
-    g = np.exp(_scores(weights, f, prior))
+    ids, g, _, _ = counted_gradient(weights, f, kind, prior, Room(len(kind), f.shape[1], weights.dtype.type))
+    return ids, g
+
+
+def counted_gradient(weights: np.ndarray, f: np.ndarray, kind: np.ndarray, prior: np.ndarray | None, room: Room) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``gradient``, how often each bucket occurs, and its weights; the arrays of classes are those of ``room``."""
+    # a bucket's rows in order: bucket and place are one number
+    packed = np.sort(f.ravel().astype(np.uint64) << np.uint64(32) | np.arange(f.size, dtype=np.uint64))
+    held, order = (packed >> np.uint64(32)).astype(np.int64), (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    new = np.append(True, held[1:] != held[:-1])[: len(held)]
+    starts = np.flatnonzero(new)
+    ids, counts = held[starts], np.diff(np.append(starts, len(order)))
+    local = np.empty(f.size, np.int64)
+    local[order] = np.cumsum(new) - 1
+    own = np.take(weights, ids, axis=0, out=room.own[: len(ids)], mode="clip")
+    g = _scores(own, local.reshape(f.shape), prior, room.scores[: len(kind)], room.more[: len(kind)])
+    np.exp(g, out=g)
     g /= g.sum(axis=1, keepdims=True)
     g[np.arange(len(kind)), kind] -= 1
-    order = np.argsort(f.ravel(), kind="stable")
-    held = f.ravel()[order]
-    starts = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
-    rows, counts = order // f.shape[1], np.diff(np.append(starts, len(order)))
-    out = g[rows[starts]]
-    # most buckets occur once: only those that occur again are summed
-    several = counts > 1
-    if several.any():
-        again = np.repeat(several, counts)
-        sizes = counts[several]
-        out[several] = np.add.reduceat(g[rows[again]], np.cumsum(sizes) - sizes, axis=0)
-    return held[starts], out, counts
+    return ids, _by_bucket(g, order // f.shape[1], starts, counts, room.sums[: len(ids)]), counts, own
+
+
+def _by_bucket(g: np.ndarray, rows: np.ndarray, starts: np.ndarray, counts: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``g`` by bucket, in ``out``: those of bucket i are ``counts[i]`` of ``rows`` from ``starts[i]`` on."""
+    np.take(g, rows[starts], axis=0, out=out, mode="clip")
+    # most buckets occur once: only those that occur again are summed, the most frequent first
+    several = np.flatnonzero(counts > 1)
+    if len(several):
+        several = several[np.argsort(-counts[several], kind="stable")]
+        many, first, most = -counts[several], starts[several], int(counts[several[0]])
+        sums = out[several]
+        for nth in range(1, min(most, ALONGSIDE)):
+            upto = int(np.searchsorted(many, -nth))
+            sums[:upto] += np.take(g, rows[first[:upto] + nth], axis=0)
+        for i in range(int(np.searchsorted(many, -ALONGSIDE))):
+            sums[i] += np.take(g, rows[first[i] + ALONGSIDE : first[i] - many[i]], axis=0).sum(axis=0)
+        out[several] = sums
+    return out
 
 
 def _summed(blocks: DataFrame, order: list[str], kind: str, done: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> Iterator[tuple[int, np.ndarray]]:
@@ -356,15 +420,18 @@ def fit_classes(coded: DataFrame, lexicon, prior: np.ndarray, hashed: int, total
         def step(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pd.DataFrame]:
             lex, (start, bias) = lexicon.value, shared.value
             now, w, squares, met, f, kind = None, None, None, None, None, None
+            room = Room(STEP)
 
             def take(rows: np.ndarray, own: np.ndarray) -> None:
-                ids, g, n = counted_gradient(w, rows, own, bias)
-                s = squares[ids] + g * g
+                ids, g, n, held = counted_gradient(w, rows, own, bias, room)
+                s = np.take(squares, ids, axis=0, out=room.squares[: len(ids)], mode="clip")
+                s += np.multiply(g, g, out=room.work[: len(ids)])
                 squares[ids] = s
                 np.sqrt(s, out=s)
                 g *= np.float32(RATE)
                 g /= s
-                w[ids] -= g
+                held -= g
+                w[ids] = held
                 met[ids] += n
 
             def finished() -> Iterator[pd.DataFrame]:
@@ -383,7 +450,7 @@ def fit_classes(coded: DataFrame, lexicon, prior: np.ndarray, hashed: int, total
                             yield from finished()
                         now, w, squares, met = int(shard[x]), start.copy(), np.full_like(start, 1e-6), np.zeros(hashed, np.float32)
                         f, kind = np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
-                    flat, _ = flattened(part.column(1).slice(x, y - x))
+                    flat, _ = flattened(listed(part.column(1).slice(x, y - x)))
                     f, kind = np.concatenate((f, features(*before(flat), hashed))), np.concatenate((kind, lex.kinds(flat)))
                     whole = len(kind) // STEP * STEP
                     for i in range(0, whole, STEP):
@@ -414,7 +481,7 @@ def word_events(coded: DataFrame, lexicon) -> DataFrame:
             return pd.DataFrame({"kind": at % CLASSES, "own": lex.classes[at // CLASSES] if len(at) else at, "word": at // CLASSES, "n": np.bincount(back, n).astype(np.int64)})
 
         for part in batches:
-            flat, _ = flattened(part.column(0))
+            flat, _ = flattened(listed(part.column(0)))
             before_ = np.concatenate(([END], lex.kinds(flat)[:-1]))
             several = flat >= SINGLE
             held.append(np.unique(flat[several] * CLASSES + before_[several], return_counts=True))
@@ -535,12 +602,13 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         lex: Lexicon = lexicon.value
         bases = np.concatenate((lex.log_base, [0.0, math.log10(ends + 0.1) - log_sum, 0.0]))  # END_CODE counts from the end; rare words come later
+        room = np.empty((STEP, CLASSES), np.float32), np.empty((STEP, CLASSES), np.float32)
         for part in batches:
-            flat, sizes = flattened(part.column(2))
+            flat, sizes = flattened(listed(part.column(2)))
             kind, starts = lex.kinds(flat), np.cumsum(sizes) - sizes
             own, f = word_scores(lex, *inner.value, flat, kind), features(*before(flat), hashed)
             for i in range(0, len(kind), STEP):
-                own[i : i + STEP] += log_probability_of(weights.value[0], f[i : i + STEP], kind[i : i + STEP], weights.value[1]) / math.log(10)
+                own[i : i + STEP] += log_probability_of(weights.value[0], f[i : i + STEP], kind[i : i + STEP], weights.value[1], room) / math.log(10)
             tally = lambda x: np.add.reduceat(x, starts)  # noqa: E731, B023
             sums = [sizes, tally((flat >= 0).astype(np.int64)) + (ends > 0), tally(bases[np.maximum(flat, RARE_CODE)]), tally(own)]
             columns = [part.column(0), part.column(1), *map(pa.array, sums), part.column(3), part.column(4)]

@@ -51,3 +51,38 @@ def test_probability_of_one_class_is_that_of_all():
     for bias in (prior, None):
         want = maxent.log_probabilities(weights, f, bias)[np.arange(500), kind]
         assert (maxent.log_probability_of(weights, f, kind, bias) == want).all()
+
+
+def test_numbers_of_words_are_those_of_plain_python(spark, monkeypatch):
+    """Texts are split, counted and numbered as columns: the same words, whatever white space; numbers travel as bytes."""
+    import zlib
+    from collections import Counter
+
+    texts = ["  The\x0bcat\tTHE \x1c x y ", "", " \n", "É cat é dog dog\r\nrare", "one", "dog  cat the rare rare"] * 3
+    monkeypatch.setattr(maxent, "FLUSH", 2)
+    words = [t.encode().lower().split() for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string").selectExpr("k", "false AS held_out", "k AS h", "t").repartition(3)
+    counted = {bytes(r.w): r.n for r in maxent.word_counts(df.select("t")).collect()}
+    assert counted == Counter(w for t in words for w in t) | {b"": len(texts)}
+    known = [b"the", b"cat", b"dog"]
+    coded = maxent.encoded(df, known)
+    assert dict(coded.dtypes)["ids"] == "binary"
+    for r in coded.collect():
+        own = words[r.k]
+        assert np.frombuffer(r.ids, np.int32).tolist() == [known.index(w) if w in known else maxent.RARE_CODE - (zlib.crc32(w) & 0x3FFFFFFF) for w in own]
+        assert dict(zip(map(bytes, r.missing), r.times, strict=True)) == Counter(w for w in own if w not in known)
+
+
+def test_steps_work_in_the_room_they_are_given():
+    rng = np.random.default_rng(5)
+    weights, prior = rng.normal(0, 1, (64, maxent.CLASSES)).astype(np.float32), rng.normal(0, 1, maxent.CLASSES).astype(np.float32)
+    room = maxent.Room(600)
+    for n in (600, 7):  # buckets that occur some 30 times, and once
+        f, kind = rng.integers(0, 60, (n, 3)), rng.integers(0, maxent.CLASSES, n)
+        ids, g, counts, own = maxent.counted_gradient(weights, f, kind, prior, room)
+        p = np.exp(maxent.log_probabilities(weights, f, prior).astype(float))
+        p[np.arange(n), kind] -= 1
+        want = np.zeros((64, maxent.CLASSES))
+        np.add.at(want, f.ravel(), np.repeat(p, 3, axis=0))
+        assert ids.tolist() == sorted(set(f.ravel().tolist())) and counts.tolist() == np.bincount(f.ravel(), minlength=64)[ids].tolist()
+        assert np.abs(g - want[ids]).max() < 1e-4 and (own == weights[ids]).all() and np.shares_memory(g, room.sums)
