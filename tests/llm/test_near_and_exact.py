@@ -370,3 +370,18 @@ def test_fingerprints_of_sets_meet_in_the_range_join(spark, monkeypatch):
     monkeypatch.setattr(simhash, "links", lambda *x: calls.append(x) or real(*x))
     assert sorted(r.doc_id for r in simhash.deduplicate(rows).collect()) == [0, 1, 2, 3, 4, 5]
     assert len(calls) == 1
+
+
+def test_hashes_of_windows_are_of_their_bytes(monkeypatch):
+    """Windows are hashed for a piece of a text together, whatever its edges; equal bytes have equal hashes, others different ones."""
+    rng = np.random.default_rng(11)
+    raw = bytes(rng.integers(97, 99, 3000, dtype=np.uint8))
+    raw += raw[500:1500] + b"a" * 900
+    for size, piece in ((400, 1 << 16), (400, 37), (65, 100)):
+        monkeypatch.setattr(suffixes, "PIECE", piece)
+        at = np.flatnonzero(rng.random(len(raw) - size + 1) < 0.7)
+        half = (size + 1) // 2
+        for got, start in zip(suffixes.hashes(raw, at, size), (0, size - half), strict=True):
+            strings = [raw[i + start : i + start + half] for i in at.tolist()]
+            assert len(set(strings)) == len(set(got.tolist())) == len(set(zip(strings, got.tolist(), strict=True)))
+    assert [len(x) for x in suffixes.hashes(raw, np.zeros(0, np.int64), 400)] == [0, 0]
